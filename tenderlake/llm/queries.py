@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, mixing, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_simhash": simhash.op2_simhash,
+    "op6_mixing": mixing.op6_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
