@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash
+from . import bpe, mixing, simhash, suffixdedup, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_simhash": simhash.op2_simhash,
+    "op5_suffix_dedup": suffixdedup.op5_suffix_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -200,15 +200,144 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(components(fps), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` that lead their component, one of each; rows without an id stay.
+#: Words of a long signature, and the differing bits of all of them at a similarity of 0.8:
+#: shingle sets of Jaccard similarity J have the cosine 2J / (1 + J), and each bit differs
+#: with probability acos(cosine) / pi, 0.15 at 0.8; 45 of 256 bits leave room for chance.
+LONG_WORDS, LONG_RADIUS = 4, 45
 
-    A repeated id that leads keeps one of its rows.
+
+def signature(text: bytes, shingle: int) -> np.ndarray:
+    """256-bit SimHash of the set of word shingles of a whole text."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(LONG_WORDS, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    width = min(shingle, len(words))
+    n = len(words) - width + 1
+    spans = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans), np.uint64, n))
+    votes = np.zeros((LONG_WORDS, 64), np.int64)
+    for at in range(0, len(h), _CHUNK):
+        part = h[at : at + _CHUNK]
+        for w in range(LONG_WORDS):
+            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes[w] += np.add.reduce(bits, axis=0, dtype=np.int64)
+            part = part * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+            part ^= part >> np.uint64(31)
+            part *= np.uint64(0xBF58476D1CE4E5B9)
+            part ^= part >> np.uint64(30)
+    return (_BITS * (2 * votes > len(h))).sum(axis=1, dtype=np.uint64)
+
+
+def _met(batches):
+    """The rows of groups of two or more, from rows sorted by key."""
+    held = None
+    for k, v in _groups(batches):
+        if held is not None:
+            k, v = np.concatenate([held[0], k]), np.concatenate([held[1], v])
+        same = k[1:] == k[:-1]
+        again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        held = None if again[-1] else (k[-1:], v[-1:])
+        # The last row of a group that goes on in the next batch is met there by the row kept for it.
+        if again[-1]:
+            held = (k[-1:], v[-1:])
+        yield pa.RecordBatch.from_arrays([pa.array(k[again]), pa.array(v[again])], names=["key", "node"])
+
+
+def _lead(batches, radius: int):
+    """Links of the members of a group to its leaders: each row within ``radius`` bits of a
+    leader is linked to it, any other becomes a leader.  Work and links grow with rows times
+    leaders, not with pairs."""
+    key, leaders, names = None, np.zeros((0, LONG_WORDS), np.uint64), np.zeros(0, np.int64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+        x = np.stack([b.column(2 + w).to_numpy() for w in range(LONG_WORDS)], axis=1).view(np.uint64)
+        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        us, vs = [], []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if k[s] != key:
+                key, leaders, names = k[s], leaders[:0], names[:0]
+            rest, at = x[s:e], v[s:e]
+            n = 0
+            while len(rest):
+                if n == len(leaders):
+                    leaders, names = np.concatenate([leaders, rest[:1]]), np.concatenate([names, at[:1]])
+                near = np.bitwise_count(rest ^ leaders[n]).sum(axis=1) <= radius
+                us.append(at[near])
+                vs.append(np.full(int(near.sum()), names[n]))
+                rest, at = rest[~near], at[~near]
+                n += 1
+        u, w = np.concatenate(us), np.concatenate(vs)
+        links_ = np.unique(np.stack([u[u != w], w[u != w]]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(links_[0]), pa.array(links_[1])], names=["u", "v"])
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
+    """(id, hash, lead, lead_hash): the group leader of each row by shingle-set similarity.
+
+    256-bit signatures are taken as eight 32-bit words; every word emits all variants within
+    one bit, and those that collide on any are verified on all 256 bits.  Two texts of
+    similarity 0.9 agree within two bits on at least one word in 96 of 100 cases, of 0.95
+    nearly always.  ``hash`` is that of the text, so rows of one id stay apart; the leader of
+    a group is its least (id, hash), null ids last.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    lead = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_lead")).distinct()
-    kept = docs.join(lead, docs[id_col] == lead["_lead"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    spark = docs.sparkSession
+    small_batches(spark)
+    n = partitions(spark)
+    cols = [f"s{w}" for w in range(LONG_WORDS)]
+    longs = ", ".join(f"{c} long" for c in cols)
+
+    def run(batches):
+        for b in batches:
+            sig = np.array([signature(t or b"", shingle) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64)
+            sig = sig.reshape(-1, LONG_WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(sig[:, w])) for w in range(LONG_WORDS))],
+                names=["id", "hash", *cols],
+            )
+
+    text = F.col(text_col).cast("string")
+    signed = materialize(
+        docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+        .mapInArrow(run, f"id long, hash long, {longs}").withColumn("node", F.xxhash64(*cols)), "signatures"
+    )
+    nodes = signed.select("node", *cols).distinct()
+    low, high = (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
+    words = [f(c).bitwiseOR(F.lit(i << 32)) for i, (c, f) in enumerate((c, f) for c in cols for f in (low, high))]
+    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
+    variants = (
+        nodes.select("node", F.explode(F.array(*words)).alias("word")).select("node", "word", F.explode(masks).alias("mask"))
+        .select(F.col("word").bitwiseXOR(F.col("mask")).alias("key"), "node")
+    )
+    met = materialize(variants.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long"), "met")
+    links_ = (
+        met.distinct().join(nodes, "node").select("key", "node", *cols).repartition(n, "key")
+        .sortWithinPartitions("key", F.xxhash64("key", "node")).mapInArrow(lambda it: _lead(it, radius), "u long, v long")
+    )
+    found = connected_components(links_)
+    rooted = signed.select("id", "hash", "node").join(found, "node", "left").select(
+        "id", "hash", F.coalesce("component", "node").alias("root")
+    )
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "hash")).alias("f"))
+    return rooted.join(first, "root").select("id", "hash", F.col("f.id").alias("lead"), F.col("f.hash").alias("lead_hash"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
+    """One row of ``docs`` for each group of ``similar``: its leader, with all its columns.
+
+    Texts without words are copies of each other.  Of repeated rows (equal id and text) one stays.
+    """
+    found = similar(docs, id_col, text_col, shingle, radius)
+    lead = found.select(F.col("lead").alias("_id"), F.col("lead_hash").alias("_hash")).distinct()
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
+    kept = hashed.join(
+        lead, hashed[id_col].cast("long").eqNullSafe(lead["_id"]) & (hashed["_text_hash"] == lead["_hash"]), "left_semi"
+    )
+    return kept.dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
