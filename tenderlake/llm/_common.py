@@ -88,9 +88,26 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return flat[np.arange(total, dtype=np.int64) + shift]
 
 
-def text_bytes(column) -> list[bytes]:
-    """UTF-8 of an Arrow string column, null as empty."""
-    return [b"" if x is None else x for x in column.cast("binary").to_pylist()]
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the machine."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def trimmed(work):
+    """``work`` on a group, with unused memory given back afterwards."""
+
+    def run(*groups):
+        out = work(*groups)
+        trim()
+        return out
+
+    return run
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import gather, materialize_bucketed, pack, partitions, planes, small_batches, table, unpack, unplanes
+from ._common import gather, materialize_bucketed, pack, partitions, planes, small_batches, table, trim, trimmed, unpack, unplanes
 
 #: The code points that the fast splitter covers.
 _LOW = 0x250
@@ -115,6 +115,7 @@ def _blocks(batches, buckets: int, pattern: str, block_bytes: int):
                 yield flush(ids, lens, codes, numbers)
                 ids, lens, codes, numbers = fresh()
                 size = 0
+                trim()
     if ids:
         yield flush(ids, lens, codes, numbers)
 
@@ -166,7 +167,7 @@ def _reassemble(left: pa.Table, right: pa.Table, raw: bytes, id_type) -> pa.Tabl
 
 
 def encode_decode(
-    docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20
+    docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20
 ) -> DataFrame:
     """(id, ids array<int>, decoded binary), one row for each row of ``docs``.
 
@@ -186,10 +187,10 @@ def encode_decode(
         "bpe", "block", "kind",
     )
     words = stored.where("kind = 1").select("block", "part", "payload").groupBy("part")
-    encoded = words.applyInArrow(lambda g: _encode_bucket(g, vocab.value, pattern), "block long, part int, payload binary")
+    encoded = words.applyInArrow(trimmed(lambda g: _encode_bucket(g, vocab.value, pattern)), "block long, part int, payload binary")
     seqs = stored.where("kind = 0").select("block", "payload").groupBy("block")
     return seqs.cogroup(encoded.groupBy("block")).applyInArrow(
-        lambda a, b: _reassemble(a, b, vocab.value, pa.int64()), "id long, ids array<int>, decoded binary"
+        trimmed(lambda a, b: _reassemble(a, b, vocab.value, pa.int64())), "id long, ids array<int>, decoded binary"
     ).select(F.col("id").alias(id_col), "ids", "decoded")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize_bucketed, pack, partitions, small_batches, table, unpack
+from ._common import materialize_bucketed, pack, partitions, small_batches, table, trim, trimmed, unpack
 
 WIDTH, SEED_BYTES = 100, 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -121,6 +121,7 @@ def _seed_hashes(batches, parts: int, width: int, seed: int):
                 rows.append((block, int(p), pack((raw6, np.packbits(twice[part == p] > 1).tobytes()))))
             if rows:
                 yield _batch(rows)
+        trim()
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -371,7 +372,7 @@ def _cut(left: pa.Table, right: pa.Table, width: int, as_text: bool) -> pa.Table
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED_BYTES,
-    block_bytes: int = 4 << 20, part_bytes: int = 16 << 20, carry: list[str] | None = None, as_text: bool = False,
+    block_bytes: int = 2 << 20, part_bytes: int = 16 << 20, carry: list[str] | None = None, as_text: bool = False,
 ) -> DataFrame:
     """(id, n_bytes, kept binary, removed array<struct<start, stop>>), one row for each row.
 
@@ -399,14 +400,14 @@ def remove_repeats(
     row = "block long, part int, payload binary"
     bare = blocks.select("block", "payload")
     seeds = bare.mapInArrow(lambda it: _seed_hashes(it, parts, width, seed), row)
-    marks = seeds.groupBy("part").applyInArrow(_repeated, row)
+    marks = seeds.groupBy("part").applyInArrow(trimmed(_repeated), row)
     runs = bare.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(
-        lambda a, b: _runs(a, b, parts, width, seed) if a.num_rows else b.slice(0, 0), row
+        trimmed(lambda a, b: _runs(a, b, parts, width, seed)), row
     )
-    hits = runs.groupBy("part").applyInArrow(lambda g: _repeats(g, width), row)
+    hits = runs.groupBy("part").applyInArrow(trimmed(lambda g: _repeats(g, width)), row)
     kind = "string" if as_text else "binary"
     return bare.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(
-        lambda a, b: _cut(a, b, width, as_text),
+        trimmed(lambda a, b: _cut(a, b, width, as_text)),
         f"_id long, _n_bytes long, _kept {kind}, _removed array<struct<start:long,stop:long>>{more}",
     ).select(
         F.col("_id").alias(id_col), F.col("_n_bytes").alias("n_bytes"), F.col("_kept").alias("kept"),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table, unpack, pack
+from ._common import pack, small_batches, table, trim, unpack
 
 #: ASCII characters that are no letter or digit part words.
 _PART = bytes(i if chr(i).isalnum() or i >= 128 else 32 for i in range(256))
@@ -112,6 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
         w = model.weights(np.arange(len(model.z))).astype(np.float32)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([pack((at.astype(np.uint32), w[at]))], pa.binary())], names=["w"])
+        del data, model
+        trim()
 
     rows = (
         chosen.select("_id", "_text", "_y").mapInArrow(columns, "_id long, _y int, _x binary")
