@@ -102,8 +102,19 @@ def trim() -> None:
 def trimmed(work):
     """``work`` on a group, with unused memory given back afterwards."""
 
-    def run(*groups):
-        out = work(*groups)
+    def run(group):
+        out = work(group)
+        trim()
+        return out
+
+    return run
+
+
+def trimmed_pair(work):
+    """As ``trimmed``, for two groups of one key."""
+
+    def run(left, right):
+        out = work(left, right)
         trim()
         return out
 

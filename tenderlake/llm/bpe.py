@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import gather, materialize_bucketed, pack, partitions, planes, small_batches, table, trim, trimmed, unpack, unplanes
+from ._common import gather, materialize_bucketed, pack, partitions, planes, small_batches, table, trim, trimmed, trimmed_pair, unpack, unplanes
 
 #: The code points that the fast splitter covers.
 _LOW = 0x250
@@ -190,7 +190,7 @@ def encode_decode(
     encoded = words.applyInArrow(trimmed(lambda g: _encode_bucket(g, vocab.value, pattern)), "block long, part int, payload binary")
     seqs = stored.where("kind = 0").select("block", "payload").groupBy("block")
     return seqs.cogroup(encoded.groupBy("block")).applyInArrow(
-        trimmed(lambda a, b: _reassemble(a, b, vocab.value, pa.int64())), "id long, ids array<int>, decoded binary"
+        trimmed_pair(lambda a, b: _reassemble(a, b, vocab.value, pa.int64())), "id long, ids array<int>, decoded binary"
     ).select(F.col("id").alias(id_col), "ids", "decoded")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize_bucketed, pack, partitions, small_batches, table, trim, trimmed, unpack
+from ._common import materialize_bucketed, pack, partitions, small_batches, table, trim, trimmed, trimmed_pair, unpack
 
 WIDTH, SEED_BYTES = 100, 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -402,12 +402,12 @@ def remove_repeats(
     seeds = bare.mapInArrow(lambda it: _seed_hashes(it, parts, width, seed), row)
     marks = seeds.groupBy("part").applyInArrow(trimmed(_repeated), row)
     runs = bare.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(
-        trimmed(lambda a, b: _runs(a, b, parts, width, seed)), row
+        trimmed_pair(lambda a, b: _runs(a, b, parts, width, seed)), row
     )
     hits = runs.groupBy("part").applyInArrow(trimmed(lambda g: _repeats(g, width)), row)
     kind = "string" if as_text else "binary"
     return bare.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(
-        trimmed(lambda a, b: _cut(a, b, width, as_text)),
+        trimmed_pair(lambda a, b: _cut(a, b, width, as_text)),
         f"_id long, _n_bytes long, _kept {kind}, _removed array<struct<start:long,stop:long>>{more}",
     ).select(
         F.col("_id").alias(id_col), F.col("_n_bytes").alias("n_bytes"), F.col("_kept").alias("kept"),
