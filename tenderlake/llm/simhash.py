@@ -316,7 +316,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     met = materialize(variants.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long"), "met")
     links_ = (
         met.distinct().join(nodes, "node").select("key", "node", *cols).repartition(n, "key")
-        .sortWithinPartitions("key", F.xxhash64("key", "node")).mapInArrow(lambda it: _lead(it, radius), "u long, v long")
+        .sortWithinPartitions("key", "node").mapInArrow(lambda it: _lead(it, radius), "u long, v long")
     )
     found = connected_components(links_)
     rooted = signed.select("id", "hash", "node").join(found, "node", "left").select(
