@@ -122,15 +122,16 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
     Documents without words carry no weight and stay once.
     """
-    cols = docs.columns
-    mixed = mix(docs, id_col, text_col, source_col, keep=cols)
+    inner = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no name clashes with those of the plan
+    text = inner[text_col]
+    mixed = mix(docs.toDF(*inner.values()), inner[id_col], text, inner[source_col], keep=list(inner.values()))
     part = F.col("taken") - F.col("whole") * F.col("size")
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.when(part > 0, 1).otherwise(0))
-    rows = mixed.withColumn("_part", part).where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
-    words = F.slice(F.split(F.ltrim(F.col(text_col)), r"[\x20\x09-\x0D]+"), 1, F.col("_part").cast("int"))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.when(part > 0, 1).otherwise(0)).cast("long")
+    rows = mixed.withColumn("_part", part).where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    words = F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), 1), F.lit(1), F.col("_part").cast("int"))
     short = (F.col("size") > 0) & (F.col("_copy") > F.col("whole"))
-    text = F.when(short, F.array_join(words, " ")).otherwise(F.col(text_col)).alias(text_col)
-    return rows.select(*(text if c == text_col else F.col(c) for c in cols))
+    cut = F.when(short, F.array_join(words, " ")).otherwise(F.col(text))
+    return rows.select(*((cut if c == text_col else F.col(i)).alias(c) for c, i in inner.items()))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
