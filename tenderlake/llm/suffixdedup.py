@@ -61,14 +61,15 @@ def anchors(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, seed: int
     if n < width:
         return none, none, none, np.zeros(0, np.uint64)
     h = _rolling(data, seed)
-    key = ((h >> _PLACE) << _PLACE) | np.arange(len(h), dtype=np.uint64)
-    span, want, low = 1, width - seed + 1, key
+    low = ((h >> _PLACE) << _PLACE) | np.arange(len(h), dtype=np.uint64)  # large: no second name holds it
+    span, want = 1, width - seed + 1
     while 2 * span <= want:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < want:
         low = np.minimum(low[: len(low) - (want - span)], low[want - span :])
-    at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = (low & np.uint64(0xFFFFFFFF)).view(np.int64)
+    del low
     valid = np.zeros(n + 1, np.int32)
     lens = np.diff(bounds)
     long_ = lens >= width
