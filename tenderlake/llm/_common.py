@@ -121,6 +121,16 @@ def trimmed_pair(work):
     return run
 
 
+def trimmed_batches(work):
+    """As ``trimmed``, for a function over the batches of a partition."""
+
+    def run(batches):
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected (u, v) links.
 

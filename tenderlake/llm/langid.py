@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pack, small_batches, table, trim, unpack
+from ._common import pack, small_batches, table, trim, trimmed_batches, unpack
 
 _WORD = re.compile(r"[^\W\d_]+").findall
 #: First code points of script ranges, ascending: Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai,
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_
             total = x if total is None else tuple(a + b for a, b in zip(total, x))
         return pa.table({"lang": group.column("lang")[:1], "n": pa.array([pack(total)], pa.binary())})
 
-    rows = chosen.mapInArrow(counts, "lang string, n binary").groupBy("lang").applyInArrow(add, "lang string, n binary").collect()
+    rows = chosen.mapInArrow(trimmed_batches(counts), "lang string, n binary").groupBy("lang").applyInArrow(add, "lang string, n binary").collect()
     got = sorted((r["lang"], unpack(r["n"])) for r in rows)
     if not got:
         return Model([], np.zeros((n, 0), np.float32), np.zeros((n, 0), np.float32), np.zeros((_SCRIPTS, 0), bool))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialize, partitions, small_batches, table
+from ._common import connected_components, materialize, partitions, small_batches, table, trimmed_batches
 
 SEED = 42
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, fp long")
+    return src.mapInArrow(trimmed_batches(run), "id long, fp long")
 
 
 def _groups(batches):
@@ -156,7 +156,7 @@ def links(fps: DataFrame, radius: int = 4, dense: int = 128) -> DataFrame:
         "fp", F.explode(F.array(high, low.bitwiseOR(F.lit(1 << 32)))).alias("half")
     ).select("fp", "half", F.explode(masks).alias("mask")).select(F.col("half").bitwiseXOR(F.col("mask")).alias("key"), "fp")
     met = materialize(
-        halves.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda it: _pairs(it, dense, radius), "u long, v long"),
+        halves.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimmed_batches(lambda it: _pairs(it, dense, radius)), "u long, v long"),
         "halves",
     )
     full = met.where("v is null").select("u").distinct()
@@ -172,8 +172,8 @@ def links(fps: DataFrame, radius: int = 4, dense: int = 128) -> DataFrame:
                 )
 
     stars = (
-        full.mapInArrow(balls, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
-        .mapInArrow(_stars, "u long, v long")
+        full.mapInArrow(trimmed_batches(balls), "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
+        .mapInArrow(trimmed_batches(_stars), "u long, v long")
     )
     return met.where("v is not null").unionByName(stars).distinct()
 
@@ -303,7 +303,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     text = F.col(text_col).cast("string")
     signed = materialize(
         docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-        .mapInArrow(run, f"id long, hash long, {longs}").withColumn("node", F.xxhash64(*cols)), "signatures"
+        .mapInArrow(trimmed_batches(run), f"id long, hash long, {longs}").withColumn("node", F.xxhash64(*cols)), "signatures"
     )
     nodes = signed.select("node", *cols).distinct()
     low, high = (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
@@ -313,10 +313,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         nodes.select("node", F.explode(F.array(*words)).alias("word")).select("node", "word", F.explode(masks).alias("mask"))
         .select(F.col("word").bitwiseXOR(F.col("mask")).alias("key"), "node")
     )
-    met = materialize(variants.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long"), "met")
+    met = materialize(variants.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimmed_batches(_met), "key long, node long"), "met")
     links_ = (
         met.distinct().join(nodes, "node").select("key", "node", *cols).repartition(n, "key")
-        .sortWithinPartitions("key", "node").mapInArrow(lambda it: _lead(it, radius), "u long, v long")
+        .sortWithinPartitions("key", "node").mapInArrow(trimmed_batches(lambda it: _lead(it, radius)), "u long, v long")
     )
     found = connected_components(links_)
     rooted = signed.select("id", "hash", "node").join(found, "node", "left").select(

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pack, small_batches, table, trim, unpack
+from ._common import pack, small_batches, table, trimmed_batches, unpack
 
 #: ASCII characters that are no letter or digit part words.
 _PART = bytes(i if chr(i).isalnum() or i >= 128 else 32 for i in range(256))
@@ -103,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
         rows = np.zeros((1 << s.bits) + 1, np.int32)
         for _, x in data:
             rows[x] += 1
-        bias = np.array([1 << s.bits])
-        data = [(y, np.concatenate([x[rows[x] >= s.least].astype(np.int64), bias])) for y, x in data]
+        bias = np.array([1 << s.bits], np.int32)
+        data = [(y, np.concatenate([x[rows[x] >= s.least].astype(np.int32), bias])) for y, x in data]
         model = Ftrl(s)
         for _ in range(s.epochs):
             for y, x in data:
@@ -112,12 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
         w = model.weights(np.arange(len(model.z))).astype(np.float32)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([pack((at.astype(np.uint32), w[at]))], pa.binary())], names=["w"])
-        del data, model
-        trim()
 
     rows = (
-        chosen.select("_id", "_text", "_y").mapInArrow(columns, "_id long, _y int, _x binary")
-        .repartition(1).sortWithinPartitions(order, "_id", "_x").mapInArrow(train, "w binary").collect()
+        chosen.select("_id", "_text", "_y").mapInArrow(trimmed_batches(columns), "_id long, _y int, _x binary")
+        .repartition(1).sortWithinPartitions(order, "_id", "_x").mapInArrow(trimmed_batches(train), "w binary").collect()
     )
     w = np.zeros((1 << s.bits) + 1, np.float32)
     for row in rows:
@@ -152,7 +150,7 @@ def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings(), text_c
 
     src = docs.select(*keep, F.col(text_col).cast("string").alias("_scored"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{schema}, score double, predicted int")
+    return src.mapInArrow(trimmed_batches(run), f"{schema}, score double, predicted int")
 
 
 def _held_out():
