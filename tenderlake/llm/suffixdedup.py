@@ -51,34 +51,49 @@ def _rolling(data: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, seed: int = SEED_BYTES):
+def anchors(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, seed: int = SEED_BYTES, chunk: int = 1 << 18):
     """(position, first window, last window, hash) of the anchors of concatenated documents.
 
     ``bounds`` are the documents' offsets, one more than documents.  Windows never cross them.
+    Windows are taken ``chunk`` at a time, so that memory does not grow with a long document.
     """
-    n = len(data)
+    windows = len(data) - width + 1
     none = np.zeros(0, np.int64)
-    if n < width:
+    if windows <= 0:
         return none, none, none, np.zeros(0, np.uint64)
+    valid = np.zeros(len(data) + 1, np.int8)
+    long_ = np.diff(bounds) >= width
+    np.add.at(valid, bounds[:-1][long_], 1)
+    np.add.at(valid, bounds[1:][long_] - width + 1, -1)
+    inside = np.cumsum(valid, dtype=np.int8)[:windows] > 0
+    found = []
+    for begin in range(0, windows, chunk):
+        here = inside[begin : begin + chunk]
+        if here.any():
+            found.append(_anchors_of(data[begin : begin + len(here) + width - 1], begin, here, width - seed + 1, seed))
+    if not found:
+        return none, none, none, np.zeros(0, np.uint64)
+    at, starts, stops, h = (np.concatenate(x) for x in zip(*found))
+    # A run of windows that two chunks share is one.
+    fresh = np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != stops[:-1] + 1)])
+    return at[fresh], starts[fresh], stops[np.concatenate([fresh[1:], [True]])], h[fresh]
+
+
+def _anchors_of(data: np.ndarray, begin: int, inside: np.ndarray, want: int, seed: int):
+    """The anchors of windows from ``begin`` on, each the least of ``want`` hashes."""
     h = _rolling(data, seed)
-    low = ((h >> _PLACE) << _PLACE) | np.arange(len(h), dtype=np.uint64)  # large: no second name holds it
-    span, want = 1, width - seed + 1
+    low = ((h >> _PLACE) << _PLACE) | np.arange(len(h), dtype=np.uint64)
+    span = 1
     while 2 * span <= want:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < want:
         low = np.minimum(low[: len(low) - (want - span)], low[want - span :])
     at = (low & np.uint64(0xFFFFFFFF)).view(np.int64)
-    del low
-    valid = np.zeros(n + 1, np.int32)
-    lens = np.diff(bounds)
-    long_ = lens >= width
-    np.add.at(valid, bounds[:-1][long_], 1)
-    np.add.at(valid, bounds[1:][long_] - width + 1, -1)
-    inside = np.cumsum(valid)[: len(at)] > 0
-    starts = np.flatnonzero(inside & np.concatenate([[True], (at[1:] != at[:-1]) | ~inside[:-1]]))
-    stops = np.flatnonzero(inside & np.concatenate([(at[1:] != at[:-1]) | ~inside[1:], [True]]))
-    return at[starts], starts, stops, h[at[starts]]
+    turn = at[1:] != at[:-1]
+    starts = np.flatnonzero(inside & np.concatenate([[True], turn | ~inside[:-1]]))
+    stops = np.flatnonzero(inside & np.concatenate([turn | ~inside[1:], [True]]))
+    return at[starts] + begin, starts + begin, stops + begin, h[at[starts]]
 
 
 def _to_blocks(batches, block_bytes: int):
@@ -298,17 +313,12 @@ def _repeats(group: pa.Table, width: int) -> pa.Table:
     pick = base[run] + place
     join = lambda i: np.concatenate([c[i] for c in cols])[pick]
     at, far, near, name, start = join(0), join(1), join(2), join(4), join(5)
-    # The bytes before an anchor, nearest first, and the rank of each such string.
+    # Where the bytes before an anchor lie.
     offsets = np.concatenate([np.concatenate([[0], np.cumsum(c[1])[:-1]]) + s for c, s in
                               zip(cols, np.concatenate([[0], np.cumsum([len(c[3]) for c in cols])]))])[pick]
     flat = np.frombuffer(b"".join(c[3] for c in cols), np.uint8)
     deep = int(far.max(initial=0))
-    back = np.zeros((len(at), deep), np.uint8)
-    if deep:
-        col = np.arange(deep)
-        have = col[None, :] < far[:, None]
-        src = offsets[:, None] + (far[:, None] - 1 - col[None, :])
-        back[have] = flat[src[have]]
+    ends = offsets + far
     order = np.lexsort((at, run, start, name))
     rank = np.empty(len(at), np.int64)
     rank[order] = np.arange(len(at))
@@ -317,7 +327,10 @@ def _repeats(group: pa.Table, width: int) -> pa.Table:
     before = np.zeros(len(at), np.int64)
     for j in range(deep + 1):
         if j:
-            both = before * 256 + back[:, j - 1]
+            # The byte j before the anchor; rows that reach less far are in no class from here on.
+            have = far >= j
+            both = before * 256
+            both[have] += flat[ends[have] - j]
             before = np.unique(both, return_inverse=True)[1].ravel()
         rows = np.flatnonzero((near <= j) & (j <= far))
         if len(rows) < 2:
