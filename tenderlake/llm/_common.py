@@ -80,12 +80,17 @@ def unplanes(x: tuple[str, bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel()
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Concatenation of ``flat[s:s + n]`` over all (s, n)."""
+def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+    """Concatenation of ``flat[s:s + n]`` over all (s, n), with index arrays for ``chunk`` of them at a time."""
     ends = np.cumsum(lens)
-    total = int(ends[-1]) if len(ends) else 0
-    shift = np.repeat(starts - (ends - lens), lens)
-    return flat[np.arange(total, dtype=np.int64) + shift]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    done = 0
+    for i in range(0, len(ends), chunk):
+        own, upto = lens[i : i + chunk], int(ends[min(len(ends), i + chunk) - 1])
+        shift = np.repeat(starts[i : i + chunk] - (ends[i : i + chunk] - own), own)
+        out[done:upto] = flat[np.arange(done, upto, dtype=np.int64) + shift]
+        done = upto
+    return out
 
 
 def trim() -> None:
