@@ -276,14 +276,13 @@ def _lead(batches, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(links_[0]), pa.array(links_[1])], names=["u", "v"])
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
-    """(id, hash, lead, lead_hash): the group leader of each row by shingle-set similarity.
+def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """((id, hash, node), (node, component)): rows by signature, and the components of signatures.
 
     256-bit signatures are taken as eight 32-bit words; every word emits all variants within
     one bit, and those that collide on any are verified on all 256 bits.  Two texts of
     similarity 0.9 agree within two bits on at least one word in 96 of 100 cases, of 0.95
-    nearly always.  ``hash`` is that of the text, so rows of one id stay apart; the leader of
-    a group is its least (id, hash), null ids last.
+    nearly always.  ``hash`` is that of the text, so rows of one id stay apart.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -318,21 +317,37 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         met.distinct().join(nodes, "node").select("key", "node", *cols).repartition(n, "key")
         .sortWithinPartitions("key", "node").mapInArrow(trimmed_batches(lambda it: _lead(it, radius)), "u long, v long")
     )
-    found = connected_components(links_)
-    rooted = signed.select("id", "hash", "node").join(found, "node", "left").select(
-        "id", "hash", F.coalesce("component", "node").alias("root")
-    )
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "hash")).alias("f"))
+    return signed.select("id", "hash", "node"), connected_components(links_)
+
+
+def _first():
+    """The leader of a group: its least (id, hash), null ids last."""
+    return F.min(F.struct(F.col("id").isNull().alias("n"), "id", "hash")).alias("f")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
+    """(id, hash, lead, lead_hash): the group leader of each row by shingle-set similarity."""
+    signed, found = _signed(docs, id_col, text_col, shingle, radius)
+    rooted = signed.join(found, "node", "left").select("id", "hash", F.coalesce("component", "node").alias("root"))
+    first = rooted.groupBy("root").agg(_first())
     return rooted.join(first, "root").select("id", "hash", F.col("f.id").alias("lead"), F.col("f.hash").alias("lead_hash"))
 
 
+def leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
+    """(lead, lead_hash): the distinct leaders of ``similar``.  Copies are reduced before they
+    move, so neither a signature nor a component that many rows share lands in one task."""
+    signed, found = _signed(docs, id_col, text_col, shingle, radius)
+    nodes = signed.groupBy("node").agg(_first()).join(found, "node", "left")
+    first = nodes.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("f").alias("f"))
+    return first.select(F.col("f.id").alias("lead"), F.col("f.hash").alias("lead_hash"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
     """One row of ``docs`` for each group of ``similar``: its leader, with all its columns.
 
     Texts without words are copies of each other.  Of repeated rows (equal id and text) one stays.
     """
-    found = similar(docs, id_col, text_col, shingle, radius)
-    lead = found.select(F.col("lead").alias("_id"), F.col("lead_hash").alias("_hash")).distinct()
+    lead = leaders(docs, id_col, text_col, shingle, radius).select(F.col("lead").alias("_id"), F.col("lead_hash").alias("_hash"))
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
     kept = hashed.join(
         lead, hashed[id_col].cast("long").eqNullSafe(lead["_id"]) & (hashed["_text_hash"] == lead["_hash"]), "left_semi"
