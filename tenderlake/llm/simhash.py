@@ -206,18 +206,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 LONG_WORDS, LONG_RADIUS = 4, 45
 
 
-def signature(text: bytes, shingle: int) -> np.ndarray:
-    """256-bit SimHash of the set of word shingles of a whole text."""
+#: Texts are near copies from this shingle-set similarity on, as a fraction.
+LEAST = (4, 5)
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The set of word shingles of a whole text, as ascending hashes; empty without words."""
     words = text.lower().split()
     if not words:
-        return np.zeros(LONG_WORDS, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    width = min(shingle, len(words))
+    width = min(width, len(words))
     n = len(words) - width + 1
     spans = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans), np.uint64, n))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans), np.uint64, n))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of ``LEAST`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * LEAST[1] >= LEAST[0] * (len(a) + len(b) - both)
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """256-bit SimHash of a set of shingles."""
+    if not len(h):
+        return np.zeros(LONG_WORDS, np.uint64)
     votes = np.zeros((LONG_WORDS, 64), np.int64)
     for at in range(0, len(h), _CHUNK):
         part = h[at : at + _CHUNK]
@@ -231,6 +247,35 @@ def signature(text: bytes, shingle: int) -> np.ndarray:
     return (_BITS * (2 * votes > len(h))).sum(axis=1, dtype=np.uint64)
 
 
+def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of which two alike sets share one: all but the last ``LEAST`` of a set, and
+    one more, in one order for all sets.  Shingles counted as ``common`` come last; that
+    order decides how many sets meet, not which pairs must."""
+    often = np.zeros(len(h), np.int64)
+    if len(common) and len(h):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        often = np.where(common[at] == h, counts[at], 0)
+    n = len(h) - -(-LEAST[0] * len(h) // LEAST[1]) + 1 if len(h) else 0
+    return h[np.lexsort((h, often))[:n]]
+
+
+def _common(texts: DataFrame, shingle: int, samples: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) that more than two of about ``samples`` texts hold; for the order of
+    ``prefix`` alone, which keeps every pair whatever is common."""
+    share = min(1.0, samples / max(1, texts.count()))
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t or b"", shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+
+    pick = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    found = texts.where(pick).select("text").mapInArrow(trimmed_batches(run), "h long").groupBy("h").count().where("count > 2").toPandas()
+    h = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["count"].to_numpy(np.int64)[order]
+
+
 def _met(batches):
     """The rows of groups of two or more, from rows sorted by key."""
     held = None
@@ -276,35 +321,116 @@ def _lead(batches, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(links_[0]), pa.array(links_[1])], names=["u", "v"])
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """((id, hash, node), (node, component)): rows by signature, and the components of signatures.
+def _cross(batches, most: int = 1 << 17):
+    """Pairs (u, v, cu, cv) of a group that lie in different components and whose sizes and
+    places of the shared shingle allow that they are alike; rows come sorted by key."""
+
+    def rows(parts):
+        pairs = np.unique(np.concatenate(parts, axis=1), axis=1) if parts else np.zeros((4, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["u", "v", "cu", "cv"])
+
+    def near(n, at, i, j):
+        """Whether rows i and j may be alike: from the sizes, and from what is left after the shared place."""
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        upto = np.minimum(n[i] - at[i], n[j] - at[j])
+        return (small * LEAST[1] >= large * LEAST[0]) & (upto * (LEAST[0] + LEAST[1]) >= LEAST[0] * (n[i] + n[j]))
 
-    256-bit signatures are taken as eight 32-bit words; every word emits all variants within
-    one bit, and those that collide on any are verified on all 256 bits.  Two texts of
-    similarity 0.9 agree within two bits on at least one word in 96 of 100 cases, of 0.95
-    nearly always.  ``hash`` is that of the text, so rows of one id stay apart.
+    held, parts, size = None, [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, v, c, n, at = (b.column(i).to_numpy() for i in range(5))
+        if held is not None:
+            k, v, c, n, at = (np.concatenate(x) for x in zip(held, (k, v, c, n, at)))
+        fresh = 0 if held is None else len(held[0])  # pairs of held rows have been taken
+        last = int(np.searchsorted(k == k[-1], True)) if k[0] != k[-1] else 0
+        first = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+        longest = int(np.diff(np.concatenate([first, [len(k)]])).max())
+        for d in range(1, longest):
+            j = np.arange(max(fresh, d), len(k))
+            j = j[k[j] == k[j - d]]
+            j = j[c[j] != c[j - d]]
+            j = j[near(n, at, j, j - d)]
+            if len(j):
+                i, swap = j - d, v[j] < v[j - d]
+                x, y = np.where(swap, i, j), np.where(swap, j, i)
+                parts.append(np.stack([v[x], v[y], c[x], c[y]]))
+                size += len(j)
+            if size > most:
+                yield rows(parts)
+                parts, size = [], 0
+        held = tuple(x[last:] for x in (k, v, c, n, at))
+    yield rows(parts)
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The rows of ``pairs`` (u, v and others) whose texts are alike by their whole sets of shingles."""
+    spark = pairs.sparkSession
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = materialize(nodes.join(ends, "node").select("node", "f.id", "f.hash"), "asked")
+    hashes = asked.select("hash").toArrow().column("hash").to_numpy()
+    sent = spark.sparkContext.broadcast(np.unique(hashes))  # eight bytes for each text that is looked at
+
+    def some(batches):
+        for b in batches:
+            wanted = np.isin(b.column(1).to_numpy(), sent.value)
+            yield b.filter(pa.array(wanted))
+
+    found = texts.mapInArrow(trimmed_batches(some), "id long, hash long, text string")
+    own = (asked["hash"] == found["hash"]) & asked["id"].eqNullSafe(found["id"])
+    held = materialize(asked.join(found, own).select("node", "text").dropDuplicates(["node"]), "texts")
+    names = pairs.columns
+    kinds = ", ".join(f"{c} long" for c in names)
+    left, right = held.select(F.col("node").alias("v"), F.col("text").alias("y")), held.select(F.col("node").alias("u"), F.col("text").alias("x"))
+
+    def check(batches):
+        key = one = None
+        for b in batches:
+            keep = []
+            for u, x, y in zip(b.column(b.num_columns - 3).to_pylist(), *(b.column(b.num_columns - i).cast(pa.binary()).to_pylist() for i in (2, 1))):
+                if u != key:
+                    key, one = u, shingles(x or b"", shingle)
+                keep.append(alike(one, shingles(y or b"", shingle)))
+            yield b.select(range(len(names))).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(left, "v").join(right, "u").select(*names, F.col("u").alias("_u"), "x", "y")
+    return materialize(met.mapInArrow(trimmed_batches(check), kinds), "alike")
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """((id, hash, node), (node, component)): rows by set of shingles, and the components of sets.
+
+    SimHash comes first.  256-bit signatures are taken as eight 32-bit words; every word emits
+    all variants within one bit, and those that collide on any are compared on all 256 bits.
+    That joins most near copies, dense groups among them, by few pairs, but neither all
+    pairs of 0.8 or more nor only such.  So each pair found is decided by its whole sets, and
+    the pairs that are still in different components meet on shingles of which alike sets
+    share one (``prefix``) and are decided likewise: no pair of 0.8 or more is left out.
+    ``hash`` is that of the text, so rows of one id stay apart.
     """
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
     cols = [f"s{w}" for w in range(LONG_WORDS)]
     longs = ", ".join(f"{c} long" for c in cols)
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    sent = spark.sparkContext.broadcast(_common(texts, shingle))
 
     def run(batches):
         for b in batches:
-            sig = np.array([signature(t or b"", shingle) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64)
-            sig = sig.reshape(-1, LONG_WORDS).view(np.int64)
+            sets = [shingles(t or b"", shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            sig = np.array([signature(h) for h in sets], np.uint64).reshape(-1, LONG_WORDS).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(sig[:, w])) for w in range(LONG_WORDS))],
-                names=["id", "hash", *cols],
+                [b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(sig[:, w])) for w in range(LONG_WORDS)), pa.array(node),
+                 pa.array([len(h) for h in sets], pa.int64()), pa.array([prefix(h, *sent.value).tobytes() for h in sets], pa.binary())],
+                names=["id", "hash", *cols, "node", "size", "prefix"],
             )
 
-    text = F.col(text_col).cast("string")
-    signed = materialize(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-        .mapInArrow(trimmed_batches(run), f"id long, hash long, {longs}").withColumn("node", F.xxhash64(*cols)), "signatures"
-    )
+    signed = materialize(texts.mapInArrow(trimmed_batches(run), f"id long, hash long, {longs}, node long, size long, prefix binary"), "signatures")
     nodes = signed.select("node", *cols).distinct()
+    firsts = materialize(signed.groupBy("node").agg(_first()), "firsts")
     low, high = (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
     words = [f(c).bitwiseOR(F.lit(i << 32)) for i, (c, f) in enumerate((c, f) for c in cols for f in (low, high))]
     masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
@@ -313,11 +439,36 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
         .select(F.col("word").bitwiseXOR(F.col("mask")).alias("key"), "node")
     )
     met = materialize(variants.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimmed_batches(_met), "key long, node long"), "met")
-    links_ = (
+    led = (
         met.distinct().join(nodes, "node").select("key", "node", *cols).repartition(n, "key")
         .sortWithinPartitions("key", "node").mapInArrow(trimmed_batches(lambda it: _lead(it, radius)), "u long, v long")
     )
-    return signed.select("id", "hash", "node"), connected_components(links_)
+    close = connected_components(_alike(materialize(led.distinct(), "led"), firsts, texts, shingle))
+
+    def heads(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                keys = [np.frombuffer(x, np.int64) for x in part.column(3).to_pylist()]
+                lens = [len(x) for x in keys]
+                cols_ = [np.repeat(part.column(c).to_numpy(), lens) for c in range(3)]
+                at = np.concatenate([np.zeros(0, np.int64), *map(np.arange, lens)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (np.concatenate([np.zeros(0, np.int64), *keys]), *cols_, at)], names=["key", "node", "c", "n", "at"]
+                )
+
+    schema = "key long, node long, c long, n long, at long"
+    rooted = firsts.join(close, "node", "left").select("f.id", "f.hash", "node", F.coalesce("component", "node").alias("c"))
+    mine = signed.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "size", "prefix").dropDuplicates(["_id", "_hash"])
+    once = rooted.join(mine, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("node", "c", "size", "prefix")
+    pairs = (
+        once.mapInArrow(trimmed_batches(heads), schema).repartition(n, "key").sortWithinPartitions("key", "node")
+        .mapInArrow(trimmed_batches(_cross), "u long, v long, cu long, cv long").distinct()
+    )
+    more = _alike(materialize(pairs, "pairs"), firsts, texts, shingle).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    wider = connected_components(more).select(F.col("node").alias("c"), F.col("component").alias("wide"))
+    roots = rooted.join(wider, "c", "left").select("node", F.coalesce("wide", "c").alias("component"))
+    return signed.select("id", "hash", "node"), materialize(roots, "roots")
 
 
 def _first():

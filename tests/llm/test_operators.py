@@ -88,6 +88,35 @@ def test_dense_buckets_lose_no_link(spark):
         assert all((a ^ b).bit_count() <= 4 for a, b in got) and closure(got) == want
 
 
+def _words(rng, n):
+    return ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(n)]
+
+
+def _similarity(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def _grouped(spark, texts):
+    """The leader of each text in the pipeline's stage."""
+    from tenderlake.llm import simhash
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["id"]: r["lead"] for r in simhash.similar(df).collect()}
+
+
+def test_isolated_near_copies_all_meet(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in range(300):
+        a = _words(rng, 204)
+        cut = 4 + n % 19  # shared shingles of 200: similarity from 0.98 down to 0.80
+        texts += [" ".join(a), " ".join(a[:-cut] + _words(rng, cut))]
+    assert min(_similarity(*texts[i : i + 2]) for i in range(0, 600, 2)) >= 0.8
+    lead = _grouped(spark, texts)
+    assert sum(lead[i + 1] == i for i in range(0, 600, 2)) == 300 and len(set(lead.values())) == 300
+
+
 def test_revisits_as_sql(spark):
     from tenderlake.llm import warc
 
