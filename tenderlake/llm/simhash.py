@@ -294,7 +294,8 @@ def _met(batches):
 def _lead(batches, radius: int):
     """Links of the members of a group to its leaders: each row within ``radius`` bits of a
     leader is linked to it, any other becomes a leader.  Work and links grow with rows times
-    leaders, not with pairs."""
+    leaders, not with pairs.  A row is not compared with later rows once it has a leader;
+    ``_cross`` takes such pairs where their components are still apart."""
     key, leaders, names = None, np.zeros((0, LONG_WORDS), np.uint64), np.zeros(0, np.int64)
     for b in batches:
         if not b.num_rows:

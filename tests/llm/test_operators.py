@@ -117,6 +117,18 @@ def test_isolated_near_copies_all_meet(spark):
     assert sum(lead[i + 1] == i for i in range(0, 600, 2)) == 300 and len(set(lead.values())) == 300
 
 
+def test_chains_of_near_copies_stay_whole(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(100):  # neighbours have a similarity of 0.81, the ends of a chain one of 0.65
+        a, left, right = _words(rng, 204), _words(rng, 21), _words(rng, 21)
+        b = a[:-21] + right
+        texts += [" ".join(a), " ".join(b), " ".join(left + b[21:])]
+    assert _similarity(*texts[:2]) >= 0.8 and _similarity(*texts[1:3]) >= 0.8 and _similarity(texts[0], texts[2]) < 0.8
+    lead = _grouped(spark, texts)
+    assert all(lead[i] == i - i % 3 for i in range(300))
+
+
 def test_revisits_as_sql(spark):
     from tenderlake.llm import warc
 
