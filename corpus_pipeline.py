@@ -50,7 +50,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: SQL cannot express the learnt and hash-voting stages; tests hold them against brute force.
+#: SQL cannot express the learnt stages; a test holds the simhash stage against brute force.
 ORACLE_SQL = None
 
 

@@ -259,6 +259,11 @@ def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, often))[:n]]
 
 
+def profile(h: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each of 256 classes, 255 at most."""
+    return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8)
+
+
 def _common(texts: DataFrame, shingle: int, samples: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, counts) that more than two of about ``samples`` texts hold; for the order of
     ``prefix`` alone, which keeps every pair whatever is common."""
@@ -365,8 +370,25 @@ def _cross(batches, most: int = 1 << 17):
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The rows of ``pairs`` (u, v and others) whose texts are alike by their whole sets of shingles."""
+    """The rows of ``pairs`` (u, v and others) whose texts are alike by their whole sets of shingles.
+
+    Two sets differ by at least as many shingles as their profiles do, so a pair whose profiles
+    differ by more than alike sets can is settled without its texts.
+    """
     spark = pairs.sparkSession
+    names = pairs.columns
+    kinds = ", ".join(f"{c} long" for c in names)
+
+    def may_be(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(b.num_columns - i).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for i in (4, 2))
+            n = b.column(b.num_columns - 3).to_numpy() + b.column(b.num_columns - 1).to_numpy()
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            yield b.select(range(len(names))).filter(pa.array(apart * (LEAST[0] + LEAST[1]) <= (LEAST[1] - LEAST[0]) * n))
+
+    ends = [nodes.select(F.col("node").alias(c), F.col("profile").alias(f"p{c}"), F.col("size").alias(f"n{c}")) for c in "uv"]
+    seen = pairs.join(ends[0], "u").join(ends[1], "v").select(*names, "pu", "nu", "pv", "nv")
+    pairs = materialize(seen.mapInArrow(trimmed_batches(may_be), kinds), "close")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     asked = materialize(nodes.join(ends, "node").select("node", "f.id", "f.hash"), "asked")
     hashes = asked.select("hash").toArrow().column("hash").to_numpy()
@@ -380,8 +402,6 @@ def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -
     found = texts.mapInArrow(trimmed_batches(some), "id long, hash long, text string")
     own = (asked["hash"] == found["hash"]) & asked["id"].eqNullSafe(found["id"])
     held = materialize(asked.join(found, own).select("node", "text").dropDuplicates(["node"]), "texts")
-    names = pairs.columns
-    kinds = ", ".join(f"{c} long" for c in names)
     left, right = held.select(F.col("node").alias("v"), F.col("text").alias("y")), held.select(F.col("node").alias("u"), F.col("text").alias("x"))
 
     def check(batches):
@@ -425,13 +445,14 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(sig[:, w])) for w in range(LONG_WORDS)), pa.array(node),
-                 pa.array([len(h) for h in sets], pa.int64()), pa.array([prefix(h, *sent.value).tobytes() for h in sets], pa.binary())],
-                names=["id", "hash", *cols, "node", "size", "prefix"],
+                 pa.array([len(h) for h in sets], pa.int64()), pa.array([prefix(h, *sent.value).tobytes() for h in sets], pa.binary()),
+                 pa.array([profile(h).tobytes() for h in sets], pa.binary())],
+                names=["id", "hash", *cols, "node", "size", "prefix", "profile"],
             )
 
-    signed = materialize(texts.mapInArrow(trimmed_batches(run), f"id long, hash long, {longs}, node long, size long, prefix binary"), "signatures")
+    signed = materialize(texts.mapInArrow(trimmed_batches(run), f"id long, hash long, {longs}, node long, size long, prefix binary, profile binary"), "signatures")
     nodes = signed.select("node", *cols).distinct()
-    firsts = materialize(signed.groupBy("node").agg(_first()), "firsts")
+    firsts = materialize(signed.groupBy("node").agg(_first(), *(F.first(c).alias(c) for c in ("size", "prefix", "profile"))), "firsts")
     low, high = (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
     words = [f(c).bitwiseOR(F.lit(i << 32)) for i, (c, f) in enumerate((c, f) for c in cols for f in (low, high))]
     masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
@@ -459,11 +480,9 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
                 )
 
     schema = "key long, node long, c long, n long, at long"
-    rooted = firsts.join(close, "node", "left").select("f.id", "f.hash", "node", F.coalesce("component", "node").alias("c"))
-    mine = signed.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "size", "prefix").dropDuplicates(["_id", "_hash"])
-    once = rooted.join(mine, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("node", "c", "size", "prefix")
+    rooted = firsts.join(close, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "size", "prefix")
     pairs = (
-        once.mapInArrow(trimmed_batches(heads), schema).repartition(n, "key").sortWithinPartitions("key", "node")
+        rooted.mapInArrow(trimmed_batches(heads), schema).repartition(n, "key").sortWithinPartitions("key", "node")
         .mapInArrow(trimmed_batches(_cross), "u long, v long, cu long, cv long").distinct()
     )
     more = _alike(materialize(pairs, "pairs"), firsts, texts, shingle).select(F.col("cu").alias("u"), F.col("cv").alias("v"))

@@ -129,6 +129,36 @@ def test_chains_of_near_copies_stay_whole(spark):
     assert all(lead[i] == i - i % 3 for i in range(300))
 
 
+def test_texts_below_the_similarity_stay_apart(spark, corpus):
+    rng = np.random.default_rng(7)
+    texts = []
+    for n in range(200):
+        a = _words(rng, 204)
+        texts += [" ".join(a), " ".join(a[: -(23 + n % 8)] + _words(rng, 23 + n % 8))]
+    near = [_similarity(*texts[i : i + 2]) for i in range(0, 400, 2)]
+    assert 0.7 < min(near) and max(near) < 0.8
+    assert _grouped(spark, texts) == {i: i for i in range(400)}
+
+
+def test_near_copies_as_brute_force(spark, corpus):
+    from tenderlake.llm import simhash
+
+    texts = [t or "" for _, t in corpus]
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    lead = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both * 5 >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                lead = [min(lead[a], lead[b]) if x in (lead[a], lead[b]) else x for x in lead]
+    assert _grouped(spark, texts) == dict(enumerate(lead))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.dedup(df).collect()} == set(lead)
+
+
 def test_revisits_as_sql(spark):
     from tenderlake.llm import warc
 
