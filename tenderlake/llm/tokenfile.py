@@ -68,7 +68,9 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(raw.decode())
-        self.model, self.most = tokenizer.model, most
+        self.model, self.most, self.whole = tokenizer.model, most, tokenizer
+        # Texts that hold an added token are encoded by the library as a whole.
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         # The byte-level alphabet: printable bytes stand for themselves, others follow from 256.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -90,7 +92,12 @@ def _words(raw: bytes) -> _Words:
 
 
 def _encode(text: str | None, words: _Words, pattern: str, end_id: int) -> bytes:
-    return b"".join(map(words.__getitem__, split(text or "", pattern))) + end_id.to_bytes(words.width, "little")
+    text = text or ""
+    if any(t in text for t in words.added):
+        ids = np.array(words.whole.encode(text, add_special_tokens=False).ids, f"<u{words.width}").tobytes()
+    else:
+        ids = b"".join(map(words.__getitem__, split(text, pattern)))
+    return ids + end_id.to_bytes(words.width, "little")
 
 
 def train(docs: DataFrame, tokenizer: bytes, pattern: str, end_id: int, samples: int = 2000, size: int = 1 << 16, seed: int = 42) -> bytes:

@@ -281,6 +281,19 @@ def test_token_files(spark, docs, empty):
         tokenfile.Shard(tokenfile.write_shard([], 2, b""), b"other")
 
 
+def test_token_files_of_added_tokens(docs):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from tenderlake.llm import tokenfile
+
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    got = [(str(r["id"]), r["n_tokens"], r["ids_crc32"]) for r in tokenfile.read(*tokenfile.write(docs, path, P.PATTERN)).collect()]
+    want = [(str(i), np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")) for i, t in ODD]
+    assert sorted(got) == sorted((i, len(x), zlib.crc32(x.tobytes())) for i, x in want)
+
+
 def test_nearest(spark):
     from tenderlake.llm import ann
 
