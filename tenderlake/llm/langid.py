@@ -124,9 +124,10 @@ def viterbi(e: np.ndarray, penalty: float) -> np.ndarray:
     """The best labels for word scores ``e`` where each change of label costs ``penalty``."""
     total = e.sum(axis=0)
     best = int(total.argmax())
-    # An excursion from the best single label gains at most the largest rise of these sums.
+    # A stretch of another label gains at most the largest rise of these sums; k stretches that
+    # leave out the best label cost only k - 1 changes, so twice the rise must not exceed one.
     gain = np.cumsum(np.vstack([np.zeros(e.shape[1]), e - e[:, best : best + 1]]), axis=0)
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() * 2 <= penalty:
         return np.full(len(e), best)
     v, back = e[0].tolist(), []
     for row in e[1:].tolist():

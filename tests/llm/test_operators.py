@@ -262,6 +262,12 @@ def test_language(spark, docs, empty):
     assert langid.viterbi(np.array([[0, -5.0]] * 9 + [[-5.0, 0]] * 9), 12.0).tolist() == [0] * 9 + [1] * 9
 
 
+def test_viterbi_without_the_best_single_label():
+    from tenderlake.llm import langid
+
+    assert langid.viterbi(np.array([[0, -8.0, -3.5]] * 3 + [[-8.0, 0, -3.5]] * 3), 12.0).tolist() == [0] * 3 + [1] * 3
+
+
 def test_token_files(spark, docs, empty):
     import public_tokenizers as P
     from tokenizers import Tokenizer
