@@ -63,7 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pack(obj) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(obj, 5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(obj, 5))
 
 
 def unpack(blob: bytes):

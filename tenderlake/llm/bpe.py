@@ -85,12 +85,18 @@ def _blocks(batches, buckets: int, pattern: str, block_bytes: int):
 
     def flush(ids, lens, codes, numbers):
         words = [w.encode() for w in numbers]
+        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        # Frequent words get small numbers, and the words of a bucket lie in order: both compress better.
+        often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        number = np.empty(len(words), np.uint32)
+        number[often] = np.arange(len(words), dtype=np.uint32)
+        flat, words = number[flat], [words[i] for i in often.tolist()]
         part = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(part, kind="stable")
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = order[np.argsort(part[order], kind="stable")]
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
         block = uuid.uuid4().int >> 65
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
         rows = [(0, block, -1, pack((ids, np.array(lens, np.int64), planes(flat), planes(place))))]
         cuts = np.searchsorted(part[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
@@ -167,14 +173,16 @@ def _reassemble(left: pa.Table, right: pa.Table, raw: bytes, id_type) -> pa.Tabl
 
 
 def encode_decode(
-    docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20
+    docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20
 ) -> DataFrame:
     """(id, ids array<int>, decoded binary), one row for each row of ``docs``.
 
     A null text is empty and has no ids.  Repeated rows and repeated ids are kept, a null id
     stays null, an empty table gives an empty result, other columns of ``docs`` (whatever
     their names) are not read.  ``vocab_path`` is a file of base64 tokens and ranks that the
-    driver reads and broadcasts (its size is that of the vocabulary).
+    driver reads and broadcasts (its size is that of the vocabulary).  A text, its ids and its
+    decoded bytes are values of Spark and so below 2 GiB each; a block that would exceed this
+    raises.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -204,6 +212,7 @@ def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded bytes of all ``documents``; a null text counts as empty."""
     import public_tokenizers as P
 
     return digests(encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
