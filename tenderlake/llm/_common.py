@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A table of a few numbers a row is broadcast up to so many rows (some 10 MB), and joined otherwise.
+MANY = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:

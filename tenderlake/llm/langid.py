@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pack, small_batches, table, trim, trimmed_batches, unpack
+from ._common import MANY, materialize, pack, small_batches, table, trim, trimmed_batches, unpack
 
 _WORD = re.compile(r"[^\W\d_]+").findall
 #: First code points of script ranges, ascending: Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai,
@@ -79,7 +79,8 @@ class Model:
 
 
 def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts from labelled rows; rows without text or language are not used."""
+    """Counts from labelled rows; rows without text or language are not used, repeated rows
+    count as often as they come.  An empty table gives a model without languages."""
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -87,6 +88,9 @@ def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_
     )
     rates = src.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(s.sample)) / F.count("*")).alias("rate"))
     pick = F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000
+    rates = materialize(rates, "rates")
+    if rates.count() <= MANY:  # a row a language: texts stay where they are
+        rates = F.broadcast(rates)
     chosen = src.join(rates, "lang").where(pick).select("lang", "text")
     n = 1 << s.bits
 
@@ -148,7 +152,8 @@ def label(docs: DataFrame, model: Model, s: Settings = Settings(), text_col: str
 
     ``und`` where a text is null or has no letter, or no language was learnt.  The score is
     the share of letters that the predicted language labels.  Input columns named like the
-    results give way to them.
+    results give way to them.  Every row is labelled by itself: repeated rows have equal
+    results, an empty table an empty one; of equal scores the first language by name counts.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -191,6 +196,8 @@ def label(docs: DataFrame, model: Model, s: Settings = Settings(), text_col: str
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each row of ``documents``, learnt from rows that are not held out; null
+    texts and texts without letters are ``und``, a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return label(docs, fit(docs.where(~held)), keep=["doc_id"]).select(
