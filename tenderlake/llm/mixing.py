@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import MANY, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -25,7 +25,8 @@ _BUCKETS = 4096
 
 
 def targets(sizes: DataFrame, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row a source, null too."""
+    """(source, source_size, target) from (source, source_size): one row a source, null too.
+    Empty sources have a target of zero, an empty table no rows; ties in order of sources."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*(F.lit(float(w)) for w in weights))
     ranked = sizes.withColumn("_n", F.row_number().over(order) - 1).withColumn(
@@ -49,7 +50,7 @@ def targets(sizes: DataFrame, max_epochs: float = MAX_EPOCHS, weights: tuple[flo
 def plan(sized: DataFrame, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row a source: target, whole repetitions, and where the fractional one ends.
 
-    ``sized`` has (source, size, _hash).
+    ``sized`` has (source, size, _hash); a null source is a source.  Without rows, no plans.
     """
     bucket = F.shiftrightunsigned("_hash", 52)
     by_bucket = materialize(sized.groupBy("source", bucket.alias("_bucket")).agg(F.sum("size").alias("_words")), "mix")
@@ -62,19 +63,32 @@ def plan(sized: DataFrame, max_epochs: float = MAX_EPOCHS, weights: tuple[float,
     run = lambda *by: Window.partitionBy("source").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     aim = aims.select(F.col("source").alias("_source"), "_need")
     reached = by_bucket.withColumn("_sum", F.sum("_words").over(run("_bucket"))).join(aim, F.col("source").eqNullSafe(F.col("_source")))
-    edge = reached.where((F.col("_sum") > F.col("_need")) & (F.col("_sum") - F.col("_words") <= F.col("_need"))).select(
+    edge = materialize(reached.where((F.col("_sum") > F.col("_need")) & (F.col("_sum") - F.col("_words") <= F.col("_need"))).select(
         "_source", "_bucket", (F.col("_need") - (F.col("_sum") - F.col("_words"))).alias("_left")
-    )
-    inside = sized.join(edge, F.col("source").eqNullSafe(F.col("_source")) & (bucket == F.col("_bucket"))).groupBy(
+    ), "mix")
+    inside = _with_source(sized, "source", edge).where(bucket == F.col("_bucket")).groupBy(
         "source", "_hash", "_left"
     ).agg(F.sum("size").alias("_words")).withColumn("_sum", F.sum("_words").over(run(_unsigned("_hash"))))
     last = inside.where((F.col("_sum") > F.col("_left")) & (F.col("_sum") - F.col("_words") <= F.col("_left"))).select(
         F.col("source").alias("_source"), F.col("_hash").alias("_last"),
         ((F.col("_left") - (F.col("_sum") - F.col("_words"))) / F.col("_words")).alias("_share"),
     )
-    return aims.join(last, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+    return materialize(aims.join(last, F.col("source").eqNullSafe(F.col("_source")), "left").select(
         F.col("source").alias("_source"), "source_size", "target", "_whole", "_need", "_last", "_share"
-    )
+    ), "mix")
+
+
+def _with_source(rows: DataFrame, column: str, plans: DataFrame, salts: int = 64) -> DataFrame:
+    """``rows`` with the row of ``plans`` for their source; rows of no plan go.
+
+    A source may hold a third of all rows.  Plans of up to ``MANY`` sources are broadcast; more
+    are joined by (source, salt), each plan once for every salt, so no source is one task.
+    """
+    same = F.col(column).eqNullSafe(F.col("_source"))
+    if plans.count() <= MANY:
+        return rows.join(F.broadcast(plans), same)
+    salted = plans.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("_own", F.pmod("_hash", F.lit(salts).cast("long"))).join(salted, same & (F.col("_own") == F.col("_salt"))).drop("_own", "_salt")
 
 
 def _unsigned(name: str):
@@ -103,7 +117,7 @@ def mix(
     if keep == [id_col]:
         sized = materialize(sized, "mix")
     plans = plan(sized.select(F.col("_src").alias("source"), "size", "_hash"), max_epochs, weights)
-    joined = sized.join(plans, F.col("_src").eqNullSafe(F.col("_source")))
+    joined = _with_source(sized, "_src", plans)
     more = (
         F.when(F.col("_last").isNull(), F.lit(0).cast("long"))
         .when(_unsigned("_hash") < _unsigned("_last"), F.col("size"))
@@ -118,7 +132,8 @@ def mix(
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus itself: rows of ``docs`` repeated, a last partial one cut after its words.
+    """The mixed corpus itself: rows of ``docs`` repeated, a last partial one cut at the end of
+    the last word taken, with its white space as it was.
 
     Documents without words carry no weight and stay once.
     """
@@ -128,11 +143,13 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     part = F.col("taken") - F.col("whole") * F.col("size")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.when(part > 0, 1).otherwise(0)).cast("long")
     rows = mixed.withColumn("_part", part).where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    words = F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), 1), F.lit(1), F.col("_part").cast("int"))
+    # Each word with the white space before it: the text up to the end of the last word taken.
+    words = F.slice(F.regexp_extract_all(F.col(text), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1), F.lit(1), F.col("_part").cast("int"))
     short = (F.col("size") > 0) & (F.col("_copy") > F.col("whole"))
-    cut = F.when(short, F.array_join(words, " ")).otherwise(F.col(text))
+    cut = F.when(short, F.array_join(words, "")).otherwise(F.col(text))
     return rows.select(*((cut if c == text_col else F.col(i)).alias(c) for c, i in inner.items()))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each row of ``documents``; null texts have none."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
