@@ -100,16 +100,30 @@ def _encode(text: str | None, words: _Words, pattern: str, end_id: int) -> bytes
     return ids + end_id.to_bytes(words.width, "little")
 
 
-def train(docs: DataFrame, tokenizer: bytes, pattern: str, end_id: int, samples: int = 2000, size: int = 1 << 16, seed: int = 42) -> bytes:
-    """A dictionary from at most about ``samples`` documents picked by a seeded hash (a bound of
-    the training alone); none where they are too few."""
+def pieces(ids: bytes, most: int, length: int) -> list[bytes]:
+    """At most ``most`` pieces of ``length`` bytes, spread evenly over a whole document."""
+    if len(ids) <= most * length:
+        return [ids]
+    step = (len(ids) - length) // (most - 1) if most > 1 else 0
+    return [ids[i * step // 4 * 4 :][:length] for i in range(most)]
+
+
+def train(docs: DataFrame, tokenizer: bytes, pattern: str, end_id: int, samples: int = 2000, most: int = 4, length: int = 4096,
+          size: int = 1 << 16, seed: int = 42) -> bytes:
+    """The shared dictionary, of at most ``size`` bytes, trained on serialized id arrays.
+
+    Training reads about ``samples`` documents, picked by a seeded hash of the id, and of each
+    at most ``most`` pieces of ``length`` bytes spread over the whole document (bounds of the
+    fit alone: every document is written whole).  Where they are too few to train on, they are
+    the dictionary themselves; an empty table has an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
     share = min(1.0, samples / max(1, docs.count()))
 
     def run(batches):
         for b in batches:
             words = _words(sent.value)
-            rows = [_encode(t, words, pattern, end_id)[: 1 << 14] for t in b.column(0).to_pylist()]
+            rows = [p for t in b.column(0).to_pylist() for p in pieces(_encode(t, words, pattern, end_id), most, length)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
     pick = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000)
@@ -117,7 +131,7 @@ def train(docs: DataFrame, tokenizer: bytes, pattern: str, end_id: int, samples:
     try:
         return zstandard.train_dictionary(size, got).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        return b"".join(got)[:size]
 
 
 def write(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
@@ -164,7 +178,8 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, i
 
 
 def read(shards: DataFrame, dictionary: bytes) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of all documents, from the shards themselves."""
+    """(id, start, n_tokens, ids_crc32) of all documents, from the shards themselves.  Repeated
+    ids follow each other in any order; no shards, no rows."""
     spark = shards.sparkSession
     sent = spark.sparkContext.broadcast(dictionary)
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
@@ -191,6 +206,8 @@ def read(shards: DataFrame, dictionary: bytes) -> DataFrame:
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of each row of ``documents`` in its token file, read from the
+    file; a null text is empty and holds the end id alone, a null id comes first."""
     import public_tokenizers as P
 
     shards, dictionary = write(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN)
