@@ -5,6 +5,7 @@ strictly earlier.  Both are put in time buckets: a window within (URL, bucket) f
 latest response of the bucket, and a window over one row per (URL, bucket) carries the last
 one of the buckets before, so the captures of a very common URL spread over tasks.  Only
 validators, permitted headers and record ids move; bodies are joined by record id on demand.
+Records are read from and written to their text form by string functions.
 """
 
 from __future__ import annotations
@@ -33,6 +34,65 @@ def _tag(headers: Column) -> Column:
     return F.regexp_replace(F.element_at(headers, F.lit("etag")), "^W/", "")
 
 
+_END = "\r\n"
+
+
+def _iso(ts: Column) -> Column:
+    """Seconds as an ISO instant, whatever the session's time zone."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    left = F.pmod(ts, F.lit(86400))
+    clock = F.concat_ws(":", two(F.floor(left / 3600)), two(F.floor(left % 3600 / 60)), two(left % 60))
+    return F.concat(F.date_from_unix_date(F.floor(ts / 86400).cast("int")).cast("string"), F.lit("T"), clock, F.lit("Z"))
+
+
+def _seconds(iso: Column) -> Column:
+    part = lambda at: F.try_to_number(F.substring(iso, at, 2), F.lit("99")).cast("long")
+    day = F.unix_date(F.substring(iso, 1, 10).try_cast("date")).cast("long")
+    return day * 86400 + part(12) * 3600 + part(15) * 60 + part(18)
+
+
+def to_text(records: DataFrame) -> DataFrame:
+    """(record): each of (record_id, kind, url, ts, headers, digest, body) as the text of a WARC
+    record with an HTTP message.  Lines of null fields are left out."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    warc = F.concat_ws(
+        _END, F.lit("WARC/1.1"), line("WARC-Type", F.col("kind")),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.col("record_id").cast("string"), F.lit(">"))),
+        line("WARC-Target-URI", F.col("url")), line("WARC-Date", _iso(F.col("ts"))), line("WARC-Payload-Digest", F.col("digest")),
+        F.when(F.col("kind") == "revisit", F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/server-not-modified")),
+        F.lit("Content-Type: application/http; msgtype=response"),
+    )
+    status = F.when(F.col("kind") == "revisit", "HTTP/1.1 304 Not Modified").otherwise("HTTP/1.1 200 OK")
+    http = F.concat_ws(_END, F.array(status), F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return records.select(F.concat(warc, F.lit(2 * _END), http, F.lit(2 * _END), F.coalesce("body", F.lit(""))).alias("record"))
+
+
+def _fields(block: Column) -> Column:
+    """Header lines after the first as a map with names in lower case; of a repeated name the last counts."""
+    pairs = F.filter(
+        F.transform(F.slice(F.split(block, _END), 2, 1 << 20), lambda x: F.struct(
+            F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v"))),
+        lambda p: p["k"] != "",
+    )
+    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"]))
+
+
+def read_text(records: DataFrame) -> DataFrame:
+    """(record_id, kind, url, ts, headers, digest, body) of text records (record).  Fields that a
+    record lacks are null; what is no WARC record, or null, is left out."""
+    text = F.col("record")
+    head = F.substring_index(text, 2 * _END, 1)
+    parts = records.where(text.startswith("WARC/1.")).select(_fields(head).alias("w"), F.substring(text, F.length(head) + 5, F.length(text)).alias("rest"))
+    http = F.substring_index("rest", 2 * _END, 1)
+    field = lambda name: F.element_at("w", F.lit(name))
+    return parts.select(
+        F.regexp_extract(field("warc-record-id"), "([0-9]+)>", 1).try_cast("long").alias("record_id"), field("warc-type").alias("kind"),
+        field("warc-target-uri").alias("url"), _seconds(field("warc-date")).alias("ts"), _fields(http).alias("headers"),
+        field("warc-payload-digest").alias("digest"), F.substring(F.col("rest"), F.length(http) + 5, F.length("rest")).alias("body"),
+    )
+
+
 def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One row for each revisit of ``records`` (record_id, kind, url, ts, headers, digest).
 
@@ -44,16 +104,20 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     revisits stay; other columns are not read.
     """
     known = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "headers", "digest")
-    keyed = known.withColumn("_bucket", F.floor(F.col("ts") / F.lit(bucket)))
+    # Rows without URL or time meet nothing; they stay out of the windows, where they would be one key.
+    whole = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    lone = known.where(~whole & (F.col("kind") == "revisit"))
+    keyed = known.where(whole).withColumn("_bucket", F.floor(F.col("ts") / F.lit(bucket)))
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", F.col("digest").alias("digest"), F.map_entries("headers").alias("entries")))
     inside = Window.partitionBy("url_key", "_bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     latest = keyed.withColumn("_in", F.max(full).over(inside)).where("kind = 'revisit'")
-    ends = keyed.where("kind = 'response' and url_key is not null and ts is not null").groupBy("url_key", "_bucket").agg(F.max(full).alias("_end"))
+    ends = keyed.where("kind = 'response'").groupBy("url_key", "_bucket").agg(F.max(full).alias("_end"))
     heads = keyed.where("kind = 'revisit'").select("url_key", "_bucket").distinct()
     steps = ends.join(heads, ["url_key", "_bucket"], "full")
     before = Window.partitionBy("url_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = steps.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).select("url_key", "_bucket", "_before")
     found = latest.join(carried, ["url_key", "_bucket"], "left").withColumn("_r", F.coalesce("_in", "_before"))
+    found = found.unionByName(lone, allowMissingColumns=True)
     old = F.map_from_entries("_r.entries")
     tag, old_tag = _tag(F.col("headers")), _tag(old)
     date, old_date = F.element_at("headers", F.lit("last-modified")), F.element_at(old, F.lit("last-modified"))
@@ -74,33 +138,45 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
     return resolved.where("status = 'resolved'").join(bodies, "response_id", "left")
 
 
+#: Seconds after its first capture at which a page is fetched again, each time with other content.
+AGAIN = (0, 1000, 5000)
+
+
 def page_records(pages: DataFrame) -> DataFrame:
-    """Captures of ``pages``: a full response of each, and a later not-modified revisit.
+    """Captures of ``pages``: three full responses of each, and a not-modified revisit after each.
 
-    Every seventh revisit names an entity tag that no response has, every eleventh has only a
-    date, and every thirteenth comes before its response.
+    Every seventh page's revisits name an entity tag that no response has, every eleventh's have
+    only a date, and every thirteenth's come before their response.
     """
-    page, tag = F.col("page_id"), F.md5(F.coalesce("html", F.lit("")).cast("binary"))
-    date = F.concat(F.lit("day "), (page % 28).cast("string"))
+    page, html, first = F.col("page_id"), F.coalesce("html", F.lit("")), F.col("page_id") * 2
     headers = lambda *kv: F.map_from_arrays(F.array(*map(F.lit, kv[::2])), F.array(*kv[1::2]))
-    response = pages.select(
-        (page * 2).alias("record_id"), F.lit("response").alias("kind"), "url", (page * 2).alias("ts"),
-        headers("etag", tag, "last-modified", date, "content-type", F.lit("text/html"), "date", (page * 2).cast("string")).alias("headers"),
-        tag.alias("digest"),
-    )
-    sent = F.when(page % 7 == 0, F.lit("none")).otherwise(tag)
-    time = F.when(page % 13 == 0, page * 2 - 1).otherwise(page * 2 + 101)
-    tagged = headers("etag", F.concat(F.lit("W/"), sent), "content-type", F.lit("text/plain"), "date", time.cast("string"))
-    dated = headers("last-modified", date, "content-type", F.lit("text/plain"), "date", time.cast("string"))
-    revisit = pages.select(
-        (page * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", time.alias("ts"),
-        F.when(page % 11 == 0, dated).otherwise(tagged).alias("headers"), F.lit(None).cast("string").alias("digest"),
-    )
-    return response.unionByName(revisit)
+    out = None
+    for n, after in enumerate(AGAIN):
+        tag = F.md5(F.concat(html, F.lit(str(n))).cast("binary"))
+        date = F.concat(F.lit("day "), ((page + n) % 28).cast("string"))
+        at = first + after
+        response = pages.select(
+            (page * 6 + 2 * n).alias("record_id"), F.lit("response").alias("kind"), "url", at.alias("ts"),
+            headers("etag", tag, "last-modified", date, "content-type", F.lit("text/html"), "date", at.cast("string")).alias("headers"),
+            tag.alias("digest"), F.col("html").alias("body"),
+        )
+        sent = F.when(page % 7 == 0, F.lit("none")).otherwise(tag)
+        time = F.when(page % 13 == 0, at - 1).otherwise(at + 101)
+        tagged = headers("etag", F.concat(F.lit("W/"), sent), "content-type", F.lit("text/plain"), "date", time.cast("string"))
+        dated = headers("last-modified", date, "content-type", F.lit("text/plain"), "date", time.cast("string"))
+        revisit = pages.select(
+            (page * 6 + 2 * n + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", time.alias("ts"),
+            F.when(page % 11 == 0, dated).otherwise(tagged).alias("headers"), F.lit(None).cast("string").alias("digest"),
+            F.lit(None).cast("string").alias("body"),
+        )
+        both = response.unionByName(revisit)
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve(page_records(table(spark, sf_dir, "pages")))
+    """Every revisit among the captures of ``pages``, written and read as WARC records."""
+    found = resolve(read_text(to_text(page_records(table(spark, sf_dir, "pages")))))
     head = lambda k: F.element_at("headers", F.lit(k))
     return found.select(
         "record_id", "url_key", "ts", "response_id", "status", "digest", head("etag").alias("etag"),
@@ -110,18 +186,18 @@ def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH cap AS (
-  SELECT page_id, md5(coalesce(html, '')) AS tag, 'day ' || CAST(page_id % 28 AS VARCHAR) AS day,
+  SELECT page_id, n, page_id * 2 + CASE n WHEN 0 THEN 0 WHEN 1 THEN 1000 ELSE 5000 END AS seen,
+         md5(coalesce(html, '') || CAST(n AS VARCHAR)) AS tag, 'day ' || CAST((page_id + n) % 28 AS VARCHAR) AS day,
          regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS bare
-  FROM pages),
+  FROM pages, range(3) r(n)),
 keyed AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
          || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
          list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))) AS params
   FROM cap),
 urls AS (SELECT *, base || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key FROM keyed),
-resp AS (SELECT page_id * 2 AS rid, url_key, page_id * 2 AS ts, tag, day FROM urls),
-rev AS (SELECT page_id * 2 + 1 AS record_id, url_key,
-               CASE WHEN page_id % 13 = 0 THEN page_id * 2 - 1 ELSE page_id * 2 + 101 END AS ts,
+resp AS (SELECT page_id * 6 + 2 * n AS rid, url_key, seen AS ts, tag, day FROM urls),
+rev AS (SELECT page_id * 6 + 2 * n + 1 AS record_id, url_key, CASE WHEN page_id % 13 = 0 THEN seen - 1 ELSE seen + 101 END AS ts,
                CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 'none' ELSE tag END AS sent,
                CASE WHEN page_id % 11 = 0 THEN day END AS sent_day FROM urls),
 met AS (SELECT rev.*, resp.rid, resp.tag, resp.day FROM rev ASOF LEFT JOIN resp ON rev.url_key = resp.url_key AND rev.ts > resp.ts),
