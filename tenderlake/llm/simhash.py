@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialize, partitions, small_batches, table, trimmed_batches
+from ._common import (connected_components, materialize, materialize_bucketed, pack, partitions, small_batches, table, to_blocks as _to_blocks, trim,
+                      trimmed, trimmed_batches, trimmed_pair, unpack)
 
 SEED = 42
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -210,18 +211,33 @@ LONG_WORDS, LONG_RADIUS = 4, 45
 LEAST = (4, 5)
 
 
+class _Words(dict):
+    """64-bit hashes of words; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+_WORDS = _Words()
+
+
 def shingles(text: bytes, width: int) -> np.ndarray:
-    """The set of word shingles of a whole text, as ascending hashes; empty without words."""
+    """The set of word shingles of a whole text, as ascending hashes; empty without words.  A
+    text of fewer words has one shingle, all of them."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
+    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     n = len(words) - width + 1
-    spans = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans), np.uint64, n))
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ (out >> np.uint64(27)))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -247,16 +263,15 @@ def signature(h: np.ndarray) -> np.ndarray:
     return (_BITS * (2 * votes > len(h))).sum(axis=1, dtype=np.uint64)
 
 
-def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of which two alike sets share one: all but the last ``LEAST`` of a set, and
-    one more, in one order for all sets.  Shingles counted as ``common`` come last; that
-    order decides how many sets meet, not which pairs must."""
-    often = np.zeros(len(h), np.int64)
-    if len(common) and len(h):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        often = np.where(common[at] == h, counts[at], 0)
+def prefix(h: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, places): the shingles of which two alike sets share one, namely all but the
+    last ``LEAST`` of a set, and one more, in one order for all sets.  ``often`` says how many
+    texts hold each; the rarest come first, and those of one text are left out, as no other
+    text shares them.  The order decides how many sets meet, not which pairs must."""
     n = len(h) - -(-LEAST[0] * len(h) // LEAST[1]) + 1 if len(h) else 0
-    return h[np.lexsort((h, often))[:n]]
+    order = np.lexsort((h, often))[:n]
+    place = np.flatnonzero(often[order] > 1)
+    return h[order[place]], place
 
 
 def profile(h: np.ndarray) -> np.ndarray:
@@ -264,21 +279,74 @@ def profile(h: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8)
 
 
-def _common(texts: DataFrame, shingle: int, samples: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) that more than two of about ``samples`` texts hold; for the order of
-    ``prefix`` alone, which keeps every pair whatever is common."""
-    share = min(1.0, samples / max(1, texts.count()))
+def _sets(raw: bytes, bounds: np.ndarray, width: int) -> list[np.ndarray]:
+    return [shingles(raw[i:j], width) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
-    def run(batches):
-        for b in batches:
-            sets = [shingles(t or b"", shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["h"])
 
-    pick = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    found = texts.where(pick).select("text").mapInArrow(trimmed_batches(run), "h long").groupBy("h").count().where("count > 2").toPandas()
-    h = found["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], found["count"].to_numpy(np.int64)[order]
+def _hold(batches, parts: int, width: int):
+    """Rows (block, part, payload): the distinct 40-bit shingles of a block that fall into a part,
+    and how many of its texts hold each, 255 at most."""
+    for b in batches:
+        for block, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            _, bounds, raw, _ = unpack(blob)
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(raw, bounds, width)]) >> np.uint64(24), return_counts=True)
+            part, rows = (h % np.uint64(parts)).astype(np.int64), []
+            for p in np.unique(part):
+                own = part == p
+                five = np.ascontiguousarray(h[own].view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
+                rows.append((block, int(p), pack((five, np.minimum(n[own], 255).astype(np.uint8).tobytes()))))
+            if rows:
+                yield _parts(rows)
+        trim()
+
+
+def _parts(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "part", "payload"])
+
+
+def _count(group: pa.Table) -> pa.Table:
+    """For each block of a part, the level of each of its shingles: the number of texts that hold
+    it up to 128, then eight levels for each doubling."""
+    got = []
+    for blob in group.column("payload").to_pylist():
+        five, n = unpack(blob)
+        h = np.zeros((len(n), 8), np.uint8)
+        h[:, :5] = np.frombuffer(five, np.uint8).reshape(5, -1).T
+        got.append((h.view(np.uint64).ravel(), np.frombuffer(n, np.uint8)))
+    every, place = np.unique(np.concatenate([h for h, _ in got]), return_inverse=True)
+    total = np.bincount(place, np.concatenate([n for _, n in got]), minlength=len(every))
+    level = np.minimum(np.where(total <= 128, total, 128 + 8 * np.log2(np.maximum(total, 128) / 128)), 255).astype(np.uint8)
+    cuts = np.cumsum([len(h) for h, _ in got])[:-1]
+    return pa.table({
+        "block": group.column("block"), "part": group.column("part"),
+        "payload": pa.array([pack(x.tobytes()) for x in np.split(level[place], cuts)], pa.binary()),
+    })
+
+
+def _sign(left: pa.Table, right: pa.Table, parts: int, width: int) -> pa.Table:
+    """A row for each text of a block: its set's hash and size and, where it shares a shingle of
+    its prefix, the prefix, signature and profile."""
+    block, (ids, bounds, raw, _) = left.column("block")[0].as_py(), unpack(left.column("payload")[0].as_py())
+    sets = _sets(raw, bounds, width)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    h, at = np.unique(flat >> np.uint64(24), return_inverse=True)
+    part, level = (h % np.uint64(parts)).astype(np.int64), np.zeros(len(h), np.uint8)
+    for p, blob in zip(right.column("part").to_pylist(), right.column("payload").to_pylist()):
+        level[part == p] = np.frombuffer(unpack(blob), np.uint8)
+    often = np.split(level[at], np.cumsum([len(x) for x in sets])[:-1]) if sets else []
+    keys = [prefix(x, n) for x, n in zip(sets, often)]
+    met = [len(k) > 0 for k, _ in keys]
+    sig = np.array([signature(x if m else x[:0]) for x, m in zip(sets, met)], np.uint64).reshape(-1, LONG_WORDS).view(np.int64)
+    long = lambda x: pa.array(x, pa.int64())
+    return pa.table({
+        "block": long([block] * len(ids)), "row": long(range(len(ids))), "id": long(ids),
+        "hash": long(np.array([xxhash.xxh64_intdigest(raw[i:j], SEED) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], np.uint64).view(np.int64)),
+        "node": long(np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)),
+        "size": long([len(x) for x in sets]),
+        **{f"s{w}": pa.array(np.ascontiguousarray(sig[:, w])) for w in range(LONG_WORDS)},
+        "prefix": pa.array([k.tobytes() for k, _ in keys], pa.binary()), "places": pa.array([p.astype(np.int32).tobytes() for _, p in keys], pa.binary()),
+        "profile": pa.array([profile(x).tobytes() if m else b"" for x, m in zip(sets, met)], pa.binary()),
+    })
 
 
 def _met(batches):
@@ -369,13 +437,13 @@ def _cross(batches, most: int = 1 << 17):
     yield rows(parts)
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+def _alike(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, shingle: int) -> DataFrame:
     """The rows of ``pairs`` (u, v and others) whose texts are alike by their whole sets of shingles.
 
     Two sets differ by at least as many shingles as their profiles do, so a pair whose profiles
-    differ by more than alike sets can is settled without its texts.
+    differ by more than alike sets can is settled without its texts.  The other texts are taken
+    from their blocks, which stay where they are.
     """
-    spark = pairs.sparkSession
     names = pairs.columns
     kinds = ", ".join(f"{c} long" for c in names)
 
@@ -390,69 +458,73 @@ def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -
     seen = pairs.join(ends[0], "u").join(ends[1], "v").select(*names, "pu", "nu", "pv", "nv")
     pairs = materialize(seen.mapInArrow(trimmed_batches(may_be), kinds), "close")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    asked = materialize(nodes.join(ends, "node").select("node", "f.id", "f.hash"), "asked")
-    hashes = asked.select("hash").toArrow().column("hash").to_numpy()
-    sent = spark.sparkContext.broadcast(np.unique(hashes))  # eight bytes for each text that is looked at
+    asked = nodes.join(ends, "node").select("f.block", "f.row", "node")
 
-    def some(batches):
-        for b in batches:
-            wanted = np.isin(b.column(1).to_numpy(), sent.value)
-            yield b.filter(pa.array(wanted))
+    def texts(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            _, bounds, raw, _ = unpack(left.column("payload")[0].as_py())
+            found = [raw[bounds[i] : bounds[i + 1]] for i in right.column("row").to_pylist()]
+        return pa.table({"node": right.column("node") if found else pa.array([], pa.int64()), "text": pa.array(found, pa.binary())})
 
-    found = texts.mapInArrow(trimmed_batches(some), "id long, hash long, text string")
-    own = (asked["hash"] == found["hash"]) & asked["id"].eqNullSafe(found["id"])
-    held = materialize(asked.join(found, own).select("node", "text").dropDuplicates(["node"]), "texts")
+    held = materialize(blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(trimmed_pair(texts), "node long, text binary"), "texts")
     left, right = held.select(F.col("node").alias("v"), F.col("text").alias("y")), held.select(F.col("node").alias("u"), F.col("text").alias("x"))
 
     def check(batches):
         key = one = None
         for b in batches:
             keep = []
-            for u, x, y in zip(b.column(b.num_columns - 3).to_pylist(), *(b.column(b.num_columns - i).cast(pa.binary()).to_pylist() for i in (2, 1))):
+            for u, x, y in zip(*(b.column(b.num_columns - i).to_pylist() for i in (3, 2, 1))):
                 if u != key:
-                    key, one = u, shingles(x or b"", shingle)
-                keep.append(alike(one, shingles(y or b"", shingle)))
+                    key, one = u, shingles(x, shingle)
+                keep.append(alike(one, shingles(y, shingle)))
             yield b.select(range(len(names))).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(left, "v").join(right, "u").select(*names, F.col("u").alias("_u"), "x", "y")
     return materialize(met.mapInArrow(trimmed_batches(check), kinds), "alike")
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """((id, hash, node), (node, component)): rows by set of shingles, and the components of sets.
-
-    SimHash comes first.  256-bit signatures are taken as eight 32-bit words; every word emits
-    all variants within one bit, and those that collide on any are compared on all 256 bits.
-    That joins most near copies, dense groups among them, by few pairs, but neither all
-    pairs of 0.8 or more nor only such.  So each pair found is decided by its whole sets, and
-    the pairs that are still in different components meet on shingles of which alike sets
-    share one (``prefix``) and are decided likewise: no pair of 0.8 or more is left out.
-    ``hash`` is that of the text, so rows of one id stay apart.
+def _signed(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, block_bytes: int = 2 << 20, part_bytes: int = 32 << 20
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, rows by set of shingles, (node, component)).
+
+    1. Documents are stored once in blocks.  Blocks exchange their shingles, as sorted byte
+       planes, to count over all documents how many texts hold each, and get the counts back.
+    2. Two alike sets share one of their rarest shingles (``prefix``).  A text that shares none
+       of these has no near copy and goes no further.
+    3. SimHash: 256-bit signatures are taken as eight 32-bit words; every word emits all variants
+       within one bit, and those that collide on any are compared on all 256 bits.  That joins
+       most near copies, dense groups among them, by few pairs, but neither all pairs of 0.8 or
+       more nor only such, so each pair found is decided by its whole sets.
+    4. Pairs that are still in different components meet on the shingles of their prefixes and
+       are decided likewise: no pair of 0.8 or more is left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
     cols = [f"s{w}" for w in range(LONG_WORDS)]
+    src = docs.select(
+        F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(text_col).isNull().alias("_null"),
+        *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(docs.columns) if c != text_col),
+    )
+    stored = materialize_bucketed(src.mapInArrow(lambda it: _to_blocks(it, block_bytes), "block long, bytes long, payload binary"), "near", "block")
+    total = stored.agg(F.sum("bytes")).first()[0] or 0
+    blocks, parts, row = stored.select("block", "payload"), max(n, -(-total // part_bytes)), "block long, part int, payload binary"
+    held = blocks.mapInArrow(lambda it: _hold(it, parts, shingle), row)
+    levels = held.groupBy("part").applyInArrow(trimmed(_count), row)
     longs = ", ".join(f"{c} long" for c in cols)
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    sent = spark.sparkContext.broadcast(_common(texts, shingle))
-
-    def run(batches):
-        for b in batches:
-            sets = [shingles(t or b"", shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            sig = np.array([signature(h) for h in sets], np.uint64).reshape(-1, LONG_WORDS).view(np.int64)
-            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(sig[:, w])) for w in range(LONG_WORDS)), pa.array(node),
-                 pa.array([len(h) for h in sets], pa.int64()), pa.array([prefix(h, *sent.value).tobytes() for h in sets], pa.binary()),
-                 pa.array([profile(h).tobytes() for h in sets], pa.binary())],
-                names=["id", "hash", *cols, "node", "size", "prefix", "profile"],
-            )
-
-    signed = materialize(texts.mapInArrow(trimmed_batches(run), f"id long, hash long, {longs}, node long, size long, prefix binary, profile binary"), "signatures")
-    nodes = signed.select("node", *cols).distinct()
-    firsts = materialize(signed.groupBy("node").agg(_first(), *(F.first(c).alias(c) for c in ("size", "prefix", "profile"))), "firsts")
+    signed = materialize(
+        blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(
+            trimmed_pair(lambda a, b: _sign(a, b, parts, shingle)),
+            f"block long, row long, id long, hash long, node long, size long, {longs}, prefix binary, places binary, profile binary",
+        ), "signatures",
+    )
+    whole = ("size", "prefix", "places", "profile", *cols)
+    firsts = materialize(
+        signed.where(F.length("prefix") > 0).groupBy("node").agg(_first(), *(F.first(c).alias(c) for c in whole)), "firsts"
+    )
+    nodes = firsts.select("node", *cols)
     low, high = (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
     words = [f(c).bitwiseOR(F.lit(i << 32)) for i, (c, f) in enumerate((c, f) for c in cols for f in (low, high))]
     masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
@@ -465,67 +537,78 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
         met.distinct().join(nodes, "node").select("key", "node", *cols).repartition(n, "key")
         .sortWithinPartitions("key", "node").mapInArrow(trimmed_batches(lambda it: _lead(it, radius)), "u long, v long")
     )
-    close = connected_components(_alike(materialize(led.distinct(), "led"), firsts, texts, shingle))
+    close = connected_components(_alike(materialize(led.distinct(), "led"), firsts, blocks, shingle))
 
     def heads(batches):
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
                 keys = [np.frombuffer(x, np.int64) for x in part.column(3).to_pylist()]
+                at = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int32) for x in part.column(4).to_pylist())])
                 lens = [len(x) for x in keys]
                 cols_ = [np.repeat(part.column(c).to_numpy(), lens) for c in range(3)]
-                at = np.concatenate([np.zeros(0, np.int64), *map(np.arange, lens)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (np.concatenate([np.zeros(0, np.int64), *keys]), *cols_, at)], names=["key", "node", "c", "n", "at"]
+                    [pa.array(x) for x in (np.concatenate([np.zeros(0, np.int64), *keys]), *cols_, at.astype(np.int64))], names=["key", "node", "c", "n", "at"]
                 )
 
     schema = "key long, node long, c long, n long, at long"
-    rooted = firsts.join(close, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "size", "prefix")
+    rooted = firsts.join(close, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "size", "prefix", "places")
     pairs = (
         rooted.mapInArrow(trimmed_batches(heads), schema).repartition(n, "key").sortWithinPartitions("key", "node")
         .mapInArrow(trimmed_batches(_cross), "u long, v long, cu long, cv long").distinct()
     )
-    more = _alike(materialize(pairs, "pairs"), firsts, texts, shingle).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    more = _alike(materialize(pairs, "pairs"), firsts, blocks, shingle).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     wider = connected_components(more).select(F.col("node").alias("c"), F.col("component").alias("wide"))
     roots = rooted.join(wider, "c", "left").select("node", F.coalesce("wide", "c").alias("component"))
-    return signed.select("id", "hash", "node"), materialize(roots, "roots")
+    return blocks, signed.select("block", "row", "id", "hash", "node"), materialize(roots, "roots")
 
 
 def _first():
-    """The leader of a group: its least (id, hash), null ids last."""
-    return F.min(F.struct(F.col("id").isNull().alias("n"), "id", "hash")).alias("f")
+    """The leader of a group: its least (id, hash), null ids last; of equal rows an arbitrary one."""
+    return F.min(F.struct(F.col("id").isNull().alias("n"), "id", "hash", "block", "row")).alias("f")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
-    """(id, hash, lead, lead_hash): the group leader of each row by shingle-set similarity."""
-    signed, found = _signed(docs, id_col, text_col, shingle, radius)
-    rooted = signed.join(found, "node", "left").select("id", "hash", F.coalesce("component", "node").alias("root"))
+    """(id, hash, lead, lead_hash): the group leader of each row by shingle-set similarity.
+    ``hash`` is that of the text, so rows of one id stay apart; a null text counts as empty,
+    and texts without words are copies of each other."""
+    _, signed, found = _signed(docs, id_col, text_col, shingle, radius)
+    rooted = signed.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     first = rooted.groupBy("root").agg(_first())
-    return rooted.join(first, "root").select("id", "hash", F.col("f.id").alias("lead"), F.col("f.hash").alias("lead_hash"))
-
-
-def leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
-    """(lead, lead_hash): the distinct leaders of ``similar``.  Copies are reduced before they
-    move, so neither a signature nor a component that many rows share lands in one task."""
-    signed, found = _signed(docs, id_col, text_col, shingle, radius)
-    nodes = signed.groupBy("node").agg(_first()).join(found, "node", "left")
-    first = nodes.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("f").alias("f"))
-    return first.select(F.col("f.id").alias("lead"), F.col("f.hash").alias("lead_hash"))
+    return rooted.select("id", "hash", "root").join(first, "root").select("id", "hash", F.col("f.id").alias("lead"), F.col("f.hash").alias("lead_hash"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
     """One row of ``docs`` for each group of ``similar``: its leader, with all its columns.
 
-    Texts without words are copies of each other.  Of repeated rows (equal id and text) one stays.
+    Texts without words, null ones too, are copies of each other.  Of repeated rows (equal id
+    and text) an arbitrary one stays.  An empty table gives an empty result.  Copies are reduced
+    before they move, so neither a set nor a component that many rows share lands in one task;
+    texts are not shuffled, as leaders are taken from their blocks.
     """
-    lead = leaders(docs, id_col, text_col, shingle, radius).select(F.col("lead").alias("_id"), F.col("lead_hash").alias("_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
-    kept = hashed.join(
-        lead, hashed[id_col].cast("long").eqNullSafe(lead["_id"]) & (hashed["_text_hash"] == lead["_hash"]), "left_semi"
-    )
-    return kept.dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
+    blocks, signed, found = _signed(docs, id_col, text_col, shingle, radius)
+    nodes = signed.groupBy("node").agg(_first()).join(found, "node", "left")
+    first = nodes.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("f").alias("f"))
+    kept = materialize(first.select("f.block", "f.row"), "kept")
+    fields = [f for f in docs.schema.fields if f.name != text_col]
+
+    def take(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, bounds, raw, carried = unpack(left.column("payload")[0].as_py())
+        rows = pa.array(sorted(right.column("row").to_pylist()), pa.int64())
+        null = carried.column(0).to_pylist()
+        text = [None if null[i] else raw[bounds[i] : bounds[i + 1]] for i in rows.to_pylist()]
+        return pa.Table.from_arrays(
+            [pa.array(text, pa.binary()).cast(pa.string()), *(c.take(rows) for c in carried.columns[1:])], names=["_text", *(f"_c{i}" for i in range(len(fields)))]
+        )
+
+    schema = "".join(f", _c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
+    out = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(trimmed_pair(take), f"_text string{schema}")
+    place = {f.name: F.col(f"_c{i}") for i, f in enumerate(fields)} | {text_col: F.col("_text")}
+    return out.select(*(place[c].alias(c) for c in docs.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each row of ``documents``; texts without words, null ones
+    too, have fingerprint zero and are linked like any other."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -23,14 +23,12 @@ Blocks of documents are written once, bucketed by block, so texts are never shuf
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize_bucketed, pack, partitions, small_batches, table, trim, trimmed, trimmed_pair, unpack
+from ._common import materialize_bucketed, pack, partitions, small_batches, table, to_blocks, trim, trimmed, trimmed_pair, unpack
 
 WIDTH, SEED_BYTES = 100, 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -96,33 +94,6 @@ def _anchors_of(data: np.ndarray, begin: int, inside: np.ndarray, want: int, see
     return at[starts] + begin, starts + begin, stops + begin, h[at[starts]]
 
 
-def _to_blocks(batches, block_bytes: int):
-    """Rows (block, payload): ids, offsets, the bytes of whole documents, carried columns."""
-
-    def flush(ids, texts, more):
-        lens = np.array([len(t) for t in texts], np.int64)
-        carried = pa.Table.from_batches(more).combine_chunks() if more and more[0].num_columns else None
-        blob = pack((ids, np.concatenate([[0], np.cumsum(lens)]), b"".join(texts), carried))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().int >> 65]), pa.array([int(lens.sum())]), pa.array([blob], pa.binary())],
-            names=["block", "bytes", "payload"],
-        )
-
-    ids, texts, more, size = [], [], [], 0
-    for b in batches:
-        rest, begin = b.select(range(2, b.num_columns)), 0
-        for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())):
-            ids.append(i)
-            texts.append(t or b"")
-            size += len(t or b"")
-            if size >= block_bytes:
-                yield flush(ids, texts, [*more, rest.slice(begin, k + 1 - begin)])
-                ids, texts, more, size, begin = [], [], [], 0, k + 1
-        more.append(rest.slice(begin))
-    if ids:
-        yield flush(ids, texts, more)
-
-
 def _seed_hashes(batches, parts: int, width: int, seed: int):
     """Rows (block, part, payload): the distinct 48-bit seed hashes of a block in a part."""
     for b in batches:
@@ -407,7 +378,7 @@ def remove_repeats(
     )
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in src.schema.fields[2:])
     blocks = materialize_bucketed(
-        src.mapInArrow(lambda it: _to_blocks(it, block_bytes), "block long, bytes long, payload binary"), "suffix", "block"
+        src.mapInArrow(lambda it: to_blocks(it, block_bytes), "block long, bytes long, payload binary"), "suffix", "block"
     )
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     parts = max(partitions(spark), -(-total // part_bytes))
