@@ -9,7 +9,9 @@ document).  Sorting all suffixes is not needed to find every one of them:
    windows that it answers for.
 2. Filter.  Anchor hashes that occur once in the corpus answer for no repeated window.
    Hashes are exchanged as sorted byte planes and one bit an anchor comes back.
-3. Runs.  Every block sorts its remaining suffixes and front-codes them: shared prefix
+3. Runs.  Of suffixes of a block that answer for the same bytes only the earliest goes on,
+   the windows of the others being repeats of its own, so a passage that many documents hold
+   is sent once a block.  Every block sorts what remains and front-codes it: shared prefix
    length, then the other bytes.  Runs are exchanged by the hash of the seed, so equal
    seeds meet and a frequent seed cannot shift the boundaries of others.
 4. Merge.  A loser tree merges the runs of a partition.  Each loser keeps its common prefix
@@ -256,13 +258,21 @@ def _runs(left: pa.Table, right: pa.Table, parts: int, width: int, seed: int) ->
         own = own[bits[place]]
         if not len(own):
             continue
+        doc = np.searchsorted(bounds, at[own], side="right") - 1
+        own = own[np.lexsort((at[own], at[own] - bounds[doc], names[doc]))]
+        seen: dict = {}
+        fresh = np.empty(len(own), bool)
+        for i, (s, e, f) in enumerate(zip(first[own].tolist(), (last[own] + width).tolist(), (at[own] - first[own]).tolist())):
+            fresh[i] = seen.setdefault((raw[s:e], f), i) == i
+        again, own = own[~fresh], own[fresh]
         suffix = [raw[s:e] for s, e in zip(at[own].tolist(), (last[own] + width).tolist())]
         rank = sorted(range(len(own)), key=suffix.__getitem__)
         own = own[rank]
         doc = np.searchsorted(bounds, at[own], side="right") - 1
         before = b"".join([raw[s:e] for s, e in zip(first[own].tolist(), at[own].tolist())])
         # Windows are numbered by their start in the block; order among rows is (id, start in the document).
-        blob = pack((*front_code([suffix[i] for i in rank]), at[own], (at[own] - first[own]).astype(np.int32),
+        blob = pack((*front_code([suffix[i] for i in rank]), (first[again].astype(np.uint32), last[again].astype(np.uint32)),
+                     at[own], (at[own] - first[own]).astype(np.int32),
                      (at[own] - last[own]).astype(np.int32), before, names[doc], at[own] - bounds[doc]))
         rows.append((block, int(p), blob))
     return pa.Table.from_batches([_batch(rows)]) if rows else pa.table(
@@ -271,12 +281,13 @@ def _runs(left: pa.Table, right: pa.Table, parts: int, width: int, seed: int) ->
 
 
 def _repeats(group: pa.Table, width: int) -> pa.Table:
-    """Starts of repeated windows, by block, from all runs of a part."""
-    blocks, runs, cols = [], [], []
+    """(firsts, lasts) of runs of repeated windows, by block, from all runs of a part."""
+    blocks, runs, cols, known = [], [], [], []
     blobs = sorted(zip(group.column("block").to_pylist(), group.column("payload").to_pylist()))
     for block, blob in blobs:
-        lcp, size, rest, *more = unpack(blob)
+        lcp, size, rest, again, *more = unpack(blob)
         runs.append((lcp, size, rest))
+        known.append(again)
         cols.append(more)
         blocks.append(block)
     run, place, lcp = merge_runs(runs)
@@ -316,8 +327,14 @@ def _repeats(group: pa.Table, width: int) -> pa.Table:
         hits_at.append(at[again] - j)
     none = np.zeros(0, np.int64)
     hit, where = np.concatenate([none, *hits_row]), np.concatenate([none, *hits_at])
-    which = run[hit]
-    out = [(blocks[r], 0, pack(np.sort(where[which == r]).astype(np.uint32))) for r in np.unique(which)]
+    which, out = run[hit], []
+    for r, (firsts, lasts) in enumerate(known):
+        own = np.unique(where[which == r])
+        if len(own) or len(firsts):
+            turn = np.flatnonzero(np.diff(own) != 1)
+            begin = own[np.concatenate([[0], turn + 1])] if len(own) else own
+            end = own[np.concatenate([turn, [len(own) - 1]])] if len(own) else own
+            out.append((blocks[r], 0, pack((np.concatenate([begin.astype(np.uint32), firsts]), np.concatenate([end.astype(np.uint32), lasts])))))
     return pa.Table.from_batches([_batch(out)]) if out else pa.table(
         {"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())}
     )
@@ -326,10 +343,11 @@ def _repeats(group: pa.Table, width: int) -> pa.Table:
 def _cut(left: pa.Table, right: pa.Table, width: int, as_text: bool) -> pa.Table:
     """The documents of a block without their repeated bytes."""
     ids, bounds, raw, carried = unpack(left.column("payload")[0].as_py())
-    starts = np.unique(np.concatenate([np.zeros(0, np.uint32), *(unpack(b) for b in right.column("payload").to_pylist())])).astype(np.int64)
+    runs = [unpack(b) for b in right.column("payload").to_pylist()]
     edge = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + width, -1)
+    for firsts, lasts in runs:
+        np.add.at(edge, firsts.astype(np.int64), 1)
+        np.add.at(edge, lasts.astype(np.int64) + width, -1)
     gone = np.cumsum(edge)[: len(raw)] > 0
     data = np.frombuffer(raw, np.uint8)
     kept, spans = [], []
@@ -401,6 +419,7 @@ def remove_repeats(
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each row of ``documents`` without repeated passages; null texts are empty."""
     width = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", width.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
