@@ -1,51 +1,10 @@
-"""The few functions that Spark SQL and DuckDB spell differently."""
+"""The few functions that DuckDB spells in its own way, for the SQL of results."""
 
 from __future__ import annotations
 
 
-class Spark:
-    add_months = staticmethod(lambda d, n: f"add_months({d}, CAST({n} AS INT))")
-    half_even = staticmethod(lambda x: f"bround({x}, 0)")
-    days = staticmethod(lambda a, b: f"datediff({a}, {b})")
-    split = staticmethod(lambda x, p: f"split({x}, '{p}')")
-    explode = staticmethod(lambda x: f"explode({x})")
-    join = staticmethod(lambda x, s: f"array_join({x}, '{s}')")
-    sorted_list = staticmethod(lambda x: f"array_join(array_sort(collect_set({x})), ', ')")
-    all_matches = staticmethod(lambda x, p, g=0: f"regexp_extract_all({x}, r'{p}', {g})")
-    replace_all = staticmethod(lambda x, p, r: f"regexp_replace({x}, r'{p}', '{r}')")
-    extract = staticmethod(lambda x, p, g=0: f"regexp_extract({x}, r'{p}', {g})")
-    matches = staticmethod(lambda x, p: f"{x} RLIKE r'{p}'")
-    keep = staticmethod(lambda x, v, e: f"filter({x}, {v} -> {e})")
-    map = staticmethod(lambda x, v, e: f"transform({x}, {v} -> {e})")
-    size = staticmethod(lambda x: f"size({x})")
-    dot = staticmethod(lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, z) -> s + z)")
-    json_key = staticmethod(lambda x, k: f"get_json_object({x}, '$.{k}')")
-    median = staticmethod(lambda x: f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {x})")
-    range = staticmethod(lambda a, b: f"sequence({a}, {b})")
-    fold = staticmethod(lambda x, a, b: f"translate({x}, '{a}', '{b}')")
-    distinct = staticmethod(lambda x: f"array_distinct({x})")
-    flat = staticmethod(lambda x: f"flatten({x})")
-
-
 class Duck:
     add_months = staticmethod(lambda d, n: f"CAST({d} + to_months(CAST({n} AS INT)) AS DATE)")
     half_even = staticmethod(lambda x: f"round_even({x}, 0)")
     days = staticmethod(lambda a, b: f"date_diff('day', {b}, {a})")
-    split = staticmethod(lambda x, p: f"regexp_split_to_array({x}, '{p}')")
-    explode = staticmethod(lambda x: f"unnest({x})")
-    join = staticmethod(lambda x, s: f"array_to_string({x}, '{s}')")
-    sorted_list = staticmethod(lambda x: f"string_agg(DISTINCT {x}, ', ' ORDER BY {x})")
-    all_matches = staticmethod(lambda x, p, g=0: f"regexp_extract_all({x}, '{p}', {g})")
-    replace_all = staticmethod(lambda x, p, r: f"regexp_replace({x}, '{p}', '{r}', 'g')")
-    extract = staticmethod(lambda x, p, g=0: f"regexp_extract({x}, '{p}', {g})")
-    matches = staticmethod(lambda x, p: f"regexp_matches({x}, '{p}')")
-    keep = staticmethod(lambda x, v, e: f"list_filter({x}, lambda {v}: {e})")
-    map = staticmethod(lambda x, v, e: f"list_transform({x}, lambda {v}: {e})")
-    size = staticmethod(lambda x: f"len({x})")
-    dot = staticmethod(lambda a, b: f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))")
-    json_key = staticmethod(lambda x, k: f"json_extract_string({x}, '$.{k}')")
     median = staticmethod(lambda x: f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {x})")
-    range = staticmethod(lambda a, b: f"range({a}, {b} + 1)")
-    fold = staticmethod(lambda x, a, b: f"translate({x}, '{a}', '{b}')")
-    distinct = staticmethod(lambda x: f"list_distinct({x})")
-    flat = staticmethod(lambda x: f"flatten({x})")

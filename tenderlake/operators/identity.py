@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions.text import identifier_rules, normalise_name, trigrams
+from tenderlake.sources.adapters import stored
 
 THRESHOLD = 0.55
 
@@ -27,23 +28,34 @@ def by_rules(keys: DataFrame, register: DataFrame | None = None) -> DataFrame:
 def similar_names(names: DataFrame, register: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(nom, siren, score): trigram similarity of the normalised name and the upper-cased register.
 
-    An inverted index of trigrams finds what shares one; sizes of sets that similar differ by
-    at most the threshold, which prunes before the count.
+    Two sets of Jaccard similarity t share a trigram among the rarest n - ceil(t n) + 1 of each,
+    so only those are looked up, in one order by how many register names hold a trigram; common
+    trigrams, which most names share, meet nobody.  Sizes that cannot reach t are not joined.
     """
-    asked = names.select("nom").distinct().withColumn("_g", trigrams(normalise_name(F.col("nom")))).withColumn("_n", F.size("_g"))
-    known = register.where("denomination is not null").select("siren", trigrams(F.upper("denomination")).alias("_h")).withColumn("_m", F.size("_h"))
-    a = asked.select("nom", "_n", F.explode("_g").alias("_t"))
-    b = known.select("siren", "_m", F.explode("_h").alias("_t"))
-    near = a.join(b, "_t").where((F.least("_n", "_m") >= threshold * F.greatest("_n", "_m"))).groupBy("nom", "siren", "_n", "_m").count()
-    score = (F.col("count") / (F.col("_n") + F.col("_m") - F.col("count"))).cast("float")
-    return near.withColumn("score", score).where(F.col("score") >= F.lit(threshold).cast("float")).select("nom", "siren", "score")
+    asked = names.where("nom IS NOT NULL").select("nom").distinct().withColumn("g", trigrams(normalise_name(F.col("nom")))).where(F.size("g") > 0)
+    known = register.where("denomination is not null").select("siren", trigrams(F.upper("denomination")).alias("h")).distinct()
+    often = known.select(F.explode("h").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+
+    def rarest(df: DataFrame, key: list[str], grams: str) -> DataFrame:
+        ordered = df.select(*key, F.size(grams).alias("n"), F.explode(grams).alias("t")).join(often, "t", "left").groupBy(*key, "n").agg(
+            F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
+        kept = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int"))
+        return ordered.select(*key, "n", F.explode(kept).alias("x")).select(*key, "n", F.col("x.t").alias("t"))
+
+    known = known.withColumn("_k", F.xxhash64("siren", "h"))
+    a = rarest(asked.select("nom", "g"), ["nom"], "g")
+    b = rarest(known.select("_k", "h"), ["_k"], "h").select("_k", F.col("n").alias("m"), "t")
+    near = a.join(b, "t").where(F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")).select("nom", "_k").distinct()
+    met = near.join(asked, "nom").join(known, "_k").withColumn("c", F.size(F.array_intersect("g", "h")))
+    score = (F.col("c") / (F.size("g") + F.size("h") - F.col("c"))).cast("float")
+    return met.withColumn("score", score).where(F.col("score") >= F.lit(threshold).cast("float")).groupBy("nom", "siren").agg(F.max("score").alias("score"))
 
 
 def by_similarity(keys: DataFrame, register: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Level 3: (resolved, ambiguous).  A sole best name counts; of several, the one active with a head office."""
     hits = similar_names(keys, register, threshold)
     best = hits.withColumn("_r", F.rank().over(Window.partitionBy("nom").orderBy(F.col("score").desc()))).where("_r = 1").drop("_r")
-    best = best.join(register.select("siren", "etat", "siret_siege"), "siren")
+    best = stored(best).join(register.select("siren", "etat", "siret_siege"), "siren")
     live = F.count_if((F.col("etat") == "A") & F.col("siret_siege").isNotNull())
     every = Window.partitionBy("nom")
     best = best.withColumn("_n", F.count("*").over(every)).withColumn("_live", live.over(every))
@@ -94,19 +106,27 @@ def by_web(mentions: DataFrame, keys: DataFrame, register: DataFrame) -> DataFra
     )
 
 
-def resolve(keys: DataFrame, register: DataFrame, awards: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
-    """The cascade: rules, trigrams, continuity where they are in doubt, persons where they found none, history."""
-    cols = ["key", "siret", "siren", "methode", "score"]
-    done = by_rules(keys, register).select(*cols)
-    left = keys.join(done, "key", "left_anti").where("nom is not null")
-    sure, doubt = by_similarity(left, register)
-    done = done.unionByName(sure.select(*cols))
-    left = left.join(sure, "key", "left_anti")
+def resolve(keys: DataFrame, register: DataFrame, awards: DataFrame | None = None, history: DataFrame | None = None,
+            mentions: DataFrame | None = None) -> DataFrame:
+    """(key, place, siret, siren, methode, score), the cascade: rules, trigrams, continuity where
+    they are in doubt, persons where they found none, history and, last, mentions on the web.  A
+    level takes only what all before it left; ``place`` orders the results of one identifier."""
+    cols = ["key", "place", "siret", "siren", "methode", "score"]
+    keys = stored(keys)
+    done = stored(by_rules(keys, register).select(*cols))
+    left = stored(keys.join(done, "key", "left_anti").where("nom is not null"))
+    sure, doubt = map(stored, by_similarity(left, register))
+
+    def take(done: DataFrame, left: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = stored(more.withColumn("place", F.lit(0)).select(*cols))
+        return done.unionByName(more), left.join(more, "key", "left_anti")
+
+    done, left = take(done, left, sure)
     if awards is not None:
-        more = by_continuity(doubt, awards)
-        done, left = done.unionByName(more), left.join(more, "key", "left_anti")
-    more = by_person(left.join(doubt, "key", "left_anti"), register)
-    done, left = done.unionByName(more), left.join(more, "key", "left_anti")
+        done, left = take(done, left, by_continuity(doubt, awards))
+    done, left = take(done, left, by_person(left.join(doubt, "key", "left_anti"), register))
     if history is not None:
-        done = done.unionByName(by_history(left, history))
+        done, left = take(done, left, by_history(left, history))
+    if mentions is not None:
+        done, left = take(done, left, by_web(mentions.join(left.select("key"), "key", "left_semi"), left, register))
     return done

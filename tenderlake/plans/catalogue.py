@@ -1,7 +1,8 @@
 """All queries of the procurement engine by name, with the SQL that states their result.
 
-A query is one declarative plan, written once against the canonical relations; the two
-dialects differ in a few functions (``functions.dialect``).
+Plain relational queries are written once against the canonical relations.  Everything that
+the library computes by its own functions is a query of ``procurement`` or of this module, and
+its SQL is written apart, in ``oracles`` or beside it.
 """
 
 from __future__ import annotations
@@ -11,115 +12,22 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from tenderlake.functions import text
-from tenderlake.functions.dialect import Duck, Spark
 from tenderlake.operators import graph, identity, versions
+from tenderlake.plans import oracles, procurement
 from tenderlake.sources.adapters import CANON, run
 from tenderlake.streaming import bronze
 
 MINIMUM = 0.55
 
 
-def _family(d) -> str:
-    """Market rows of families with expiry, waves and transitions (named relations to build on)."""
-    return f"""WITH {CANON},
-rows_ AS (
-  SELECT m.*, a.siren, e.denomination, e.etat FROM marches m JOIN attributions a ON m.uid = a.uid JOIN entreprises e ON a.siren = e.siren),
-medians AS (SELECT code_cpv, {d.median('CAST(duree_mois AS DOUBLE)')} AS mediane FROM marches WHERE duree_mois IS NOT NULL GROUP BY code_cpv),
-chain AS (
-  SELECT r.siret_acheteur, r.code_cpv, r.uid, r.date_notification, r.montant, r.duree_mois,
-         coalesce(CAST(r.duree_mois AS DOUBLE), p.mediane) AS duree,
-         CASE WHEN r.duree_mois IS NOT NULL THEN 'reelle' WHEN p.mediane IS NOT NULL THEN 'inferee_famille_cpv' ELSE 'inconnue' END AS duree_source
-  FROM (SELECT DISTINCT uid, siret_acheteur, code_cpv, date_notification, montant, duree_mois FROM rows_) r
-  LEFT JOIN medians p ON r.code_cpv = p.code_cpv WHERE r.date_notification IS NOT NULL),
-dated AS (
-  SELECT *, CASE WHEN duree <> 0 THEN {d.add_months('date_notification', d.half_even('duree'))} END AS fin,
-         lag(date_notification) OVER (PARTITION BY siret_acheteur, code_cpv ORDER BY date_notification, uid) AS avant FROM chain),
-waved AS (
-  SELECT *, sum(CASE WHEN avant IS NULL OR {d.days('date_notification', 'avant')} > 30 THEN 1 ELSE 0 END)
-            OVER (PARTITION BY siret_acheteur, code_cpv ORDER BY date_notification, uid ROWS UNBOUNDED PRECEDING) AS vague FROM dated),
-waves AS (
-  SELECT siret_acheteur, code_cpv, CAST(vague AS BIGINT) AS vague, min(date_notification) AS debut, max(fin) AS fin, count(*) AS nb_marches
-  FROM waved GROUP BY siret_acheteur, code_cpv, vague),
-pairs AS (
-  SELECT *, lead(debut) OVER (PARTITION BY siret_acheteur, code_cpv ORDER BY vague) AS suivante FROM waves),
-coherent AS (
-  SELECT siret_acheteur, code_cpv, count(*) AS nb_vagues, sum(nb_marches) AS nb_marches,
-         sum(CASE WHEN fin IS NOT NULL AND suivante IS NOT NULL THEN 1 ELSE 0 END) AS transitions,
-         sum(CASE WHEN abs(12 * (year(suivante) - year(fin)) + (month(suivante) - month(fin)) + (day(suivante) - day(fin)) / 30.44) <= 6 THEN 1 ELSE 0 END) AS coherentes
-  FROM pairs GROUP BY siret_acheteur, code_cpv),
-rated AS (
-  SELECT *, CASE WHEN transitions > 0 THEN CAST(coherentes AS DOUBLE) / transitions END AS ratio FROM coherent),
-sure AS (
-  SELECT *, CASE WHEN nb_vagues <= 1 OR ratio IS NULL THEN 'faible' WHEN nb_vagues >= 3 AND ratio >= 0.7 THEN 'elevee'
-                 WHEN ratio >= 0.5 THEN 'moyenne' ELSE 'faible' END AS confiance FROM rated),
-last_ AS (
-  SELECT siret_acheteur, code_cpv, uid, siren, denomination, date_notification FROM (
-    SELECT *, row_number() OVER (PARTITION BY siret_acheteur, code_cpv ORDER BY date_notification DESC, siren, uid) AS n FROM rows_
-    WHERE date_notification IS NOT NULL) x WHERE n = 1)
-"""
-
-
-def incumbent(d):
-    return _family(d) + """
-SELECT s.siret_acheteur, s.code_cpv, l.siren AS siren_sortant, l.denomination AS sortant, l.uid AS uid_dernier, l.date_notification AS date_dernier,
-       w.fin AS date_expiration, w.duree_source, CAST(s.nb_marches AS BIGINT) AS nb_marches, CAST(s.nb_vagues AS BIGINT) AS nb_vagues,
-       round(s.ratio, 6) AS ratio, s.confiance
-FROM sure s JOIN last_ l ON s.siret_acheteur = l.siret_acheteur AND s.code_cpv = l.code_cpv
-JOIN waved w ON w.uid = l.uid AND w.siret_acheteur = s.siret_acheteur AND w.code_cpv = s.code_cpv"""
-
-
-SCORE = "CASE confiance WHEN 'elevee' THEN 1.0 WHEN 'moyenne' THEN 0.66 WHEN 'faible' THEN 0.33 ELSE 0.0 END"
-
-
-def facts(d):
-    """Coverage of each fact of a family."""
-    return _family(d) + f""",
-prices AS (
-  SELECT siret_acheteur, code_cpv, min(CASE WHEN montant <> 0 THEN montant END) AS prix_min, max(CASE WHEN montant <> 0 THEN montant END) AS prix_max,
-         count(*) AS lignes, sum(CASE WHEN etat = 'ETRANGER' THEN 1 ELSE 0 END) AS etrangers FROM rows_ GROUP BY siret_acheteur, code_cpv),
-base AS (
-  SELECT s.siret_acheteur, s.code_cpv, CAST({SCORE} AS DOUBLE) AS score, w.fin, w.duree_source, p.prix_min, p.prix_max, p.lignes, p.etrangers
-  FROM sure s JOIN last_ l ON s.siret_acheteur = l.siret_acheteur AND s.code_cpv = l.code_cpv JOIN waved w ON w.uid = l.uid
-  JOIN prices p ON p.siret_acheteur = s.siret_acheteur AND p.code_cpv = s.code_cpv),
-covered AS (
-  SELECT *, CASE WHEN fin IS NULL THEN 0 WHEN duree_source = 'reelle' THEN score ELSE score * 0.5 END AS couv_expiration,
-         CASE WHEN lignes <= 1 THEN 0 WHEN etrangers > 0 THEN least(score, 0.33) ELSE score END AS couv_concurrents,
-         CASE WHEN prix_min IS NULL THEN 0 ELSE score END AS couv_prix FROM base)
-SELECT siret_acheteur, code_cpv, score AS couv_titulaire, round(CAST(couv_expiration AS DOUBLE), 4) AS couv_expiration,
-       round(CAST(couv_concurrents AS DOUBLE), 4) AS couv_concurrents, round(CAST(couv_prix AS DOUBLE), 4) AS couv_prix, prix_min, prix_max"""+ """,
-       round(CAST((3 * score + couv_expiration + couv_concurrents + 2 * couv_prix) / 8 AS DOUBLE), 4) AS couverture_globale FROM covered"""
-
-
-def near_duplicates(d, share=0.01, days=30):
-    return f"""WITH {CANON}, met AS (
-  SELECT t.uid AS uid_ted, p.uid AS uid_decp, abs({d.days('t.date_notification', 'p.date_notification')}) AS ecart
-  FROM marches t JOIN marches p ON t.siret_acheteur = p.siret_acheteur AND left(t.code_cpv, 4) = left(p.code_cpv, 4)
-  WHERE t.source = 'TED' AND p.source = 'DECP' AND abs(t.montant - p.montant) <= {share} * greatest(t.montant, p.montant)
-    AND abs({d.days('t.date_notification', 'p.date_notification')}) <= {days})
-SELECT uid_ted, uid_decp, CAST(ecart AS BIGINT) AS ecart FROM (
-  SELECT *, row_number() OVER (PARTITION BY uid_ted ORDER BY ecart, uid_decp) AS n FROM met) x WHERE n = 1"""
-
-
 def _canon(body):
-    return lambda d: f"WITH {CANON}\n" + (body(d) if callable(body) else body)
+    return f"WITH {CANON}\n{body}"
 
 
 _ELIGIBLE = "m.siret_acheteur IS NOT NULL AND m.code_cpv LIKE '72%'"
 
 #: Plain relational queries, by name.
 SQL = {
-    "incumbent_by_family": incumbent,
-    "renewal_chain_position": lambda d: _family(d) + """
-SELECT siret_acheteur, code_cpv, uid, date_notification,
-       CAST(row_number() OVER (PARTITION BY siret_acheteur, code_cpv ORDER BY date_notification, uid) AS BIGINT) AS position FROM chain""",
-    "notification_waves": lambda d: _family(d) + " SELECT siret_acheteur, code_cpv, vague, debut, fin, CAST(nb_marches AS BIGINT) AS nb_marches FROM waves",
-    "wave_coherence": lambda d: _family(d) + """
-SELECT siret_acheteur, code_cpv, CAST(nb_vagues AS BIGINT) AS nb_vagues, CAST(transitions AS BIGINT) AS transitions,
-       CAST(coherentes AS BIGINT) AS coherentes, round(ratio, 6) AS ratio, confiance FROM sure""",
-    "median_duration_by_category": lambda d: _family(d) + " SELECT code_cpv, mediane FROM medians",
-    "estimated_expiry": lambda d: _family(d) + " SELECT siret_acheteur, code_cpv, uid, fin AS date_expiration, duree_source FROM dated",
-    "near_duplicates": near_duplicates,
-    "near_duplicates_wide": partial(near_duplicates, share=0.1, days=90),
     "semi_in_scope": _canon("SELECT uid, siren FROM attributions a WHERE uid IN (SELECT uid FROM marches WHERE code_cpv LIKE '72%')"),
     "anti_unawarded": _canon("SELECT uid, siret_acheteur, code_cpv FROM marches m WHERE NOT EXISTS (SELECT 1 FROM attributions a WHERE a.uid = m.uid)"),
     "left_market_counts": _canon("""
@@ -146,97 +54,34 @@ WHERE NOT EXISTS (SELECT 1 FROM marches s WHERE s.uid = g.uid AND s.code_cpv LIK
     "out_of_scope": _canon("SELECT uid, code_cpv FROM marches WHERE code_cpv IS NULL OR code_cpv NOT LIKE '72%'"),
     "plausible_dates": _canon("""
 SELECT uid, CASE WHEN date_notification BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' THEN date_notification END AS date_notification FROM marches"""),
-    "competitor_frequency": lambda d: _family(d) + """, seen AS (
-  SELECT r.siret_acheteur, r.code_cpv, r.denomination, count(*) AS nb, max(r.date_notification) AS vu FROM rows_ r
-  JOIN last_ l ON l.siret_acheteur = r.siret_acheteur AND l.code_cpv = r.code_cpv WHERE r.denomination <> l.denomination
-  GROUP BY r.siret_acheteur, r.code_cpv, r.denomination)
-SELECT siret_acheteur, code_cpv, denomination, nb, CAST(rang AS BIGINT) AS rang, CAST(greatest(total - 10, 0) AS BIGINT) AS autres FROM (
-  SELECT *, row_number() OVER (PARTITION BY siret_acheteur, code_cpv ORDER BY nb DESC, vu DESC, denomination) AS rang,
-         count(*) OVER (PARTITION BY siret_acheteur, code_cpv) AS total FROM seen) x WHERE rang <= 10""",
-    "price_range": lambda d: _family(d) + " SELECT siret_acheteur, code_cpv, min(montant) AS prix_min, max(montant) AS prix_max, count(*) AS n FROM chain GROUP BY siret_acheteur, code_cpv",
     "award_method_distribution": _canon("SELECT source, left(code_cpv, 4) AS famille, count(*) AS nb FROM marches GROUP BY source, left(code_cpv, 4)"),
     "distinct_filtered": _canon("""
 SELECT m.code_cpv, count(DISTINCT a.siren) AS titulaires, count(DISTINCT a.siren) FILTER (WHERE e.etat = 'ETRANGER') AS etrangers
 FROM marches m JOIN attributions a ON m.uid = a.uid LEFT JOIN entreprises e ON e.siren = a.siren GROUP BY m.code_cpv"""),
-    "winners_list": _canon(lambda d: f"""
-SELECT m.uid, m.date_notification, m.montant, {d.sorted_list('e.denomination')} AS titulaires FROM marches m
-LEFT JOIN attributions a ON a.uid = m.uid JOIN entreprises e ON e.siren = a.siren GROUP BY m.uid, m.date_notification, m.montant"""),
     "recent_sources": _canon("""
 SELECT uid, siret_acheteur, CAST(n AS BIGINT) AS n FROM (SELECT uid, siret_acheteur,
   row_number() OVER (PARTITION BY siret_acheteur ORDER BY date_notification DESC NULLS LAST, uid) AS n FROM marches) x WHERE n <= 30"""),
-    "prefix_expansion": _canon(lambda d: f"""
-, families AS (SELECT DISTINCT siret_acheteur, code_cpv FROM marches),
-prefixes AS (SELECT siret_acheteur, code_cpv, {d.explode('array(8, 6, 4, 2)' if d is Spark else '[8, 6, 4, 2]')} AS l FROM families),
-counts AS (
-  SELECT siret_acheteur, l, left(code_cpv, l) AS prefixe, count(*) AS nb FROM (
-    SELECT siret_acheteur, code_cpv, {d.explode('array(8, 6, 4, 2)' if d is Spark else '[8, 6, 4, 2]')} AS l FROM marches) z GROUP BY siret_acheteur, l, left(code_cpv, l)),
-wide AS (
-  SELECT f.siret_acheteur, f.code_cpv, f.l AS longueur, c.nb FROM prefixes f
-  JOIN counts c ON c.siret_acheteur = f.siret_acheteur AND c.l = f.l AND c.prefixe = left(f.code_cpv, f.l))
-SELECT siret_acheteur, code_cpv, CAST(longueur AS BIGINT) AS longueur, nb FROM (
-  SELECT *, row_number() OVER (PARTITION BY siret_acheteur, code_cpv ORDER BY CASE WHEN nb >= 2 THEN 0 ELSE 1 END, longueur DESC) AS n FROM wide) x WHERE n = 1"""),
-    # Of a group, the first 21 are enough to give each member 20 others.
-    "comparable_buyers": _canon("""
-, ranked AS (SELECT siret, naf, departement, row_number() OVER (PARTITION BY naf, departement ORDER BY siret) AS n FROM acheteurs),
-first_ AS (SELECT siret, naf, departement FROM ranked WHERE n <= 21),
-near_ AS (
-  SELECT a.siret, c.siret AS comparable, row_number() OVER (PARTITION BY a.siret ORDER BY c.siret) AS n
-  FROM acheteurs a JOIN first_ c ON c.naf = a.naf AND c.departement = a.departement AND c.siret <> a.siret)
-SELECT siret, comparable, CAST(n AS BIGINT) AS n FROM near_ WHERE n <= 20"""),
-    "cross_source_window": _canon(lambda d: f"""
-SELECT t.uid, EXISTS (SELECT 1 FROM marches p WHERE p.source = 'DECP' AND p.siret_acheteur = t.siret_acheteur AND left(p.code_cpv, 4) = left(t.code_cpv, 4)
-  AND {d.days('p.date_notification', 't.date_notification')} BETWEEN -90 AND 90) AS recoupe FROM marches t WHERE t.source = 'TED'"""),
-    "fact_coverage": facts,
-    "decision_block": lambda d: incumbent(d).replace("SELECT s.siret_acheteur", """SELECT concat('Acheteur : ', s.siret_acheteur, ' | Objet CPV : ', s.code_cpv) AS ligne_1,
-       concat('Sortant probable : ', l.denomination, ', confiance ', s.confiance) AS ligne_2,
-       concat('Échéance estimée : ', coalesce(CAST(w.fin AS STRING), 'inconnue')) AS ligne_3, s.siret_acheteur""", 1),
-    "identifier_rules": lambda d: f"""WITH raw AS (SELECT doc_id, CASE doc_id % 6
-   WHEN 0 THEN lpad(CAST(doc_id AS STRING), 14, '1') WHEN 1 THEN concat('SIRET: 123 456 789 ', lpad(CAST(doc_id AS STRING), 5, '0'))
-   WHEN 2 THEN concat('FR12', lpad(CAST(doc_id AS STRING), 9, '0')) WHEN 3 THEN concat('siren ', lpad(CAST(doc_id AS STRING), 9, '0'))
-   WHEN 4 THEN concat('DE', CAST(doc_id AS STRING)) ELSE concat('x', CAST(doc_id AS STRING)) END AS identifiant FROM documents),
- bare AS (SELECT doc_id, {d.replace_all(d.replace_all('trim(identifiant)', '^(?i)(SIRET|SIREN)[ ]*:?[ ]*', ''), '[ ]+', '')} AS x, identifiant FROM raw)
- SELECT doc_id, CASE WHEN {d.matches('x', '^[0-9]{14}$')} THEN x WHEN {d.matches('x', '^[A-Z][A-Z][0-9A-Z]+$')} AND left(x, 2) <> 'FR' THEN rpad(left(x, 14), 14, '0') END AS siret,
-   CASE WHEN {d.matches('x', '^[0-9]{14}$')} THEN left(x, 9) WHEN {d.matches('x', '^FR[0-9]{11}$')} THEN substring(x, 5, 9) WHEN {d.matches('x', '^[0-9]{9}$')} THEN x END AS siren
- FROM bare WHERE {d.matches('x', '^([0-9]{14}|[0-9]{9}|[A-Z][A-Z][0-9A-Z]+)$')}""",
-    "text_mentions": lambda d: f"""SELECT doc_id, {d.size(d.all_matches("coalesce(text, '')", '[0-9]+(?:[.][0-9]+)?'))} AS nombres,
- {d.size(d.all_matches("coalesce(text, '')", '[0-9]{4}-[0-9]{2}-[0-9]{2}'))} AS dates_iso FROM documents""",
-    "html_results": lambda d: f"""SELECT page_id, CAST({d.size(d.all_matches('html', '<a [^>]*>', 0))} AS BIGINT) AS liens,
- {d.replace_all(d.extract('html', '<h1>([^<]*)</h1>', 1), '&amp;', '&')} AS titre FROM pages""",
-    "json_categories": lambda d: f"SELECT {d.json_key('props', 'k')} AS k, count(*) AS nb, round(sum(value), 4) AS total FROM events GROUP BY 1",
-    "latest_version_per_key": lambda d: """SELECT user_id, event_id, event_type, value FROM (
+    "latest_version_per_key": """SELECT user_id, event_id, event_type, value FROM (
  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, ts DESC) AS n FROM events) x WHERE n = 1""",
-    "first_writer_wins": lambda d: """SELECT user_id, event_type, CAST(stage AS BIGINT) AS stage, event_id FROM (
+    "first_writer_wins": """SELECT user_id, event_type, CAST(stage AS BIGINT) AS stage, event_id FROM (
  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY stage, event_id) AS n FROM (
   SELECT user_id, event_type, CASE WHEN value >= 50 THEN 0 ELSE 1 END AS stage, event_id FROM events) y) x WHERE n = 1""",
-    "upsert_rows": lambda d: """SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0
+    "upsert_rows": """SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0
  UNION ALL SELECT c_custkey, concat(c_name, ' (maj)') AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0""",
-    "update_from_enrich": lambda d: """SELECT s_suppkey, s_name, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN n_name END, r_name) AS libelle
+    "update_from_enrich": """SELECT s_suppkey, s_name, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN n_name END, r_name) AS libelle
  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
-    "cosine_topk": lambda d: f"""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (
-  SELECT e.vec_id, round({d.dot('e.embedding', 'q.v')} / (sqrt({d.dot('e.embedding', 'e.embedding')}) * sqrt({d.dot('q.v', 'q.v')})), 6) AS similarite
-  FROM embeddings e CROSS JOIN q WHERE e.vec_id <> 0)
-SELECT vec_id, similarite FROM s ORDER BY similarite DESC, vec_id LIMIT 10""",
-    "category_vote": lambda d: f"""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 1), s AS (
-  SELECT e.vec_id, e.label, round({d.dot('e.embedding', 'q.v')}, 6) AS similarite FROM embeddings e CROSS JOIN q WHERE e.vec_id <> 1),
- near_ AS (SELECT * FROM s ORDER BY similarite DESC, vec_id LIMIT 20)
-SELECT label, round(sum(similarite), 4) AS poids, count(*) AS nb, max(similarite) AS meilleure FROM near_ GROUP BY label""",
-    "quality_checks": _canon("""
-SELECT count(*) AS unites, count(DISTINCT siren) AS cles, count(*) FILTER (WHERE denomination IS NULL OR trim(denomination) = '') AS sans_nom,
-       count(*) FILTER (WHERE etat = 'ETRANGER') AS etrangers,
-       (SELECT count(*) FROM attributions a WHERE NOT EXISTS (SELECT 1 FROM entreprises x WHERE x.siren = a.siren)) AS orphelines FROM entreprises"""),
 }
 
-_GRAMS = {  # trigrams of part names: the pairs of distinct names with similarity of at least MINIMUM
-    Duck: """WITH names AS (SELECT DISTINCT p_name AS nom FROM part),
+#: Trigrams of part names: the pairs of distinct names and their similarity.
+_GRAMS = """WITH names AS (SELECT DISTINCT p_name AS nom FROM part),
 words AS (SELECT nom, unnest(list_filter(regexp_split_to_array(lower(nom), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM names),
 grams AS (SELECT DISTINCT nom, substring('  ' || w || ' ', i, 3) AS g FROM words, range(1, 64) r(i) WHERE i <= length(w) + 1),
 sizes AS (SELECT nom, count(*) AS n FROM grams GROUP BY nom),
 met AS (SELECT a.nom AS a, b.nom AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.nom <> b.nom GROUP BY a.nom, b.nom),
 scored AS (SELECT a, b, CAST(k AS DOUBLE) / (x.n + y.n - k) AS score FROM met JOIN sizes x ON x.nom = a JOIN sizes y ON y.nom = b)
-""",
-}
-TRIGRAM_SQL = _GRAMS[Duck] + f"SELECT a AS nom, b AS candidat, round(score, 5) AS score FROM scored WHERE score >= {MINIMUM}"
-BEST_SQL = _GRAMS[Duck] + f"""SELECT nom, candidat, round(score, 5) AS score FROM (SELECT a AS nom, b AS candidat, score, max(score) OVER (PARTITION BY a) AS m FROM scored
+"""
+TRIGRAM_SQL = _GRAMS + f"SELECT a AS nom, b AS candidat, round(score, 5) AS score FROM scored WHERE score >= {MINIMUM}"
+BEST_SQL = _GRAMS + f"""SELECT nom, candidat, round(score, 5) AS score FROM (SELECT a AS nom, b AS candidat, score, max(score) OVER (PARTITION BY a) AS m FROM scored
 WHERE score >= {MINIMUM}) x WHERE score = m"""
 
 
@@ -290,13 +135,15 @@ WHERE source = 'TED' GROUP BY r.uid HAVING count(DISTINCT r.siren) = 1"""
 
 def co_winners_transitive(spark, sf_dir):
     awards = run(spark, sf_dir, f"WITH {CANON} SELECT a.uid, a.siren FROM attributions a")
-    return graph.co_winners(awards, "000000001").select("siren", F.col("depth").cast("long").alias("profondeur"))
+    return graph.co_winners(awards, "000000001").select("siren", F.col("depth").cast("long").alias("profondeur"), "uid")
 
 
 CO_WINNERS_SQL = f"""WITH RECURSIVE {CANON}, a AS (SELECT uid, siren FROM attributions),
 g AS (SELECT '000000001' AS siren, 0 AS depth UNION SELECT b.siren, g.depth + 1 FROM g JOIN a x ON x.siren = g.siren JOIN a b ON b.uid = x.uid AND b.siren <> x.siren
 WHERE g.depth < 2 AND b.siren <> '000000001')
-SELECT siren, CAST(min(depth) AS BIGINT) AS profondeur FROM g WHERE depth > 0 GROUP BY siren"""
+, d AS (SELECT siren, min(depth) AS depth FROM g GROUP BY siren)
+SELECT d.siren, CAST(d.depth AS BIGINT) AS profondeur, min(x.uid) AS uid FROM d JOIN a x ON x.siren = d.siren JOIN a y ON y.uid = x.uid JOIN d e ON e.siren = y.siren AND e.depth = d.depth - 1
+WHERE d.depth > 0 GROUP BY ALL"""
 
 
 def first_writer(spark, sf_dir):
@@ -325,7 +172,16 @@ def stream_bronze_append(spark, sf_dir):
     return got.select("user_id", "event_id", "event_type", "value")
 
 
-QUERIES = {name: partial(lambda spark, sf_dir, q: run(spark, sf_dir, q(Spark)), q=q) for name, q in SQL.items()}
+WINNERS = f"""WITH {CANON}
+SELECT m.uid, m.date_notification, m.montant, array_join(array_sort(collect_set(e.denomination)), ', ') AS titulaires FROM marches m
+LEFT JOIN attributions a ON a.uid = m.uid LEFT JOIN entreprises e ON e.siren = a.siren GROUP BY m.uid, m.date_notification, m.montant"""
+WINNERS_SQL = f"""WITH {CANON}
+SELECT uid, date_notification, montant, coalesce((SELECT string_agg(d, ', ' ORDER BY d) FROM (
+  SELECT DISTINCT e.denomination AS d FROM attributions a JOIN entreprises e ON e.siren = a.siren WHERE a.uid = m.uid) x), '') AS titulaires FROM marches m"""
+
+
+QUERIES = {name: partial(lambda spark, sf_dir, q: run(spark, sf_dir, q), q=q) for name, q in (SQL | {"winners_list": WINNERS}).items()}
+QUERIES |= procurement.QUERIES
 QUERIES |= {
     "trigram_match": trigram_match,
     "trigram_best_with_ties": trigram_best_with_ties,
@@ -338,12 +194,13 @@ QUERIES |= {
     "stream_bronze_append": stream_bronze_append,
 }
 
-ORACLE_SQL = {name: q(Duck) for name, q in SQL.items()} | {
+ORACLE_SQL = SQL | oracles.ORACLE_SQL | {
+    "winners_list": WINNERS_SQL,
     "trigram_match": TRIGRAM_SQL,
     "trigram_best_with_ties": BEST_SQL,
     "normalise_names": NAMES_SQL,
     "person_name_match": PERSON_SQL,
     "buyer_continuity": CONTINUITY_SQL,
     "co_winners_transitive": CO_WINNERS_SQL,
-    "stream_bronze_append": SQL["latest_version_per_key"](Duck),
+    "stream_bronze_append": SQL["latest_version_per_key"],
 }

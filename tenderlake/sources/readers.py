@@ -27,12 +27,15 @@ def text_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def multilingual(value: Column) -> Column:
-    """A string, or a map of language to string or list: French first, else the first language."""
-    v = F.try_parse_json(value)
-    pick = lambda p: F.coalesce(F.try_variant_get(v, f"$.{p}[0]", "string"), F.try_variant_get(v, f"$.{p}", "string"))
-    first = F.element_at(F.json_object_keys(value), 1)
-    other = F.coalesce(F.get_json_object(value, F.concat(F.lit("$."), first, F.lit("[0]"))), F.get_json_object(value, F.concat(F.lit("$."), first)))
-    return F.when(v.isNull(), value).otherwise(F.coalesce(pick("fra"), other, F.try_variant_get(v, "$", "string")))
+    """A string, or a JSON map of language to string or list: French first, else the first
+    language that has one; null if none has."""
+    one = lambda v: F.when(v.startswith("["), F.get(F.from_json(v, "array<string>"), 0)).otherwise(v)
+    said = F.filter(
+        F.transform(F.map_entries(F.from_json(value, "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), one(e["value"]).alias("v"))),
+        lambda x: x["v"].isNotNull() & (x["v"] != ""),
+    )
+    french = F.get(F.filter(said, lambda x: x["k"] == "fra"), 0)["v"]
+    return F.when(value.startswith("{"), F.coalesce(french, F.get(said, 0)["v"])).otherwise(F.nullif(value, F.lit("")))
 
 
 def first_date(value: Column) -> Column:
@@ -56,7 +59,8 @@ def category_codes(notice: Column) -> Column:
 
 
 def tolerant_date(value: Column) -> Column:
-    return F.try_to_date(F.substring(F.trim(value), 1, 10), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.substring(F.trim(value), 1, 10))
+    """The day of an ISO date or instant; null where there is none."""
+    return F.substring(F.trim(value), 1, 10).try_cast("date")
 
 
 def plain_html(html: Column) -> Column:

@@ -1,18 +1,53 @@
-"""Append-only bronze layer from a directory of Parquet files, by Structured Streaming."""
+"""Bronze by Structured Streaming from a directory of Parquet files: append-only, or the last version of each key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _run(rows: DataFrame, checkpoint: str):
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def append(spark: SparkSession, source: str, schema, target: str, checkpoint: str) -> None:
     """Append what has come to ``source`` since the last run, stamped with the load time."""
     rows = spark.readStream.schema(schema).parquet(source).withColumn("date_chargement", F.current_timestamp())
-    rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _run(rows, checkpoint).format("parquet").option("path", target).start().awaitTermination()
 
 
 def latest_versions(bronze: DataFrame, key: str, revision: str) -> DataFrame:
     from tenderlake.operators.versions import latest
 
     return latest(bronze, [key], F.col(revision).desc_nulls_last(), F.col("date_chargement").desc_nulls_last())
+
+
+def keep_latest(spark: SparkSession, source: str, schema, base: str, keys: list[str], revision: str) -> None:
+    """Keep the row of the greatest revision of each key below ``base``, however late it comes.
+
+    A batch writes the whole new state beside the old one, under its own number; a batch that
+    runs again after a failure writes the same folder, so the state is never half changed.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{base}/etat-{number - 1}"))
+        w = Window.partitionBy(*keys).orderBy(F.col(revision).desc_nulls_last())
+        rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{base}/etat-{number}")
+
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    _run(rows, f"{base}/progress").foreachBatch(merge).start().awaitTermination()
+
+
+def kept(spark: SparkSession, base: str) -> DataFrame:
+    """The newest state that ``keep_latest`` has finished."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/etat-*/_SUCCESS"))
+    numbers = [int(f.getPath().getParent().getName().split("-")[-1]) for f in files]
+    return spark.read.parquet(f"{base}/etat-{max(numbers)}")
+
+
+def waves(events: DataFrame, keys: list[str], day: str, gap: str = "30 days") -> DataFrame:
+    """(keys, debut, fin, nb): notification waves of a stream or a table, by session windows; the
+    gap is counted from the last row of a wave, as in the batch chain."""
+    return events.groupBy(*keys, F.session_window(day, gap)).agg(F.min(day).alias("debut"), F.max(day).alias("fin"), F.count("*").alias("nb")).drop("session_window")

@@ -30,9 +30,11 @@ def test_names_and_trigrams(spark):
 
 
 def test_mentions(spark):
-    assert _one(spark, "41 864 € et 1,250.5", text.numbers) == ["41864", "1250.5"]
+    assert _one(spark, "7\u202f305 € et 2,480.25", text.numbers) == ["7305", "2480.25"]
     assert _one(spark, "le 31/12/2025 et 2024-01-02", text.dates) == ["2024-01-02", "2025-12-31"]
-    assert _one(spark, "SIREN 123 456 789.", text.siren_mentions) == ["123456789"]
+    assert _one(spark, "SIREN 123 456 789, 123.456.788 ou 1234567890.", text.siren_mentions) == ["123456789", "123456788"]
+    assert _one(spark, "RÉGIE D'EAU NORD, Paul abC ABc X1", text.upper_names) == ["RÉGIE D'EAU NORD", "X1"]
+    assert _one(spark, "Jean-Marc et PAUL Dupond", text.capitalised_words) == ["Jean-Marc", "Dupond"]
 
 
 REGISTER = "siren string, denomination string, etat string, nom_personne string, prenoms array<string>, siret_siege string"
