@@ -206,7 +206,7 @@ ORACLE_SQL = {
   SELECT r.siret_acheteur, r.code_cpv, r.denomination, count(*) AS nb, max(r.date_notification) AS vu FROM rows_ r
   JOIN last_ l ON l.siret_acheteur = r.siret_acheteur AND l.code_cpv = r.code_cpv WHERE r.denomination <> l.denomination GROUP BY ALL)
 SELECT siret_acheteur, code_cpv, denomination, nb, row_number() OVER w AS rang, CAST(greatest(count(*) OVER (PARTITION BY siret_acheteur, code_cpv) - 10, 0) AS BIGINT) AS autres
-FROM seen QUALIFY rang <= 10 WINDOW w AS (PARTITION BY siret_acheteur, code_cpv ORDER BY nb DESC, vu DESC, denomination)""",
+FROM seen WINDOW w AS (PARTITION BY siret_acheteur, code_cpv ORDER BY nb DESC, vu DESC, denomination) QUALIFY rang <= 10""",
     "near_duplicates": _near(0.01, 30),
     "near_duplicates_wide": _near(0.1, 90),
     "fact_coverage": _FACTS,
