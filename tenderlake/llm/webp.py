@@ -1,16 +1,21 @@
 """Lossless WebP: a decoder for the whole format, an encoder, and media columns of payloads.
 
 The decoder reads prefix codes, back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms.  Where all codes of an image
-have one length and there is neither cache nor back-reference, pixels are fixed bit fields
-and are taken apart as arrays; any other stream is read symbol by symbol.
+predictor, cross-colour, subtract-green and palette transforms.  Where an image has one group
+of codes, the pixel that would start at each bit is looked up for all bits at once, and one
+pass over the pixels follows the chain; images with several groups are read symbol by symbol.
+Predicted rows are inverted as arrays for modes that look at the row above or, alone, to the
+left; other modes go pixel by pixel.
+
+``store`` writes every payload with fitted prefix codes, predictor and cross-colour transforms of
+least estimated entropy, a colour cache and back-references; an image of few colours becomes a
+palette.
 """
 
 from __future__ import annotations
 
-import hashlib
-import heapq
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,10 @@ class _Bits:
     def __init__(self, raw: bytes):
         self.raw, self.at, self.end = raw + b"\0" * 8, 0, 8 * len(raw)
 
+    def peek(self, n: int) -> int:
+        byte = self.at >> 3
+        return int.from_bytes(self.raw[byte : byte + 3], "little") >> (self.at & 7) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         byte = self.at >> 3
         x = int.from_bytes(self.raw[byte : byte + 8], "little") >> (self.at & 7)
@@ -41,64 +50,99 @@ class _Bits:
         return x & ((1 << n) - 1)
 
 
+_TURN = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)], np.uint16)
+
+
+@lru_cache(maxsize=16)
+def _turned(n: int) -> np.ndarray:
+    """The numbers of ``n`` bits in the order of their bits read backwards."""
+    return _TURN[: 1 << n] >> np.uint16(15 - n)
+
+
 class _Code:
-    """A canonical prefix code from lengths by symbol."""
+    """A canonical prefix code from symbols and their lengths, as tables over the next ``most`` bits."""
 
-    def __init__(self, lengths: dict[int, int]):
-        self.lengths = lengths
-        if len(lengths) == 1:
-            self.only, self.table = next(iter(lengths)), {}
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
+        self.only, self.most, self.entry = None, 0, None
+        if len(symbols) == 1:
+            self.only = int(symbols[0])
             return
-        self.only, self.table, code, last = None, {}, 0, 0
-        if sum(1 << (15 - n) for n in lengths.values()) != 1 << 15:
+        self.most = int(lengths.max())
+        order = np.argsort(lengths, kind="stable")
+        each = 1 << (self.most - lengths[order])
+        if each.sum() != 1 << self.most:
             raise ValueError("a prefix code is not complete")
-        for n, symbol in sorted((n, s) for s, n in lengths.items()):
-            code <<= n - last
-            last = n
-            self.table[(n, code)] = symbol
-            code += 1
+        turn = _turned(self.most)
+        self.symbol = np.repeat(symbols[order].astype(np.uint16), each)[turn]
+        self.length = np.repeat(lengths[order].astype(np.uint8), each)[turn]
 
     def read(self, bits: _Bits) -> int:
         if self.only is not None:
             return self.only
-        code = n = 0
-        table_ = self.table
-        while n < 15:
-            code = code << 1 | bits.read(1)
-            n += 1
-            if (symbol := table_.get((n, code))) is not None:
-                return symbol
-        raise ValueError("no such prefix code")
+        at = bits.peek(self.most)
+        bits.read(int(self.length[at]))
+        return int(self.symbol[at])
 
 
 def _read_code(bits: _Bits, size: int) -> _Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
-        return _Code(dict.fromkeys(symbols, 1))
-    lens = {}
+        symbols = np.unique(symbols)
+        return _Code(symbols, np.ones(len(symbols), np.int64))
+    lens = np.zeros(19, np.int64)
     for i in range(4 + bits.read(4)):
-        if n := bits.read(3):
-            lens[_ORDER[i]] = n
-    code = _Code(lens)
+        lens[_ORDER[i]] = bits.read(3)
+    used = np.flatnonzero(lens)
+    code = _Code(used, lens[used])
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    out: dict[int, int] = {}
-    at, last = 0, 8
-    while at < size and left:
+    entry = [(code.only, 0)] if code.only is not None else list(zip(code.symbol.tolist(), code.length.tolist()))
+    mask = (1 << code.most) - 1
+    out, last = [], 8
+    # Tokens of up to 14 bits are taken from a number that holds the next bytes.
+    held = have = 0
+    while len(out) < size and left:
+        if have < 14:
+            byte = bits.at >> 3
+            held, have = int.from_bytes(bits.raw[byte : byte + 24], "little") >> (bits.at & 7), 184
         left -= 1
-        s = code.read(bits)
+        s, n = entry[held & mask]
         if s < 16:
+            out.append(s)
             if s:
-                out[at] = last = s
-            at += 1
+                last = s
         else:
-            n = (3 + bits.read(2)) if s == 16 else (3 + bits.read(3)) if s == 17 else (11 + bits.read(7))
-            if s == 16:
-                out |= dict.fromkeys(range(at, min(size, at + n)), last)
-            at += n
-    if at > size:
+            more, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+            out += [last if s == 16 else 0] * (least + (held >> n & ((1 << more) - 1)))
+            n += more
+        held >>= n
+        have -= n
+        bits.at += n
+    if bits.at > bits.end:
+        raise ValueError("the stream is too short")
+    if len(out) > size:
         raise ValueError("too many code lengths")
-    return _Code(out or {0: 1})
+    lens = np.array(out, np.int64)
+    used = np.flatnonzero(lens)
+    return _Code(used, lens[used]) if len(used) else _Code(np.zeros(1, np.int64), np.ones(1, np.int64))
+
+
+def _read_group(bits: _Bits, sizes: tuple[int, ...]) -> list[_Code]:
+    """The five codes of a group; one whose bits repeat those of the code before is that code."""
+    out, known = [], None
+    for size in sizes:
+        begin = bits.at
+        if known is not None and known[0] == size:
+            _, n, word = known
+            byte = begin >> 3
+            if int.from_bytes(bits.raw[byte : byte + (n >> 3) + 2], "little") >> (begin & 7) & ((1 << n) - 1) == word:
+                bits.at += n
+                out.append(out[-1])
+                continue
+        out.append(_read_code(bits, size))
+        n, byte = bits.at - begin, begin >> 3
+        known = (size, n, int.from_bytes(bits.raw[byte : byte + (n >> 3) + 2], "little") >> (begin & 7) & ((1 << n) - 1))
+    return out
 
 
 def _extra(bits: _Bits, prefix: int) -> int:
@@ -109,29 +153,127 @@ def _extra(bits: _Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << n) + bits.read(n) + 1
 
 
-def _fields(bits: _Bits, codes: list[_Code], n: int) -> np.ndarray | None:
-    """n pixels of codes that are bit fields; None if they are not."""
-    if any(len(set(c.lengths.values())) > 1 for c in codes[:4]) or max(codes[0].lengths) > 255:
-        return None
-    width = [0 if c.only is not None else next(iter(c.lengths.values())) for c in codes[:4]]
-    total = sum(width)
-    if bits.at + n * total > bits.end:
-        raise ValueError("the stream is too short")
-    first, out = bits.at >> 3, np.zeros((n, 4), np.uint8)
-    raw = np.frombuffer(bits.raw, np.uint8, (bits.at + n * total + 7) // 8 - first, first)
-    field = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: n * total].reshape(n, total)
-    at = 0
-    for channel, (c, w) in enumerate(zip(codes, width)):
-        symbols = np.array(sorted(c.lengths), np.uint8)
-        value = np.zeros(n, np.uint8)
-        for i in range(at, at + w):
-            value = value << 1 | field[:, i]
-        out[:, channel] = symbols[value] if w else symbols[0]
-        at += w
-    bits.at += n * total
-    # Codes come as green, red, blue, alpha.
-    g, r, b, a = (out[:, i].astype(np.uint32) for i in range(4))
-    return a << 24 | r << 16 | g << 8 | b
+#: Pixels looked up at a time, so that memory does not grow with the image.
+_SPAN = 1 << 16
+
+
+def _one_group(bits: _Bits, codes: list[_Code], n: int, w: int, cache_bits: int) -> np.ndarray:
+    """n pixels of an image with one group of codes."""
+    parts, events, i = [], [], 0
+    raw = np.frombuffer(bits.raw, np.uint8)
+    green = codes[0]
+    done = 0  # literal and cached pixels so far
+    if all(c.only is not None for c in codes[:4]) and green.only < 256:
+        g, r, b, a = (c.only for c in codes[:4])
+        return np.full(n, a << 24 | r << 16 | g << 8 | b, np.uint32)
+    while i < n:
+        first = bits.at >> 3
+        part = raw[first : first + _SPAN + 16].astype(np.uint32)
+        if bits.at > bits.end or len(part) < 9:
+            raise ValueError("the stream is too short")
+        three = part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)
+        window = (three[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
+        last, base = len(window) - 1, 8 * first
+        at = np.arange(len(window), dtype=np.int32)
+        if green.only is None:
+            look = window & np.uint32((1 << green.most) - 1)
+            step, kind = at + green.length[look], green.symbol[look]
+        else:
+            step, kind = at, np.full(len(at), green.only, np.uint16)
+        nxt, where = step, []
+        for c in codes[1:4]:
+            where.append(nxt)
+            if c.only is None:
+                nxt = nxt + c.length[window[np.minimum(nxt, last)] & np.uint32((1 << c.most) - 1)]
+        jump = memoryview(np.where(kind < 256, nxt, np.where(kind < 280, -1, step)).astype(np.int32))
+        p, own = bits.at - base, []
+        stop = len(window) - 64 if first + _SPAN + 16 < len(raw) else min(len(window) - 1, bits.end - base + 1)
+        add = own.append
+        while i < n and p < stop:
+            q = jump[p]
+            if q >= 0:
+                add(p)
+                p = q
+                i += 1
+                continue
+            bits.at = base + p
+            length = _extra(bits, green.read(bits) - 256)
+            events.append((done + len(own), length, _extra(bits, codes[4].read(bits))))
+            i += length
+            p = bits.at - base
+        bits.at = base + p
+        if bits.at > bits.end or (i < n and p < len(window) - 64 and p >= stop):
+            raise ValueError("the stream is too short")
+        own = np.array(own, np.int64)
+        value, seen = kind[own].astype(np.uint32), kind[own]
+        channels = []
+        for c, w_at in zip(codes[1:4], where):
+            x = c.symbol[window[np.minimum(w_at[own], last)] & np.uint32((1 << c.most) - 1)].astype(np.uint32) if c.only is None else np.uint32(c.only)
+            channels.append(x)
+        r, b, a = channels
+        parts.append((seen, a << np.uint32(24) | r << np.uint32(16) | value << np.uint32(8) | b))
+        done += len(own)
+    if i > n:
+        raise ValueError("a back-reference leaves the image")
+    kind, px = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.uint32))
+    hit = kind >= 280
+    if not events:
+        return _from_cache(px, kind, hit, cache_bits) if hit.any() else px.astype(np.uint32)
+    return _resolved(px, kind, hit, events, n, w, cache_bits)
+
+
+def _slots(px: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (px.astype(np.uint32) * np.uint32(_HASH)) >> np.uint32(32 - cache_bits)
+
+
+def _from_cache(px: np.ndarray, kind: np.ndarray, hit: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Pixels where cached ones take the last literal of their slot, which none other has replaced."""
+    slot = np.where(hit, kind.astype(np.int64) - 280, _slots(px, cache_bits))
+    order = np.argsort(slot, kind="stable")
+    source = np.where(hit[order], -1, np.arange(len(px)))
+    begin = np.concatenate([[True], np.diff(slot[order]) != 0])
+    source = np.where(begin & hit[order], -2 - np.arange(len(px)), source)
+    # The nearest literal before in the same slot, or the empty slot, which holds zero.
+    mark = np.maximum.accumulate(np.where(source != -1, np.arange(len(px)), 0))
+    found = source[mark]
+    out = np.empty(len(px), np.uint32)
+    out[order] = np.where(found >= 0, px[order][np.maximum(found, 0)], 0)
+    return out
+
+
+def _resolved(px: np.ndarray, kind: np.ndarray, hit: np.ndarray, events: list, n: int, w: int, cache_bits: int) -> np.ndarray:
+    """Pixels with back-references and, where there is one, the colour cache, in order."""
+    out: list[int] = []
+    cache = [0] * (1 << cache_bits) if cache_bits else []
+    shift, values = 32 - cache_bits, px.tolist()
+    slots = (kind.astype(np.int64) - 280).tolist() if hit.any() else None
+    known = hit.tolist() if slots is not None else None
+    taken = 0
+    for upto, length, code in [*events, (len(values), 0, 0)]:
+        if slots is None:
+            out += values[taken:upto]
+            if cache_bits:
+                for v in values[taken:upto]:
+                    cache[(_HASH * v & 0xFFFFFFFF) >> shift] = v
+        else:
+            for k in range(taken, upto):
+                v = cache[slots[k]] if known[k] else values[k]
+                cache[(_HASH * v & 0xFFFFFFFF) >> shift] = v
+                out.append(v)
+        taken = upto
+        if length:
+            back = code - 120 if code > 120 else max(1, _NEAR[code - 1][0] + _NEAR[code - 1][1] * w)
+            i = len(out)
+            if back > i or i + length > n:
+                raise ValueError("a back-reference leaves the image")
+            copy = out[i - back : i - back + length]
+            while len(copy) < length:
+                copy += copy[: length - len(copy)] if len(copy) % back == 0 else out[i - back : i][len(copy) % back :][: length - len(copy)]
+            out += copy
+            if cache_bits:
+                for v in copy:
+                    cache[(_HASH * v & 0xFFFFFFFF) >> shift] = v
+    return np.array(out, np.uint32)
 
 
 def _image(bits: _Bits, w: int, h: int, main: bool) -> np.ndarray:
@@ -148,10 +290,10 @@ def _image(bits: _Bits, w: int, h: int, main: bool) -> np.ndarray:
         groups = int(meta.max()) + 1
     cached = 1 << cache_bits if cache_bits else 0
     sizes = (256 + 24 + cached, 256, 256, 256, 40)
-    codes = [[_read_code(bits, s) for s in sizes] for _ in range(groups)]
+    codes = [_read_group(bits, sizes) for _ in range(groups)]
     n = w * h
-    if groups == 1 and not cache_bits and (got := _fields(bits, codes[0], n)) is not None:
-        return got
+    if groups == 1:
+        return _one_group(bits, codes[0], n, w, cache_bits)
     out, cache, done = [0] * n, [0] * cached, 0
     group = codes[0]
     i = 0
@@ -233,14 +375,41 @@ def _mode_at(modes, shift: int, tiles: int, x: int, y: int) -> int:
     return 2 if x == 0 else int(modes[(y >> shift) * tiles + (x >> shift)]) >> 8 & 15
 
 
+def _halves(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.uint16) + b) >> 1).astype(np.uint8)
+
+
 def _unpredict(px: np.ndarray, w: int, h: int, shift: int, modes: np.ndarray) -> np.ndarray:
-    out, tiles = px.tolist(), (w + (1 << shift) - 1) >> shift
-    for i in range(w * h):
-        y, x = divmod(i, w)
-        mode = _mode_at(modes, shift, tiles, x, y)
-        near = (out[i - 1] if i else 0, 0, 0, 0) if y == 0 else _neighbours(out, i, x, w)
-        out[i] = _add(out[i], predict(mode, *near))
-    return np.array(out, np.uint32)
+    """Pixels from what the predictor left, a row at a time."""
+    out, tiles = np.ascontiguousarray(px).view(np.uint8).reshape(h, w, 4).copy(), (w + (1 << shift) - 1) >> shift
+    out[0, 0, 3:] += np.uint8(255)
+    out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
+    out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
+    kinds = (modes >> np.uint32(8) & np.uint32(15)).reshape(-1, tiles)
+    for y in range(1, h):
+        row, up, mode = out[y], out[y - 1], kinds[y >> shift]
+        if w == 1:
+            continue
+        if (mode != mode[0]).any() or (m := int(mode[0])) not in (0, 1, 2, 3, 4, 8, 9, 14, 15):
+            words, above = row.view(np.uint32).ravel().tolist(), up.view(np.uint32).ravel().tolist()
+            for x in range(1, w):
+                right = above[x + 1] if x + 1 < w else words[0]
+                words[x] = _add(words[x], predict(int(mode[x >> shift]), words[x - 1], above[x], above[x - 1], right))
+            row.view(np.uint32).ravel()[:] = words
+        elif m in (0, 14, 15):
+            row[1:, 3] += 255
+        elif m == 1:
+            row[:] = np.cumsum(row, axis=0, dtype=np.uint8)
+        elif m == 2:
+            row[1:] += up[1:]
+        elif m == 4:
+            row[1:] += up[:-1]
+        elif m == 8:
+            row[1:] += _halves(up[:-1], up[1:])
+        else:
+            right = np.concatenate([up[2:], row[:1]])
+            row[1:] += right if m == 3 else _halves(up[1:], right)
+    return out.view(np.uint32).ravel()
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -250,8 +419,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _cross(px: np.ndarray, w: int, h: int, shift: int, elements: np.ndarray, sign: int) -> np.ndarray:
     """Add (sign 1: decode) or take away the colour that green, and red, foretell."""
     tiles = (w + (1 << shift) - 1) >> shift
-    at = np.arange(w * h)
-    e = elements[(at // w >> shift) * tiles + (at % w >> shift)]
+    if len(elements) == 1:
+        e = elements
+    else:
+        at = np.arange(w * h)
+        e = elements[(at // w >> shift) * tiles + (at % w >> shift)]
     to_red, to_blue, red_to_blue = _signed(e & 255), _signed(e >> 8 & 255), _signed(e >> 16 & 255)
     green = _signed(px >> 8 & 255)
     red, blue = (px >> 16 & 255).astype(np.int32), (px & 255).astype(np.int32)
@@ -328,58 +500,77 @@ class _Out:
         self.value |= value << self.n
         self.n += n
 
+    def put_words(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Values of up to 64 bits each, in order."""
+        at = np.cumsum(sizes) - sizes + self.n
+        total = int(sizes.sum()) + self.n
+        words = np.zeros((total >> 6) + 2, np.uint64)
+        place, shift = at >> 6, (at & 63).astype(np.uint64)
+        over = np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        for target, part in ((place, values << shift), (place + 1, over)):
+            # No two values share a bit, so those of one word add up.
+            first = np.flatnonzero(np.concatenate([[True], np.diff(target) != 0]))
+            if len(target):
+                words[target[first]] += np.add.reduceat(part, first)
+        self.value |= int.from_bytes(words.tobytes(), "little")
+        self.n = total
+
     def bytes(self) -> bytes:
         return self.value.to_bytes((self.n + 7) // 8, "little")
 
 
-def _lengths(counts: dict[int, int], most: int) -> dict[int, int]:
-    """Lengths of a prefix code for counts, none above ``most``."""
-    if len(counts) < 2:
-        return dict.fromkeys(counts or {0: 1}, 1)
-    floor = 1
-    while True:
-        heap = [(max(n, floor), i, (s,)) for i, (s, n) in enumerate(sorted(counts.items()))]
-        heapq.heapify(heap)
-        depth, nth = dict.fromkeys(counts, 0), len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], nth, a[2] + b[2]))
-            nth += 1
-        if max(depth.values()) <= most:
-            return depth
-        floor *= 2
-
-
-def _codes(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """(bits in stream order, length) by symbol."""
-    if len(lengths) == 1:
-        return {s: (0, 0) for s in lengths}
-    out, code, last = {}, 0, 0
-    for n, s in sorted((n, s) for s, n in lengths.items()):
-        code <<= n - last
-        last = n
-        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-        code += 1
+def _fitted(counts: np.ndarray, most: int = 12) -> np.ndarray:
+    """Lengths of a complete prefix code close to the counts' entropy, none above ``most``; 1 for a
+    sole symbol, and for symbol 0 where there is none."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        out[used if len(used) else 0] = 1
+        return out
+    n = counts[used].astype(np.float64)
+    size = np.clip(np.ceil(np.log2(n.sum()) - np.log2(n) - 1e-9), 1, most).astype(np.int64)
+    room = (1 << most) - int((1 << (most - size)).sum())
+    if room:
+        order = np.argsort(-n, kind="stable").tolist()
+        size = size.tolist()
+        while room < 0:  # lengths that were cut to the most: others grow, the rarest first
+            for i in reversed(order):
+                if size[i] < most and room < 0:
+                    size[i] += 1
+                    room += 1 << (most - size[i])
+        while room > 0:  # what is left over shortens the most frequent that fit
+            for i in order:
+                if size[i] > 1 and (gain := 1 << (most - size[i])) <= room:
+                    size[i] -= 1
+                    room -= gain
+                    if not room:
+                        break
+    out[used] = size
     return out
 
 
-def _put_code(out: _Out, lengths: dict[int, int], size: int) -> None:
-    symbols = sorted(lengths)
-    if len(symbols) <= 2 and symbols[-1] < 256 and set(lengths.values()) == {1}:
-        out.put(1, 1)
-        out.put(len(symbols) - 1, 1)
-        out.put(1, 1)
+def _written(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits in stream order, their number) by symbol of a code of these lengths."""
+    used = np.flatnonzero(lengths)
+    bits, sizes = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
+    if len(used) > 1:
+        order = used[np.argsort(lengths[used], kind="stable")]
+        each = 1 << (15 - lengths[order])
+        bits[order] = _TURN[np.cumsum(each) - each]
+        sizes[used] = lengths[used]
+    return bits, sizes
+
+
+def _put_code(out: _Out, lengths: np.ndarray) -> None:
+    symbols = np.flatnonzero(lengths).tolist()
+    if len(symbols) <= 2 and symbols[-1] < 256 and lengths[symbols].max() == 1:
+        out.put(1 | (len(symbols) - 1) << 1 | 1 << 2, 3)
         for s in symbols:
             out.put(s, 8)
         return
-    tokens, at, last = [], 0, 8
-    while at < size:
-        n, run = lengths.get(at, 0), 1
-        while at + run < size and lengths.get(at + run, 0) == n:
-            run += 1
-        at += run
+    edge = np.flatnonzero(np.concatenate([[True], lengths[1:] != lengths[:-1]]))
+    tokens, last = [], 8
+    for n, run in zip(lengths[edge].tolist(), np.diff(np.concatenate([edge, [len(lengths)]])).tolist()):
         if n and n != last:
             tokens.append((n, 0, 0))
             last, run = n, run - 1
@@ -397,21 +588,16 @@ def _put_code(out: _Out, lengths: dict[int, int], size: int) -> None:
                 k = 1
                 tokens.append((n, 0, 0))
             run -= k
-    counts: dict[int, int] = {}
-    for s, _, _ in tokens:
-        counts[s] = counts.get(s, 0) + 1
-    lens = _lengths(counts, 7)
-    code = _codes(lens)
-    used = max(i for i, s in enumerate(_ORDER) if s in lens) + 1
-    used = max(4, used)
+    s, extra, wide = np.array(tokens, np.int64).T
+    lens = _fitted(np.bincount(s, minlength=19), 7)
+    bits, sizes = _written(lens)
+    used = max(4, max(i for i, x in enumerate(_ORDER) if lens[x]) + 1)
+    head = 0
+    for i, x in enumerate(_ORDER[:used]):
+        head |= int(lens[x]) << 3 * i
+    out.put((used - 4) << 1 | head << 5, 5 + 3 * used)
     out.put(0, 1)
-    out.put(used - 4, 4)
-    for s in _ORDER[:used]:
-        out.put(lens.get(s, 0), 3)
-    out.put(0, 1)
-    for s, extra, n in tokens:
-        out.put(*code[s])
-        out.put(extra, n)
+    out.put_words(bits[s] | extra.astype(np.uint64) << sizes[s].astype(np.uint64), sizes[s] + wide)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -469,10 +655,16 @@ def _put_image(out: _Out, px: list[int], w: int, main: bool, cache_bits: int = 0
     if main:
         out.put(0, 1)
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    lens = [_lengths(c, 15) for c in counts]
-    for n, s in zip(lens, sizes):
-        _put_code(out, n, s)
-    codes = [_codes(n) for n in lens]
+    fits = []
+    for c, size in zip(counts, sizes):
+        n = np.zeros(size, np.int64)
+        n[list(c)] = list(c.values())
+        fits.append(_fitted(n))
+        _put_code(out, fits[-1])
+    codes = []
+    for f in fits:
+        bits, lens = _written(f)
+        codes.append(list(zip(map(int, bits), lens.tolist())))
     for kind, x in coded:
         if kind == "raw":
             for c, s in zip(codes, x):
@@ -548,68 +740,248 @@ def _sub(a: int, b: int) -> int:
     return sum(((x - y) & 255) << s for x, y, s in zip(_bytes(a), _bytes(b), (24, 16, 8, 0)))
 
 
-def encode_fields(px: np.ndarray) -> bytes:
-    """A file whose prefix codes have one length a channel: 7 bits where all values allow it, else 8."""
-    h, w = px.shape
-    out, flat = _header(w, h), px.astype(np.uint32).ravel()
-    out.put(0, 3)  # no transform, cache or further code groups
-    cols = []
-    for s, size in zip((8, 16, 0, 24), (280, 256, 256, 256)):
-        value = (flat >> np.uint32(s)).astype(np.uint8)
-        n = 7 if value.max() < 128 else 8
-        _put_code(out, dict.fromkeys(range(1 << n), n), size)
-        cols.append(value[:, None] >> np.arange(n - 1, -1, -1, dtype=np.uint8) & 1)
-    _put_code(out, {0: 1}, 40)
-    head = np.unpackbits(np.frombuffer(out.bytes(), np.uint8), bitorder="little")[: out.n]
-    body = np.concatenate(cols, axis=1).ravel()
-    return _file(np.packbits(np.concatenate([head, body]), bitorder="little").tobytes())
-
-
-def store(payload: bytes) -> bytes:
-    """A payload of 4 n bytes as an image 16 pixels wide (wider only above 16,384 rows)."""
-    px = np.frombuffer(payload, ">u4")
+def _entropy(px: np.ndarray) -> float:
+    """Bits that the four channels of pixels [n, 4] take by their own counts, less a constant."""
+    n = np.bincount((px + _CHANNEL).ravel())
+    n = n[n > 1].astype(np.float64)
+    return -float((n * np.log2(n)).sum())
+
+
+_CHANNEL = np.array([0, 256, 512, 768], np.int64)
+
+
+def _residuals(px: np.ndarray, mode: int) -> np.ndarray:
+    """What a mode leaves of pixels [h, w, 4]: the first row looks left, the first column up."""
+    out = px.copy()
+    out[0, 0, 3:] -= np.uint8(255)
+    out[0, 1:] -= px[0, :-1]
+    out[1:, 0] -= px[:-1, 0]
+    if px.shape[0] > 1 and px.shape[1] > 1:
+        up, own = px[:-1], out[1:, 1:]
+        if mode == 0:
+            own[:, :, 3] -= 255
+        elif mode == 1:
+            own -= px[1:, :-1]
+        elif mode == 2:
+            own -= up[:, 1:]
+        elif mode == 4:
+            own -= up[:, :-1]
+        else:
+            own -= _halves(up[:, :-1], up[:, 1:])
+    return out
+
+
+def _slope(a: np.ndarray, b: np.ndarray) -> int:
+    """The multiplier, in 32nds, by which ``a`` foretells ``b`` best, as a byte."""
+    a = a.astype(np.float64)
+    square = float((a * a).sum())
+    return int(np.clip(round(32 * float((a * b).sum()) / square), -128, 127)) & 255 if square else 0
+
+
+def _matches(px: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, earlier positions) where ``least`` pixels are those of the latest earlier place."""
+    none = np.zeros(0, np.int64)
+    n = len(px) - least + 1
+    if n < 2:
+        return none, none
+    key = np.zeros(n, np.uint64)
+    for i in range(least):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + px[i : i + n]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    return order[same + 1], order[same]
+
+
+def _parse(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy back-references (position, length, distance) of four pixels or more."""
+    here, back = _matches(px)
+    if not len(here):
+        return []
+    order = np.argsort(here)
+    found, free, words = [], 0, px.tolist()
+    for i, j in zip(here[order].tolist(), back[order].tolist()):
+        if i < free or words[i : i + 4] != words[j : j + 4]:
+            continue
+        n = 4
+        while n < 4096 and i + n < len(words) and words[i + n] == words[j + n]:
+            n += 1
+        found.append((i, n, i - j))
+        free = i + n
+    return found
+
+
+def _put_pixels(out: _Out, px: np.ndarray, w: int, cache_bits: int) -> None:
+    """The main image with one group of fitted prefix codes: back-references where they cover a
+    sixteenth of the pixels, else a colour cache.  Red and blue take one code where that costs
+    at most a tenth more than two."""
+    n = len(px)
+    refs = _parse(px)
+    if 16 * sum(length for _, length, _ in refs) < n:
+        refs = []
+    cache_bits = 0 if refs else cache_bits
+    green = (px >> np.uint32(8) & np.uint32(255)).astype(np.int64)
+    literal, far = np.ones(n, bool), {}
+    out.put(1 if cache_bits else 0, 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+        slot = _slots(px, cache_bits)
+        order = np.argsort(slot, kind="stable")
+        hit = order[1:][(slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])]
+        literal[hit] = False
+        green[hit] = 280 + slot[hit].astype(np.int64)
+        at = np.arange(n)
+    else:
+        near = {dx + dy * w: k for k, (dx, dy) in reversed(list(enumerate(_NEAR, 1))) if dx + dy * w >= 1}
+        head = np.ones(n, bool)
+        for i, length, distance in refs:
+            head[i + 1 : i + length] = False
+            literal[i] = False
+            far[i] = (*_prefix(length), *_prefix(near.get(distance, distance + 120)))
+            green[i] = 256 + far[i][0]
+        at = np.flatnonzero(head)
+    out.put(0, 1)  # one group of codes
+    lit = literal[at]
+    channels = np.stack([px >> np.uint32(16), px, px >> np.uint32(24)]).astype(np.uint8)
+    own = channels[:, at[lit]]
+    counts = np.bincount((own + _CHANNEL[:3, None]).ravel(), minlength=768).reshape(3, 256)
+    bits_of = lambda c: -float((c[c > 0] * np.log2(c[c > 0] / c.sum())).sum()) if c.any() else 0.0
+    whole = counts[0] + counts[1]
+    shared = bits_of(whole) * 10 <= (bits_of(counts[0]) + bits_of(counts[1])) * 11
+    fits = [*([_fitted(whole)] * 2 if shared else map(_fitted, counts[:2])), _fitted(counts[2])]
+    fits = [_fitted(np.bincount(green[at], minlength=280 + (1 << cache_bits if cache_bits else 0))), *fits,
+            _fitted(np.bincount([f[3] for f in far.values()], minlength=40) if far else np.zeros(40, np.int64))]
+    made: dict[int, tuple] = {}
+    for f in fits:
+        if id(f) not in made:
+            code = _Out()
+            _put_code(code, f)
+            made[id(f)] = (code.value, code.n, _written(f))
+        out.put(*made[id(f)][:2])
+    tables = [made[id(f)][2] for f in fits]
+    value, size = tables[0][0][green[at]], tables[0][1][green[at]]
+    for (bits, lens), c in zip(tables[1:4], channels):
+        x = c[at]
+        value |= np.where(lit, bits[x], np.uint64(0)) << size.astype(np.uint64)
+        size = size + np.where(lit, lens[x], 0)
+    for k, i in zip(np.searchsorted(at, sorted(far)).tolist(), sorted(far)):
+        _, extra, wide, p, more, m = far[i]
+        word, width = int(value[k]) | extra << int(size[k]), int(size[k]) + wide
+        word |= int(tables[4][0][p]) << width
+        width += int(tables[4][1][p])
+        value[k], size[k] = word | more << width, width + m
+    out.put_words(value, size)
+
+
+def _put_small(out: _Out, words: list[int], w: int) -> None:
+    """The image of a transform's bands; one word alone is five codes of one symbol."""
+    if len(words) > 1:
+        _put_image(out, words, w, False, references=False)
+        return
+    out.put(0, 1)
+    for s in (words[0] >> 8 & 255, words[0] >> 16 & 255, words[0] & 255, words[0] >> 24, 0):
+        out.put(1 | 1 << 2 | s << 3, 11)
+
+
+def store(payload: bytes, cache_bits: int = 6) -> bytes:
+    """A payload of 4 n bytes as a lossless WebP file of four bytes a pixel, about square.
+
+    An image of at most 256 colours, each twice as frequent as the palette costs, is written as
+    a palette.  Any other has a predictor and a cross-colour transform in bands of 512 rows, the
+    mode and the multipliers those of least entropy.  Payloads beyond 16,384 pixels squared
+    (1 GiB) are refused.
+    """
+    px = np.frombuffer(payload, ">u4").astype(np.uint32)
     w = 16
-    while len(px) > w << 14:
+    while w * w < len(px) and w < 1 << 14:
         w *= 2
+    if len(px) > w << 14:
+        raise ValueError("a payload above 1 GiB is no image of this format")
     px = np.pad(px, (0, -len(px) % w)).reshape(-1, w)
-    return encode(px, palette=True) if len(px) <= 16 and len(np.unique(px)) <= 16 else encode_fields(px)
+    h = len(px)
+    colours = np.unique(px)
+    if len(colours) <= min(256, px.size // 4):
+        return encode(px, palette=True)
+    out, bands = _header(w, h), range(0, h, 512)
+    image = px.view(np.uint8).reshape(h, w, 4)
+    left, modes, factors = [], [], []
+    for y in bands:
+        # The row above a band foretells its first one.
+        rows = image[max(0, y - 1) : y + 512]
+        tried = {m: _residuals(rows, m)[1 if y else 0 :] for m in (0, 1, 2)}
+        best = min(tried, key=lambda m: _entropy(tried[m].reshape(-1, 4)))
+        modes.append(best)
+        left.append(tried[best])
+    left = np.ascontiguousarray(np.concatenate(left)).view(np.uint32).reshape(h, w)
+    if w > 512:
+        modes = [m for m in modes for _ in range((w + 511) >> 9)]
+    out.put(1 | 0 << 1 | 7 << 3, 6)
+    _put_small(out, [m << 8 | 0xFF000000 for m in modes], (w + 511) >> 9)
+    flat, crossed = left.ravel(), []
+    for y in bands:
+        band = left[y : y + 512].ravel()
+        g, r, b = (_signed(band >> np.uint32(s) & np.uint32(255)) for s in (8, 16, 0))
+        options = [0, _slope(g, r) | _slope(g, b) << 8 | _slope(r, b) << 16]
+        made = {e: _cross(band, w, len(band) // w, 9, np.array([e], np.uint32), -1) for e in dict.fromkeys(options)}
+        best = min(made, key=lambda e: _entropy(np.ascontiguousarray(made[e]).view(np.uint8).reshape(-1, 4)))
+        factors.append(best | 0xFF000000)
+        crossed.append(made[best])
+    if w > 512:
+        factors = [f for f in factors for _ in range((w + 511) >> 9)]
+    out.put(1 | 1 << 1 | 7 << 3, 6)
+    _put_small(out, factors, (w + 511) >> 9)
+    flat = np.concatenate(crossed).astype(np.uint32)
+    out.put(0, 1)
+    _put_pixels(out, flat, w, cache_bits)
+    return _file(out.bytes())
 
 
-def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 64) -> DataFrame:
-    """(id, n_bytes, media, payload, feature): UTF-8 of whole texts, padded with zeros to a
+def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 64, pixels: bool = True) -> DataFrame:
+    """(id, n_bytes, media, pixels, payload, feature): UTF-8 of whole texts, padded with zeros to a
     positive multiple of ``unit``, stored as lossless WebP and read back from it.
 
-    ``feature`` has the image's width, height and the mean of each channel read back.  A null
-    text is empty; rows and ids repeat as they come; other columns are not read.
+    ``feature`` has the image's width, height and the mean of each channel read back; ``pixels``
+    are the ARGB words of the image in rows, as signed integers, where ``pixels`` is asked for.
+    A null text is empty; rows and ids repeat as they come; an empty table gives an empty
+    result; other columns are not read.
     """
     small_batches(docs.sparkSession, 500)
 
+    def one(text: bytes) -> tuple:
+        size = max(unit, -(-len(text) // unit) * unit)
+        file = store(text.ljust(size, b"\0"))
+        px = decode(file)
+        back = px.astype(">u4").tobytes()[:size]
+        means = np.frombuffer(back, np.uint8).reshape(-1, 4).mean(axis=0)
+        shape = f"{px.shape[1]}x{px.shape[0]} " + " ".join(f"{m:.3f}" for m in means)
+        return len(text), file, px.view(np.int32).ravel() if pixels else None, back, shape
+
     def run(batches):
+        done: dict = {}  # short copies of one text are stored alike, so once a task
         for b in batches:
-            n, files, payloads, features = [], [], [], []
+            rows = []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 t = t or b""
-                size = max(unit, -(-len(t) // unit) * unit)
-                file = store(t.ljust(size, b"\0"))
-                px = decode(file)
-                back = px.astype(">u4").tobytes()[:size]
-                means = np.frombuffer(back, np.uint8).reshape(-1, 4).mean(axis=0)
-                n.append(len(t))
-                files.append(file)
-                payloads.append(back)
-                features.append(f"{px.shape[1]}x{px.shape[0]} " + " ".join(f"{m:.3f}" for m in means))
+                if (row := done.get(t)) is None:
+                    row = one(t)
+                    if len(t) < 1 << 14:
+                        if len(done) >= 1000:
+                            done.clear()
+                        done[t] = row
+                rows.append(row)
+            n, files, arrays, payloads, features = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(files, pa.binary()), pa.array(payloads, pa.binary()), pa.array(features, pa.string())],
-                names=["id", "n_bytes", "media", "payload", "feature"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(files, pa.binary()), pa.array(arrays, pa.list_(pa.int32())), pa.array(payloads, pa.binary()), pa.array(features, pa.string())],
+                names=["id", "n_bytes", "media", "pixels", "payload", "feature"],
             )
         trim()
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, n_bytes long, media binary, payload binary, feature string").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, "id long, n_bytes long, media binary, pixels array<int>, payload binary, feature string").withColumnRenamed("id", id_col)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media(table(spark, sf_dir, "documents")).select(
+    """Digests of each row of ``documents`` as stored media and as read back; a null text is empty."""
+    return media(table(spark, sf_dir, "documents"), pixels=False).select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), "feature",

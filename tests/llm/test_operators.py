@@ -181,12 +181,11 @@ def test_webp_round_trip(options):
     for shape in ((1, 1), (3, 5), (33, 40)):
         px = (rng.integers(0, 3, shape) * 0x01020304 + 0x10203040).astype(np.uint32)
         assert np.array_equal(webp.decode(webp.encode(px, **options)), px)
-        assert np.array_equal(webp.decode(webp.encode_fields(px)), px)
         if "palette" not in options:
             px = rng.integers(0, 1 << 32, shape, dtype=np.uint32)
             assert np.array_equal(webp.decode(webp.encode(px, **options)), px)
     with pytest.raises(ValueError):
-        webp.decode(webp.encode_fields(px)[:60])
+        webp.decode(webp.store(bytes(range(256)) * 8)[:200])
 
 
 def test_media_columns(spark, docs, empty):
