@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import materialize, table
 
 #: Headers of a 304 answer that replace those of the stored response (fixed by HTTP semantics).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -67,15 +67,20 @@ def to_text(records: DataFrame) -> DataFrame:
     return records.select(F.concat(warc, F.lit(2 * _END), http, F.lit(2 * _END), F.coalesce("body", F.lit(""))).alias("record"))
 
 
-def _fields(block: Column) -> Column:
+def _field(head: Column, name: str) -> Column:
+    """The value of a header line, null where there is none; names match in any case."""
+    return F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+
+
+def _headers(block: Column) -> Column:
     """Header lines after the first as a map with names in lower case; of a repeated name the last counts."""
-    pairs = F.filter(
-        F.transform(F.slice(F.split(block, _END), 2, 1 << 20), lambda x: F.struct(
-            F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v"))),
-        lambda p: p["k"] != "",
+    name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
+    value = lambda x: F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)))
+    lines = F.filter(F.slice(F.split(block, _END), 2, 1 << 20), lambda x: F.contains(x, F.lit(":")))
+    return F.aggregate(
+        lines, F.create_map().cast("map<string,string>"),
+        lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != name(x)), F.create_map(name(x), value(x))),
     )
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"]))
 
 
 def read_text(records: DataFrame) -> DataFrame:
@@ -83,13 +88,13 @@ def read_text(records: DataFrame) -> DataFrame:
     record lacks are null; what is no WARC record, or null, is left out."""
     text = F.col("record")
     head = F.substring_index(text, 2 * _END, 1)
-    parts = records.where(text.startswith("WARC/1.")).select(_fields(head).alias("w"), F.substring(text, F.length(head) + 5, F.length(text)).alias("rest"))
+    parts = records.where(text.startswith("WARC/1.")).select(head.alias("head"), F.substring(text, F.length(head) + 5, F.length(text)).alias("rest"))
     http = F.substring_index("rest", 2 * _END, 1)
-    field = lambda name: F.element_at("w", F.lit(name))
+    field = lambda name: _field(F.col("head"), name)
     return parts.select(
-        F.regexp_extract(field("warc-record-id"), "([0-9]+)>", 1).try_cast("long").alias("record_id"), field("warc-type").alias("kind"),
-        field("warc-target-uri").alias("url"), _seconds(field("warc-date")).alias("ts"), _fields(http).alias("headers"),
-        field("warc-payload-digest").alias("digest"), F.substring(F.col("rest"), F.length(http) + 5, F.length("rest")).alias("body"),
+        F.regexp_extract(field("WARC-Record-ID"), "([0-9]+)>", 1).try_cast("long").alias("record_id"), field("WARC-Type").alias("kind"),
+        field("WARC-Target-URI").alias("url"), _seconds(field("WARC-Date")).alias("ts"), _headers(http).alias("headers"),
+        field("WARC-Payload-Digest").alias("digest"), F.substring(F.col("rest"), F.length(http) + 5, F.length("rest")).alias("body"),
     )
 
 
@@ -144,39 +149,41 @@ AGAIN = (0, 1000, 5000)
 
 def page_records(pages: DataFrame) -> DataFrame:
     """Captures of ``pages``: three full responses of each, and a not-modified revisit after each.
+    The first response holds the page, the others a line.
 
     Every seventh page's revisits name an entity tag that no response has, every eleventh's have
     only a date, and every thirteenth's come before their response.
     """
-    page, html, first = F.col("page_id"), F.coalesce("html", F.lit("")), F.col("page_id") * 2
-    headers = lambda *kv: F.map_from_arrays(F.array(*map(F.lit, kv[::2])), F.array(*kv[1::2]))
-    out = None
-    for n, after in enumerate(AGAIN):
-        tag = F.md5(F.concat(html, F.lit(str(n))).cast("binary"))
-        date = F.concat(F.lit("day "), ((page + n) % 28).cast("string"))
-        at = first + after
-        response = pages.select(
-            (page * 6 + 2 * n).alias("record_id"), F.lit("response").alias("kind"), "url", at.alias("ts"),
-            headers("etag", tag, "last-modified", date, "content-type", F.lit("text/html"), "date", at.cast("string")).alias("headers"),
-            tag.alias("digest"), F.col("html").alias("body"),
-        )
-        sent = F.when(page % 7 == 0, F.lit("none")).otherwise(tag)
-        time = F.when(page % 13 == 0, at - 1).otherwise(at + 101)
-        tagged = headers("etag", F.concat(F.lit("W/"), sent), "content-type", F.lit("text/plain"), "date", time.cast("string"))
-        dated = headers("last-modified", date, "content-type", F.lit("text/plain"), "date", time.cast("string"))
-        revisit = pages.select(
-            (page * 6 + 2 * n + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", time.alias("ts"),
-            F.when(page % 11 == 0, dated).otherwise(tagged).alias("headers"), F.lit(None).cast("string").alias("digest"),
-            F.lit(None).cast("string").alias("body"),
-        )
-        both = response.unionByName(revisit)
-        out = both if out is None else out.unionByName(both)
-    return out
+    page, n, revisit = F.col("page_id"), F.col("n"), F.col("k") == 1
+    base = pages.select("page_id", "url", "html", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("base"))
+    rows = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * len(AGAIN) - 1))).alias("i")).select(
+        "*", F.floor(F.col("i") / 2).alias("n"), (F.col("i") % 2).alias("k"))
+    after = F.element_at(F.array(*map(F.lit, AGAIN)), (n + 1).cast("int"))
+    seen = page * 2 + after
+    rows = rows.select(
+        "page_id", "url", "html", "n", "k", F.md5(F.concat("base", n.cast("string")).cast("binary")).alias("tag"),
+        F.concat(F.lit("day "), ((page + n) % 28).cast("string")).alias("day"),
+        F.when(~revisit, seen).when(page % 13 == 0, seen - 1).otherwise(seen + 101).alias("ts"),
+    )
+    sent = F.when(revisit, F.concat(F.lit("W/"), F.when(page % 7 == 0, F.lit("none")).otherwise(F.col("tag")))).otherwise(F.col("tag"))
+    dated = ~revisit | (page % 11 == 0)
+    entries = F.filter(F.array(
+        F.struct(F.lit("etag").alias("key"), F.when(~revisit | (page % 11 != 0), sent).alias("value")),
+        F.struct(F.lit("last-modified").alias("key"), F.when(dated, F.col("day")).alias("value")),
+        F.struct(F.lit("content-type").alias("key"), F.when(revisit, "text/plain").otherwise("text/html").alias("value")),
+        F.struct(F.lit("date").alias("key"), F.col("ts").cast("string").alias("value")),
+    ), lambda e: e["value"].isNotNull())
+    return rows.select(
+        (page * 6 + n * 2 + F.col("k")).cast("long").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("kind"), "url", F.col("ts").cast("long").alias("ts"),
+        F.map_from_entries(entries).alias("headers"), F.when(~revisit, F.col("tag")).alias("digest"),
+        F.when(~revisit, F.when(n == 0, F.col("html")).otherwise(F.concat(F.lit("page "), "tag"))).alias("body"),
+    )
 
 
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every revisit among the captures of ``pages``, written and read as WARC records."""
-    found = resolve(read_text(to_text(page_records(table(spark, sf_dir, "pages")))))
+    records = materialize(to_text(page_records(table(spark, sf_dir, "pages"))), "warc")
+    found = resolve(materialize(read_text(records).drop("body"), "records"))
     head = lambda k: F.element_at("headers", F.lit(k))
     return found.select(
         "record_id", "url_key", "ts", "response_id", "status", "digest", head("etag").alias("etag"),
@@ -187,7 +194,7 @@ def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH cap AS (
   SELECT page_id, n, page_id * 2 + CASE n WHEN 0 THEN 0 WHEN 1 THEN 1000 ELSE 5000 END AS seen,
-         md5(coalesce(html, '') || CAST(n AS VARCHAR)) AS tag, 'day ' || CAST((page_id + n) % 28 AS VARCHAR) AS day,
+         md5(md5(coalesce(html, '')) || CAST(n AS VARCHAR)) AS tag, 'day ' || CAST((page_id + n) % 28 AS VARCHAR) AS day,
          regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS bare
   FROM pages, range(3) r(n)),
 keyed AS (
