@@ -24,9 +24,12 @@ MANY = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as named by ``spark.checkpoint.dir``."""
+    """The folder all executors share, as named by ``spark.checkpoint.dir``; an error where it is
+    unset and executors are not the driver itself."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tl-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
