@@ -52,6 +52,8 @@ class _Bits:
 
 _TURN = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)], np.uint16)
 
+_TURN_OF = _TURN.tolist()
+
 
 @lru_cache(maxsize=16)
 def _turned(n: int) -> np.ndarray:
@@ -60,71 +62,84 @@ def _turned(n: int) -> np.ndarray:
 
 
 class _Code:
-    """A canonical prefix code from symbols and their lengths, as tables over the next ``most`` bits."""
+    """A canonical prefix code from ascending symbols and their lengths, as one table over the next
+    ``most`` bits of 16 times the symbol and its length."""
 
-    def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
-        self.only, self.most, self.entry = None, 0, None
+    def __init__(self, symbols: list[int], lengths: list[int]):
+        self.only, self.most = None, 0
         if len(symbols) == 1:
             self.only = int(symbols[0])
             return
-        self.most = int(lengths.max())
-        order = np.argsort(lengths, kind="stable")
-        each = 1 << (self.most - lengths[order])
-        if each.sum() != 1 << self.most:
+        self.most = most = max(lengths)
+        lengths = np.array(lengths)
+        order = lengths.argsort(kind="stable")
+        lengths = lengths[order]
+        each = 1 << (most - lengths)
+        if int(each.sum()) != 1 << most:
             raise ValueError("a prefix code is not complete")
-        turn = _turned(self.most)
-        self.symbol = np.repeat(symbols[order].astype(np.uint16), each)[turn]
-        self.length = np.repeat(lengths[order].astype(np.uint8), each)[turn]
+        self.entry = (np.array(symbols)[order] << 4 | lengths).repeat(each).take(_turned(most))
 
     def read(self, bits: _Bits) -> int:
         if self.only is not None:
             return self.only
-        at = bits.peek(self.most)
-        bits.read(int(self.length[at]))
-        return int(self.symbol[at])
+        entry = int(self.entry[bits.peek(self.most)])
+        bits.read(entry & 15)
+        return entry >> 4
 
 
 def _read_code(bits: _Bits, size: int) -> _Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
-        symbols = np.unique(symbols)
-        return _Code(symbols, np.ones(len(symbols), np.int64))
-    lens = np.zeros(19, np.int64)
-    for i in range(4 + bits.read(4)):
-        lens[_ORDER[i]] = bits.read(3)
-    used = np.flatnonzero(lens)
-    code = _Code(used, lens[used])
+        symbols = {bits.read(8 if wide else 1)} | ({bits.read(8)} if two else set())
+        return _Code(sorted(symbols), [1] * len(symbols))
+    lens, n = [0] * 19, 4 + bits.read(4)
+    word = bits.read(3 * n)
+    for i in range(n):
+        lens[_ORDER[i]] = word >> 3 * i & 7
+    used = [i for i, n in enumerate(lens) if n]
+    if not used:
+        raise ValueError("a prefix code is not complete")
+    code = _Code(used, [lens[i] for i in used])
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    entry = [(code.only, 0)] if code.only is not None else list(zip(code.symbol.tolist(), code.length.tolist()))
+    entry = [16 * code.only] if code.only is not None else code.entry.tolist()
     mask = (1 << code.most) - 1
-    out, last = [], 8
+    symbols, lengths, at, last = [], [], 0, 8
     # Tokens of up to 14 bits are taken from a number that holds the next bytes.
     held = have = 0
-    while len(out) < size and left:
+    while at < size and left:
         if have < 14:
             byte = bits.at >> 3
             held, have = int.from_bytes(bits.raw[byte : byte + 24], "little") >> (bits.at & 7), 184
         left -= 1
-        s, n = entry[held & mask]
+        s = entry[held & mask]
+        n = s & 15
+        s >>= 4
         if s < 16:
-            out.append(s)
             if s:
+                symbols.append(at)
+                lengths.append(s)
                 last = s
+            at += 1
+        elif s == 16:
+            k = 3 + (held >> n & 3)
+            symbols += range(at, at + k)
+            lengths += [last] * k
+            at += k
+            n += 2
+        elif s == 17:
+            at += 3 + (held >> n & 7)
+            n += 3
         else:
-            more, least = ((2, 3), (3, 3), (7, 11))[s - 16]
-            out += [last if s == 16 else 0] * (least + (held >> n & ((1 << more) - 1)))
-            n += more
+            at += 11 + (held >> n & 127)
+            n += 7
         held >>= n
         have -= n
         bits.at += n
     if bits.at > bits.end:
         raise ValueError("the stream is too short")
-    if len(out) > size:
+    if at > size:
         raise ValueError("too many code lengths")
-    lens = np.array(out, np.int64)
-    used = np.flatnonzero(lens)
-    return _Code(used, lens[used]) if len(used) else _Code(np.zeros(1, np.int64), np.ones(1, np.int64))
+    return _Code(symbols, lengths) if symbols else _Code([0], [1])
 
 
 def _read_group(bits: _Bits, sizes: tuple[int, ...]) -> list[_Code]:
@@ -155,6 +170,7 @@ def _extra(bits: _Bits, prefix: int) -> int:
 
 #: Pixels looked up at a time, so that memory does not grow with the image.
 _SPAN = 1 << 16
+_EIGHT = np.arange(8)
 
 
 def _one_group(bits: _Bits, codes: list[_Code], n: int, w: int, cache_bits: int) -> np.ndarray:
@@ -168,26 +184,30 @@ def _one_group(bits: _Bits, codes: list[_Code], n: int, w: int, cache_bits: int)
         return np.full(n, a << 24 | r << 16 | g << 8 | b, np.uint32)
     while i < n:
         first = bits.at >> 3
-        part = raw[first : first + _SPAN + 16].astype(np.uint32)
+        part = raw[first : first + _SPAN + 16].astype(np.int64)
         if bits.at > bits.end or len(part) < 9:
             raise ValueError("the stream is too short")
-        three = part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)
-        window = (three[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
-        last, base = len(window) - 1, 8 * first
-        at = np.arange(len(window), dtype=np.int32)
+        three = part[:-2] | part[1:-1] << 8 | part[2:] << 16
+        # The bits from each one on; past the end, where the four codes of a pixel may reach, are zeros.
+        size = 8 * len(three)
+        window = np.zeros(size + 64, np.int64)
+        np.right_shift(three[:, None], _EIGHT, out=window[:size].reshape(-1, 8))
+        base, at = 8 * first, np.arange(size)
         if green.only is None:
-            look = window & np.uint32((1 << green.most) - 1)
-            step, kind = at + green.length[look], green.symbol[look]
+            entry = green.entry.take(window[:size] & ((1 << green.most) - 1))
+            step, kind = at + (entry & 15), entry >> 4
         else:
-            step, kind = at, np.full(len(at), green.only, np.uint16)
+            step, kind = at, np.full(size, green.only)
         nxt, where = step, []
         for c in codes[1:4]:
             where.append(nxt)
             if c.only is None:
-                nxt = nxt + c.length[window[np.minimum(nxt, last)] & np.uint32((1 << c.most) - 1)]
-        jump = memoryview(np.where(kind < 256, nxt, np.where(kind < 280, -1, step)).astype(np.int32))
+                nxt = nxt + (c.entry & 15).take(window.take(nxt) & ((1 << c.most) - 1))
+        if kind.max() >= 256:
+            nxt = np.where(kind < 256, nxt, np.where(kind < 280, -1, step))
+        jump = memoryview(nxt)
         p, own = bits.at - base, []
-        stop = len(window) - 64 if first + _SPAN + 16 < len(raw) else min(len(window) - 1, bits.end - base + 1)
+        stop = size - 64 if first + _SPAN + 16 < len(raw) else min(size - 1, bits.end - base + 1)
         add = own.append
         while i < n and p < stop:
             q = jump[p]
@@ -202,23 +222,22 @@ def _one_group(bits: _Bits, codes: list[_Code], n: int, w: int, cache_bits: int)
             i += length
             p = bits.at - base
         bits.at = base + p
-        if bits.at > bits.end or (i < n and p < len(window) - 64 and p >= stop):
+        if bits.at > bits.end or (i < n and p < size - 64 and p >= stop):
             raise ValueError("the stream is too short")
         own = np.array(own, np.int64)
-        value, seen = kind[own].astype(np.uint32), kind[own]
+        seen = kind[own]
         channels = []
         for c, w_at in zip(codes[1:4], where):
-            x = c.symbol[window[np.minimum(w_at[own], last)] & np.uint32((1 << c.most) - 1)].astype(np.uint32) if c.only is None else np.uint32(c.only)
-            channels.append(x)
+            channels.append(c.entry.take(window.take(w_at[own]) & ((1 << c.most) - 1)) >> 4 if c.only is None else c.only)
         r, b, a = channels
-        parts.append((seen, a << np.uint32(24) | r << np.uint32(16) | value << np.uint32(8) | b))
+        parts.append((seen, (seen << 8 | (a << 24 | r << 16 | b)).astype(np.uint32)))
         done += len(own)
     if i > n:
         raise ValueError("a back-reference leaves the image")
-    kind, px = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.uint32))
+    kind, px = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
     hit = kind >= 280
     if not events:
-        return _from_cache(px, kind, hit, cache_bits) if hit.any() else px.astype(np.uint32)
+        return _from_cache(px, kind, hit, cache_bits) if hit.any() else px
     return _resolved(px, kind, hit, events, n, w, cache_bits)
 
 
@@ -228,16 +247,16 @@ def _slots(px: np.ndarray, cache_bits: int) -> np.ndarray:
 
 def _from_cache(px: np.ndarray, kind: np.ndarray, hit: np.ndarray, cache_bits: int) -> np.ndarray:
     """Pixels where cached ones take the last literal of their slot, which none other has replaced."""
-    slot = np.where(hit, kind.astype(np.int64) - 280, _slots(px, cache_bits))
-    order = np.argsort(slot, kind="stable")
-    source = np.where(hit[order], -1, np.arange(len(px)))
-    begin = np.concatenate([[True], np.diff(slot[order]) != 0])
-    source = np.where(begin & hit[order], -2 - np.arange(len(px)), source)
-    # The nearest literal before in the same slot, or the empty slot, which holds zero.
-    mark = np.maximum.accumulate(np.where(source != -1, np.arange(len(px)), 0))
-    found = source[mark]
-    out = np.empty(len(px), np.uint32)
-    out[order] = np.where(found >= 0, px[order][np.maximum(found, 0)], 0)
+    n = len(px)
+    slot = np.where(hit, kind - 280, _slots(px, cache_bits)).astype(np.uint16)
+    order = slot.argsort(kind="stable")
+    ordered, late = slot[order], hit[order]
+    begin = np.ones(n, bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=begin[1:])
+    # The nearest literal before in the same slot, or the slot's first pixel: an empty one holds zero.
+    at = np.maximum.accumulate(np.where(begin | ~late, np.arange(n), 0))
+    out = np.empty(n, np.uint32)
+    out[order] = np.where(late[at], np.uint32(0), px[order][at])
     return out
 
 
@@ -380,38 +399,46 @@ def _halves(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _unpredict(px: np.ndarray, w: int, h: int, shift: int, modes: np.ndarray) -> np.ndarray:
-    """Pixels from what the predictor left, a row at a time."""
+    """Pixels from what the predictor left, a band of tiles at a time."""
     out, tiles = np.ascontiguousarray(px).view(np.uint8).reshape(h, w, 4).copy(), (w + (1 << shift) - 1) >> shift
     out[0, 0, 3:] += np.uint8(255)
     out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
     out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
     kinds = (modes >> np.uint32(8) & np.uint32(15)).reshape(-1, tiles)
-    for y in range(1, h):
-        row, up, mode = out[y], out[y - 1], kinds[y >> shift]
-        if w == 1:
-            continue
-        if (mode != mode[0]).any() or (m := int(mode[0])) not in (0, 1, 2, 3, 4, 8, 9, 14, 15):
-            words, above = row.view(np.uint32).ravel().tolist(), up.view(np.uint32).ravel().tolist()
-            for x in range(1, w):
-                right = above[x + 1] if x + 1 < w else words[0]
-                words[x] = _add(words[x], predict(int(mode[x >> shift]), words[x - 1], above[x], above[x - 1], right))
-            row.view(np.uint32).ravel()[:] = words
-        elif m in (0, 14, 15):
-            row[1:, 3] += 255
+    if w == 1:
+        return out.view(np.uint32).ravel()
+    for k, mode in enumerate(kinds):
+        first, last = max(1, k << shift), min(h, (k + 1) << shift)
+        m = int(mode[0]) if (mode == mode[0]).all() else -1
+        if m in (0, 14, 15):  # the rows of such a band go at once
+            out[first:last, 1:, 3] += np.uint8(255)
         elif m == 1:
-            row[:] = np.cumsum(row, axis=0, dtype=np.uint8)
+            out[first:last] = out[first:last].cumsum(axis=1, dtype=np.uint8)
         elif m == 2:
-            row[1:] += up[1:]
-        elif m == 4:
-            row[1:] += up[:-1]
-        elif m == 8:
-            row[1:] += _halves(up[:-1], up[1:])
+            out[first - 1 : last, 1:] = out[first - 1 : last, 1:].cumsum(axis=0, dtype=np.uint8)
         else:
-            right = np.concatenate([up[2:], row[:1]])
-            row[1:] += right if m == 3 else _halves(up[1:], right)
+            for y in range(first, last):
+                _unpredict_row(out[y], out[y - 1], mode, m, shift)
     return out.view(np.uint32).ravel()
 
 
+def _unpredict_row(row: np.ndarray, up: np.ndarray, mode: np.ndarray, m: int, shift: int) -> None:
+    """A row after the first, in place; ``m`` is the mode of all its tiles or -1."""
+    if m == 4:
+        row[1:] += up[:-1]
+    elif m == 8:
+        row[1:] += _halves(up[:-1], up[1:])
+    elif m in (3, 9):
+        right = np.concatenate([up[2:], row[:1]])
+        row[1:] += right if m == 3 else _halves(up[1:], right)
+    else:
+        words, above = row.view(np.uint32).ravel().tolist(), up.view(np.uint32).ravel().tolist()
+        for x in range(1, len(words)):
+            right = above[x + 1] if x + 1 < len(words) else words[0]
+            words[x] = _add(words[x], predict(int(mode[x >> shift]), words[x - 1], above[x], above[x - 1], right))
+        row.view(np.uint32).ravel()[:] = words
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8).astype(np.int8).astype(np.int32)
 
@@ -507,11 +534,11 @@ class _Out:
         words = np.zeros((total >> 6) + 2, np.uint64)
         place, shift = at >> 6, (at & 63).astype(np.uint64)
         over = np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        for target, part in ((place, values << shift), (place + 1, over)):
+        if len(place):
             # No two values share a bit, so those of one word add up.
-            first = np.flatnonzero(np.concatenate([[True], np.diff(target) != 0]))
-            if len(target):
-                words[target[first]] += np.add.reduceat(part, first)
+            first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+            words[place[first]] = np.add.reduceat(values << shift, first)
+            words[place[first] + 1] += np.add.reduceat(over, first)
         self.value |= int.from_bytes(words.tobytes(), "little")
         self.n = total
 
@@ -519,32 +546,33 @@ class _Out:
         return self.value.to_bytes((self.n + 7) // 8, "little")
 
 
-def _fitted(counts: np.ndarray, most: int = 12) -> np.ndarray:
+def _fitted(counts: np.ndarray | list[int], most: int = 12) -> np.ndarray:
     """Lengths of a complete prefix code close to the counts' entropy, none above ``most``; 1 for a
     sole symbol, and for symbol 0 where there is none."""
-    used = np.flatnonzero(counts)
+    counts = counts if isinstance(counts, list) else counts.tolist()
+    used = [i for i, n in enumerate(counts) if n]
     out = np.zeros(len(counts), np.int64)
     if len(used) < 2:
-        out[used if len(used) else 0] = 1
+        out[used or 0] = 1
         return out
-    n = counts[used].astype(np.float64)
-    size = np.clip(np.ceil(np.log2(n.sum()) - np.log2(n) - 1e-9), 1, most).astype(np.int64)
-    room = (1 << most) - int((1 << (most - size)).sum())
-    if room:
-        order = np.argsort(-n, kind="stable").tolist()
-        size = size.tolist()
-        while room < 0:  # lengths that were cut to the most: others grow, the rarest first
-            for i in reversed(order):
-                if size[i] < most and room < 0:
-                    size[i] += 1
-                    room += 1 << (most - size[i])
-        while room > 0:  # what is left over shortens the most frequent that fit
-            for i in order:
-                if size[i] > 1 and (gain := 1 << (most - size[i])) <= room:
-                    size[i] -= 1
-                    room -= gain
-                    if not room:
-                        break
+    used.sort(key=lambda i: -counts[i])
+    total = sum(counts)
+    # The least length whose share of the code is no more than the symbol's share of the counts.
+    least = {n: min(most, max(1, (-(-total // n) - 1).bit_length())) for n in {counts[i] for i in used}}
+    size = [least[counts[i]] for i in used]
+    room = (1 << most) - sum(1 << (most - n) for n in size)
+    while room < 0:  # lengths that were cut to the most: others grow, the rarest first
+        for i in reversed(range(len(size))):
+            if size[i] < most and room < 0:
+                size[i] += 1
+                room += 1 << (most - size[i])
+    while room > 0:  # what is left over shortens the most frequent that fit
+        for i, n in enumerate(size):
+            if n > 1 and (gain := 1 << (most - n)) <= room:
+                size[i] = n - 1
+                room -= gain
+                if not room:
+                    break
     out[used] = size
     return out
 
@@ -568,36 +596,47 @@ def _put_code(out: _Out, lengths: np.ndarray) -> None:
         for s in symbols:
             out.put(s, 8)
         return
-    edge = np.flatnonzero(np.concatenate([[True], lengths[1:] != lengths[:-1]]))
-    tokens, last = [], 8
-    for n, run in zip(lengths[edge].tolist(), np.diff(np.concatenate([edge, [len(lengths)]])).tolist()):
+    edge = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+    tokens, last, seen = [], 8, [0] * 19
+    for n, begin, end in zip(lengths[edge[:-1]].tolist(), edge, edge[1:]):
+        run = end - begin
         if n and n != last:
             tokens.append((n, 0, 0))
+            seen[n] += 1
             last, run = n, run - 1
         while run:
             if n and run >= 3:
                 k = min(6, run)
-                tokens.append((16, k - 3, 2))
+                token = (16, k - 3, 2)
             elif not n and run >= 11:
                 k = min(138, run)
-                tokens.append((18, k - 11, 7))
+                token = (18, k - 11, 7)
             elif not n and run >= 3:
                 k = min(10, run)
-                tokens.append((17, k - 3, 3))
+                token = (17, k - 3, 3)
             else:
-                k = 1
-                tokens.append((n, 0, 0))
+                k, token = 1, (n, 0, 0)
+            tokens.append(token)
+            seen[token[0]] += 1
             run -= k
-    s, extra, wide = np.array(tokens, np.int64).T
-    lens = _fitted(np.bincount(s, minlength=19), 7)
-    bits, sizes = _written(lens)
+    lens = _fitted(seen, 7).tolist()
     used = max(4, max(i for i, x in enumerate(_ORDER) if lens[x]) + 1)
     head = 0
     for i, x in enumerate(_ORDER[:used]):
-        head |= int(lens[x]) << 3 * i
+        head |= lens[x] << 3 * i
     out.put((used - 4) << 1 | head << 5, 5 + 3 * used)
     out.put(0, 1)
-    out.put_words(bits[s] | extra.astype(np.uint64) << sizes[s].astype(np.uint64), sizes[s] + wide)
+    code, at = [(0, 0)] * 19, 0
+    if sum(map(bool, lens)) > 1:
+        for n, s in sorted((n, s) for s, n in enumerate(lens) if n):
+            code[s] = (_TURN_OF[at], n)
+            at += 1 << (15 - n)
+    word = at = 0
+    for s, extra, wide in tokens:
+        bits, n = code[s]
+        word |= (bits | extra << n) << at
+        at += n + wide
+    out.put(word, at)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -609,6 +648,12 @@ def _prefix(value: int) -> tuple[int, int, int]:
     return 2 * n + 2 + (v >> n & 1), v & ((1 << n) - 1), n
 
 
+@lru_cache(maxsize=32)
+def _near_codes(w: int) -> dict[int, int]:
+    """The short code of each near distance in an image ``w`` wide."""
+    return {dx + dy * w: k for k, (dx, dy) in reversed(list(enumerate(_NEAR, 1))) if dx + dy * w >= 1}
+
+
 def _put_image(out: _Out, px: list[int], w: int, main: bool, cache_bits: int = 0, references: bool = True) -> None:
     """An entropy-coded image with fitted prefix codes, back-references and a colour cache."""
     seen: dict[tuple, int] = {}
@@ -633,7 +678,7 @@ def _put_image(out: _Out, px: list[int], w: int, main: bool, cache_bits: int = 0
         i += n if n >= 3 else 1
     counts: list[dict[int, int]] = [{}, {}, {}, {}, {}]
     add = lambda k, s: counts[k].__setitem__(s, counts[k].get(s, 0) + 1)
-    near = {dx + dy * w: k for k, (dx, dy) in reversed(list(enumerate(_NEAR, 1))) if dx + dy * w >= 1}
+    near = _near_codes(w)
     coded = []
     for kind, a, b in parts:
         if kind == "raw":
@@ -743,8 +788,8 @@ def _sub(a: int, b: int) -> int:
 def _entropy(px: np.ndarray) -> float:
     """Bits that the four channels of pixels [n, 4] take by their own counts, less a constant."""
     n = np.bincount((px + _CHANNEL).ravel())
-    n = n[n > 1].astype(np.float64)
-    return -float((n * np.log2(n)).sum())
+    n = n[n > 1]
+    return -float(n @ np.log2(n))
 
 
 _CHANNEL = np.array([0, 256, 512, 768], np.int64)
@@ -779,7 +824,7 @@ def _slope(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _matches(px: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, earlier positions) where ``least`` pixels are those of the latest earlier place."""
+    """(positions, earlier positions) where ``least`` pixels have the hash of the latest earlier place."""
     none = np.zeros(0, np.int64)
     n = len(px) - least + 1
     if n < 2:
@@ -787,9 +832,11 @@ def _matches(px: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(least):
         key = key * np.uint64(0x9E3779B97F4A7C15) + px[i : i + n]
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    return order[same + 1], order[same]
+    # Half of the hash and the place, so that one sort brings like places together in order.
+    key = np.sort(key & np.uint64(0xFFFFFFFF << 32) | np.arange(n, dtype=np.uint64))
+    same = np.flatnonzero(key[1:] >> np.uint64(32) == key[:-1] >> np.uint64(32))
+    place = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return place[same + 1], place[same]
 
 
 def _parse(px: np.ndarray) -> list[tuple[int, int, int]]:
@@ -812,8 +859,8 @@ def _parse(px: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _put_pixels(out: _Out, px: np.ndarray, w: int, cache_bits: int) -> None:
     """The main image with one group of fitted prefix codes: back-references where they cover a
-    sixteenth of the pixels, else a colour cache.  Red and blue take one code where that costs
-    at most a tenth more than two."""
+    sixteenth of the pixels, else a colour cache.  Red, blue and alpha, or red and blue, take one
+    code where that costs at most a tenth more than theirs."""
     n = len(px)
     refs = _parse(px)
     if 16 * sum(length for _, length, _ in refs) < n:
@@ -825,13 +872,13 @@ def _put_pixels(out: _Out, px: np.ndarray, w: int, cache_bits: int) -> None:
     if cache_bits:
         out.put(cache_bits, 4)
         slot = _slots(px, cache_bits)
-        order = np.argsort(slot, kind="stable")
+        order = slot.astype(np.uint16).argsort(kind="stable")
         hit = order[1:][(slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])]
         literal[hit] = False
         green[hit] = 280 + slot[hit].astype(np.int64)
         at = np.arange(n)
     else:
-        near = {dx + dy * w: k for k, (dx, dy) in reversed(list(enumerate(_NEAR, 1))) if dx + dy * w >= 1}
+        near = _near_codes(w)
         head = np.ones(n, bool)
         for i, length, distance in refs:
             head[i + 1 : i + length] = False
@@ -844,10 +891,11 @@ def _put_pixels(out: _Out, px: np.ndarray, w: int, cache_bits: int) -> None:
     channels = np.stack([px >> np.uint32(16), px, px >> np.uint32(24)]).astype(np.uint8)
     own = channels[:, at[lit]]
     counts = np.bincount((own + _CHANNEL[:3, None]).ravel(), minlength=768).reshape(3, 256)
-    bits_of = lambda c: -float((c[c > 0] * np.log2(c[c > 0] / c.sum())).sum()) if c.any() else 0.0
-    whole = counts[0] + counts[1]
-    shared = bits_of(whole) * 10 <= (bits_of(counts[0]) + bits_of(counts[1])) * 11
-    fits = [*([_fitted(whole)] * 2 if shared else map(_fitted, counts[:2])), _fitted(counts[2])]
+    tried = np.vstack([counts, counts.cumsum(axis=0)[1:]])
+    total = tried.sum(axis=1)
+    bits = total * np.log2(np.maximum(total, 1)) - (tried * np.log2(np.maximum(tried, 1))).sum(axis=1)
+    k = next((k for k in (3, 2) if 10 * bits[k + 1] <= 11 * bits[:k].sum()), 1)
+    fits = [*[_fitted(tried[k + 1 if k > 1 else 0])] * k, *map(_fitted, counts[k:])]
     fits = [_fitted(np.bincount(green[at], minlength=280 + (1 << cache_bits if cache_bits else 0))), *fits,
             _fitted(np.bincount([f[3] for f in far.values()], minlength=40) if far else np.zeros(40, np.int64))]
     made: dict[int, tuple] = {}
@@ -898,8 +946,8 @@ def store(payload: bytes, cache_bits: int = 6) -> bytes:
         raise ValueError("a payload above 1 GiB is no image of this format")
     px = np.pad(px, (0, -len(px) % w)).reshape(-1, w)
     h = len(px)
-    colours = np.unique(px)
-    if len(colours) <= min(256, px.size // 4):
+    ordered = np.sort(px, axis=None)
+    if np.count_nonzero(ordered[1:] != ordered[:-1]) < min(256, px.size // 4):
         return encode(px, palette=True)
     out, bands = _header(w, h), range(0, h, 512)
     image = px.view(np.uint8).reshape(h, w, 4)
