@@ -173,11 +173,18 @@ _SPAN = 1 << 16
 _EIGHT = np.arange(8)
 
 
+def _refers(green: _Code) -> bool:
+    """Whether a code has lengths of back-references."""
+    kinds = np.array([green.only]) if green.only is not None else green.entry >> 4
+    return bool(((kinds >= 256) & (kinds < 280)).any())
+
+
 def _one_group(bits: _Bits, codes: list[_Code], n: int, w: int, cache_bits: int) -> np.ndarray:
     """n pixels of an image with one group of codes."""
     parts, events, i = [], [], 0
     raw = np.frombuffer(bits.raw, np.uint8)
     green = codes[0]
+    referring = _refers(green)
     done = 0  # literal and cached pixels so far
     if all(c.only is not None for c in codes[:4]) and green.only < 256:
         g, r, b, a = (c.only for c in codes[:4])
@@ -194,7 +201,7 @@ def _one_group(bits: _Bits, codes: list[_Code], n: int, w: int, cache_bits: int)
         np.right_shift(three[:, None], _EIGHT, out=window[:size].reshape(-1, 8))
         base, at = 8 * first, np.arange(size)
         if green.only is None:
-            entry = green.entry.take(window[:size] & ((1 << green.most) - 1))
+            entry = green.entry.take(window[:size] & ((1 << green.most) - 1), mode="clip")  # clip: without checks
             step, kind = at + (entry & 15), entry >> 4
         else:
             step, kind = at, np.full(size, green.only)
@@ -202,9 +209,14 @@ def _one_group(bits: _Bits, codes: list[_Code], n: int, w: int, cache_bits: int)
         for c in codes[1:4]:
             where.append(nxt)
             if c.only is None:
-                nxt = nxt + (c.entry & 15).take(window.take(nxt) & ((1 << c.most) - 1))
-        if kind.max() >= 256:
-            nxt = np.where(kind < 256, nxt, np.where(kind < 280, -1, step))
+                look = window.take(nxt, mode="clip")
+                look &= (1 << c.most) - 1
+                nxt = nxt + (c.entry & 15).take(look, mode="clip")
+        if int(kind.max()) >= 256:
+            nxt = nxt.copy()
+            np.copyto(nxt, step, where=kind >= 280)
+            if referring:
+                nxt[(kind >= 256) & (kind < 280)] = -1
         jump = memoryview(nxt)
         p, own = bits.at - base, []
         stop = size - 64 if first + _SPAN + 16 < len(raw) else min(size - 1, bits.end - base + 1)
@@ -969,7 +981,7 @@ def store(payload: bytes, cache_bits: int = 6) -> bytes:
         band = left[y : y + 512].ravel()
         g, r, b = (_signed(band >> np.uint32(s) & np.uint32(255)) for s in (8, 16, 0))
         options = [0, _slope(g, r) | _slope(g, b) << 8 | _slope(r, b) << 16]
-        made = {e: _cross(band, w, len(band) // w, 9, np.array([e], np.uint32), -1) for e in dict.fromkeys(options)}
+        made = {e: _cross(band, w, len(band) // w, 9, np.array([e], np.uint32), -1) if e else band for e in dict.fromkeys(options)}
         best = min(made, key=lambda e: _entropy(np.ascontiguousarray(made[e]).view(np.uint8).reshape(-1, 4)))
         factors.append(best | 0xFF000000)
         crossed.append(made[best])
