@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, mixing, simhash, suffixdedup, tokenfile, toxicity, warc, webp
+from . import ann, bpe, importance, langid, mixing, quality, repair, simhash, suffixdedup, tokenfile, toxicity, warc, webp
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_file": tokenfile.op8_token_file,
     "op9_nearest": ann.op9_nearest,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_repair": repair.op11_repair,
+    "op12_quality": quality.op12_quality,
+    "op13_importance": importance.op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_revisits": warc.OP3_SQL}
