@@ -41,11 +41,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read back; with ``free``, the files of its exchanges go at once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path, setting = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    try:
+        if free:
+            spark.conf.set(setting, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if free:
+            spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

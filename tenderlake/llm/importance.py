@@ -5,10 +5,10 @@ bucket; a bucket's gain says how much likelier the target holds it, and the gain
 n-grams of each document.  Documents are drawn by their summed gains plus seeded Gumbel noise, the
 largest first.
 
-Exchanges are packed.  A block of documents sends each of its distinct n-grams once, with its count,
-to the part that the n-gram's words name; a row for a part holds the words that it uses once, and the
-n-grams as sorted numbers of these.  The part joins the rows of all blocks into one dictionary and
-answers every block with the buckets of what it sent.
+Exchanges are packed.  A block of documents sends each distinct run of three words once, with its
+count, to a part that its words name; a row for a part holds the words that it uses once, and the runs
+as sorted numbers of these.  The part joins the rows of all blocks into one dictionary of the n-grams
+that the runs begin with, and answers every block with the buckets of what it sent.
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ import uuid
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import (
-    MANY, materialize, materialize_bucketed, pack, partitions, planes, small_batches, table, trim, trimmed, trimmed_batches,
+    materialize, materialize_bucketed, pack, partitions, planes, small_batches, table, trim, trimmed, trimmed_batches,
     trimmed_pair, unpack, unplanes,
 )
 
@@ -45,8 +45,8 @@ class Settings:
     percent: int = 5
     least_words: int = 20
     seed: int = 42
-    block_words: int = 2_500_000
-    part_words: int = 2_500_000
+    block_words: int = 1_500_000
+    part_words: int = 1_500_000
     piece_words: int = 1 << 18
     slice_bytes: int = 4 << 20
 
@@ -132,86 +132,102 @@ def _to_blocks(batches, s: Settings):
         yield flush(*now)
 
 
+def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, v: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct (a, b, c) below ``v``, ascending, and the number of each row's."""
+    if v < 2_000_000:  # three numbers fit one of 63 bits
+        key = (a * v + b) * v + c
+        rest = lambda k: [k // v // v, k // v % v, k % v]
+    else:
+        pairs, pair = np.unique(a * v + b, return_inverse=True)
+        key = pair.reshape(-1) * v + c
+        rest = lambda k: [pairs[k // v] // v, pairs[k // v] % v, k % v]
+    order = np.argsort(key)
+    own = key[order]
+    new = np.diff(own, prepend=-1) != 0
+    of = np.empty(len(key), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return rest(own[new]), of
+
+
+def _starts(a: np.ndarray, b: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where, in rows ordered by (part, a, b), another first word and another pair begin."""
+    one = np.diff(a, prepend=-1) != 0
+    if part is not None:
+        one |= np.diff(part.astype(np.int64), prepend=-1) != 0
+    return one, one | (np.diff(b, prepend=-1) != 0)
+
+
 class Block:
-    """A block's distinct n-grams, in the order of the rows that it sends to ``parts`` parts.
+    """A block's distinct runs of up to three words (0 stands for no word), in the order of the rows that it sends.
 
-    ``at[n - 1]`` holds the positions at which an n-gram starts, ``of[n - 1]`` its number there.
+    A run stands for the n-grams that start with it: its first word, its first two and all three.  Runs
+    go to parts by their first word, those of a frequent first word by two, and those of a frequent pair
+    by all three, so that no part gets more than a few hundredths of a block for one word.
     """
 
     def __init__(self, payload: bytes, parts: int):
         self.ids, self.home, self.own, self.lens, flat, sizes, joined = unpack(payload)
-        flat, self.sizes, self.joined = unplanes(flat).astype(np.int64), unplanes(sizes).astype(np.int64), joined
-        self.starts = np.cumsum(self.lens) - self.lens
-        v, n = max(1, len(self.sizes)), len(flat)
-        left = np.repeat(self.starts + self.lens, self.lens) - np.arange(n)  # words from here to the end of the piece
-        mine = np.arange(n) < np.repeat(self.starts + self.own, self.lens)
-        self.n, self.at, self.of, gram, key = n, [], [], [], None
-        for order in (1, 2, 3):
-            p = np.flatnonzero(mine & (left >= order))
-            if order == 1:
-                key = flat[p]
-                own = np.flatnonzero(np.bincount(key, minlength=1))  # numbers in use, ascending
-                of = np.searchsorted(own, key)
-                gram.append((own, own * 0 - 1, own * 0 - 1))
-            else:
-                held = self._held
-                key = held[p].astype(np.uint64) * np.uint64(v) + flat[p + order - 1].astype(np.uint64)
-                own, of = np.unique(key, return_inverse=True)
-                head, last = (own // np.uint64(v)).astype(np.int64), (own % np.uint64(v)).astype(np.int64)
-                a, b, _ = (x[head] for x in gram[-1])
-                gram.append((a, last, last * 0 - 1) if order == 2 else (a, b, last))
-            self._held = np.zeros(n, np.int64)  # the n-gram that starts at a position, where one does
-            self._held[p] = of
-            self.at.append(p)
-            self.of.append(of.reshape(-1))
-        del self._held
-        self.gram = [np.concatenate(x) for x in zip(*gram)]
-        self.first = np.cumsum([0, *(len(g[0]) for g in gram)])
+        flat, self.sizes = unplanes(flat).astype(np.int64) + 1, unplanes(sizes).astype(np.int64)
+        starts = np.cumsum(self.lens) - self.lens
+        left = np.repeat(starts + self.lens, self.lens) - np.arange(len(flat))  # words from here to the end of the piece
+        mine = np.flatnonzero(np.arange(len(flat)) < np.repeat(starts + self.own, self.lens))
+        follow, left = np.concatenate([flat, [0, 0]]), left[mine]
+        a, b, c = flat[mine], np.where(left > 1, follow[mine + 1], 0), np.where(left > 2, follow[mine + 2], 0)
+        self.grams = 1 + (b > 0) + (c > 0)
+        (a, b, c), self.of = _triples(a, b, c, len(self.sizes) + 1)
+        self.many = np.bincount(self.of, minlength=len(a))
         ends = np.cumsum(self.sizes)
         self.words = [joined[e - z : e] for e, z in zip(ends.tolist(), self.sizes.tolist())]
-        h = np.append(np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words)), np.uint64(0)) + np.uint64(1)
-        mixed = np.zeros(len(self.gram[0]), np.uint64)
-        for x in self.gram:
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX + h[x]
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        h = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words)) + np.uint64(1)
+        h, most = np.concatenate([[np.uint64(0)], h]), max(64, len(mine) >> 9)
+        one, two = _starts(a, b)
+        mixed = self._mix(h[a])
+        for begin, word in ((one, h[b]), (two, h[c])):
+            at = np.flatnonzero(begin)
+            often = np.repeat(np.add.reduceat(self.many, at) if len(at) else at, np.diff(np.append(at, len(a)))) > most
+            mixed = np.where(often, self._mix(mixed + word), mixed)
         part = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
         self.order = np.argsort(part, kind="stable")
-        self.cuts = np.searchsorted(part[self.order], np.arange(parts + 1))
+        self.a, self.b, self.c, self.part = a[self.order], b[self.order], c[self.order], part[self.order]
+
+    @staticmethod
+    def _mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(29))) * _MIX
+        return (x ^ (x >> np.uint64(32))) * _MIX
 
-    def rows(self):
-        """(part, payload) for all parts that some n-gram goes to."""
-        many = np.concatenate([np.bincount(of, minlength=self.first[i + 1] - self.first[i]) for i, of in enumerate(self.of)]).astype(np.uint32)
+    def rows(self, parts: int):
+        """(part, payload) for all parts that some run goes to."""
+        cuts, many = np.searchsorted(self.part, np.arange(parts + 1)), self.many[self.order].astype(np.uint32)
         used = np.zeros(len(self.words) + 1, bool)
-        for part in np.flatnonzero(np.diff(self.cuts)).tolist():
-            own = self.order[self.cuts[part] : self.cuts[part + 1]]
-            grams = [x[own] for x in self.gram]
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            at = slice(cuts[part], cuts[part + 1])
+            runs = [x[at] for x in (self.a, self.b, self.c)]
             used[:] = False
-            for x in grams:
+            for x in runs:
                 used[x] = True
-            used[-1] = False  # of the places that a short n-gram leaves empty
+            used[0] = False
             words = np.flatnonzero(used)
             local = np.zeros(len(used), np.uint32)
             local[words] = np.arange(1, len(words) + 1, dtype=np.uint32)
-            body = b"".join([self.words[i] for i in words.tolist()])
-            yield part, pack((planes(self.sizes[words].astype(np.uint32)), body, [planes(local[x]) for x in grams], planes(many[own])))
-
-    def sums(self, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams, summed gain) of each piece, from the gain of each n-gram in the order sent."""
-        by_gram = np.empty(len(gain), np.int64)
-        by_gram[self.order] = gain
-        many, total = np.zeros(self.n + 1, np.int64), np.zeros(self.n + 1, np.int64)
-        for i, (p, of) in enumerate(zip(self.at, self.of)):
-            many[p + 1] += 1
-            total[p + 1] += by_gram[self.first[i] + of]
-        many, total = np.cumsum(many), np.cumsum(total)
-        end = self.starts + self.own
-        return many[end] - many[self.starts], total[end] - total[self.starts]
+            body = b"\n".join([self.words[i] for i in (words - 1).tolist()])
+            yield part, pack((body, [planes(local[x]) for x in runs], planes(many[at])))
+
+    def sums(self, answers: list, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams, summed gain) of each piece, from the buckets that the parts answered in their order."""
+        one, two = _starts(self.a, self.b, self.part)
+        got = [gain[np.concatenate([unplanes(x[i]) for x in answers] or [np.zeros(0, np.uint16)])] for i in range(3)]
+        total = np.empty(len(self.a), np.int64)
+        if len(total):
+            total[self.order] = (got[0][np.cumsum(one) - 1] + np.where(self.b > 0, got[1][np.cumsum(two) - 1], 0) + np.where(self.c > 0, got[2], 0))
+        end = np.cumsum(self.own)
+        many, total = (np.concatenate([[0], np.cumsum(x)]) for x in (self.grams, total[self.of]))
+        return many[end] - many[end - self.own], total[end] - total[end - self.own]
 
 
 def _send(batches, parts: int):
     for b in batches:
         for target, block, payload in zip(*(b.column(c).to_pylist() for c in ("target", "block", "payload"))):
-            rows = list(Block(payload, parts).rows())
+            rows = list(Block(payload, parts).rows(parts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([target] * len(rows), pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([p for p, _ in rows], pa.int32()),
                  pa.array([x for _, x in rows], pa.binary())],
@@ -220,48 +236,74 @@ def _send(batches, parts: int):
             trim()
 
 
-def _hashes(words: list[bytes], a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """CRC-32 of distinct n-grams of up to three numbered words, from 1; 0 is no word."""
-    out, held = np.empty(len(a), np.uint32), pa.array([b"", *words], pa.binary())
-    for rows, used in ((np.flatnonzero(b == 0), (a,)), (np.flatnonzero((b > 0) & (c == 0)), (a, b)), (np.flatnonzero(c > 0), (a, b, c))):
-        for i in range(0, len(rows), 1 << 18):
-            at = rows[i : i + (1 << 18)]
-            text = [held.take(pa.array(x[at])) for x in used]
-            text = text[0] if len(text) == 1 else pc.binary_join_element_wise(*text, pa.scalar(b" ", pa.binary()))
-            out[at] = np.fromiter(map(zlib.crc32, text.to_pylist()), np.uint32, len(at))
+@lru_cache(maxsize=1)
+def _shifts(upto: int) -> np.ndarray:
+    """[n, k, v]: the CRC-32 register ``v << 8 k`` after n zero bytes; a register is the exclusive or of its bytes' own."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, step >> 1 ^ np.uint32(0xEDB88320), step >> 1)
+    out = np.empty((upto + 1, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32) << (8 * np.arange(4, dtype=np.uint32))[:, None]
+    for n in range(upto):
+        out[n + 1] = out[n] >> 8 ^ step[out[n] & 255]
     return out
 
 
+class Hashes:
+    """CRC-32 of n-grams of numbered words (from 1), each from the hashes of its words: crc(xy) is crc(x) moved by the length of y, and crc(y)."""
+
+    UPTO = 64
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.one = np.fromiter(map(zlib.crc32, [b"", *words]), np.uint32, len(words) + 1)
+        self.next = np.fromiter((zlib.crc32(b" " + w) for w in (b"", *words)), np.uint32, len(words) + 1)
+        self.sizes = np.fromiter(map(len, [b"", *words]), np.int64, len(words) + 1) + 1
+
+    def add(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Hashes of n-grams that go on, after a space, with one more word."""
+        size = self.sizes[word]
+        table, n = _shifts(self.UPTO), np.minimum(size, self.UPTO)
+        out = self.next[word] ^ table[n, 0, before & 255] ^ table[n, 1, before >> 8 & 255] ^ table[n, 2, before >> 16 & 255] ^ table[n, 3, before >> 24]
+        for i in np.flatnonzero(size > self.UPTO).tolist():
+            at = int(before[i])
+            for _ in range(size[i]):
+                at = at >> 8 ^ int(_shifts(self.UPTO)[1, 0, at & 255])
+            out[i] = at ^ int(self.next[word[i]])
+        return out
+
+
 def _dictionary(group: pa.Table, buckets: int) -> pa.Table:
     """One part: every distinct n-gram counted and hashed once; bucket sums, and an answer to every block of the corpus."""
-    number, rows = defaultdict(count(1).__next__), []
+    number, rows, sizes = defaultdict(count(1).__next__), [], []
     for blob in group.column("payload").to_pylist():
-        sizes, body, grams, many = unpack(blob)
-        ends = np.cumsum(unplanes(sizes)).tolist()
-        begins = [0, *ends[:-1]]
-        mine = np.array([0, *(number[body[i:j]] for i, j in zip(begins, ends))], np.uint64)
-        rows.append(([mine[unplanes(x)] for x in grams], unplanes(many)))
-    v = np.uint64(len(number) + 1)
-    a, b, c = (np.concatenate([r[0][i] for r in rows]) for i in range(3))
-    if len(number) < 2_600_000:  # three numbers fit one of 64 bits
-        own, of = np.unique((a * v + b) * v + c, return_inverse=True)
-        a, b, c = own // (v * v), own // v % v, own % v
-    else:
-        pair, of = np.unique(a * v + b, return_inverse=True)
-        own, of = np.unique(of.reshape(-1).astype(np.uint64) * v + c, return_inverse=True)
-        head, c = pair[(own // v).astype(np.int64)], own % v
-        a, b = head // v, head % v
-    of = of.reshape(-1)
-    bucket = _hashes(list(number), a.astype(np.int64), b.astype(np.int64), c.astype(np.int64)) % np.uint32(buckets)
-    target, block = group.column("target").to_pylist(), group.column("block").to_pylist()
-    ends = np.cumsum([len(r[1]) for r in rows])
-    sums, answers = np.zeros((2, buckets), np.int64), []
-    small = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-    for (_, many), end, t, k in zip(rows, ends.tolist(), target, block):
-        mine = of[end - len(many) : end]
-        sums[t] += np.bincount(bucket[mine], weights=many, minlength=buckets).astype(np.int64)
+        body, runs, many = unpack(blob)
+        mine = np.array([0, *map(number.__getitem__, body.split(b"\n"))], np.int64)
+        rows.append(([mine[unplanes(x)] for x in runs], unplanes(many)))
+        sizes.append(len(rows[-1][1]))
+    target, block = group.column("target").to_numpy(), group.column("block").to_pylist()
+    (a, b, c), of = _triples(*(np.concatenate([r[0][i] for r in rows]) for i in range(3)), len(number) + 1)
+    many, ours = np.concatenate([r[1] for r in rows]), np.repeat(target, sizes)
+    counts = [np.bincount(of[ours == k], weights=many[ours == k], minlength=len(a)) for k in (0, 1)]
+    hashes, starts = Hashes(list(number)), _starts(a, b)
+    kind = np.uint16 if buckets <= 1 << 16 else np.uint32
+    sums, found, held = np.zeros((2, buckets), np.int64), [], None
+    for level, (begin, word) in enumerate(((starts[0], a), (starts[1], b), (np.ones(len(a), bool), c))):
+        at = np.flatnonzero(begin)
+        held = hashes.one[word[at]] if held is None else hashes.add(held[up[at]], word[at])  # noqa: F821
+        up = np.cumsum(begin) - 1  # the n-gram of this length that a run begins with
+        bucket = (held % np.uint32(buckets)).astype(kind)
+        real = word[at] > 0
+        for k in (0, 1):
+            n = np.add.reduceat(counts[k], at) if level < 2 else counts[k]
+            sums[k] += np.bincount(bucket[real], weights=n[real], minlength=buckets).astype(np.int64)
+        found.append((bucket, up))
+    answers, end = [], 0
+    for (runs, _), size, t, k in zip(rows, sizes, target.tolist(), block):
+        mine, end = of[end : end + size], end + size
         if not t:
-            answers.append((k, pack(planes(small[mine]))))
+            one, two = _starts(runs[0], runs[1])
+            answers.append((k, pack([planes(bucket[up[mine[w]]]) for (bucket, up), w in zip(found, (one, two, slice(None)))])))
     part = group.column("part")[0].as_py()
     return pa.table({
         "block": pa.array([None, *(k for k, _ in answers)], pa.int64()), "part": pa.array([part] * (len(answers) + 1), pa.int32()),
@@ -307,7 +349,7 @@ def weigh(docs: DataFrame, target: DataFrame, s: Settings = Settings(), id_col:
     sent = blocks.mapInArrow(trimmed_batches(lambda it: _send(it, parts)), "target int, block long, part int, payload binary")
     buckets = s.buckets
     answers = materialize(
-        sent.groupBy("part").applyInArrow(trimmed(lambda g: _dictionary(g, buckets)), "block long, part int, payload binary"), "importance-answers"
+        sent.groupBy("part").applyInArrow(trimmed(lambda g: _dictionary(g, buckets)), "block long, part int, payload binary"), "importance-answers", free=True
     )
     sums = answers.where("block IS NULL").select("payload").mapInArrow(trimmed_batches(_bucket_rows), "bucket long, s long, t long")
     held = np.zeros((2, buckets), np.int64)
@@ -320,8 +362,7 @@ def weigh(docs: DataFrame, target: DataFrame, s: Settings = Settings(), id_col:
         for payload in left.column("payload").to_pylist():
             block = Block(payload, parts)
             got = sorted(zip(right.column("part").to_pylist(), right.column("payload").to_pylist()))
-            at = np.concatenate([unplanes(unpack(x)) for _, x in got] or [np.zeros(0, np.uint16)])
-            many, total = block.sums(gain.value[at])
+            many, total = block.sums([unpack(x) for _, x in got], gain.value)
             home = block.home
             out.append(pa.table({
                 "home": pa.array(home[:, 0]), "place": pa.array(home[:, 1]), "id": pa.array(block.ids, pa.int64()), "n_words": pa.array(block.own),
