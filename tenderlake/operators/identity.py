@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.functions.text import identifier_rules, normalise_name, trigrams
+from tenderlake.functions.text import identifier_rules, normalise_name
+from tenderlake.operators.name_index import THRESHOLD, NameIndex, of_register
 from tenderlake.sources.adapters import stored
 
-THRESHOLD = 0.55
-
 
 def by_rules(keys: DataFrame, register: DataFrame | None = None) -> DataFrame:
     """Level 2: (key, place, siret, siren, methode, score), completed to the head office where known."""
@@ -25,47 +24,24 @@ def by_rules(keys: DataFrame, register: DataFrame | None = None) -> DataFrame:
     return got.withColumn("score", F.lit(1.0))
 
 
-def similar_names(names: DataFrame, register: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(nom, siren, score): trigram similarity of the normalised name and the upper-cased register.
-
-    Two sets of Jaccard similarity t share a trigram among the rarest n - ceil(t n) + 1 of each,
-    so only those are looked up, in one order by how many register names hold a trigram; common
-    trigrams, which most names share, meet nobody.  Sizes that cannot reach t are not joined.
-    """
-    asked = names.where("nom IS NOT NULL").select("nom").distinct().withColumn("g", trigrams(normalise_name(F.col("nom")))).where(F.size("g") > 0)
-    known = register.where("denomination is not null").select("siren", trigrams(F.upper("denomination")).alias("h")).distinct()
-    often = known.select(F.explode("h").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-
-    def rarest(df: DataFrame, key: list[str], grams: str) -> DataFrame:
-        ordered = df.select(*key, F.size(grams).alias("n"), F.explode(grams).alias("t")).join(often, "t", "left").groupBy(*key, "n").agg(
-            F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
-        kept = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int"))
-        return ordered.select(*key, "n", F.explode(kept).alias("x")).select(*key, "n", F.col("x.t").alias("t"))
-
-    known = known.withColumn("_k", F.xxhash64("siren", "h"))
-    a = rarest(asked.select("nom", "g"), ["nom"], "g")
-    b = rarest(known.select("_k", "h"), ["_k"], "h").select("_k", F.col("n").alias("m"), "t")
-    near = a.join(b, "t").where(F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")).select("nom", "_k").distinct()
-    met = near.join(asked, "nom").join(known, "_k").withColumn("c", F.size(F.array_intersect("g", "h")))
-    score = (F.col("c") / (F.size("g") + F.size("h") - F.col("c"))).cast("float")
-    return met.withColumn("score", score).where(F.col("score") >= F.lit(threshold).cast("float")).groupBy("nom", "siren").agg(F.max("score").alias("score"))
-
-
-def by_similarity(keys: DataFrame, register: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Level 3: (resolved, ambiguous).  A sole best name counts; of several, the one active with a head office."""
-    hits = similar_names(keys, register, threshold)
-    best = hits.withColumn("_r", F.rank().over(Window.partitionBy("nom").orderBy(F.col("score").desc()))).where("_r = 1").drop("_r")
-    best = stored(best).join(register.select("siren", "etat", "siret_siege"), "siren")
-    live = F.count_if((F.col("etat") == "A") & F.col("siret_siege").isNotNull())
-    every = Window.partitionBy("nom")
-    best = best.withColumn("_n", F.count("*").over(every)).withColumn("_live", live.over(every))
-    sole = F.col("_n") == 1
-    only = (F.col("_live") == 1) & (F.col("etat") == "A") & F.col("siret_siege").isNotNull()
-    found = best.where(sole | only).select(
+def similar_names(names: DataFrame, register: DataFrame, threshold=THRESHOLD) -> DataFrame:
+    """(nom, siren, score): trigram similarity of the normalised name and the upper-cased register."""
+    return of_register(register, threshold).similar(names)
+
+
+def by_similarity(keys: DataFrame, register: DataFrame, index: NameIndex | None = None) -> tuple[DataFrame, DataFrame]:
+    """Level 3: (resolved, ambiguous).  A sole best name counts; of several, the sole active one, if it
+    has a head office; all others are in doubt with every company of that name."""
+    best = stored((index or of_register(register)).best(keys)).join(register.select("siren", "etat", "siret_siege"), "siren")
+    every, active = Window.partitionBy("nom"), F.coalesce(F.col("etat") == "A", F.lit(False))
+    best = best.withColumn("_n", F.count("*").over(every)).withColumn("_live", F.count_if(active).over(every))
+    sole, only = F.col("_n") == 1, active & (F.col("_live") == 1) & F.col("siret_siege").isNotNull()
+    best = best.withColumn("_only", only).withColumn("_done", F.max("_only").over(every))
+    found = best.where(sole | F.col("_only")).select(
         "nom", F.col("siret_siege").alias("siret"), "siren", F.when(sole, "flou").otherwise("flou_desambigue_actif").alias("methode"),
         F.when(sole, F.col("score").cast("double")).otherwise(0.65).alias("score"),
     )
-    doubt = best.where((F.col("_n") > 1) & (F.col("_live") != 1)).select("nom", "siren", "siret_siege", "score")
+    doubt = best.where((F.col("_n") > 1) & ~F.col("_done")).select("nom", "siren", "siret_siege", "score")
     return keys.join(found, "nom"), keys.join(doubt, "nom")
 
 
@@ -107,15 +83,16 @@ def by_web(mentions: DataFrame, keys: DataFrame, register: DataFrame) -> DataFra
 
 
 def resolve(keys: DataFrame, register: DataFrame, awards: DataFrame | None = None, history: DataFrame | None = None,
-            mentions: DataFrame | None = None) -> DataFrame:
+            mentions: DataFrame | None = None, index: NameIndex | None = None) -> DataFrame:
     """(key, place, siret, siren, methode, score), the cascade: rules, trigrams, continuity where
     they are in doubt, persons where they found none, history and, last, mentions on the web.  A
-    level takes only what all before it left; ``place`` orders the results of one identifier."""
+    level takes only what all before it left; ``place`` orders the results of one identifier.
+    Names are looked up in a stored ``index`` of the register where there is one."""
     cols = ["key", "place", "siret", "siren", "methode", "score"]
     keys = stored(keys)
     done = stored(by_rules(keys, register).select(*cols))
     left = stored(keys.join(done, "key", "left_anti").where("nom is not null"))
-    sure, doubt = map(stored, by_similarity(left, register))
+    sure, doubt = map(stored, by_similarity(left, register, index))
 
     def take(done: DataFrame, left: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = stored(more.withColumn("place", F.lit(0)).select(*cols))
