@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,19 +19,88 @@ def append_bronze(rows: DataFrame, path: str, loaded: Column | None = None) -> N
     text.withColumn("jour", F.to_date("date_chargement")).write.mode("append").partitionBy("jour").parquet(path)
 
 
-def publish(rows: DataFrame, folder: str, name: str) -> str:
-    """Write a rebuilt table beside the one in use, then name it as the current one.  A reader
-    sees the old table or the new one; a failed write changes nothing."""
-    spark = rows.sparkSession
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    spark.createDataFrame([(name, path)], "nom string, chemin string").coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}-current")
-    return path
-
-
-def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, folder: str, name: str) -> dict[int, dict]:
+    """Complete versions by number: the folder of each table."""
+    files, at = _files(spark, f"{folder.rstrip('/')}/{name}/_versions")
+    found = {}
+    for f in files.listStatus(at) if files.exists(at) else []:
+        if f.getPath().getName().isdigit():
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(files.open(f.getPath()), "UTF-8")
+            if text.endswith("\n"):  # the last byte written
+                found[int(f.getPath().getName())] = json.loads(text)
+    return found
+
+
+def _commit(spark: SparkSession, folder: str, name: str, tables: dict[str, str]) -> int:
+    """Name tables as the next version.  The file is created only if no other has its number."""
+    files, at = _files(spark, f"{folder.rstrip('/')}/{name}/_versions")
+    files.mkdirs(at)
+    number = max((int(f.getPath().getName()) for f in files.listStatus(at) if f.getPath().getName().isdigit()), default=0)
+    while True:
+        number += 1
+        _, path = _files(spark, f"{folder.rstrip('/')}/{name}/_versions/{number:010d}")
+        try:
+            out = files.create(path, False)
+        except Exception as e:  # another writer took the number
+            if not files.exists(path):
+                raise e
+            continue
+        out.write(bytearray((json.dumps(tables) + "\n").encode()))
+        out.close()
+        return number
+
+
+def publish(rows: DataFrame | dict[str, DataFrame], folder: str, name: str, keep: int = 2) -> int:
+    """Write a rebuilt table, or several that change together, as the next version of ``name``.
+
+    Tables are written to folders of their own; then one small file, which is created whole or not at
+    all, names them.  Readers take the complete version of the highest number: before that file, and
+    after a run that stops anywhere, they see the version before.  Of older versions the last
+    ``keep`` stay, for readers that have begun; folders that no version names are left by stopped runs
+    and go with the next ``clean``.  Two writers get two numbers where the store creates files
+    exclusively (as HDFS and local files do); elsewhere there may be one writer at a time.
+    """
+    tables = rows if isinstance(rows, dict) else {"": rows}
+    spark = next(iter(tables.values())).sparkSession
+    paths = {}
+    for part, df in tables.items():
+        paths[part] = f"{folder.rstrip('/')}/{name}/data-{uuid.uuid4().hex}"
+        df.write.parquet(paths[part])
+    number = _commit(spark, folder, name, paths)
+    clean(spark, folder, name, keep)
+    return number
+
+
+def clean(spark: SparkSession, folder: str, name: str, keep: int = 2, hours: float = 168) -> None:
+    """Remove versions before the last ``keep``, and folders without a version that are older than ``hours``."""
+    found = _versions(spark, folder, name)
+    files, root = _files(spark, f"{folder.rstrip('/')}/{name}")
+    for number in sorted(found)[:-keep]:
+        _, at = _files(spark, f"{folder.rstrip('/')}/{name}/_versions/{number:010d}")
+        files.delete(at, False)  # the name first, so that no version names what is gone
+        for path in found.pop(number).values():
+            files.delete(_files(spark, path)[1], True)
+    named, now = {p.rsplit("/", 1)[-1] for v in found.values() for p in v.values()}, time.time() * 1000
+    for f in files.listStatus(root):
+        own = f.getPath().getName()
+        if own.startswith("data-") and own not in named and now - f.getModificationTime() > hours * 3_600_000:
+            files.delete(f.getPath(), True)
+
+
+def version(spark: SparkSession, folder: str, name: str) -> int | None:
+    """The number that readers see, if any."""
+    return max(_versions(spark, folder, name), default=None)
+
+
+def current(spark: SparkSession, folder: str, name: str, part: str = "") -> DataFrame:
     """The published table of a name."""
-    return spark.read.parquet(spark.read.json(f"{folder.rstrip('/')}/{name}-current").first()["chemin"])
+    found = _versions(spark, folder, name)
+    return spark.read.parquet(found[max(found)][part])
 
 
 def export_csv(rows: DataFrame, path: str) -> int:
