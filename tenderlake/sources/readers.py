@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,8 +24,36 @@ def in_window(df: DataFrame, today: Column, months: int = 36) -> DataFrame:
 
 
 def text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every column a string."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    """CSV files with a header and quoted line ends, every column a string, read by several tasks.
+
+    Lines are read in blocks of the files.  A line begins a record if the quotes before it in its file are
+    even in number: counts within a block are added to those of the blocks before, of which there is
+    one row each.  The lines of a record are put together, across blocks too, and parsed once.  Files
+    that Spark can't split (compressed ones) are one block each.  All files have the header of the first.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    lines = lines.withColumn("q", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    block = Window.partitionBy("f", "b")
+    scanned = lines.withColumn("own", F.coalesce(F.sum("q").over(block.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    borders = lines.groupBy("f", "b").agg(F.sum("q").alias("q")).select(
+        "f", "b", F.coalesce(F.sum("q").over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("past"))
+    marked = scanned.join(borders, ["f", "b"]).withColumn("begins", (F.col("own") + F.col("past")) % 2 == 0)
+    # The record of a line is the last that has begun in its block, else the last of the blocks before.
+    marked = marked.withColumn("r", F.last(F.when(F.col("begins"), F.struct("b", "i")), ignorenulls=True).over(block.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    last = marked.groupBy("f", "b").agg(F.max(F.when(F.col("begins"), F.struct("b", "i"))).alias("z")).select(
+        "f", "b", F.last("z", ignorenulls=True).over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
+    marked = marked.join(last, ["f", "b"]).withColumn("r", F.coalesce("r", "open"))
+    records = marked.groupBy("f", "r").agg(F.array_sort(F.collect_list(F.struct("b", "i", "value"))).alias("l")).select(
+        "f", "r", F.regexp_replace(F.array_join(F.transform("l", lambda x: x["value"]), "\n"), "\r\\z", "").alias("value"))
+    head = spark.read.text(path, lineSep="\n").where("_metadata.file_block_start = 0").first()
+    if head is None:
+        return spark.createDataFrame([], "value string").select()
+    names = next(csv.reader([head["value"].lstrip("\ufeff").rstrip("\r")]))
+    first = records.groupBy("f").agg(F.min("r").alias("h"))
+    body = records.join(first, "f").where(F.col("r") != F.col("h")).where("value <> ''")
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return body.select(F.from_csv("value", schema, {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}).alias("x")).select("x.*")
 
 
 def multilingual(value: Column) -> Column:
