@@ -7,11 +7,12 @@ else the whole country).  Every fact has a provenance and a coverage from 0 to 1
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.plans.family import SCORES, family_sql
-from tenderlake.sources.adapters import CANON, run, stored
+from tenderlake.plans.family import SCORES
+from tenderlake.plans.star import Star
+from tenderlake.sources.adapters import stored
 
 # Thresholds, purchasing bodies and the wording of results, which must read the same everywhere.
 ENOUGH, SHOWN, COMPARABLE, FOREIGN_MOST = 2, 10, 20, 0.33
@@ -64,11 +65,11 @@ def comparable_buyers(buyers: DataFrame) -> DataFrame:
     return met.select("siret", F.when(some, "departement").otherwise("national").alias("zone"), F.when(some, F.col("c_departement")).otherwise(F.col("c_national")).alias("comparables"))
 
 
-def expansion(spark: SparkSession, sf_dir: str, families: DataFrame | None = None) -> DataFrame:
+def expansion(star: Star, families: DataFrame | None = None) -> DataFrame:
     """One row for each (buyer, category) of the markets: the level used, what was tried, and
     the comparable buyers that widen competitors and prices."""
-    found = (families if families is not None else run(spark, sf_dir, family_sql(LEVELS) + "SELECT * FROM families")).select("siret_acheteur", "niveau", "famille", "nb_marches")
-    asked = run(spark, sf_dir, f"WITH {CANON} SELECT DISTINCT siret_acheteur, code_cpv FROM marches")
+    found = (families if families is not None else star.families("SELECT * FROM families", LEVELS)).select("siret_acheteur", "niveau", "famille", "nb_marches")
+    asked = star.marches.select("siret_acheteur", "code_cpv").distinct()
     levels = asked.withColumn("niveau", F.explode(F.array(*map(F.lit, LEVELS)))).withColumn("famille", F.left("code_cpv", F.col("niveau")))
     counted = levels.join(found, ["siret_acheteur", "niveau", "famille"], "left").groupBy("siret_acheteur", "code_cpv").agg(
         *(F.coalesce(F.max(F.when(F.col("niveau") == n, F.col("nb_marches"))), F.lit(0)).alias(f"n{n}") for n in LEVELS)
@@ -76,7 +77,7 @@ def expansion(spark: SparkSession, sf_dir: str, families: DataFrame | None = Non
     enough = F.coalesce(*(F.when(F.col(f"n{n}") >= ENOUGH, n) for n in LEVELS))
     some = F.coalesce(*(F.when(F.col(f"n{n}") >= 1, n) for n in LEVELS))
     poor = F.col("n8") < ENOUGH
-    buyers = run(spark, sf_dir, f"WITH {CANON} SELECT siret, nom, naf, departement FROM acheteurs")
+    buyers = star.acheteurs
     chosen = counted.withColumn("niveau", F.coalesce(enough, some, F.lit(8))).withColumn("enough", enough.isNotNull()).withColumn("poor", poor)
     tried = [F.when(F.col("poor") & (~F.col("enough") | (F.col("niveau") <= n)), F.concat(F.lit("cpv_parent: "), F.left("code_cpv", F.lit(n)))) for n in LEVELS[1:]]
     near = comparable_buyers(buyers)
@@ -96,23 +97,49 @@ def expansion(spark: SparkSession, sf_dir: str, families: DataFrame | None = Non
     )
 
 
-def _history(spark: SparkSession, sf_dir: str, asked: DataFrame, last: DataFrame) -> DataFrame:
-    """Award rows that feed competitors and prices: the family's own, then those of comparable buyers."""
-    rows = run(spark, sf_dir, f"""WITH {CANON} SELECT m.siret_acheteur, m.uid, m.montant, m.date_notification, a.siren, e.denomination, e.etat, niveau,
-      left(m.code_cpv, niveau) AS famille FROM marches m JOIN attributions a ON m.uid = a.uid JOIN entreprises e ON a.siren = e.siren
-      LATERAL VIEW explode(array(8, 6, 4, 2)) l AS niveau""")
+def _rivals(star: Star, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prices, rivals) of every asked ``fid``: from its own dated awards, then from those of comparable buyers.
+
+    ``prices`` has total, elargi, prix_min and prix_max; ``rivals`` how many other companies there are,
+    how many of them abroad, and the ``SHOWN`` most frequent in order.  Awards are counted once for each
+    (buyer, level, prefix, company); only these counts meet the buyers that ask for them, and a list
+    never holds more than it shows.
+    """
     keys = ["niveau", "famille"]
-    own = asked.select("siret_acheteur", "code_cpv", *keys).join(rows.where("date_notification IS NOT NULL"), ["siret_acheteur", *keys]).select(
-        "siret_acheteur", "code_cpv", F.lit(0).alias("origine"), "denomination", "etat", F.when(F.col("montant") != 0, F.col("montant")).alias("montant"),
-        F.struct(F.lit(0).alias("o"), (-F.unix_date("date_notification")).alias("j"), F.col("siren").alias("s")).alias("vu"),
-    )
-    near = asked.select("siret_acheteur", "code_cpv", *keys, F.explode("comparables").alias("_other"))
-    theirs = rows.withColumnRenamed("siret_acheteur", "_other")
-    more = near.join(theirs, ["_other", *keys]).select(
-        "siret_acheteur", "code_cpv", F.lit(1).alias("origine"), "denomination", "etat", "montant",
-        F.struct(F.lit(1).alias("o"), F.lit(0).alias("j"), F.col("denomination").alias("s")).alias("vu"),
-    )
-    return own.unionByName(more)
+    rows = star.sql(f"""SELECT m.siret_acheteur AS _autre, niveau, left(m.code_cpv, niveau) AS famille, e.denomination, a.siren, m.date_notification, m.montant,
+      CAST(coalesce(e.etat = 'ETRANGER', false) AS INT) AS etranger FROM {{marches}} m JOIN {{attributions}} a ON m.uid = a.uid JOIN {{entreprises}} e ON a.siren = e.siren
+      LATERAL VIEW explode(array({", ".join(map(str, LEVELS))})) l AS niveau""")
+    dated, amount = F.col("date_notification").isNotNull(), F.when(F.col("montant") != 0, F.col("montant"))
+    cube = stored(rows.groupBy("_autre", *keys, "denomination").agg(
+        F.count("*").alias("tous"), F.count_if(dated).alias("propres"), F.max("etranger").alias("etranger"), F.max(F.when(dated, F.col("etranger"))).alias("etranger_propre"),
+        F.min("montant").alias("bas"), F.max("montant").alias("haut"), F.min(F.when(dated, amount)).alias("bas_propre"), F.max(F.when(dated, amount)).alias("haut_propre"),
+        F.min(F.when(dated, F.struct((-F.unix_date("date_notification")).alias("j"), F.col("siren").alias("s")))).alias("vu"),
+    ))
+    own = asked.select("fid", "sortant", F.col("siret_acheteur").alias("_autre"), *keys)
+    near = asked.select("fid", "sortant", F.explode("comparables").alias("_autre"), *keys)
+    by_buyer = cube.groupBy("_autre", *keys).agg(
+        F.sum("tous").alias("tous"), F.sum("propres").alias("propres"), *(f(c).alias(c) for f, c in ((F.min, "bas"), (F.max, "haut"), (F.min, "bas_propre"), (F.max, "haut_propre"))))
+    part = lambda rows, o, n, low, high: rows.join(by_buyer, ["_autre", *keys]).where(F.col(n) > 0).select(
+        "fid", F.lit(o).alias("o"), F.col(n).alias("n"), F.col(low).alias("bas"), F.col(high).alias("haut"))
+    prices = part(own, 0, "propres", "bas_propre", "haut_propre").unionByName(part(near, 1, "tous", "bas", "haut")).groupBy("fid").agg(
+        F.sum("n").alias("total"), F.max("o").alias("elargi"), F.min("bas").alias("prix_min"), F.max("haut").alias("prix_max"))
+    # Numbers alone for the many rows of comparable buyers; the first sight of a company in own awards comes back for the few that are shown.
+    other = F.col("denomination") != F.col("sortant")
+    mine = own.join(cube, ["_autre", *keys]).where(other & (F.col("propres") > 0))
+    seen = mine.select("fid", "denomination", F.lit(0).alias("o"), F.col("propres").alias("nb"), F.col("vu.j").alias("j"), F.col("etranger_propre").alias("e")).unionByName(
+        near.join(cube, ["_autre", *keys]).where(other).select("fid", "denomination", F.lit(1).alias("o"), F.col("tous").alias("nb"), F.lit(0).alias("j"), F.col("etranger").alias("e")))
+    each = seen.repartition("fid").groupBy("fid", "denomination").agg(
+        F.sum("nb").alias("nb"), F.min("o").alias("o"), F.min("j").alias("j"), F.max("e").alias("e"))
+    each = each.withColumn("s", F.when(F.col("o") == 1, F.col("denomination")))
+    of_fid = Window.partitionBy("fid")
+    best = each.withColumn("combien", F.count("*").over(of_fid)).withColumn("etrangers", F.sum("e").over(of_fid)).withColumn(
+        "_r", F.rank().over(of_fid.orderBy(F.col("nb").desc(), "o", "j", F.col("s").asc_nulls_first()))).where(F.col("_r") <= SHOWN)
+    first = mine.select("fid", "denomination", F.col("vu.s").alias("_s"))
+    best = best.join(first, ["fid", "denomination"], "left").withColumn("s", F.coalesce("s", "_s"))
+    order = F.struct((-F.col("nb")).alias("n"), "o", "j", "s", "denomination", "nb", (F.col("e") == 1).alias("etranger"))
+    # A rank keeps rows that its order does not tell apart: own rivals of one count and day, which the last step puts in order.
+    rivals = best.groupBy("fid").agg(F.first("combien").alias("combien"), F.first("etrangers").alias("etrangers"), F.slice(F.array_sort(F.collect_list(order)), 1, SHOWN).alias("rivaux"))
+    return prices, rivals
 
 
 def _fact(cle: str, couverture: Column, texte=None, nombre=None, liste=None, provenance=None) -> Column:
@@ -125,29 +152,21 @@ def _fact(cle: str, couverture: Column, texte=None, nombre=None, liste=None, pro
     )
 
 
-def fact_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fact_sheets(star: Star) -> DataFrame:
     """siret_acheteur, code_cpv, nom, confiance, faits (cle, texte, nombre, liste, provenance,
-    couverture), couverture_globale, raison, marches_support: one row for each (buyer, category)
+    couverture), couverture_globale, raison, marches_support, nb_marches: one row for each (buyer, category)
     of the markets.  ``faits`` is empty, and ``raison`` says why, for purchasing bodies and where
     no widening finds anything.  A fact's value is a text, a number or a list; none if unknown."""
-    families = stored(run(spark, sf_dir, family_sql(LEVELS) + "SELECT * FROM families"))
-    asked = stored(expansion(spark, sf_dir, families))
-    rows = _history(spark, sf_dir, asked, families)
+    families = stored(star.families("SELECT * FROM families", LEVELS))
+    asked = expansion(star, families)
     key = ["siret_acheteur", "code_cpv"]
-    found = asked.join(families.drop("transitions", "coherentes"), ["siret_acheteur", "niveau", "famille"], "left")
-    named = rows.join(found.select(*key, "sortant"), key)
-    prices = named.groupBy(*key).agg(F.count("*").alias("total"), F.max("origine").alias("elargi"), F.min("montant").alias("prix_min"), F.max("montant").alias("prix_max"))
-    rivals = named.where(F.col("denomination") != F.col("sortant")).groupBy(*key, "denomination").agg(
-        F.count("*").alias("nb"), F.min("vu").alias("vu"), F.max(F.col("etat") == "ETRANGER").alias("etranger")
-    )
-    order = F.struct((-F.col("nb")).alias("n"), "vu", "denomination", "nb", "etranger")
-    listed = rivals.groupBy(*key).agg(F.array_sort(F.collect_list(order)).alias("rivaux"))
-    f = found.join(prices, key, "left").join(listed, key, "left")
-    f = f.withColumn("rivaux", F.coalesce("rivaux", F.expr("filter(array(named_struct('n', -1L, 'vu', named_struct('o', 0, 'j', 0, 's', ''), 'denomination', '', 'nb', 0L, 'etranger', false)), x -> false)")))
-    foreign = F.size(F.filter("rivaux", lambda r: r["etranger"]))
+    found = stored(asked.join(families.drop("transitions", "coherentes"), ["siret_acheteur", "niveau", "famille"], "left").withColumn("fid", F.monotonically_increasing_id()))
+    prices, rivals = _rivals(star, found.select("fid", "siret_acheteur", "niveau", "famille", "comparables", "sortant").where("sortant IS NOT NULL"))
+    f = found.join(prices, "fid", "left").join(rivals, "fid", "left").withColumn("combien", F.coalesce("combien", F.lit(0).cast("long")))
+    foreign = F.coalesce("etrangers", F.lit(0).cast("long"))
     shown = F.transform(F.slice("rivaux", 1, SHOWN), lambda r: F.concat(
         r["denomination"], F.when(r["etranger"], F.lit(" [hors France]")).otherwise(F.lit("")), F.lit(" ("), r["nb"].cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" attribution(s))")))
-    more = F.size("rivaux") - SHOWN
+    more = F.col("combien") - SHOWN
     rest = F.when(more > 0, F.array(F.concat(F.lit("... et "), more.cast("string"), F.lit(" autre(s) concurrent(s) observé(s)")))).otherwise(F.array().cast("array<string>"))
     score = F.coalesce(*(F.when(F.col("confiance") == c, F.lit(v)) for c, v in SCORES.items()), F.lit(0.0))
     half = F.coalesce(F.col("elargi") == 1, F.lit(False))
@@ -161,11 +180,11 @@ def fact_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.coalesce(*(F.when(F.col("duree_source") == s, F.lit(PROVENANCE[s])) for s in ("reelle", "inferee_famille_cpv")), F.lit(PROVENANCE["inconnue"]))
     facts = [
         _fact("titulaire_actuel", F.col("score"), texte=F.col("sortant")),
-        _fact("duree_restante_mois", F.lit(0.0)),
+        _fact("duree_restante_mois", F.when(F.col("duree_restante_mois").isNotNull(), F.col("score")).otherwise(0.0), nombre=F.col("duree_restante_mois")),
         _fact("date_expiration_estimee", expiry, texte=F.coalesce(F.col("date_expiration").cast("string"), F.lit("inconnue")), provenance=source),
         _fact("date_dernier_marche", F.col("score"), texte=F.col("date_dernier").cast("string")),
         _fact("nombre_marches_historique", F.col("score"), nombre=F.col("nb_marches")),
-        _fact("concurrents_observes", rivalry, texte=F.when(F.size("rivaux") == 0, F.lit(NO_COMPETITOR)), liste=F.when(F.size("rivaux") > 0, F.concat(shown, rest))),
+        _fact("concurrents_observes", rivalry, texte=F.when(F.col("combien") == 0, F.lit(NO_COMPETITOR)), liste=F.when(F.col("combien") > 0, F.concat(shown, rest))),
         _fact("fourchette_prix_min", price, nombre=F.col("prix_min")),
         _fact("fourchette_prix_max", price, nombre=F.col("prix_max")),
         _fact("ponderation_acheteur", F.lit(0.0), texte=F.lit("non disponible")),
@@ -181,7 +200,7 @@ def fact_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(
         *key, "nom", "confiance", F.when(empty, F.filter("_faits", lambda x: F.lit(False))).otherwise(F.col("_faits")).alias("faits"),
         F.when(empty, 0.0).otherwise(mean).alias("couverture_globale"), reason.alias("raison"),
-        F.when(~empty, F.col("marches_support")).alias("marches_support"),
+        F.when(~empty, F.col("marches_support")).alias("marches_support"), F.when(~empty, F.col("nb_marches")).alias("nb_marches"),
     )
 
 
@@ -212,7 +231,7 @@ def decision_lines(sheets: DataFrame) -> Column:
     price = F.when(low.isNull(), F.concat(F.lit("non disponible (n="), n, F.lit(", aucun montant publié sur cette famille)"))).otherwise(
         F.concat(money(low), F.lit(" € — "), money(high), F.lit(" € (n="), n, F.lit(", indicatif)")))
     support = F.when(F.size("marches_support") > 0, F.concat(
-        F.lit(" — marché du sortant : "), F.get("marches_support", F.lit(0)), F.lit(" (sur "), F.size("marches_support").cast("string"), F.lit(" marché(s) en source)"))).otherwise(F.lit(""))
+        F.lit(" — marché du sortant : "), F.get("marches_support", F.lit(0)), F.lit(" (sur "), F.col("nb_marches").cast("long").cast("string"), F.lit(" marché(s) en source)"))).otherwise(F.lit(""))
     head = F.concat(F.lit("Acheteur : "), F.coalesce("nom", "siret_acheteur"), F.lit(" | Objet CPV : "), "code_cpv")
     full = F.array(
         head,

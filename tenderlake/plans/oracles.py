@@ -39,7 +39,7 @@ sure AS (
   SELECT *, CASE WHEN nb_vagues <= 1 OR ratio IS NULL THEN 'faible' WHEN nb_vagues >= 3 AND ratio >= 0.7 THEN 'élevée'
                  WHEN ratio >= 0.5 THEN 'moyenne' ELSE 'faible' END AS confiance FROM rated),
 last_ AS (
-  SELECT siret_acheteur, code_cpv, uid, siren, denomination, date_notification FROM (
+  SELECT siret_acheteur, code_cpv, uid, siren, denomination, date_notification, duree_restante_mois FROM (
     SELECT *, row_number() OVER (PARTITION BY siret_acheteur, code_cpv ORDER BY date_notification DESC, siren, uid) AS n FROM rows_
     WHERE date_notification IS NOT NULL) x WHERE n = 1)
 """
@@ -54,9 +54,10 @@ JOIN waved w ON w.uid = l.uid AND w.siret_acheteur = s.siret_acheteur AND w.code
 
 #: Markets at all four levels: codes of 8, 6, 4 and 2 characters keep them apart.
 _LEVELS = CANON.replace("marches AS (", "marches0 AS (") + """, marches AS (
-  SELECT uid, siret_acheteur, montant, date_notification, left(code_cpv, l) AS code_cpv, duree_mois, source FROM marches0, (VALUES (8), (6), (4), (2)) v(l))"""
+  SELECT uid, siret_acheteur, montant, date_notification, left(code_cpv, l) AS code_cpv, duree_mois, duree_restante_mois, source FROM marches0, (VALUES (8), (6), (4), (2)) v(l))"""
 
-_SHEETS = _family(Duck, _LEVELS, "AND length(code_cpv) = 8") + """,
+#: From the families of a canon with ``marches0`` to the figures of sheets.
+_FROM_FAMILIES = """,
 asked AS (SELECT DISTINCT siret_acheteur, code_cpv FROM marches0),
 cand AS (
   SELECT a.*, l, left(a.code_cpv, l) AS famille, coalesce(s.nb_marches, 0) AS nb FROM asked a CROSS JOIN (VALUES (8), (6), (4), (2)) v(l)
@@ -74,12 +75,12 @@ near_ AS (
 others AS (SELECT siret, autre, local FROM near_ WHERE CASE WHEN local THEN proche AND n_local <= 20 ELSE n_wide <= 20 END),
 hist AS (
   SELECT u.siret_acheteur, u.code_cpv, r.denomination, r.etat, CASE WHEN r.montant <> 0 THEN r.montant END AS montant, 0 AS o, -date_diff('day', DATE '1970-01-01', r.date_notification) AS j, r.siren AS s
-  FROM used u JOIN rows_ r ON r.siret_acheteur = u.siret_acheteur AND r.code_cpv = u.famille
+  FROM used u JOIN rows_ r ON r.siret_acheteur = u.siret_acheteur AND r.code_cpv = u.famille AND r.date_notification IS NOT NULL
   UNION ALL
   SELECT u.siret_acheteur, u.code_cpv, r.denomination, r.etat, r.montant, 1, 0, r.denomination
   FROM used u JOIN others x ON u.pauvre AND x.siret = u.siret_acheteur JOIN rows_ r ON r.siret_acheteur = x.autre AND r.code_cpv = u.famille),
 info AS (
-  SELECT u.siret_acheteur, u.code_cpv, u.pauvre, u.l, l.denomination AS sortant, l.uid AS uid_dernier, l.date_notification AS date_dernier, w.fin, w.duree_source, s.confiance, s.nb_marches,
+  SELECT u.siret_acheteur, u.code_cpv, u.pauvre, u.l, l.denomination AS sortant, l.uid AS uid_dernier, l.date_notification AS date_dernier, CAST(l.duree_restante_mois AS DOUBLE) AS restante, w.fin, w.duree_source, s.confiance, s.nb_marches,
          CASE s.confiance WHEN 'élevée' THEN 1.0::DOUBLE WHEN 'moyenne' THEN 0.66::DOUBLE ELSE 0.33::DOUBLE END AS score
   FROM used u JOIN sure s ON s.siret_acheteur = u.siret_acheteur AND s.code_cpv = u.famille
   JOIN last_ l ON l.siret_acheteur = s.siret_acheteur AND l.code_cpv = s.code_cpv
@@ -108,14 +109,16 @@ cover AS (
   SELECT *, CASE WHEN elargi THEN round(c_riv * 0.5::DOUBLE, 2) ELSE c_riv END AS k_riv, CASE WHEN elargi THEN round(c_prix * 0.5::DOUBLE, 2) ELSE c_prix END AS k_prix,
          9 + CASE WHEN pauvre THEN 1 ELSE 0 END + CASE WHEN dehors > 0 THEN 1 ELSE 0 END AS nb_faits FROM cover0),
 sheets AS (
-  SELECT *, round((3 * score + c_fin + k_riv + 2 * k_prix + CASE WHEN pauvre THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN dehors > 0 THEN 1::DOUBLE ELSE 0 END) / nb_faits, 2) AS globale FROM cover),
+  SELECT *, round((3 * score + CASE WHEN restante IS NOT NULL THEN score ELSE 0 END + c_fin + k_riv + 2 * k_prix + CASE WHEN pauvre THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN dehors > 0 THEN 1::DOUBLE ELSE 0 END) / nb_faits, 2) AS globale FROM cover),
 support AS (
   SELECT siret_acheteur, code_cpv, list(uid ORDER BY date_notification DESC, siren, uid) AS uids FROM (
-    SELECT siret_acheteur, code_cpv, uid, date_notification, min(siren) AS siren FROM rows_ GROUP BY ALL) x GROUP BY ALL)
+    SELECT siret_acheteur, code_cpv, uid, date_notification, min(siren) AS siren FROM rows_ WHERE date_notification IS NOT NULL GROUP BY ALL) x GROUP BY ALL)
 """
 
-_FACTS = _SHEETS + """SELECT siret_acheteur, code_cpv, score AS couv_titulaire, c_fin AS couv_expiration, k_riv AS couv_concurrents, k_prix AS couv_prix, prix_min, prix_max,
+_SHEETS = _family(Duck, _LEVELS, "AND length(code_cpv) = 8") + _FROM_FAMILIES
+_FIGURES = """SELECT siret_acheteur, code_cpv, score AS couv_titulaire, c_fin AS couv_expiration, k_riv AS couv_concurrents, k_prix AS couv_prix, prix_min, prix_max,
   CAST(nb_faits AS BIGINT) AS nb_faits, CAST(dehors AS BIGINT) AS hors_france, globale AS couverture_globale FROM sheets"""
+_FACTS = _SHEETS + _FIGURES
 
 _PCT = lambda c: f"CAST(CAST(round_even({c} * 100, 0) AS INT) AS VARCHAR) || '%'"
 _EUR = lambda c: f"replace(format('{{:,}}', CAST(round_even({c}, 0) AS BIGINT)), ',', ' ')"
@@ -160,12 +163,15 @@ _BUYERS = _SILVER_TYPED + """, found AS (
 _AWARDS = _BUYERS + """, w AS (
   SELECT DISTINCT uid, titulaire_id AS id, titulaire_nom AS nom, 'DECP' AS source FROM bronze_decp WHERE titulaire_id IS NOT NULL
   UNION SELECT 'TED-' || publication_number, winner_identifier, winner_name, 'TED' FROM bronze_ted WHERE winner_identifier IS NOT NULL),
+amis AS (
+  SELECT s_name AS denomination, CASE s_suppkey % 40 WHEN 39 THEN 'flou' WHEN 4 THEN 'flou_desambigue_actif' WHEN 24 THEN 'flou_desambigue_actif' WHEN 14 THEN 'flou_desambigue_actif' END AS nomme,
+    CASE WHEN s_suppkey % 40 = 14 THEN '8' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '00001' WHEN s_suppkey % 40 IN (4, 24, 39) THEN lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '00001' END AS siege FROM supplier),
 made AS (
   SELECT w.uid, w.nom, w.source, CASE WHEN regexp_full_match(id, '[0-9]{14}') THEN id WHEN id LIKE 'SIREN %' THEN substring(id, 7) || '00001' WHEN id LIKE 'FR12%' THEN substring(id, 5) || '00001'
-      WHEN id LIKE 'BE%' AND f.code_cpv LIKE '72%' THEN rpad(id, 14, '0') WHEN id = 'sans numero' AND f.code_cpv LIKE '72%' THEN r.siret_siege END AS siret,
-    CASE WHEN id LIKE 'SIREN %' THEN 'siren_seul' WHEN id LIKE 'FR12%' THEN 'tva_fr' WHEN id LIKE 'BE%' THEN 'etranger' WHEN id = 'sans numero' THEN 'flou' END AS methode, f.code_cpv
-  FROM w JOIN found f ON f.uid = w.uid LEFT JOIN registre r ON r.denomination = w.nom),
-awarded AS (SELECT uid, siret AS siret_titulaire, nom AS nom_titulaire, source, methode AS methode_resolution, CASE WHEN methode = 'flou' THEN 1.0::DOUBLE END AS score_confiance FROM made WHERE siret IS NOT NULL)
+      WHEN id LIKE 'BE%' AND f.code_cpv LIKE '72%' THEN rpad(id, 14, '0') WHEN id = 'sans numero' AND f.code_cpv LIKE '72%' THEN r.siege END AS siret,
+    CASE WHEN id LIKE 'SIREN %' THEN 'siren_seul' WHEN id LIKE 'FR12%' THEN 'tva_fr' WHEN id LIKE 'BE%' THEN 'etranger' WHEN id = 'sans numero' THEN r.nomme END AS methode, f.code_cpv
+  FROM w JOIN found f ON f.uid = w.uid LEFT JOIN amis r ON r.denomination = w.nom),
+awarded AS (SELECT uid, siret AS siret_titulaire, nom AS nom_titulaire, source, methode AS methode_resolution, CASE methode WHEN 'flou' THEN 1.0::DOUBLE WHEN 'flou_desambigue_actif' THEN 0.65::DOUBLE END AS score_confiance FROM made WHERE siret IS NOT NULL)
 """
 
 _FLAGGED = _AWARDS + """, flags AS (
@@ -174,6 +180,21 @@ _FLAGGED = _AWARDS + """, flags AS (
 """
 
 
+#: Gold of the silver above, by the names of the canonical relations.
+_GOLD = _FLAGGED + """, bons AS (
+  SELECT f.* FROM found f WHERE siret IS NOT NULL AND code_cpv LIKE '72%' AND uid NOT IN (SELECT uid FROM flags)),
+acheteurs AS (
+  SELECT siret, coalesce(min(nom_acheteur), 'Acheteur inconnu') AS nom, any_value(c_mktsegment) AS naf, lpad(CAST(any_value(c_nationkey) AS VARCHAR), 2, '0') AS departement
+  FROM bons LEFT JOIN customer ON siret = '9' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '00002' GROUP BY siret),
+marches0 AS (
+  SELECT uid, siret AS siret_acheteur, montant, code_cpv, date_notification, duree_mois, CASE WHEN source = 'DECP' AND CAST(uid AS BIGINT) % 3 > 0 THEN CAST(uid AS BIGINT) % 24 END AS duree_restante_mois, source FROM bons),
+attributions AS (SELECT a.uid, siret_titulaire, left(siret_titulaire, 9) AS siren, methode_resolution, score_confiance, nom_titulaire FROM awarded a JOIN bons USING (uid)),
+entreprises AS (SELECT siren, min(nom_titulaire) AS denomination, NULL AS etat FROM attributions GROUP BY siren),
+marches AS (
+  SELECT uid, siret_acheteur, montant, date_notification, left(code_cpv, l) AS code_cpv, duree_mois, duree_restante_mois, source FROM marches0, (VALUES (8), (6), (4), (2)) v(l))
+"""
+
+
 def _near(share: float, days: int) -> str:
     return f"""WITH {CANON} SELECT t.uid AS uid_ted, d.uid AS uid_decp FROM marches t, marches d
 WHERE t.source = 'TED' AND d.source = 'DECP' AND t.siret_acheteur = d.siret_acheteur AND left(t.code_cpv, 4) = left(d.code_cpv, 4)
@@ -234,6 +255,12 @@ FROM customer JOIN (VALUES (0, 'UGAP', 'Ugap '), (1, 'UNIHA', 'GCS UniHA '), (2,
   (SELECT count(*) FROM found WHERE rejets <> '') AS rejetes, (SELECT count(*) FROM awarded) AS attributions""",
     "silver_methods": _AWARDS + """SELECT 'acheteurs' AS cote, coalesce(methode, 'siret_exact') AS methode, count(*) AS nb FROM found WHERE siret IS NOT NULL GROUP BY ALL
   UNION ALL SELECT 'titulaires', methode_resolution, count(*) FROM awarded GROUP BY ALL""",
+    "gold_star_buyers": _GOLD + "SELECT siret, nom FROM acheteurs",
+    "gold_star_companies": _GOLD + "SELECT siren, denomination, true AS est_active FROM entreprises",
+    "gold_star_awards": _GOLD + "SELECT uid, siret_titulaire, siren, methode_resolution, score_confiance FROM attributions",
+    "gold_integrity": _GOLD + """SELECT unnest(['marches.siret_acheteur', 'attributions.uid', 'attributions.siren']) AS lien, 0::BIGINT AS nb
+  UNION ALL SELECT 'perimes', count(*) FROM marches0 WHERE code_cpv = '72220000'""",
+    "gold_sheets": _family(Duck, _GOLD.removeprefix("WITH "), "AND length(code_cpv) = 8") + _FROM_FAMILIES + _FIGURES.replace("couverture_globale FROM", "couverture_globale, restante AS mois_restants FROM"),
     "gold_from_silver": _FLAGGED + "SELECT uid, siret AS siret_acheteur, code_cpv, date_notification FROM found WHERE siret IS NOT NULL AND code_cpv LIKE '72%' AND uid NOT IN (SELECT uid FROM flags)",
     "identifier_rules": """WITH n AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS t FROM documents)
 SELECT doc_id, 0::BIGINT AS place, lpad(t, 14, '1') AS siret, left(lpad(t, 14, '1'), 9) AS siren, 'siret_exact_segmente' AS methode, NULL AS pays_etranger FROM n WHERE doc_id % 7 = 0
@@ -280,7 +307,8 @@ UNION ALL SELECT 'couverture_etablissements', e >= 0.95 * d, e || ' sur ' || d F
     "cross_source_report": f"""WITH {CANON}, x AS (SELECT EXISTS (SELECT 1 FROM marches p WHERE p.source = 'DECP' AND p.siret_acheteur = t.siret_acheteur AND left(p.code_cpv, 4) = left(t.code_cpv, 4)
   AND abs(date_diff('day', p.date_notification, t.date_notification)) <= 90) AS r FROM marches t WHERE t.source = 'TED')
 SELECT count(*) AS avis, count(*) FILTER (WHERE r) AS recoupes, count(*) FILTER (WHERE NOT r) AS sans_correspondance, round(count(*) FILTER (WHERE r) / count(*), 6) AS part, least(10, count(*) FILTER (WHERE NOT r)) AS exemples FROM x""",
-    "identity_accuracy": """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'niveau2_siren' WHEN 1 THEN 'niveau2_etranger' WHEN 2 THEN 'niveau3_nom' ELSE 'impossible' END AS type_cas, count(*) AS corrects, count(*) AS total, 1.0::DOUBLE AS part FROM supplier GROUP BY 1""",
+    "identity_accuracy": """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'niveau2_siren' WHEN 1 THEN 'niveau2_etranger' WHEN 2 THEN 'niveau3_nom' ELSE 'impossible' END AS type_cas, count(*) FILTER (WHERE s_suppkey % 20 <> 14) AS corrects, count(*) AS total,
+  count(*) FILTER (WHERE s_suppkey % 20 <> 14) / count(*) AS part FROM supplier GROUP BY 1""",
     "similar_markets": """WITH q AS (SELECT embedding AS v, label FROM embeddings WHERE vec_id = 0)
 SELECT CAST(e.vec_id AS VARCHAR) AS uid, CASE WHEN e.label % 5 <> 4 THEN CAST(72000000 + e.label AS VARCHAR) END AS code_cpv, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 6) AS similarite
 FROM embeddings e, q WHERE e.vec_id <> 0 AND (CASE WHEN e.label % 5 <> 4 THEN e.label END) IS DISTINCT FROM (CASE WHEN q.label % 5 <> 4 THEN q.label END) ORDER BY similarite DESC, uid LIMIT 10""",

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions import text
 from tenderlake.functions.verify import verify
 from tenderlake.operators import identity, quality, vectors, versions
-from tenderlake.plans import facts, silver
-from tenderlake.plans.family import FAMILY, family_sql
+from tenderlake.plans import facts, gold, silver
+from tenderlake.plans.family import FAMILY
+from tenderlake.plans.star import Star
 from tenderlake.sources import notices, readers
 from tenderlake.sources.adapters import BRONZE, CANON, run, shared
 from tenderlake import sinks
@@ -19,7 +20,7 @@ TODAY, FIRST = "1998-06-30", "1993-01-01"
 
 
 def _family(columns: str, source: str = "families", levels: tuple[int, ...] = (8,)):
-    return lambda spark, sf_dir: run(spark, sf_dir, family_sql(levels) + f"SELECT {columns} FROM {source}")
+    return lambda spark, sf_dir: Star.of_tables(spark, sf_dir).families(f"SELECT {columns} FROM {source}", levels)
 
 
 _KEY = "siret_acheteur, famille AS code_cpv"
@@ -39,49 +40,57 @@ def near_duplicates(spark: SparkSession, sf_dir: str, share: float = 0.01, days:
     return rows.select(F.col("uid").alias("uid_ted"), F.col("doublon_probable_de").alias("uid_decp"))
 
 
-def fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = facts.fact_sheets(spark, sf_dir).where(F.size("faits") > 0)
+def _sheet_figures(sheets: DataFrame) -> DataFrame:
     cover = lambda c: facts.fact(c)["couverture"]
-    return s.select(
+    return sheets.where(F.size("faits") > 0).select(
         "siret_acheteur", "code_cpv", cover("titulaire_actuel").alias("couv_titulaire"), cover("date_expiration_estimee").alias("couv_expiration"),
         cover("concurrents_observes").alias("couv_concurrents"), cover("fourchette_prix_min").alias("couv_prix"), facts.fact("fourchette_prix_min")["nombre"].alias("prix_min"),
         facts.fact("fourchette_prix_max")["nombre"].alias("prix_max"), F.size("faits").cast("long").alias("nb_faits"),
         F.coalesce(facts.fact("nb_concurrents_hors_france")["nombre"].cast("long"), F.lit(0).cast("long")).alias("hors_france"), "couverture_globale",
+        facts.fact("duree_restante_mois")["nombre"].alias("mois_restants"),
     )
 
 
+def fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sheet_figures(facts.fact_sheets(Star.of_tables(spark, sf_dir))).drop("mois_restants")
+
+
 def competitor_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Competitors of each family by number of awards, the ten most frequent and how many more."""
-    rows = run(spark, sf_dir, family_sql() + """SELECT f.siret_acheteur, f.famille AS code_cpv, e.denomination, count(*) AS nb, max(c.date_notification) AS vu
-      FROM families f JOIN chained c ON c.siret_acheteur = f.siret_acheteur AND c.niveau = f.niveau AND c.famille = f.famille JOIN attributions a ON a.uid = c.uid
-      JOIN entreprises e ON e.siren = a.siren WHERE e.denomination <> f.sortant GROUP BY f.siret_acheteur, f.famille, e.denomination""")
-    order = F.struct((-F.col("nb")).alias("n"), (-F.unix_date("vu")).alias("v"), "denomination", "nb")
-    lists = rows.groupBy("siret_acheteur", "code_cpv").agg(F.array_sort(F.collect_list(order)).alias("l"))
-    return lists.select("siret_acheteur", "code_cpv", F.greatest(F.size("l") - 10, F.lit(0)).cast("long").alias("autres"), F.posexplode(F.slice("l", 1, 10)).alias("rang", "x")).select(
-        "siret_acheteur", "code_cpv", F.col("x.denomination").alias("denomination"), F.col("x.nb").alias("nb"), (F.col("rang") + 1).cast("long").alias("rang"), "autres")
+    star = Star.of_tables(spark, sf_dir)
+    # The incumbent comes from the chain itself, so that its windows run once.
+    rows = star.families(f"""SELECT siret_acheteur, famille AS code_cpv, uid, date_notification,
+      first_value(denomination) OVER (PARTITION BY {FAMILY} ORDER BY date_notification DESC, siren, uid) AS sortant FROM chained""")
+    won = star.attributions.join(star.entreprises.select("siren", "denomination"), "siren")
+    key = ["siret_acheteur", "code_cpv"]
+    each = rows.join(won, "uid").where("denomination <> sortant").groupBy(*key, "denomination").agg(F.count("*").alias("nb"), F.max(F.unix_date("date_notification")).alias("vu"))
+    w = Window.partitionBy(*key)
+    ranked = each.withColumn("autres", F.greatest(F.count("*").over(w) - 10, F.lit(0))).withColumn(
+        "rang", F.row_number().over(w.orderBy(F.desc("nb"), F.desc("vu"), "denomination")))
+    return ranked.where("rang <= 10").select(*key, "denomination", "nb", F.col("rang").cast("long").alias("rang"), "autres")
 
 
 def decision_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = facts.fact_sheets(spark, sf_dir)
+    s = facts.fact_sheets(Star.of_tables(spark, sf_dir))
     lines = s.select("siret_acheteur", "code_cpv", facts.decision_lines(s).alias("l"))
     return lines.select("siret_acheteur", "code_cpv", *(F.get("l", F.lit(i)).alias(f"ligne_{i + 1}") for i in range(8)))
 
 
 def template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify(facts.fact_sheets(spark, sf_dir), facts.template_text()).select("siret_acheteur", "code_cpv", "texte", "valide")
+    return verify(facts.fact_sheets(Star.of_tables(spark, sf_dir)), facts.template_text()).select("siret_acheteur", "code_cpv", "texte", "valide")
 
 
 def rejected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with an invented amount, name and date, and what the check finds in them."""
     said = F.concat(facts.template_text(), F.lit(" Zorglub Conseil, 7 654 321 € le 30/02/2031, QWERTZ GROUPE"))
-    rows = verify(facts.fact_sheets(spark, sf_dir), said)
+    rows = verify(facts.fact_sheets(Star.of_tables(spark, sf_dir)), said)
     list_ = lambda c: F.array_join(F.array_sort(c), ",")
     return rows.select("siret_acheteur", "code_cpv", "valide", F.array_contains("nombres_non_justifies", "7654321").alias("nombre_vu"),
                        list_("noms_non_justifies").alias("noms"), list_("dates_non_justifiees").alias("dates"))
 
 
 def expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = facts.expansion(spark, sf_dir)
+    e = facts.expansion(Star.of_tables(spark, sf_dir))
     return e.select("siret_acheteur", "code_cpv", F.col("niveau").cast("long").alias("niveau"), F.size("comparables").cast("long").alias("nb_comparables"), F.array_join("expansions", "; ").alias("essais"))
 
 
@@ -99,7 +108,7 @@ def purchasing_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bronze(spark: SparkSession, sf_dir: str):
     read = lambda name: run(spark, sf_dir, f"WITH {BRONZE} SELECT * FROM {name}")
     register = read("registre").select(
-        "siren", "denomination", F.lit("A").alias("etat"), F.lit(None).cast("string").alias("nom_personne"), F.lit(None).cast("array<string>").alias("prenoms"), "siret_siege")
+        "siren", "denomination", "etat", F.lit(None).cast("string").alias("nom_personne"), F.lit(None).cast("array<string>").alias("prenoms"), "siret_siege")
     return read("bronze_decp"), read("bronze_ted"), register
 
 
@@ -134,9 +143,46 @@ def silver_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.methods(*_silver(spark, sf_dir))
 
 
+def _gold(spark: SparkSession, sf_dir: str) -> tuple[gold.Gold, DataFrame]:
+    """Gold after two builds, the first from half of silver, through a published version; and silver."""
+    markets, awards = _silver(spark, sf_dir)
+    folder = shared(spark)
+    gold.publish(gold.build(markets.where("crc32(uid) % 2 = 0"), awards), folder)
+    gold.publish(gold.build(markets, awards, gold.current(spark, folder)), folder)
+    return gold.current(spark, folder), markets
+
+
+def gold_star_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gold(spark, sf_dir)[0].acheteurs
+
+
 def gold_from_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold markets: buyer resolved, no duplicate, in scope."""
-    return _silver(spark, sf_dir)[0].where("siret_acheteur IS NOT NULL AND doublon_probable_de IS NULL AND code_cpv LIKE '72%'").select("uid", "siret_acheteur", "code_cpv", "date_notification")
+    return _gold(spark, sf_dir)[0].marches.select("uid", "siret_acheteur", "code_cpv", "date_notification")
+
+
+def gold_star_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gold(spark, sf_dir)[0].entreprises.select("siren", "denomination", "est_active")
+
+
+def gold_star_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Awards of gold with the method and score that silver gave them."""
+    return _gold(spark, sf_dir)[0].attributions.withColumn("score_confiance", F.round("score_confiance", 4))
+
+
+def gold_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken links of gold, and its markets that a later silver without one category no longer supports."""
+    built, markets = _gold(spark, sf_dir)
+    gone = gold.stale(built, markets.where("code_cpv <> '72220000'")).agg(F.count("*").alias("nb"))
+    return gold.orphans(built).unionByName(gone.select(F.lit("perimes").alias("lien"), "nb"))
+
+
+def gold_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact sheets of gold from bronze text, with what is left of contracts; the register knows some buyers."""
+    built, _ = _gold(spark, sf_dir)
+    units = run(spark, sf_dir, "SELECT concat('9', lpad(CAST(c_custkey AS STRING), 8, '0')) AS siren, c_mktsegment AS activitePrincipaleUniteLegale FROM customer")
+    places = run(spark, sf_dir, "SELECT concat('9', lpad(CAST(c_custkey AS STRING), 8, '0')) AS siren, concat('9', lpad(CAST(c_custkey AS STRING), 8, '0'), '00002') AS siret, concat(lpad(CAST(c_nationkey AS STRING), 2, '0'), '000') AS codePostalEtablissement FROM customer")
+    return _sheet_figures(facts.fact_sheets(built.star(units, places)))
 
 
 def identifier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,11 +390,11 @@ def bronze_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table published twice; readers see the second."""
+    """A table published four times; readers see the last, and old versions go."""
     folder = shared(spark)
     rows = run(spark, sf_dir, "SELECT n_nationkey, n_name FROM nation")
-    sinks.publish(rows.limit(1), folder, "pays")
-    sinks.publish(rows, folder, "pays")
+    for some in (rows.limit(1), rows.limit(2), rows.limit(3), rows):
+        sinks.publish(some, folder, "pays")
     return sinks.current(spark, folder, "pays")
 
 
@@ -369,12 +415,12 @@ def late_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (0, 1):
         events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{base}/in")
     bronze.keep_latest(spark, f"{base}/in", events.schema, base, ["user_id"], "event_id")
-    return bronze.kept(spark, base)
+    return bronze.kept(spark, base, ["user_id"], "event_id")
 
 
 QUERIES = {f.__name__: f for f in (
     fact_coverage, competitor_frequency, decision_block, template_text, rejected_text, expansion, comparable_buyers, purchasing_bodies, silver_typed, silver_buyers, silver_awards,
-    silver_volumes, silver_methods, gold_from_silver, identifier_rules, text_mentions, siren_mentions, html_results, web_corroboration, name_history, json_categories, ted_notices,
+    silver_volumes, silver_methods, gold_from_silver, gold_star_buyers, gold_star_companies, gold_star_awards, gold_integrity, gold_sheets, identifier_rules, text_mentions, siren_mentions, html_results, web_corroboration, name_history, json_categories, ted_notices,
     register_rows, register_completion, register_enrichment, enrichment_coverage, winner_establishments, quality_checks, cross_source_window, cross_source_report,
     identity_accuracy, incumbent_accuracy, similar_markets, category_vote, embedding_backfill, register_cleaning, invalid_keys, decp_window, bronze_reload,
     published_rebuild, notice_cache, late_revisions,

@@ -6,12 +6,15 @@ published by its name (``tenderlake.sinks.publish``).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.operators import identity
+from tenderlake.operators import identity, name_index
 from tenderlake.operators.versions import first_writer_wins, latest
-from tenderlake.sources.adapters import stored
+from tenderlake.sources.adapters import shared, stored
 
 #: The category prefix within which costly levels run, and the first plausible day.
 SCOPE, FIRST_DAY = "72", "2000-01-01"
@@ -85,20 +88,20 @@ def _needs_work(c: Column) -> Column:
 
 
 def _by_keys(rows: DataFrame, keys: list[str], cascade) -> DataFrame:
-    """Results of the cascade for distinct keys, joined back to the rows that asked."""
-    asked = rows.select(*keys).distinct().withColumn("key", F.xxhash64(*keys))
-    found = cascade(asked).where("siret IS NOT NULL")
-    back = rows.withColumn("key", F.xxhash64(*keys))
-    return back.join(found, "key")
+    """Results of the cascade for distinct keys, joined back to the rows that asked by the keys themselves, nulls alike."""
+    asked = stored(rows.select(*keys).distinct().withColumn("key", F.monotonically_increasing_id()))
+    found = cascade(asked).where("siret IS NOT NULL").join(asked.withColumnsRenamed({k: f"_{k}" for k in keys}), "key")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return rows.join(found, same).drop("key", *(f"_{k}" for k in keys))
 
 
-def resolve_buyers(silver: DataFrame, decp: DataFrame, ted: DataFrame, register: DataFrame) -> DataFrame:
+def resolve_buyers(silver: DataFrame, decp: DataFrame, ted: DataFrame, register: DataFrame, index=None) -> DataFrame:
     """Markets within the scope whose buyer has no number yet take that of levels 2 and 3; one
     that has a number keeps it.  Of several raw ids of a market the newest version counts."""
     open_ = silver.where(F.col("siret_acheteur").isNull() & F.col("code_cpv").startswith(SCOPE)).select("uid")
     raw = _buyers(decp, ted).where(_needs_work(F.col("identifiant"))).join(open_, "uid", "left_semi")
     raw = raw.withColumn("acheteur", F.lit(None).cast("string"))
-    found = _by_keys(raw, ["identifiant", "nom", "acheteur"], lambda keys: identity.resolve(keys, register))
+    found = _by_keys(raw, ["identifiant", "nom", "acheteur"], lambda keys: identity.resolve(keys, register, index=index))
     one = latest(found, ["uid"], F.col("date_chargement").desc_nulls_last(), F.col("place").asc_nulls_last(), "siret").select(
         "uid", F.col("siret").alias("_siret"), _text("nom").alias("_nom"), F.col("methode").alias("methode_resolution_acheteur"),
         F.col("score").alias("score_confiance_acheteur"),
@@ -107,7 +110,7 @@ def resolve_buyers(silver: DataFrame, decp: DataFrame, ted: DataFrame, register:
         "siret_acheteur", F.coalesce("siret_acheteur", "_siret")).drop("_siret", "_nom")
 
 
-def awards(silver: DataFrame, decp: DataFrame, ted: DataFrame, register: DataFrame) -> DataFrame:
+def awards(silver: DataFrame, decp: DataFrame, ted: DataFrame, register: DataFrame, index=None) -> DataFrame:
     """(uid, siret_titulaire, nom_titulaire, source, methode_resolution, score_confiance), one a
     market and winner: exact numbers first, then level 2 for every sector without foreign ones,
     then the whole cascade within the scope; what an earlier stage has stands.  Continuity with
@@ -129,7 +132,7 @@ def awards(silver: DataFrame, decp: DataFrame, ted: DataFrame, register: DataFra
     past = known.join(silver.select("uid", "siret_acheteur"), "uid").where("siret_acheteur IS NOT NULL").select(
         F.col("siret_acheteur").alias("acheteur"), F.col("siret_titulaire").alias("siret")).distinct()
     scoped = rest.where(F.col("code_cpv").startswith(SCOPE) & F.col("nom").isNotNull() & ((F.col("source") != "DECP") | (F.col("nom") != "")))
-    third = stage(_by_keys(scoped, ["identifiant", "nom", "acheteur"], lambda k: identity.resolve(k, register, past)), F.when(F.col("methode") != "etranger", F.col("score")))
+    third = stage(_by_keys(scoped, ["identifiant", "nom", "acheteur"], lambda k: identity.resolve(k, register, past, index=index)), F.when(F.col("methode") != "etranger", F.col("score")))
     return first_writer_wins(["uid", "siret_titulaire"], exact, second, third)
 
 
@@ -154,12 +157,14 @@ def flag_duplicates(silver: DataFrame, share: float = 0.01, days: int = 30) -> D
     return silver.join(best.select(F.col("t_uid").alias("uid"), F.col("m.d_uid").alias("doublon_probable_de")), "uid", "left")
 
 
-def rebuild(decp: DataFrame, ted: DataFrame, register: DataFrame, today: Column, first: str = FIRST_DAY) -> tuple[DataFrame, DataFrame]:
-    """(silver markets, silver awards)."""
+def rebuild(decp: DataFrame, ted: DataFrame, register: DataFrame, today: Column, first: str = FIRST_DAY, index=None) -> tuple[DataFrame, DataFrame]:
+    """(silver markets, silver awards).  Buyers and winners are looked up in one stored index of names: the
+    ``index`` given, kept from run to run, or one that is built here."""
     register = stored(register)
-    silver = stored(resolve_buyers(stored(markets(decp, ted, today, first)), decp, ted, register))
+    index = index or name_index.build(register, f"{shared(register.sparkSession)}/noms")
+    silver = stored(resolve_buyers(stored(markets(decp, ted, today, first)), decp, ted, register, index))
     silver = stored(flag_duplicates(silver))
-    return silver, awards(silver, decp, ted, register)
+    return silver, awards(silver, decp, ted, register, index)
 
 
 def volumes(silver: DataFrame, attributed: DataFrame) -> DataFrame:

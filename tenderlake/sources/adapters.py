@@ -22,7 +22,7 @@ marches AS (
          CASE left(o_orderpriority, 1) WHEN '1' THEN '72210000' WHEN '2' THEN '72212900' WHEN '3' THEN '72220000'
               WHEN '4' THEN '72267000' ELSE '45000000' END AS code_cpv,
          CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 1 + o_orderkey % 48 END AS duree_mois,
-         CASE WHEN o_orderkey % 2 = 0 THEN 'TED' ELSE 'DECP' END AS source FROM orders),
+         CAST(NULL AS DOUBLE) AS duree_restante_mois, CASE WHEN o_orderkey % 2 = 0 THEN 'TED' ELSE 'DECP' END AS source FROM orders),
 attributions AS (
   SELECT DISTINCT CAST(l_orderkey AS STRING) AS uid, lpad(CAST(l_suppkey AS STRING), 9, '0') AS siren FROM lineitem)
 """
@@ -48,7 +48,7 @@ titulaire AS (
 bronze_decp AS (
   SELECT CAST(o_orderkey AS STRING) AS uid, acheteur_id, acheteur_nom, titulaire_id, s_name AS titulaire_nom, concat('objet ', CAST(n AS STRING)) AS objet, prix AS montant,
          cpv AS code_cpv, jour AS date_notification, jour AS date_publication, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(1 + o_orderkey % 48 AS STRING) END AS duree_mois,
-         '' AS duree_restante_mois, CASE n WHEN 0 THEN '' ELSE CAST(o_orderkey % 3 AS STRING) END AS modification_id,
+         CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey % 24 AS STRING) END AS duree_restante_mois, CASE n WHEN 0 THEN '' ELSE CAST(o_orderkey % 3 AS STRING) END AS modification_id,
          CAST(concat('2024-01-0', CAST(charge AS STRING), ' 00:00:00') AS TIMESTAMP) AS date_chargement
   FROM acheteur LEFT JOIN titulaire ON o_orderkey = l_orderkey WHERE o_orderkey % 2 = 1),
 bronze_ted AS (
@@ -57,8 +57,11 @@ bronze_ted AS (
          CAST(concat('2024-01-0', CAST(charge AS STRING), ' 00:00:00') AS TIMESTAMP) AS date_chargement
   FROM acheteur LEFT JOIN titulaire ON o_orderkey = l_orderkey WHERE o_orderkey % 2 = 0),
 registre AS (
-  SELECT lpad(CAST(s_suppkey AS STRING), 9, '0') AS siren, s_name AS denomination, concat(lpad(CAST(s_suppkey AS STRING), 9, '0'), '00001') AS siret_siege FROM supplier
-  UNION ALL SELECT concat('9', lpad(CAST(c_custkey AS STRING), 8, '0')), c_name, concat('9', lpad(CAST(c_custkey AS STRING), 8, '0'), '00002') FROM customer)
+  SELECT lpad(CAST(s_suppkey AS STRING), 9, '0') AS siren, s_name AS denomination, CASE WHEN s_suppkey % 40 IN (14, 34) THEN 'C' ELSE 'A' END AS etat,
+         concat(lpad(CAST(s_suppkey AS STRING), 9, '0'), '00001') AS siret_siege FROM supplier
+  UNION ALL SELECT concat('8', lpad(CAST(s_suppkey AS STRING), 8, '0')), s_name, CASE WHEN s_suppkey % 40 IN (4, 24) THEN 'C' ELSE 'A' END,
+         CASE WHEN s_suppkey % 40 IN (9, 34) THEN NULL ELSE concat('8', lpad(CAST(s_suppkey AS STRING), 8, '0'), '00001') END FROM supplier WHERE s_suppkey % 5 = 4 AND s_suppkey % 40 <> 39
+  UNION ALL SELECT concat('9', lpad(CAST(c_custkey AS STRING), 8, '0')), c_name, 'A', concat('9', lpad(CAST(c_custkey AS STRING), 8, '0'), '00002') FROM customer)
 """
 
 
