@@ -100,7 +100,7 @@ def test_sheets_and_blocks():
 
 @pytest.fixture(scope="module")
 def mart(spark, tmp_path_factory):
-    return cli.build_mart(spark, DATA, "file://" + str(tmp_path_factory.mktemp("mart") / "m"))
+    return cli.build_mart(cli.star_of(spark, DATA), "file://" + str(tmp_path_factory.mktemp("mart") / "m"))
 
 
 def test_texts_pass_their_own_check_and_inventions_do_not(mart):
@@ -132,7 +132,7 @@ def test_writer_regenerates_then_falls_back(mart):
 
 def test_command_line(spark, mart, tmp_path, capsys):
     row = mart.where(F.size("faits") > 0).first()
-    path = mart.inputFiles()[0].rsplit("/", 1)[0]
+    path = mart.inputFiles()[0].rsplit("/", 2)[0]
     base = ["--data", DATA, "--mart", path, "--cpv", row["code_cpv"]]
     assert cli.main([*base, "--acheteur", row["siret_acheteur"], "--json", str(tmp_path / "j.json"), "--rapport", str(tmp_path / "r.md")], spark) == 0
     assert "Sortant probable" in capsys.readouterr().out
