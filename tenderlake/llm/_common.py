@@ -41,19 +41,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back; with ``free``, the files of its exchanges go at once."""
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
-    path, setting = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_freed(df: DataFrame, tag: str) -> DataFrame:
+    """As ``materialize``; the files of the exchanges of ``df`` go as soon as the table is written."""
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
     try:
-        if free:
-            spark.conf.set(setting, "true")
-        df.write.option("compression", "zstd").parquet(path)
+        return materialize(df, tag)
     finally:
-        if free:
-            spark.conf.set(setting, before)
-    return spark.read.schema(df.schema).parquet(path)
+        spark.conf.set(setting, before)
 
 
 def materialize_bucketed(df: DataFrame, tag: str, key: str, kind: str | None = None) -> DataFrame:

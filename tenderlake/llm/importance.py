@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import (
-    materialize, materialize_bucketed, pack, partitions, planes, small_batches, table, trim, trimmed, trimmed_batches,
+    materialize, materialize_bucketed, materialize_freed, pack, partitions, planes, small_batches, table, trim, trimmed, trimmed_batches,
     trimmed_pair, unpack, unplanes,
 )
 
@@ -348,8 +348,8 @@ def weigh(docs: DataFrame, target: DataFrame, s: Settings = Settings(), id_col:
     parts = max(partitions(spark), math.ceil(words / s.part_words))
     sent = blocks.mapInArrow(trimmed_batches(lambda it: _send(it, parts)), "target int, block long, part int, payload binary")
     buckets = s.buckets
-    answers = materialize(
-        sent.groupBy("part").applyInArrow(trimmed(lambda g: _dictionary(g, buckets)), "block long, part int, payload binary"), "importance-answers", free=True
+    answers = materialize_freed(
+        sent.groupBy("part").applyInArrow(trimmed(lambda g: _dictionary(g, buckets)), "block long, part int, payload binary"), "importance-answers"
     )
     sums = answers.where("block IS NULL").select("payload").mapInArrow(trimmed_batches(_bucket_rows), "bucket long, s long, t long")
     held = np.zeros((2, buckets), np.int64)
