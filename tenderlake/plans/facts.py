@@ -204,6 +204,12 @@ def fact_sheets(star: Star) -> DataFrame:
     )
 
 
+def section_coverage(sheets: DataFrame) -> DataFrame:
+    """(cle, fiches, renseignees, couverture): of each section how many sheets have it, in how many it is covered, and its mean coverage."""
+    each = sheets.select(F.explode("faits").alias("f")).select("f.cle", "f.couverture")
+    return each.groupBy("cle").agg(F.count("*").alias("fiches"), F.count_if(F.col("couverture") > 0).alias("renseignees"), F.round(F.avg("couverture"), 4).alias("couverture"))
+
+
 def fact(cle: str) -> Column:
     """The fact of a name in ``faits``, null where it is missing."""
     return F.get(F.filter("faits", lambda x: x["cle"] == cle), 0)

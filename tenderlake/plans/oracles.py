@@ -231,6 +231,13 @@ FROM seen WINDOW w AS (PARTITION BY siret_acheteur, code_cpv ORDER BY nb DESC, v
     "near_duplicates": _near(0.01, 30),
     "near_duplicates_wide": _near(0.1, 90),
     "fact_coverage": _FACTS,
+    "section_coverage": _SHEETS + """, each AS (
+  SELECT 'titulaire_actuel' AS cle, score AS c FROM sheets UNION ALL SELECT 'date_dernier_marche', score FROM sheets UNION ALL SELECT 'nombre_marches_historique', score FROM sheets
+  UNION ALL SELECT 'duree_restante_mois', 0 FROM sheets UNION ALL SELECT 'ponderation_acheteur', 0 FROM sheets UNION ALL SELECT 'date_expiration_estimee', c_fin FROM sheets
+  UNION ALL SELECT 'concurrents_observes', k_riv FROM sheets UNION ALL SELECT 'fourchette_prix_min', k_prix FROM sheets UNION ALL SELECT 'fourchette_prix_max', k_prix FROM sheets
+  UNION ALL SELECT 'elargissement_applique', 0.5 FROM sheets WHERE pauvre UNION ALL SELECT 'nb_concurrents_hors_france', 1 FROM sheets WHERE dehors > 0)
+SELECT cle, count(*) AS fiches, count(*) FILTER (WHERE c > 0) AS renseignees, round(avg(c), 4) AS couverture FROM each GROUP BY cle""",
+    "silver_rejects": _SILVER_TYPED + "SELECT uid, source, rejets FROM typed WHERE rejets <> ''",
     "decision_block": _BLOCK,
     "template_text": _SHEETS + f"SELECT a.siret_acheteur, a.code_cpv, {_TEXT} AS texte, true AS valide FROM asked a LEFT JOIN sheets s USING (siret_acheteur, code_cpv)",
     "rejected_text": f"WITH {_LEVELS}" + """ SELECT DISTINCT siret_acheteur, code_cpv, false AS valide, true AS nombre_vu, 'Conseil,QWERTZ GROUPE,Zorglub' AS noms, '2031-02-30' AS dates FROM marches0""",

@@ -55,6 +55,19 @@ def fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sheet_figures(facts.fact_sheets(Star.of_tables(spark, sf_dir))).drop("mois_restants")
 
 
+def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.section_coverage(facts.fact_sheets(Star.of_tables(spark, sf_dir)))
+
+
+def silver_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a published silver whose text did not cast, and what did not."""
+    decp, ted, _ = _bronze(spark, sf_dir)
+    typed = silver.markets(decp, ted, F.lit(TODAY).cast("date"), FIRST)
+    folder = shared(spark)
+    silver.publish(typed, typed.select("uid"), folder, most=0.5)
+    return sinks.current(spark, folder, "silver", "rejets").select("uid", "source", F.array_join("rejets", ",").alias("rejets"))
+
+
 def competitor_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Competitors of each family by number of awards, the ten most frequent and how many more."""
     star = Star.of_tables(spark, sf_dir)
@@ -419,7 +432,7 @@ def late_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    fact_coverage, competitor_frequency, decision_block, template_text, rejected_text, expansion, comparable_buyers, purchasing_bodies, silver_typed, silver_buyers, silver_awards,
+    fact_coverage, section_coverage, silver_rejects, competitor_frequency, decision_block, template_text, rejected_text, expansion, comparable_buyers, purchasing_bodies, silver_typed, silver_buyers, silver_awards,
     silver_volumes, silver_methods, gold_from_silver, gold_star_buyers, gold_star_companies, gold_star_awards, gold_integrity, gold_sheets, identifier_rules, text_mentions, siren_mentions, html_results, web_corroboration, name_history, json_categories, ted_notices,
     register_rows, register_completion, register_enrichment, enrichment_coverage, winner_establishments, quality_checks, cross_source_window, cross_source_report,
     identity_accuracy, incumbent_accuracy, similar_markets, category_vote, embedding_backfill, register_cleaning, invalid_keys, decp_window, bronze_reload,

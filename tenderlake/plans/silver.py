@@ -9,9 +9,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tenderlake import sinks
 from tenderlake.operators import identity, name_index
 from tenderlake.operators.versions import first_writer_wins, latest
 from tenderlake.sources.adapters import shared, stored
@@ -181,3 +182,25 @@ def methods(silver: DataFrame, attributed: DataFrame) -> DataFrame:
     w = attributed.groupBy(F.col("methode_resolution").alias("methode")).count()
     both = b.select(F.lit("acheteurs").alias("cote"), "methode", F.col("count").alias("nb")).unionByName(w.select(F.lit("titulaires").alias("cote"), "methode", F.col("count").alias("nb")))
     return both.orderBy("cote", F.desc("nb"), F.asc_nulls_last("methode"))
+
+
+class TooManyRejects(Exception):
+    """More rows hold text that does not cast than a rebuild may have."""
+
+
+def publish(silver: DataFrame, attributed: DataFrame, folder: str, most: float = 0.05) -> dict:
+    """Publish a rebuild as one version: ``marches``, ``attributions`` and ``rejets``, the rows with text that did not cast.
+
+    Rows and rejects are counted while they are written; above a share of ``most`` the version is not
+    published, readers keep the one before, and ``TooManyRejects`` says how many.  Returns the counts.
+    """
+    seen = Observation()
+    bad = F.size("rejets") > 0
+    counted = silver.observe(seen, F.count("*").alias("marches"), F.count_if(bad).alias("rejetes"))
+
+    def check() -> None:
+        if (n := seen.get)["rejetes"] > most * n["marches"]:
+            raise TooManyRejects(f"{n['rejetes']} of {n['marches']} rows")
+
+    number = sinks.publish({"marches": counted, "attributions": attributed, "rejets": silver.where(bad)}, folder, "silver", check=check)
+    return seen.get | {"version": number}

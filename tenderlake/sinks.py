@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def _commit(spark: SparkSession, folder: str, name: str, tables: dict[str, str])
         return number
 
 
-def publish(rows: DataFrame | dict[str, DataFrame], folder: str, name: str, keep: int = 2) -> int:
+def publish(rows: DataFrame | dict[str, DataFrame], folder: str, name: str, keep: int = 2, check: Callable[[], None] | None = None) -> int:
     """Write a rebuilt table, or several that change together, as the next version of ``name``.
 
     Tables are written to folders of their own; then one small file, which is created whole or not at
@@ -63,7 +64,8 @@ def publish(rows: DataFrame | dict[str, DataFrame], folder: str, name: str, keep
     after a run that stops anywhere, they see the version before.  Of older versions the last
     ``keep`` stay, for readers that have begun; folders that no version names are left by stopped runs
     and go with the next ``clean``.  Two writers get two numbers where the store creates files
-    exclusively (as HDFS and local files do); elsewhere there may be one writer at a time.
+    exclusively (as HDFS and local files do); elsewhere there may be one writer at a time.  ``check``
+    is called when all tables are written: where it raises, there is no new version.
     """
     tables = rows if isinstance(rows, dict) else {"": rows}
     spark = next(iter(tables.values())).sparkSession
@@ -71,6 +73,8 @@ def publish(rows: DataFrame | dict[str, DataFrame], folder: str, name: str, keep
     for part, df in tables.items():
         paths[part] = f"{folder.rstrip('/')}/{name}/data-{uuid.uuid4().hex}"
         df.write.parquet(paths[part])
+    if check is not None:
+        check()
     number = _commit(spark, folder, name, paths)
     clean(spark, folder, name, keep)
     return number

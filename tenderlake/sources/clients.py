@@ -7,6 +7,7 @@ their own transport and clock.
 
 from __future__ import annotations
 
+import datetime
 import json
 import time
 import urllib.error
@@ -16,7 +17,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 Transport = Callable[[str, str, dict, dict], tuple[int, dict, bytes]]
 
@@ -167,3 +168,69 @@ def paged_source(transport: Transport, name: str = "offset_pages") -> type[DataS
                 yield (json.dumps(row, ensure_ascii=False),)
 
     return Pages
+
+
+# The fields of a notice that are asked for, and the form of a request.
+NOTICE_FIELDS = ("publication-number", "publication-date", "notice-title", "buyer-name", "buyer-identifier", "buyer-country", "classification-cpv", "total-value", "winner-name", "winner-identifier")
+RESULT_NOTICES = "buyer-country={country} AND publication-date>={day:%Y%m%d} AND form-type=result"
+
+
+def notice_request(today: datetime.date, prefix: str | None = None, country: str = "FRA", years: int = 3, limit: int = 250) -> dict:
+    """The request for result notices of a country in the last 365 days a year; with a prefix, of categories that begin so."""
+    query = RESULT_NOTICES.format(country=country, day=today - datetime.timedelta(days=365 * years))
+    if prefix:
+        query = f"classification-cpv={prefix}* AND {query}"
+    return {"query": query, "fields": list(NOTICE_FIELDS), "limit": limit, "scope": "ALL", "paginationMode": "ITERATION"}
+
+
+def token_source(transport: Transport, name: str = "token_pages", **retry) -> type[DataSource]:
+    """A Spark stream of pages that each name the next, rows as JSON text.  Options: url, request (JSON), and
+    pages, how many a batch reads (1).
+
+    The offset of the stream is the token of the next page, so a stopped stream goes on where its
+    checkpoint says and asks for no page twice; a batch that is run again reads the pages from its first
+    token.  At the end of the chain the stream has no more rows.
+    """
+
+    class Chain(DataSource):
+        @classmethod
+        def name(cls):
+            return name
+
+        def schema(self):
+            return "avis string"
+
+        def simpleStreamReader(self, schema):
+            return Reader(dict(self.options))
+
+    class Reader(SimpleDataSourceStreamReader):
+        def __init__(self, options: dict):
+            self.url, self.request, self.pages = options["url"], json.loads(options.get("request", "{}")), int(options.get("pages", 1))
+
+        def initialOffset(self):
+            return {"token": "", "seen": 0, "page": 0, "end": 0}
+
+        def _page(self, at: dict):
+            _, body = fetch(transport, "POST", self.url, self.request | ({"iterationNextToken": at["token"]} if at["token"] else {}), **{"tries": 8} | retry)
+            page = json.loads(body)
+            rows, token = page.get("notices", []), page.get("iterationNextToken") or ""
+            seen = at["seen"] + len(rows)
+            end = not rows or not token or seen >= page.get("totalNoticeCount", 0)
+            return [(json.dumps(r, ensure_ascii=False),) for r in rows], {"token": token, "seen": seen, "page": at["page"] + 1, "end": int(end)}
+
+        def read(self, start):
+            rows, at = [], start
+            for _ in range(self.pages):
+                if at["end"]:
+                    break
+                more, at = self._page(at)
+                rows += more
+            return iter(rows), at
+
+        def readBetweenOffsets(self, start, end):
+            at = start
+            while at["page"] < end["page"]:
+                more, at = self._page(at)
+                yield from more
+
+    return Chain

@@ -18,6 +18,11 @@ def decp(spark: SparkSession, path: str, columns: list[str], siret: str | None =
     return df.select(*columns)
 
 
+def of_buyer(df: DataFrame, siret: str, limit: int = 50) -> DataFrame:
+    """The newest markets of a buyer, ``limit`` at most, in a total order."""
+    return df.where(F.col("acheteur_id") == siret).orderBy(F.col("dateNotification").desc_nulls_last(), "uid").limit(limit)
+
+
 def in_window(df: DataFrame, today: Column, months: int = 36) -> DataFrame:
     """Current rows published within ``months`` of ``today``."""
     return df.where(F.col("donneesActuelles") & (F.to_date("datePublicationDonnees") >= F.add_months(today, -months)))
