@@ -870,14 +870,11 @@ def _parse(px: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _put_pixels(out: _Out, px: np.ndarray, w: int, cache_bits: int) -> None:
-    """The main image with one group of fitted prefix codes: back-references where they cover a
-    sixteenth of the pixels, else a colour cache.  Red, blue and alpha, or red and blue, take one
-    code where that costs at most a tenth more than theirs."""
+    """The main image with one group of fitted prefix codes: every back-reference, and a colour
+    cache for the pixels between them; copied pixels enter the cache too.  Red, blue and alpha, or
+    red and blue, take one code where that costs at most a tenth more than theirs."""
     n = len(px)
-    refs = _parse(px)
-    if 16 * sum(length for _, length, _ in refs) < n:
-        refs = []
-    cache_bits = 0 if refs else cache_bits
+    near, head = _near_codes(w), np.ones(n, bool)
     green = (px >> np.uint32(8) & np.uint32(255)).astype(np.int64)
     literal, far = np.ones(n, bool), {}
     out.put(1 if cache_bits else 0, 1)
@@ -888,16 +885,12 @@ def _put_pixels(out: _Out, px: np.ndarray, w: int, cache_bits: int) -> None:
         hit = order[1:][(slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])]
         literal[hit] = False
         green[hit] = 280 + slot[hit].astype(np.int64)
-        at = np.arange(n)
-    else:
-        near = _near_codes(w)
-        head = np.ones(n, bool)
-        for i, length, distance in refs:
-            head[i + 1 : i + length] = False
-            literal[i] = False
-            far[i] = (*_prefix(length), *_prefix(near.get(distance, distance + 120)))
-            green[i] = 256 + far[i][0]
-        at = np.flatnonzero(head)
+    for i, length, distance in _parse(px):
+        head[i + 1 : i + length] = False
+        literal[i] = False
+        far[i] = (*_prefix(length), *_prefix(near.get(distance, distance + 120)))
+        green[i] = 256 + far[i][0]
+    at = np.flatnonzero(head)
     out.put(0, 1)  # one group of codes
     lit = literal[at]
     channels = np.stack([px >> np.uint32(16), px, px >> np.uint32(24)]).astype(np.uint8)
@@ -942,11 +935,16 @@ def _put_small(out: _Out, words: list[int], w: int) -> None:
         out.put(1 | 1 << 2 | s << 3, 11)
 
 
+#: Bytes of payload that one image takes: 4,096 pixels squared.
+PART = 1 << 26
+
+
 def store(payload: bytes, cache_bits: int = 6) -> bytes:
     """A payload of 4 n bytes as a lossless WebP file of four bytes a pixel, about square.
 
     An image of at most 256 colours, each twice as frequent as the palette costs, is written as
-    a palette.  Any other has a predictor and a cross-colour transform in bands of 512 rows, the
+    a palette.  Any other has a predictor (mode 0, 1 or 2: of all 14, these alone were best on
+    texts, see README) and a cross-colour transform in bands of 512 rows, the
     mode and the multipliers those of least entropy.  Payloads beyond 16,384 pixels squared
     (1 GiB) are refused.
     """
@@ -995,25 +993,42 @@ def store(payload: bytes, cache_bits: int = 6) -> bytes:
     return _file(out.bytes())
 
 
-def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 64, pixels: bool = True) -> DataFrame:
+def store_parts(payload: bytes, part: int = PART) -> bytes:
+    """Files of at most ``part`` bytes of payload, one after another; most payloads are one file.
+    ``part`` is four times the square of a power of two from 16, so that no file but the last is padded."""
+    return b"".join(store(payload[i : i + part]) for i in range(0, len(payload), part))
+
+
+def decode_parts(raw: bytes) -> list[np.ndarray]:
+    """The images of files that lie one after another."""
+    images, at = [], 0
+    while at < len(raw):
+        size = 8 + struct.unpack_from("<I", raw, at + 4)[0]
+        images.append(decode(raw[at : at + size]))
+        at += size
+    return images
+
+
+def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 64, part: int = PART) -> DataFrame:
     """(id, n_bytes, media, pixels, payload, feature): UTF-8 of whole texts, padded with zeros to a
     positive multiple of ``unit``, stored as lossless WebP and read back from it.
 
-    ``feature`` has the image's width, height and the mean of each channel read back; ``pixels``
-    are the ARGB words of the image in rows, as signed integers, where ``pixels`` is asked for.
-    A null text is empty; rows and ids repeat as they come; an empty table gives an empty
-    result; other columns are not read.
+    ``feature`` has the images' widths and heights and the mean of each channel read back;
+    ``pixels`` are the ARGB words of the images in rows, as signed integers.  A payload above
+    ``part`` bytes is several files one after another.  A null text is empty; rows and ids repeat
+    as they come; an empty table gives an empty result; other columns are not read.
     """
     small_batches(docs.sparkSession, 500)
 
     def one(text: bytes) -> tuple:
         size = max(unit, -(-len(text) // unit) * unit)
-        file = store(text.ljust(size, b"\0"))
-        px = decode(file)
+        file = store_parts(text.ljust(size, b"\0"), part)
+        images = decode_parts(file)
+        px = images[0].ravel() if len(images) == 1 else np.concatenate([x.ravel() for x in images])
         back = px.astype(">u4").tobytes()[:size]
         means = np.frombuffer(back, np.uint8).reshape(-1, 4).mean(axis=0)
-        shape = f"{px.shape[1]}x{px.shape[0]} " + " ".join(f"{m:.3f}" for m in means)
-        return len(text), file, px.view(np.int32).ravel() if pixels else None, back, shape
+        shape = "+".join(f"{x.shape[1]}x{x.shape[0]}" for x in images) + " " + " ".join(f"{m:.3f}" for m in means)
+        return len(text), file, px.view(np.int32), back, shape
 
     def run(batches):
         done: dict = {}  # short copies of one text are stored alike, so once a task
@@ -1041,8 +1056,8 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each row of ``documents`` as stored media and as read back; a null text is empty."""
-    return media(table(spark, sf_dir, "documents"), pixels=False).select(
+    return media(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.sha2("media", 256).alias("media_sha256"), "feature", F.size("pixels").cast("long").alias("n_pixels"),
     )
