@@ -162,6 +162,8 @@ def _reassemble(left: pa.Table, right: pa.Table, raw: bytes, id_type) -> pa.Tabl
     byte_end = np.concatenate([[0], np.cumsum(size[seq])])
     data = gather(table_bytes, start[seq], size[seq])
     byte_off = byte_end[id_off]
+    if max(byte_off[-1], id_off[-1]) > 0x7FFFFFFF:
+        raise ValueError("a block of documents holds 2 GiB or more: choose smaller blocks")
     decoded = pa.BinaryArray.from_buffers(
         pa.binary(), len(ids), [None, pa.py_buffer(byte_off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
     )

@@ -96,11 +96,15 @@ def _unsigned(name: str):
     return F.col(name).bitwiseXOR(F.lit(-(1 << 63)))
 
 
+RESULTS = ("size", "source_size", "target", "whole", "taken")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED, keep: list[str] | None = None,
 ) -> DataFrame:
-    """The columns ``keep`` (default: id) with size, source_size, target, whole and taken.
+    """The columns ``keep`` (default: id) with size, source_size, target, whole and taken; a kept
+    column named like one of these gives way to it.
 
     ``whole`` is the number of whole repetitions of the row and ``taken`` the words over all
     repetitions: ``taken - whole * size`` words belong to a last, partial one.  Null texts
@@ -108,9 +112,10 @@ def mix(
     hash and are cut alike; an empty table gives an empty result.  Equal inputs give equal
     results under any partitioning.
     """
-    keep = keep if keep is not None else [id_col]
+    keep = [c for c in (keep if keep is not None else [id_col]) if c not in RESULTS]
+    inner = {c: f"_keep{i}" for i, c in enumerate(keep)}  # no name clashes with those of the plan
     sized = docs.select(
-        *keep, F.col(source_col).alias("_src"),
+        *(F.col(c).alias(i) for c, i in inner.items()), F.col(source_col).alias("_src"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("_hash"),
     )
@@ -125,7 +130,7 @@ def mix(
         .otherwise(F.lit(0).cast("long"))
     )
     return joined.withColumn("_more", more).select(
-        *keep, "size", "source_size", "target",
+        *(F.col(i).alias(c) for c, i in inner.items()), "size", "source_size", "target",
         (F.col("_whole") + F.when((F.col("_more") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).alias("whole"),
         (F.col("_whole") * F.col("size") + F.col("_more")).alias("taken"),
     )

@@ -379,7 +379,7 @@ def remove_repeats(
 ) -> DataFrame:
     """(id, n_bytes, kept binary, removed array<struct<start, stop>>), one row for each row.
 
-    The columns ``carry`` follow as they were.  With ``as_text``, ``kept`` is a string: of a
+    The columns ``carry`` follow as they were; one named like a result gives way to it.  With ``as_text``, ``kept`` is a string: of a
     character that loses a byte, all bytes go.
 
     ``removed`` lists the maximal runs of removed bytes, on the bytes of the input.  Null texts
@@ -389,7 +389,7 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    carry = carry or []
+    carry = [c for c in carry or [] if c not in (id_col, "n_bytes", "kept", "removed")]
     src = docs.select(
         F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"),
         *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)),

@@ -128,7 +128,8 @@ def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings(), text_c
     """``keep`` (default: all columns) with ``score`` (0 to 1) and ``predicted``.
 
     Whole texts are scored; a null or empty text has the score of the bias.  Input columns
-    named like the two results give way to them.
+    named like the two results give way to them.  Repeated rows are scored each by itself; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -149,8 +150,8 @@ def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings(), text_c
             )
 
     src = docs.select(*keep, F.col(text_col).cast("string").alias("_scored"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(trimmed_batches(run), f"{schema}, score double, predicted int")
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
+    return src.mapInArrow(trimmed_batches(run), ", ".join([*kept, "score double", "predicted int"]))
 
 
 def _held_out():
@@ -158,6 +159,8 @@ def _held_out():
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each row of ``documents`` by the rows of ``labels`` that are not held out; a null
+    id is not held out, a null or empty text has the score of the bias."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = fit(docs, labels.where(~_held_out()))
     return score(docs, weights, keep=["doc_id"]).select(
