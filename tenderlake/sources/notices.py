@@ -5,33 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.sources.readers import category_codes, first_date, multilingual, plain_html, scoped_code, tolerant_date
+from tenderlake.sources.readers import first_date, multilingual, plain_html, scoped_code, subject_codes, tolerant_date
 
 UNKNOWN_BUYER = "Acheteur inconnu"
 _LIST = "array<string>"
 
 
-def _path(raw: Column, name: str) -> Column:
-    return F.get_json_object(raw, f"$['{name}']")
+def parsed(raw: DataFrame, column: str, fields: list[str], whole: bool = True) -> DataFrame:
+    """``raw`` with ``_n``, the fields of the JSON object in ``column`` as texts (nested values as they
+    are written); unreadable texts are left out or, without ``whole``, have a null field each.
 
+    A generator parses a text once: filters on the fields stay above it, where those on a projection
+    would go below it and parse again.
+    """
+    schema = ", ".join(f"`{f}` string" for f in [*fields, "_illisible"])
+    one = F.array(F.from_json(column, schema, {"columnNameOfCorruptRecord": "_illisible"}))
+    return raw.withColumn("_n", F.explode(F.filter(one, lambda x: x.isNotNull() & x["_illisible"].isNull()) if whole else one))
 
-def _list(raw: Column, name: str) -> Column:
+
+def _list(value: Column) -> Column:
     """A JSON list of strings; a lone string is a list of one; else empty."""
-    value = _path(raw, name)
     return F.when(value.isNull(), F.array().cast(_LIST)).when(value.startswith("["), F.from_json(value, _LIST)).otherwise(F.array(value))
 
 
+#: Fields of an award notice.
+NOTICE = ["publication-number", "notice-identifier", "publication-date", "buyer-name", "buyer-country", "buyer-identifier", "winner-name",
+          "winner-country", "winner-identifier", "classification-cpv", "total-value", "notice-title", "procedure-type"]
+#: Fields of a result notice.
+RESULT = ["idweb", "nomacheteur", "titulaire", "objet", "dateparution", "code_departement", "donnees"]
+#: Fields of a company, which its periods have too.
+COMPANY = {"denominationUniteLegale": "denomination", "categorieJuridiqueUniteLegale": "forme_juridique", "activitePrincipaleUniteLegale": "code_naf",
+           "etatAdministratifUniteLegale": "etat_administratif"}
+
+
 def ted_notices(raw: DataFrame, prefix: str | None = None, country: str | None = "FRA", column: str = "avis") -> DataFrame:
     """Thirteen text columns of each award notice; the country that a notice states is checked
     again, as the request's own filter lets others through.  Unreadable JSON is left out."""
-    r = F.col(column)
-    first = lambda name: F.get(_list(r, name), 0)
-    out = raw.where(F.try_parse_json(r).isNotNull()).select(
-        _path(r, "publication-number").alias("publication_number"), _path(r, "notice-identifier").alias("notice_identifier"),
-        first_date(_path(r, "publication-date")).alias("publication_date"), F.coalesce(multilingual(_path(r, "buyer-name")), F.lit(UNKNOWN_BUYER)).alias("buyer_name"),
-        first("buyer-country").alias("buyer_country"), first("buyer-identifier").alias("buyer_identifier"), multilingual(_path(r, "winner-name")).alias("winner_name"),
-        first("winner-country").alias("winner_country"), first("winner-identifier").alias("winner_identifier"), scoped_code(_list(r, "classification-cpv"), prefix).alias("code_cpv"),
-        _path(r, "total-value").alias("montant"), multilingual(_path(r, "notice-title")).alias("objet"), _path(r, "procedure-type").alias("procedure_type"),
+    field = lambda name: F.col("_n")[name]
+    first = lambda name: F.get(_list(field(name)), 0)
+    out = parsed(raw, column, NOTICE).select(
+        field("publication-number").alias("publication_number"), field("notice-identifier").alias("notice_identifier"),
+        first_date(field("publication-date")).alias("publication_date"), F.coalesce(multilingual(field("buyer-name")), F.lit(UNKNOWN_BUYER)).alias("buyer_name"),
+        first("buyer-country").alias("buyer_country"), first("buyer-identifier").alias("buyer_identifier"), multilingual(field("winner-name")).alias("winner_name"),
+        first("winner-country").alias("winner_country"), first("winner-identifier").alias("winner_identifier"), scoped_code(_list(field("classification-cpv")), prefix).alias("code_cpv"),
+        field("total-value").alias("montant"), multilingual(field("notice-title")).alias("objet"), field("procedure-type").alias("procedure_type"),
     )
     return out if country is None else out.where(F.col("buyer_country") == country)
 
@@ -39,12 +56,11 @@ def ted_notices(raw: DataFrame, prefix: str | None = None, country: str | None =
 def boamp_notices(raw: DataFrame, prefix: str | None = "72", column: str = "avis") -> DataFrame:
     """Seven columns of each result notice with at least one category of the prefix.  A notice
     whose ``donnees`` is missing, unreadable or no object is left out."""
-    r = F.col(column)
-    data = _path(r, "donnees")
-    place = _path(r, "code_departement")
-    out = raw.where(F.try_parse_json(data).isNotNull() & data.startswith("{")).select(
-        *(_path(r, c).alias(c) for c in ("idweb", "nomacheteur", "titulaire", "objet")), _path(r, "dateparution").alias("date_parution"),
-        F.when(place.startswith("["), F.get(F.from_json(place, _LIST), 0)).otherwise(place).alias("code_departement"), category_codes(data).alias("codes_cpv"),
+    notice = parsed(raw, column, RESULT).select(F.col("_n").alias("_avis"))
+    place = F.col("_avis.code_departement")
+    out = parsed(notice, "_avis.donnees", ["OBJET"]).select(
+        *(F.col(f"_avis.{c}").alias(c) for c in ("idweb", "nomacheteur", "titulaire", "objet")), F.col("_avis.dateparution").alias("date_parution"),
+        F.when(place.startswith("["), F.get(F.from_json(place, _LIST), 0)).otherwise(place).alias("code_departement"), subject_codes(F.col("_n.OBJET")).alias("codes_cpv"),
     )
     return out if prefix is None else out.where(F.exists("codes_cpv", lambda c: c.startswith(prefix)))
 
@@ -78,13 +94,11 @@ def register_rows(establishments: DataFrame, units: DataFrame) -> DataFrame:
 def company_answers(answers: DataFrame, column: str = "reponse") -> DataFrame:
     """(siren, denomination, forme_juridique, code_naf, etat_administratif, est_active) of register
     answers (siren, JSON): a field of the company, else of its newest period."""
-    unit = "$.uniteLegale"
-    field = lambda n: F.coalesce(*(F.nullif(F.get_json_object(column, f"{unit}{at}.{n}"), F.lit("")) for at in ("", ".periodesUniteLegale[0]")))
-    state = field("etatAdministratifUniteLegale")
-    return answers.select(
-        "siren", field("denominationUniteLegale").alias("denomination"), field("categorieJuridiqueUniteLegale").alias("forme_juridique"),
-        field("activitePrincipaleUniteLegale").alias("code_naf"), state.alias("etat_administratif"), F.coalesce(state == "A", F.lit(False)).alias("est_active"),
-    )
+    fields = ", ".join(f"{f}: string" for f in COMPANY)
+    answer = F.from_json(column, f"uniteLegale struct<{fields}, periodesUniteLegale: array<struct<{fields}>>>")
+    unit = answers.withColumn("_u", F.explode(F.array(answer["uniteLegale"])))
+    said = lambda f: F.coalesce(*(F.nullif(x[f], F.lit("")) for x in (F.col("_u"), F.get("_u.periodesUniteLegale", 0))))
+    return unit.select("siren", *(said(f).alias(c) for f, c in COMPANY.items())).withColumn("est_active", F.coalesce(F.col("etat_administratif") == "A", F.lit(False)))
 
 
 def past_names(answers: DataFrame, column: str = "reponse") -> DataFrame:

@@ -83,14 +83,18 @@ def scoped_code(codes: Column, prefix: str | None) -> Column:
     return first if prefix is None else F.coalesce(F.get(F.filter(codes, lambda c: c.startswith(prefix)), 0), first)
 
 
+def subject_codes(subject: Column) -> Column:
+    """Principal categories of the JSON of a notice's subject, whose ``CPV`` is an object or a list; none if there are none."""
+    told = F.get_json_object(subject, "$.CPV")
+    many = F.when(told.startswith("["), told).otherwise(F.concat(F.lit("["), told, F.lit("]")))
+    listed = F.from_json(many, "array<struct<PRINCIPAL:string>>")
+    return F.coalesce(F.filter(F.transform(listed, lambda x: x["PRINCIPAL"]), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
 def category_codes(notice: Column) -> Column:
-    """Principal categories of a JSON notice whose ``OBJET.CPV`` is an object or a list; null if unreadable."""
-    one = F.get_json_object(notice, "$.OBJET.CPV.PRINCIPAL")
-    many = F.from_json(F.get_json_object(notice, "$.OBJET.CPV"), "array<struct<PRINCIPAL:string>>")
-    listed = F.filter(F.transform(many, lambda x: x["PRINCIPAL"]), lambda x: x.isNotNull())
-    return F.when(F.try_parse_json(notice).isNull(), F.lit(None).cast("array<string>")).when(
-        F.get_json_object(notice, "$.OBJET.CPV").startswith("["), listed
-    ).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
+    """Principal categories of a JSON notice, by its ``OBJET``; null if it is unreadable."""
+    one = F.array(F.from_json(notice, "OBJET string, _illisible string", {"columnNameOfCorruptRecord": "_illisible"}))
+    return F.get(F.transform(one, lambda x: F.when(x.isNotNull() & x["_illisible"].isNull(), subject_codes(x["OBJET"]))), 0)
 
 
 def tolerant_date(value: Column) -> Column:

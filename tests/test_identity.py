@@ -1,5 +1,7 @@
 """Rules, names and levels of identity resolution on a small register."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from tenderlake.functions import text
@@ -79,3 +81,25 @@ def test_notices(spark):
     assert codes('{"OBJET": {"CPV": [{"PRINCIPAL": "72"}, {"PRINCIPAL": "48"}]}}') == ["72", "48"]
     assert codes("not json") is None and codes("{}") == []
     assert _one(spark, "<b>a &amp; b</b>", readers.plain_html) == "a & b"
+
+
+def test_notices_are_parsed_once(spark):
+    from tenderlake.sources import notices
+
+    whole = '{"publication-number":"1","buyer-country":["FRA"],"buyer-name":{"eng":["E"],"deu":"D"},"classification-cpv":"72000000"}'
+    raw = spark.createDataFrame([(x,) for x in (whole, "illisible", None, "", "[1]", '"x"', '{"publication-number":"2"', "{}")], "avis string")
+    got = notices.ted_notices(raw, "72")
+    assert [(r["publication_number"], r["buyer_name"], r["code_cpv"]) for r in got.collect()] == [("1", "E", "72000000")]
+    assert notices.ted_notices(raw, None, None).count() == 2  # an empty object is a notice
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(got).count("from_json(StructField") == 1 and "get_json_object" not in plan(got)
+    said = ['{"OBJET":{"CPV":{"PRINCIPAL":"72"}}}', '{"OBJET":{"CPV":[{"PRINCIPAL":"45"},{"X":1},{"PRINCIPAL":"72"}]}}', "{}", "[1]", "x", None]
+    rows = [(json.dumps({"idweb": str(i), "code_departement": ["75"], "donnees": x}),) for i, x in enumerate(said)] + [("x",), (None,)]
+    results = spark.createDataFrame(rows, "avis string")
+    assert [(r["idweb"], r["codes_cpv"]) for r in notices.boamp_notices(results, None).collect()] == [("0", ["72"]), ("1", ["45", "72"]), ("2", [])]
+    kept = notices.boamp_notices(results)
+    assert [r["idweb"] for r in kept.collect()] == ["0", "1"] and plan(kept).count("from_json(StructField") == 2  # the notice, and the text within it
+    periods = '{"uniteLegale":{"denominationUniteLegale":"","periodesUniteLegale":[{"denominationUniteLegale":"P","etatAdministratifUniteLegale":"A"}]}}'
+    answers = notices.company_answers(spark.createDataFrame([("1", periods), ("2", "x"), ("3", None)], "siren string, reponse string"))
+    assert [(r["siren"], r["denomination"], r["est_active"]) for r in answers.collect()] == [("1", "P", True), ("2", None, False), ("3", None, False)]
+    assert plan(answers.where("est_active")).count("from_json(") == 1
