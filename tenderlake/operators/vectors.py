@@ -68,12 +68,13 @@ def similar_to(markets: DataFrame, uid: str, k: int = 10, other_category: bool =
     return similar(markets, row["objet_embedding"], k, uid, row["code_cpv"], other_category)
 
 
-def vote(neighbours: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row: the category of most similarity among the neighbours (uid, code_cpv, similarite),
+def vote(neighbours: DataFrame, least: float = LEAST, key: str | None = None) -> DataFrame:
+    """One row, or one for each ``key``: the category of most similarity among the neighbours (uid, code_cpv, similarite),
     ties to the greatest code, with its votes; refused (code null) where the nearest is below ``least``."""
     known = neighbours.where("code_cpv IS NOT NULL")
-    by = known.groupBy("code_cpv").agg(F.sum("similarite").alias("poids"), F.count("*").alias("voix"), F.max("similarite").alias("meilleure"))
-    best = by.agg(F.max(F.struct("poids", "code_cpv", "voix", "meilleure")).alias("m"), F.sum("voix").alias("voisins"), F.max("meilleure").alias("proche"))
+    keys = [key] if key else []
+    by = known.groupBy(*keys, "code_cpv").agg(F.sum("similarite").alias("poids"), F.count("*").alias("voix"), F.max("similarite").alias("meilleure"))
+    best = by.groupBy(*keys).agg(F.max(F.struct("poids", "code_cpv", "voix", "meilleure")).alias("m"), F.sum("voix").alias("voisins"), F.max("meilleure").alias("proche"))
     sure = F.col("proche") >= least
     pick: Callable[[str], Column] = lambda c: F.when(sure, F.col(f"m.{c}")).alias(c)
-    return best.select(pick("code_cpv"), pick("voix"), "voisins", F.round("proche", 6).alias("proche"), F.round(F.when(sure, F.col("m.poids")), 4).alias("poids"))
+    return best.select(*keys, pick("code_cpv"), pick("voix"), "voisins", F.round("proche", 6).alias("proche"), F.round(F.when(sure, F.col("m.poids")), 4).alias("poids"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions import text
 from tenderlake.functions.verify import verify
-from tenderlake.operators import identity, quality, vectors, versions
+from tenderlake.operators import identity, quality, vector_index, vectors, versions
 from tenderlake.plans import facts, gold, silver
 from tenderlake.plans.family import FAMILY
 from tenderlake.plans.star import Star
@@ -364,6 +364,15 @@ def category_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vote(near, 0.0).withColumn("seuil", F.lit(0.0)).unionByName(vectors.vote(near).withColumn("seuil", F.lit(vectors.LEAST)))
 
 
+def told_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every market without a category the one that its 20 nearest vote for, by the index of all
+    vectors; ``proche`` is the similarity of the nearest that has one."""
+    rows = _vectors(spark, sf_dir)
+    index = vector_index.build(rows, f"{shared(spark)}/vecteurs")
+    unknown = rows.where("code_cpv IS NULL").select(F.col("uid").alias("cle"), F.col("objet_embedding").alias("vecteur"))
+    return vectors.vote(index.nearest(unknown), 0.0, "cle")
+
+
 def embedding_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors for the documents that have none yet, by the encoder without a model."""
     docs = run(spark, sf_dir, "SELECT doc_id AS uid, text AS objet FROM documents")
@@ -435,7 +444,7 @@ QUERIES = {f.__name__: f for f in (
     fact_coverage, section_coverage, silver_rejects, competitor_frequency, decision_block, template_text, rejected_text, expansion, comparable_buyers, purchasing_bodies, silver_typed, silver_buyers, silver_awards,
     silver_volumes, silver_methods, gold_from_silver, gold_star_buyers, gold_star_companies, gold_star_awards, gold_integrity, gold_sheets, identifier_rules, text_mentions, siren_mentions, html_results, web_corroboration, name_history, json_categories, ted_notices,
     register_rows, register_completion, register_enrichment, enrichment_coverage, winner_establishments, quality_checks, cross_source_window, cross_source_report,
-    identity_accuracy, incumbent_accuracy, similar_markets, category_vote, embedding_backfill, register_cleaning, invalid_keys, decp_window, bronze_reload,
+    identity_accuracy, incumbent_accuracy, similar_markets, category_vote, told_categories, embedding_backfill, register_cleaning, invalid_keys, decp_window, bronze_reload,
     published_rebuild, notice_cache, late_revisions,
 )} | {
     "near_duplicates": near_duplicates, "near_duplicates_wide": lambda spark, sf_dir: near_duplicates(spark, sf_dir, 0.1, 90),
