@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tenderlake.functions import text
-from tenderlake.operators import identity, versions
+from tenderlake.operators import identity, name_index, versions
 from tenderlake.sources import readers
 
 
@@ -103,3 +103,13 @@ def test_notices_are_parsed_once(spark):
     answers = notices.company_answers(spark.createDataFrame([("1", periods), ("2", "x"), ("3", None)], "siren string, reponse string"))
     assert [(r["siren"], r["denomination"], r["est_active"]) for r in answers.collect()] == [("1", "P", True), ("2", None, False), ("3", None, False)]
     assert plan(answers.where("est_active")).count("from_json(") == 1
+
+
+def test_of_names_with_the_same_trigrams_the_very_name_counts(spark, tmp_path):
+    register = spark.createDataFrame([("1", "S 000001000", "A", "s1"), ("2", "S 000010000", "A", "s2"), ("3", "T 000001000", "A", "s3"), ("4", "T-000001000", "A", "s4")],
+                                     "siren string, denomination string, etat string, siret_siege string").selectExpr("*", "CAST(NULL AS STRING) AS nom_personne", "CAST(NULL AS ARRAY<STRING>) AS prenoms")
+    keys = spark.createDataFrame([("a", "", "S#000001000"), ("b", "", "S#000010000"), ("c", "", "S#000100000"), ("d", "", "T#000001000")], "key string, identifiant string, nom string")
+    for index in (None, name_index.build(register, f"file://{tmp_path}/i", 2)):
+        sure, doubt = identity.by_similarity(keys, register, index)
+        assert {r["key"]: (r["siren"], r["score"]) for r in sure.collect()} == {"a": ("1", 1.0), "b": ("2", 1.0)}
+        assert sorted((r["key"], r["siren"]) for r in doubt.collect()) == [("c", "1"), ("c", "2"), ("d", "3"), ("d", "4")]
