@@ -227,3 +227,35 @@ def test_csv_splits_inside_quotes(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == {n: (a, c) for n, a, c in table} and df.columns == ["n", "a b", "c"]
+
+
+def test_buyers_with_the_same_comparable_ones_share_one_list(spark):
+    buyers = spark.createDataFrame([(f"b{i:02d}", "62", "75") for i in range(50)] + [("z", "62", "13"), ("y", "63", None)], "siret string, naf string, departement string")
+    got = facts.comparable_buyers(buyers).collect()
+    lists = {}
+    for r in got:
+        lists.setdefault(r["liste"], set()).add(tuple(r["comparables"]))
+    assert all(len(x) == 1 for x in lists.values()) and len(lists) == 20 + 1 + 1 + 1  # the first 20, all others, and the two without a neighbour
+    assert sum(r["liste"]["sauf"] == "" and r["zone"] == "departement" for r in got) == 30
+
+
+def test_companies_of_a_list_and_of_a_family_add_up(spark):
+    """Twelve companies of a shared list, of which the incumbent and one more are the family's own."""
+    day = datetime.date(2020, 1, 1)
+    buyers = [(f"b{i:02d}", f"B{i}", "62", "75") for i in range(25)]
+    markets = [("own", "b24", 5.0, "72210000", day, None, None, None)] + [(f"m{i}-{k}", f"b{i:02d}", 10.0 + i, "72210000", day, None, None, None) for i in range(20) for k in range(12) if i >= k]
+    won = [("own", "s00"), ("own", "s03"), ("own", "s99")] + [(m[0], f"s{int(m[0].split('-')[1]):02d}") for m in markets[1:]]
+    star = Star(
+        spark.createDataFrame(buyers, "siret string, nom string, naf string, departement string"),
+        spark.createDataFrame(markets, "uid string, siret_acheteur string, montant double, code_cpv string, date_notification date, duree_mois double, duree_restante_mois double, objet string"),
+        spark.createDataFrame([(f"s{k:02d}", f"S{k:02d}", "ETRANGER" if k in (3, 5) else "A") for k in (*range(12), 99)], "siren string, denomination string, etat string"),
+        spark.createDataFrame(won, "uid string, siren string"),
+    ).typed()
+    sheet = facts.fact_sheets(star).where("siret_acheteur = 'b24'").first()
+    said = {f["cle"]: f for f in sheet["faits"]}
+    total = 3 + len(markets) - 1
+    near = {f"S{k:02d}": 20 - k for k in range(1, 12)} | {"S99": 1}
+    near["S03"] += 1
+    first = sorted(near.items(), key=lambda x: (-x[1], x[0] not in ("S03", "S99"), x[0]))[:10]
+    assert said["concurrents_observes"]["liste"] == [f"{d}{' [hors France]' if d in ('S03', 'S05') else ''} ({n}/{total} attribution(s))" for d, n in first] + ["... et 2 autre(s) concurrent(s) observé(s)"]
+    assert said["nb_concurrents_hors_france"]["nombre"] == 2 and (said["fourchette_prix_min"]["nombre"], said["fourchette_prix_max"]["nombre"]) == (5.0, 29.0)
