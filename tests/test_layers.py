@@ -259,3 +259,14 @@ def test_companies_of_a_list_and_of_a_family_add_up(spark):
     first = sorted(near.items(), key=lambda x: (-x[1], x[0] not in ("S03", "S99"), x[0]))[:10]
     assert said["concurrents_observes"]["liste"] == [f"{d}{' [hors France]' if d in ('S03', 'S05') else ''} ({n}/{total} attribution(s))" for d, n in first] + ["... et 2 autre(s) concurrent(s) observé(s)"]
     assert said["nb_concurrents_hors_france"]["nombre"] == 2 and (said["fourchette_prix_min"]["nombre"], said["fourchette_prix_max"]["nombre"]) == (5.0, 29.0)
+
+
+def test_versions_are_put_in_order_once_not_once_a_winner(spark):
+    decp = spark.sql("""SELECT 'm' AS uid, '1' AS acheteur_id, 'B' AS acheteur_nom, concat('w', id) AS titulaire_id, concat('W', id) AS titulaire_nom, 'o' AS objet, CAST(id % 2 AS STRING) AS montant,
+      '72' AS code_cpv, '2020-01-01' AS date_notification, '' AS date_publication, '' AS duree_mois, '' AS duree_restante_mois, CAST(id % 2 AS STRING) AS modification_id, TIMESTAMP '2024-01-01 00:00:00' AS date_chargement FROM range(6)""")
+    ted = spark.sql("""SELECT 't' AS publication_number, '' AS buyer_identifier, '' AS buyer_name, CAST(id AS STRING) AS winner_identifier, 'o' AS objet, 'n.c.' AS montant, '72' AS code_cpv, '' AS publication_date,
+      TIMESTAMP '2024-01-01 00:00:00' AS date_chargement FROM range(3)""")
+    got = silver.markets(decp, ted, F.lit("2024-01-01").cast("date"))
+    assert {(r["uid"], r["modification_id"], tuple(r["rejets"])) for r in got.collect()} == {("m", 1, ()), ("TED-t", None, ("montant",))} and got.count() == 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "titulaire" not in plan and "winner" not in plan
