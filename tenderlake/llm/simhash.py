@@ -6,7 +6,8 @@ variants a fingerprint, so it is done in two tiers, without losing a link:
 
 * Halves.  Four differing bits leave at most two in one 32-bit half, so every fingerprint
   emits, for both halves, all 33 variants within one bit.  Fingerprints that collide on a
-  half are verified pair by pair where at most ``dense`` of them meet.
+  half are verified pair by pair where at most ``dense`` of them meet; of the pairs that hold
+  only a spanning forest leaves the task, fewer rows than came in, with the same closure.
 * Whole words.  Fingerprints of fuller buckets emit all 2,081 variants within two bits.
   All that meet on such a variant are within four bits of each other, so a star to the
   smallest of them states every link without listing pairs.
@@ -78,8 +79,28 @@ def _groups(batches):
             yield batch.column(0).to_numpy(), batch.column(1).to_numpy()
 
 
+def _forest(us, vs):
+    """Those of the links (us, vs) that hold together what all of them hold together: a spanning
+    forest.  Each root takes its link to the least smaller root, until no link joins two trees."""
+    nodes, at = np.unique(np.concatenate([us, vs]), return_inverse=True)
+    a, b = at[: len(us)], at[len(us) :]
+    root, left, kept = np.arange(len(nodes)), np.arange(len(us)), [np.zeros(0, np.int64)]
+    while True:
+        x, y = root[a[left]], root[b[left]]
+        left, high, low = left[x != y], np.maximum(x, y)[x != y], np.minimum(x, y)[x != y]
+        if not len(left):
+            kept = np.concatenate(kept)
+            return us[kept], vs[kept]
+        order = np.lexsort((low, high))
+        one = order[np.concatenate([[True], np.diff(high[order]) > 0])]
+        kept.append(left[one])
+        root[high[one]] = low[one]
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def _pairs(batches, dense: int, radius: int):
-    """Verified links of small half buckets; members of fuller ones, as (fp, null)."""
+    """Verified links of small half buckets, as a forest; members of fuller ones, as (fp, null)."""
 
     def flush(keys, values, heavy):
         # heavy: whether the first group has already been found to be full
@@ -104,7 +125,7 @@ def _pairs(batches, dense: int, radius: int):
         return members, np.concatenate([none, *us]), np.concatenate([none, *vs])
 
     def rows(members, us, vs):
-        links = np.unique(np.stack([np.maximum(us, vs), np.minimum(us, vs)]), axis=1)
+        links = np.unique(np.stack(_forest(np.maximum(us, vs), np.minimum(us, vs))), axis=1)
         members = np.unique(members)
         return pa.RecordBatch.from_arrays(
             [

@@ -88,6 +88,21 @@ def test_dense_buckets_lose_no_link(spark):
         assert all((a ^ b).bit_count() <= 4 for a, b in got) and closure(got) == want
 
 
+def test_a_half_bucket_gives_fewer_rows_than_it_has():
+    import pyarrow as pa
+
+    from tenderlake.llm import simhash
+
+    fps = np.sort(np.array([0, *(1 << i for i in range(40))], np.uint64)).view(np.int64)  # all within two bits of each other
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), 7)), pa.array(fps)], names=["key", "fp"])
+    got = [(u, v) for b in simhash._pairs(iter([batch]), 128, 4) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert len(got) == len(fps) - 1 and all((u ^ v).bit_count() <= 4 for u, v in got)
+    met = {0}
+    for _ in got:
+        met |= {x for pair in got if met & set(pair) for x in pair}
+    assert met == set(fps.tolist())
+
+
 def _words(rng, n):
     return ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(n)]
 
