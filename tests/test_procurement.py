@@ -169,3 +169,22 @@ def test_accuracy_counts_false_positives(spark):
     found = spark.createDataFrame([(1, "9"), (2, "8")], "cas int, siren string")
     row = quality.identity_accuracy(cases, found).first()
     assert (row["corrects"], row["total"]) == (2, 3)
+
+
+def test_tasks_stay_small_as_tables_grow(spark, monkeypatch):
+    from tenderlake.sources import adapters
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        spark.conf.set(names[0], "2")
+        spark.conf.set(names[2], "16k")
+        monkeypatch.setattr(adapters, "DEALT", 1 << 13)
+        adapters.run(spark, "/root/testdata/sf0.001", "SELECT l_orderkey FROM lineitem")
+        many = int(spark.conf.get(names[0]))
+        assert many > 2 and spark.conf.get(names[1]) == str(adapters.READ) and spark.conf.get(names[2]) == "16k"
+        adapters.run(spark, "/root/testdata/sf0.001", "SELECT r_name FROM region")
+        assert int(spark.conf.get(names[0])) == many  # finer, never coarser
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
