@@ -188,3 +188,20 @@ def test_tasks_stay_small_as_tables_grow(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_encoder_holds_bounded_batches(spark):
+    from tenderlake.operators import vectors
+
+    most = vectors.SLICE
+
+    def encoder():
+        def encode(texts):
+            assert len(texts) <= most
+            return [[float(len(t))] for t in texts]
+        return encode
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "CASE WHEN id % 7 > 0 THEN repeat('x', CAST(id AS INT)) END AS objet")
+    got = vectors.embed(rows, encoder=encoder).select("id", "objet_embedding").collect()
+    assert len(got) == 3000 and all((r["objet_embedding"] is None) if r["id"] % 7 == 0 else r["objet_embedding"] == [float(r["id"])] for r in got)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
