@@ -1,5 +1,7 @@
 """The inverted file of vectors against a scan of all."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,32 @@ def test_told_categories(spark):
     want = {r["cle"]: r for r in vectors.vote(vector_index.scan(rows, _asked(unknown)), 0.0, "cle").collect()}
     assert got.keys() == want.keys()
     assert sum(got[c]["code_cpv"] == want[c]["code_cpv"] for c in want) >= 0.9 * len(want)
+
+
+def test_meetings_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Many lists are one group, a query goes there once, and partitions grow with what meets and what is found."""
+    assert vector_index._groups(np.array([9000, 9000, 40000, 1, 16383, 1])).tolist() == [0, 1, 2, 3, 3, 4]
+    rows = procurement._vectors(spark, SMALL)
+    asked = _asked(rows.where("uid % 10 = 0"))
+    index = vector_index.build(rows, str(tmp_path / "a"), lists=12, wanted=1.0)
+    whole = vector_index.VectorIndex(spark, index.path, index.centres, index.sizes, index.lots, 12)
+    exact = _sets(vector_index.scan(rows, asked))
+    assert _sets(whole.nearest(asked)) == exact
+    monkeypatch.setattr(vector_index, "CHUNK", 150)
+    monkeypatch.setattr(vector_index, "FOUND", 100)
+    got = whole.nearest(asked)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    met, found = (max(int(n) for n in re.findall(rf"hashpartitioning\({c}#[^)]*, (\d+)\), REPARTITION_BY_NUM", plan)) for c in ("groupe", "cle"))
+    groups = int(vector_index._groups(index.sizes)[-1]) + 1
+    assert 1 < groups < 12 and met >= 2 * groups and found * 100 >= 20 * groups * len(exact)
+    assert _sets(got) == exact
+
+
+def test_samples_are_the_first_by_hash(spark):
+    rows = spark.range(20000).select(F.col("id").cast("string").alias("uid"))
+    order = F.xxhash64(F.lit(42), "uid")
+    first = [r["uid"] for r in rows.orderBy(order, "uid").limit(50).collect()]
+    got = vector_index._first(rows, 50, 20000, order)
+    assert [r["uid"] for r in got.collect()] == first and "<" in got._jdf.queryExecution().optimizedPlan().toString()
+    same = rows.withColumn("uid", F.lit("7"))  # equal hashes: none may be left out
+    assert vector_index._first(same, 50, 20000, order).count() == 50
