@@ -275,38 +275,45 @@ def _from_cache(px: np.ndarray, kind: np.ndarray, hit: np.ndarray, cache_bits: i
 def _resolved(px: np.ndarray, kind: np.ndarray, hit: np.ndarray, events: list, n: int, w: int, cache_bits: int) -> np.ndarray:
     """Pixels with back-references and, where there is one, the colour cache, in order."""
     out: list[int] = []
-    cache = [0] * (1 << cache_bits) if cache_bits else []
-    shift, values = 32 - cache_bits, px.tolist()
-    slots = (kind.astype(np.int64) - 280).tolist() if hit.any() else None
-    known = hit.tolist() if slots is not None else None
-    taken = 0
+    values, taken = px.tolist(), 0
+    if cache_bits:
+        # The slot that each pixel enters goes with it, so copies bring theirs along.
+        cache, slots = [0] * (1 << cache_bits), np.where(hit, kind.astype(np.int64) - 280, _slots(px, cache_bits)).tolist()
+        known, entered = hit.tolist(), []
     for upto, length, code in [*events, (len(values), 0, 0)]:
-        if slots is None:
+        if not cache_bits:
             out += values[taken:upto]
-            if cache_bits:
-                for v in values[taken:upto]:
-                    cache[(_HASH * v & 0xFFFFFFFF) >> shift] = v
         else:
-            for k in range(taken, upto):
-                v = cache[slots[k]] if known[k] else values[k]
-                cache[(_HASH * v & 0xFFFFFFFF) >> shift] = v
+            for v, s, late in zip(values[taken:upto], slots[taken:upto], known[taken:upto]):
+                if late:
+                    v = cache[s]
+                    if not v:  # an empty slot gives zero, which enters its own
+                        s = 0
+                cache[s] = v
                 out.append(v)
+                entered.append(s)
         taken = upto
         if length:
             back = code - 120 if code > 120 else max(1, _NEAR[code - 1][0] + _NEAR[code - 1][1] * w)
             i = len(out)
             if back > i or i + length > n:
                 raise ValueError("a back-reference leaves the image")
-            copy = out[i - back : i - back + length]
-            while len(copy) < length:
-                copy += copy[: length - len(copy)] if len(copy) % back == 0 else out[i - back : i][len(copy) % back :][: length - len(copy)]
-            out += copy
+            for held in (out, entered) if cache_bits else (out,):
+                copy = held[i - back : i - back + length]
+                if len(copy) < length:
+                    copy = (copy * (length // back + 1))[:length]
+                held += copy
             if cache_bits:
-                for v in copy:
-                    cache[(_HASH * v & 0xFFFFFFFF) >> shift] = v
+                for s, v in zip(entered[i:], out[i:]):
+                    cache[s] = v
     return np.array(out, np.uint32)
 
 
+#: Five codes of one symbol of eight bits each: the bits that say so, and what they are.
+_SOLE = sum(7 << 11 * k for k in range(5))
+_SOLE_IS = sum(5 << 11 * k for k in range(5))
+
+
 def _image(bits: _Bits, w: int, h: int, main: bool) -> np.ndarray:
     """An entropy-coded image of ARGB words."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -321,8 +328,15 @@ def _image(bits: _Bits, w: int, h: int, main: bool) -> np.ndarray:
         groups = int(meta.max()) + 1
     cached = 1 << cache_bits if cache_bits else 0
     sizes = (256 + 24 + cached, 256, 256, 256, 40)
-    codes = [_read_group(bits, sizes) for _ in range(groups)]
     n = w * h
+    if groups == 1:
+        byte = bits.at >> 3
+        word = int.from_bytes(bits.raw[byte : byte + 8], "little") >> (bits.at & 7)
+        if word & _SOLE == _SOLE_IS and bits.at + 55 <= bits.end:
+            bits.at += 55
+            g, r, b, a = (word >> k & 255 for k in (3, 14, 25, 36))
+            return np.full(n, a << 24 | r << 16 | g << 8 | b, np.uint32)
+    codes = [_read_group(bits, sizes) for _ in range(groups)]
     if groups == 1:
         return _one_group(bits, codes[0], n, w, cache_bits)
     out, cache, done = [0] * n, [0] * cached, 0
@@ -930,9 +944,10 @@ def _put_small(out: _Out, words: list[int], w: int) -> None:
     if len(words) > 1:
         _put_image(out, words, w, False, references=False)
         return
-    out.put(0, 1)
-    for s in (words[0] >> 8 & 255, words[0] >> 16 & 255, words[0] & 255, words[0] >> 24, 0):
-        out.put(1 | 1 << 2 | s << 3, 11)
+    word = _SOLE_IS
+    for k, s in enumerate((words[0] >> 8 & 255, words[0] >> 16 & 255, words[0] & 255, words[0] >> 24)):
+        word |= s << 11 * k + 3
+    out.put(word << 1, 56)
 
 
 #: Bytes of payload that one image takes: 4,096 pixels squared.

@@ -135,3 +135,40 @@ def test_suffix_query_by_brute_force(spark):
         want[i] = (len(raw), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest())
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixdedup.op5_suffix_dedup(spark, SMALL).collect()}
     assert got == want
+
+
+def test_references_and_cache_by_a_plain_loop():
+    """Copies bring the slots of their pixels along; a hit on an empty slot gives zero, which enters slot zero."""
+    rng = np.random.default_rng(3)
+    for cache_bits in (0, 1, 4):
+        for _ in range(40):
+            n, w = 60, 8
+            px = rng.choice(np.array([0, 1, 7, 1 << 20, 0xFFFFFFFF], np.uint32), n)
+            hit = rng.random(n) < 0.4 if cache_bits else np.zeros(n, bool)
+            kind = np.where(hit, 280 + rng.integers(0, 1 << cache_bits, n), 5)
+            events = [(int(k), int(rng.integers(1, 30)), int(rng.integers(1, 8)) + 120) for k in np.sort(rng.choice(np.arange(10, n), 5, replace=False))]
+            want, cache = [], [0] * (1 << cache_bits)
+
+            def enter(v):
+                want.append(v)
+                if cache_bits:
+                    cache[(webp._HASH * v & 0xFFFFFFFF) >> (32 - cache_bits)] = v
+
+            at = 0
+            for upto, length, code in [*events, (n, 0, 0)]:
+                for k in range(at, upto):
+                    enter(cache[kind[k] - 280] if hit[k] else int(px[k]))
+                at = upto
+                for _ in range(length):
+                    enter(want[len(want) - (code - 120)])
+            assert webp._resolved(px, kind, hit, events, 1000, w, cache_bits).tolist() == want
+
+
+def test_an_image_of_one_colour_is_read_at_once(monkeypatch):
+    out = webp._Out()
+    webp._put_small(out, [0x12345678], 1)
+    out.put(0b101, 3)
+    read = []
+    monkeypatch.setattr(webp, "_read_group", lambda *a: read.append(a))
+    bits = webp._Bits(out.bytes())
+    assert webp._image(bits, 3, 2, False).tolist() == [0x12345678] * 6 and not read and bits.read(3) == 0b101
