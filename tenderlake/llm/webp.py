@@ -173,18 +173,12 @@ _SPAN = 1 << 16
 _EIGHT = np.arange(8)
 
 
-def _refers(green: _Code) -> bool:
-    """Whether a code has lengths of back-references."""
-    kinds = np.array([green.only]) if green.only is not None else green.entry >> 4
-    return bool(((kinds >= 256) & (kinds < 280)).any())
-
-
 def _one_group(bits: _Bits, codes: list[_Code], n: int, w: int, cache_bits: int) -> np.ndarray:
     """n pixels of an image with one group of codes."""
     parts, events, i = [], [], 0
     raw = np.frombuffer(bits.raw, np.uint8)
     green = codes[0]
-    referring = _refers(green)
+    plain = (green.only if green.only is not None else int(green.entry.max()) >> 4) < 256
     done = 0  # literal and cached pixels so far
     if all(c.only is not None for c in codes[:4]) and green.only < 256:
         g, r, b, a = (c.only for c in codes[:4])
@@ -199,24 +193,25 @@ def _one_group(bits: _Bits, codes: list[_Code], n: int, w: int, cache_bits: int)
         size = 8 * len(three)
         window = np.zeros(size + 64, np.int64)
         np.right_shift(three[:, None], _EIGHT, out=window[:size].reshape(-1, 8))
-        base, at = 8 * first, np.arange(size)
+        base, at = 8 * first, np.arange(size + 64)
         if green.only is None:
             entry = green.entry.take(window[:size] & ((1 << green.most) - 1), mode="clip")  # clip: without checks
-            step, kind = at + (entry & 15), entry >> 4
+            step, kind = at[:size] + (entry & 15), entry >> 4
         else:
-            step, kind = at, np.full(size, green.only)
-        nxt, where = step, []
+            step, kind = at[:size], np.full(size, green.only)
+        nxt, where, after = step, [], {}
         for c in codes[1:4]:
             where.append(nxt)
             if c.only is None:
-                look = window.take(nxt, mode="clip")
-                look &= (1 << c.most) - 1
-                nxt = nxt + (c.entry & 15).take(look, mode="clip")
-        if int(kind.max()) >= 256:
-            nxt = nxt.copy()
-            np.copyto(nxt, step, where=kind >= 280)
-            if referring:
-                nxt[(kind >= 256) & (kind < 280)] = -1
+                # Where a symbol from each bit on ends; channels of one code share this.
+                if id(c) not in after:
+                    after[id(c)] = (c.entry & 15).take(window & ((1 << c.most) - 1), mode="clip")
+                    after[id(c)] += at
+                nxt = after[id(c)].take(nxt, mode="clip")
+        if not plain:
+            other = np.flatnonzero(kind >= 256)
+            nxt = nxt.copy() if nxt is step else nxt
+            nxt[other] = np.where(kind[other] >= 280, step[other], -1)
         jump = memoryview(nxt)
         p, own = bits.at - base, []
         stop = size - 64 if first + _SPAN + 16 < len(raw) else min(size - 1, bits.end - base + 1)
@@ -274,39 +269,40 @@ def _from_cache(px: np.ndarray, kind: np.ndarray, hit: np.ndarray, cache_bits: i
 
 def _resolved(px: np.ndarray, kind: np.ndarray, hit: np.ndarray, events: list, n: int, w: int, cache_bits: int) -> np.ndarray:
     """Pixels with back-references and, where there is one, the colour cache, in order."""
-    out: list[int] = []
-    values, taken = px.tolist(), 0
-    if cache_bits:
-        # The slot that each pixel enters goes with it, so copies bring theirs along.
-        cache, slots = [0] * (1 << cache_bits), np.where(hit, kind.astype(np.int64) - 280, _slots(px, cache_bits)).tolist()
-        known, entered = hit.tolist(), []
-    for upto, length, code in [*events, (len(values), 0, 0)]:
-        if not cache_bits:
-            out += values[taken:upto]
-        else:
-            for v, s, late in zip(values[taken:upto], slots[taken:upto], known[taken:upto]):
-                if late:
-                    v = cache[s]
-                    if not v:  # an empty slot gives zero, which enters its own
-                        s = 0
-                cache[s] = v
-                out.append(v)
-                entered.append(s)
-        taken = upto
-        if length:
-            back = code - 120 if code > 120 else max(1, _NEAR[code - 1][0] + _NEAR[code - 1][1] * w)
-            i = len(out)
-            if back > i or i + length > n:
-                raise ValueError("a back-reference leaves the image")
-            for held in (out, entered) if cache_bits else (out,):
-                copy = held[i - back : i - back + length]
-                if len(copy) < length:
-                    copy = (copy * (length // back + 1))[:length]
-                held += copy
-            if cache_bits:
-                for s, v in zip(entered[i:], out[i:]):
-                    cache[s] = v
-    return np.array(out, np.uint32)
+    # The symbol that each pixel is or, through copies, comes from.
+    ids, taken, i = np.arange(len(px)), 0, 0
+    root = np.empty(len(px) + sum(length for _, length, _ in events), np.int64)
+    own = np.ones(len(root), bool)
+    for upto, length, code in events:
+        back = code - 120 if code > 120 else max(1, _NEAR[code - 1][0] + _NEAR[code - 1][1] * w)
+        begin = i + upto - taken
+        root[i:begin] = ids[taken:upto]
+        taken, i = upto, begin + length
+        if back > begin or i > n:
+            raise ValueError("a back-reference leaves the image")
+        root[begin:i] = root[begin - back : i - back] if back >= length else np.resize(root[begin - back : begin], length)
+        own[begin:i] = False
+    root[i:] = ids[taken:]
+    if not hit.any():
+        return px[root]
+    # A symbol's slot is known, so copies bring theirs along; a cached pixel is what entered its slot last.
+    slot = np.where(hit, kind - 280, _slots(px, cache_bits)).astype(np.uint16)
+    while True:
+        entered = slot[root]
+        order = entered.argsort(kind="stable")
+        entered, source = entered[order], root[order]
+        asks = np.flatnonzero(hit[source] & own[order])
+        empty = entered[asks] != entered[asks - 1]
+        empty[asks == 0] = True
+        if not empty.any():
+            break
+        # An empty slot gives zero, which enters its own.
+        none, hit, px = source[asks[empty]], hit.copy(), px.copy()
+        hit[none], px[none], slot[none] = False, 0, 0
+    ids[source[asks]] = source[asks - 1]
+    while hit[ids].any():
+        ids = ids[ids]
+    return px[ids[root]]
 
 
 #: Five codes of one symbol of eight bits each: the bits that say so, and what they are.
@@ -472,11 +468,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _cross(px: np.ndarray, w: int, h: int, shift: int, elements: np.ndarray, sign: int) -> np.ndarray:
     """Add (sign 1: decode) or take away the colour that green, and red, foretell."""
     tiles = (w + (1 << shift) - 1) >> shift
+    if not (elements & np.uint32(0xFFFFFF)).any():
+        return px
     if len(elements) == 1:
         e = elements
     else:
         at = np.arange(w * h)
         e = elements[(at // w >> shift) * tiles + (at % w >> shift)]
+    return _crossed(px, e, sign)
+
+
+def _crossed(px: np.ndarray, e: np.ndarray, sign: int) -> np.ndarray:
+    """As ``_cross``, by the element of each pixel or one of all."""
     to_red, to_blue, red_to_blue = _signed(e & 255), _signed(e >> 8 & 255), _signed(e >> 16 & 255)
     green = _signed(px >> 8 & 255)
     red, blue = (px >> 16 & 255).astype(np.int32), (px & 255).astype(np.int32)
@@ -558,13 +561,7 @@ class _Out:
         at = np.cumsum(sizes) - sizes + self.n
         total = int(sizes.sum()) + self.n
         words = np.zeros((total >> 6) + 2, np.uint64)
-        place, shift = at >> 6, (at & 63).astype(np.uint64)
-        over = np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        if len(place):
-            # No two values share a bit, so those of one word add up.
-            first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-            words[place[first]] = np.add.reduceat(values << shift, first)
-            words[place[first] + 1] += np.add.reduceat(over, first)
+        _place(words, at, values)
         self.value |= int.from_bytes(words.tobytes(), "little")
         self.n = total
 
@@ -572,6 +569,17 @@ class _Out:
         return self.value.to_bytes((self.n + 7) // 8, "little")
 
 
+def _place(words: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Set values of up to 64 bits each at ascending bits of ``words``; no two share a bit."""
+    place, shift = at >> 6, (at & 63).astype(np.uint64)
+    over = np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+    if len(place):
+        # No two values share a bit, so those of one word add up.
+        first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+        words[place[first]] |= np.add.reduceat(values << shift, first)
+        words[place[first] + 1] |= np.add.reduceat(over, first)
+
+
 def _fitted(counts: np.ndarray | list[int], most: int = 12) -> np.ndarray:
     """Lengths of a complete prefix code close to the counts' entropy, none above ``most``; 1 for a
     sole symbol, and for symbol 0 where there is none."""
@@ -685,11 +693,16 @@ def _put_image(out: _Out, px: list[int], w: int, main: bool, cache_bits: int = 0
     seen: dict[tuple, int] = {}
     cache = [None] * (1 << cache_bits)
     parts, i = [], 0
+    threes = list(zip(px, px[1:], px[2:])) if references else []
     while i < len(px):
-        back = seen.get(tuple(px[i : i + 3])) if references and i + 3 <= len(px) else None
+        back = seen.get(threes[i]) if i < len(threes) else None
         n = 0
-        while back is not None and i + n < len(px) and n < 4096 and px[back + n] == px[i + n]:
-            n += 1
+        if back is not None:
+            most = min(4096, len(px) - i)
+            while n + 64 <= most and px[back + n : back + n + 64] == px[i + n : i + n + 64]:
+                n += 64
+            while n < most and px[back + n] == px[i + n]:
+                n += 1
         slot = (_HASH * px[i] & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
         if n >= 3:
             parts.append(("ref", n, i - back))
@@ -697,11 +710,12 @@ def _put_image(out: _Out, px: list[int], w: int, main: bool, cache_bits: int = 0
             parts.append(("hit", slot, 0))
         else:
             parts.append(("raw", px[i], 0))
-        for j in range(i, i + max(1, n if n >= 3 else 1)):
-            seen[tuple(px[j : j + 3])] = j
-            if cache_bits:
+        end = i + (n if n >= 3 else 1)
+        seen.update(zip(threes[i:end], range(i, end)))
+        if cache_bits:
+            for j in range(i, end):
                 cache[(_HASH * px[j] & 0xFFFFFFFF) >> (32 - cache_bits)] = px[j]
-        i += n if n >= 3 else 1
+        i = end
     counts: list[dict[int, int]] = [{}, {}, {}, {}, {}]
     add = lambda k, s: counts[k].__setitem__(s, counts[k].get(s, 0) + 1)
     near = _near_codes(w)
@@ -735,19 +749,19 @@ def _put_image(out: _Out, px: list[int], w: int, main: bool, cache_bits: int = 0
     codes = []
     for f in fits:
         bits, lens = _written(f)
-        codes.append(list(zip(map(int, bits), lens.tolist())))
+        codes.append(list(zip(bits.tolist(), lens.tolist())))
+    words = []
     for kind, x in coded:
         if kind == "raw":
-            for c, s in zip(codes, x):
-                out.put(*c[s])
+            words += [c[s] for c, s in zip(codes, x)]
         elif kind == "hit":
-            out.put(*codes[0][x])
+            words.append(codes[0][x])
         else:
             (p, e, n), (q, f, m) = x
-            out.put(*codes[0][256 + p])
-            out.put(e, n)
-            out.put(*codes[4][q])
-            out.put(f, m)
+            words += [codes[0][256 + p], (e, n), codes[4][q], (f, m)]
+    if words:
+        values, lens = zip(*words)
+        out.put_words(np.array(values, np.uint64), np.array(lens, np.int64))
 
 
 def _file(data: bytes) -> bytes:
@@ -954,6 +968,21 @@ def _put_small(out: _Out, words: list[int], w: int) -> None:
 PART = 1 << 26
 
 
+def _shaped(payload: bytes) -> np.ndarray:
+    px = np.frombuffer(payload, ">u4").astype(np.uint32)
+    w = 16
+    while w * w < len(px) and w < 1 << 14:
+        w *= 2
+    if len(px) > w << 14:
+        raise ValueError("a payload above 1 GiB is no image of this format")
+    return np.pad(px, (0, -len(px) % w)).reshape(-1, w)
+
+
+def _few_colours(px: np.ndarray) -> bool:
+    ordered = np.sort(px, axis=None)
+    return np.count_nonzero(ordered[1:] != ordered[:-1]) < min(256, px.size // 4)
+
+
 def store(payload: bytes, cache_bits: int = 6) -> bytes:
     """A payload of 4 n bytes as a lossless WebP file of four bytes a pixel, about square.
 
@@ -963,16 +992,9 @@ def store(payload: bytes, cache_bits: int = 6) -> bytes:
     mode and the multipliers those of least entropy.  Payloads beyond 16,384 pixels squared
     (1 GiB) are refused.
     """
-    px = np.frombuffer(payload, ">u4").astype(np.uint32)
-    w = 16
-    while w * w < len(px) and w < 1 << 14:
-        w *= 2
-    if len(px) > w << 14:
-        raise ValueError("a payload above 1 GiB is no image of this format")
-    px = np.pad(px, (0, -len(px) % w)).reshape(-1, w)
-    h = len(px)
-    ordered = np.sort(px, axis=None)
-    if np.count_nonzero(ordered[1:] != ordered[:-1]) < min(256, px.size // 4):
+    px = _shaped(payload)
+    h, w = px.shape
+    if _few_colours(px):
         return encode(px, palette=True)
     out, bands = _header(w, h), range(0, h, 512)
     image = px.view(np.uint8).reshape(h, w, 4)
@@ -1008,6 +1030,256 @@ def store(payload: bytes, cache_bits: int = 6) -> bytes:
     return _file(out.bytes())
 
 
+def _fitted_rows(counts: np.ndarray, most: int = 12) -> np.ndarray:
+    """``_fitted`` of each row of counts [codes, symbols], all rows a symbol at a time."""
+    used = np.count_nonzero(counts, axis=1)
+    # One sort a row: the most frequent first, those alike by symbol.
+    key = np.sort((counts.max() - counts) << 10 | np.arange(counts.shape[1]), axis=1)[:, : max(1, int(used.max()))]
+    symbol = key & 1023
+    own = (counts.max() - (key >> 10)).T
+    total = counts.sum(axis=1)
+    size = np.frexp((-(-total // np.maximum(own, 1)) - 1).astype(np.float64))[1].clip(1, most).astype(np.int32)
+    size[own == 0] = 1  # never shortened
+    room = ((1 << most) - ((own > 0) << (most - size)).sum(axis=0)).astype(np.int32)
+    cut = np.flatnonzero((room < 0) & (used > 1))
+    room[(room < 0) | (used < 2)] = 0
+    gains = np.array([0, 1 << 20, *(1 << (most - n) for n in range(2, most + 1))], np.int32)
+    while len(short := np.flatnonzero(room)):
+        part, left = np.ascontiguousarray(size[:, short]), room[short]
+        for n in part[: int(used[short].max())]:
+            gain = gains[n]
+            gain *= gain <= left
+            left -= gain
+            n -= gain > 0
+        size[:, short], room[short] = part, left
+    out = np.zeros(counts.shape, np.int64)
+    np.put_along_axis(out, symbol, np.where(own > 0, size, 0).T, axis=1)
+    out[used == 0, 0] = 1
+    for k in cut:  # lengths that were cut to the most
+        out[k] = _fitted(counts[k], most)
+    return out
+
+
+def _written_rows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_written`` of each row of lengths [codes, symbols]."""
+    used = np.count_nonzero(lengths, axis=1)
+    key = np.sort(np.where(lengths > 0, lengths << 10, 1 << 20) | np.arange(lengths.shape[1]), axis=1)[:, : int(used.max())]
+    size = key >> 10
+    own = size < 16
+    each = np.where(own, 1 << (15 - np.minimum(size, 15)), 0)
+    begin = np.where(own & (used > 1)[:, None], each.cumsum(axis=1) - each, 0)
+    bits = np.zeros(lengths.shape, np.uint64)
+    np.put_along_axis(bits, key & 1023, _TURN[begin].astype(np.uint64), axis=1)
+    return bits, np.where((used > 1)[:, None], lengths, 0)
+
+
+def _code_rows(lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_put_code`` writes of each row's first ``sizes`` lengths: values, their bits, and how
+    many there are a row."""
+    used = lengths > 0
+    many, first, last = used.sum(axis=1), used.argmax(axis=1), lengths.shape[1] - 1 - used[:, ::-1].argmax(axis=1)
+    short = (many <= 2) & (last < 256)
+    long = np.flatnonzero(~short)
+    runs = np.ones(len(lengths), np.int64)
+    if len(long):
+        flat = lengths[long][np.arange(lengths.shape[1]) < sizes[long][:, None]]
+        code = np.repeat(np.arange(len(long)), sizes[long])
+        begin = np.concatenate([[0], np.flatnonzero((flat[1:] != flat[:-1]) | (code[1:] != code[:-1])) + 1])
+        n, code, run = flat[begin], code[begin], np.diff(begin, append=len(flat))
+        # The last length before a run that is not zero, 8 at first: one run back, or two.
+        n1, n2 = np.concatenate([[0], n[:-1]]), np.concatenate([[0, 0], n[:-2]])
+        same1, same2 = np.concatenate([[False], code[1:] == code[:-1]]), np.concatenate([[False, False], code[2:] == code[:-2]])[: len(n)]
+        before = np.where(same1 & (n1 > 0), n1, np.where(same2, n2[: len(n)], 8))
+        new = (n > 0) & (n != before)
+        full, rest = np.divmod(run - new, np.where(n > 0, 6, 138))
+        far = rest >= 11
+        token = np.stack([n, np.where(n > 0, 16, 18), np.where(rest < 3, n, np.where(n > 0, 16, np.where(far, 18, 17)))], axis=1)
+        extra = np.stack([0 * n, np.where(n > 0, 3, 127), np.where(rest < 3, 0, np.where(far, rest - 11, rest - 3))], axis=1)
+        wide = np.stack([0 * n, np.where(n > 0, 2, 7), np.where(rest < 3, 0, np.where(n > 0, 2, np.where(far, 7, 3)))], axis=1)
+        times = np.stack([new, full, np.where(rest < 3, rest, 1)], axis=1)
+        code = np.repeat(code, times.sum(axis=1))
+        token, extra, wide = (np.repeat(x.ravel(), times.ravel()) for x in (token, extra, wide))
+        lens = _fitted_rows(np.bincount(code * 19 + token, minlength=19 * len(long)).reshape(-1, 19), 7)
+        head = lens[:, _ORDER]
+        heads = np.maximum(4, 19 - (head[:, ::-1] > 0).argmax(axis=1))
+        bits, width = _written_rows(lens)
+        width = width[code, token]
+        runs[long] += np.bincount(code, minlength=len(long))
+    begin = runs.cumsum() - runs
+    value, size = np.zeros(int(runs.sum()), np.uint64), np.zeros(int(runs.sum()), np.int64)
+    value[begin] = 1 | (many - 1) << 1 | 1 << 2 | first << 3 | np.where(many == 2, last, 0) << 11
+    size[begin] = 3 + 8 * many
+    if len(long):
+        value[begin[long]] = (heads - 4) << 1 | (head << 3 * np.arange(19)).sum(axis=1) << 5
+        size[begin[long]] = 6 + 3 * heads
+        tokens = np.ones(len(value), bool)
+        tokens[begin] = False
+        value[tokens] = bits[code, token] | extra.astype(np.uint64) << width.astype(np.uint64)
+        size[tokens] = width + wide
+    return value, size, runs
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_prefix`` of each value."""
+    v = value - 1
+    n = np.maximum(np.frexp(v.astype(np.float64))[1].astype(np.int64) - 2, 0)
+    return np.where(v < 4, v, 2 * n + 2 + (v >> n & 1)), np.where(v < 4, 0, v & ((1 << n) - 1)), n
+
+
+def _entropies(px: np.ndarray, image: np.ndarray, m: int) -> np.ndarray:
+    """``_entropy`` of the pixels of each of m images."""
+    n = np.bincount(((image << 10)[:, None] + (px.view(np.uint8).reshape(-1, 4) + _CHANNEL)).ravel(), minlength=m << 10)
+    return np.array([-float(x @ np.log2(x)) for x in (row[row > 1] for row in n.reshape(m, 1024))])
+
+
+def _sole_words(words: np.ndarray) -> np.ndarray:
+    """What ``_put_small`` writes of each word alone."""
+    out = np.full(len(words), _SOLE_IS, np.uint64)
+    for k, s in enumerate((8, 16, 0, 24)):
+        out |= (words >> np.uint64(s) & np.uint64(255)) << np.uint64(11 * k + 3)
+    return out << np.uint64(1)
+
+
+def _foretold(px: np.ndarray, image: np.ndarray, first: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pixels, mode, cross-colour element) of images of one band each, laid one after another,
+    under the predictor and the multipliers of least entropy."""
+    m, wide, at = len(first), w[image], np.arange(len(px))
+    q = at - first[image]
+    top, origin = q < wide, q == 0
+    border = top | (q & (wide - 1) == 0)
+    lanes = px.view(np.uint8).reshape(-1, 4)
+    from_left, plain = lanes.copy(), lanes.copy()
+    from_left[1:] -= lanes[:-1]
+    plain[:, 3] -= np.uint8(255)
+    from_top = lanes - px[np.maximum(at - wide, 0)].view(np.uint8).reshape(-1, 4)
+    from_left, from_top, plain = (x.view(np.uint32).ravel() for x in (from_left, from_top, plain))
+    edge = np.where(top, from_left, from_top)
+    edge[origin] = plain[origin]
+    tried = [np.where(border, edge, x) for x in (plain, from_left, from_top)]
+    cost = np.stack([_entropies(x, image, m) for x in tried])
+    mode = cost.argmin(axis=0)
+    left = np.choose(mode[image], tried)
+    g, r, b = (_signed(left >> np.uint32(s) & np.uint32(255)) for s in (8, 16, 0))
+    total = lambda a, b: np.add.reduceat(a * b, first, dtype=np.int64).tolist()
+    slope = lambda ab, aa: int(np.clip(round(32 * float(ab) / aa), -128, 127)) & 255 if aa else 0
+    gg, rr, gr, gb, rb = total(g, g), total(r, r), total(g, r), total(g, b), total(r, b)
+    element = np.array([slope(gr[i], gg[i]) | slope(gb[i], gg[i]) << 8 | slope(rb[i], rr[i]) << 16 for i in range(m)], np.uint32)
+    made = _crossed(left, element[image], -1)
+    element[_entropies(made, image, m) >= cost.min(axis=0)] = 0
+    return np.where(element[image] > 0, made, left), mode, element
+
+
+def _store_together(images: list[np.ndarray], cache_bits: int = 6) -> list[bytes]:
+    """``store`` of images of one band each and of many colours, with all codes fitted and written at once."""
+    m = len(images)
+    h, w = (np.array([x.shape[k] for x in images]) for k in (0, 1))
+    n = h * w
+    first, image = n.cumsum() - n, np.repeat(np.arange(m), n)
+    px, mode, element = _foretold(np.concatenate([x.ravel() for x in images]), image, first, w)
+    # Symbols: cached pixels, then the back-references, over whose pixels no others are written.
+    green, literal, head = (px >> np.uint32(8) & np.uint32(255)).astype(np.int64), np.ones(len(px), bool), np.ones(len(px), bool)
+    slot = _slots(px, cache_bits).astype(np.int64)
+    key = image << cache_bits | slot
+    order = key.astype(np.uint16 if m << cache_bits <= 1 << 16 else np.int64).argsort(kind="stable")
+    hit = order[1:][(key[order[1:]] == key[order[:-1]]) & (px[order[1:]] == px[order[:-1]])]
+    literal[hit] = False
+    green[hit] = 280 + slot[hit]
+    found = []
+    for i, (begin, size, width) in enumerate(zip(first.tolist(), n.tolist(), w.tolist())):
+        near = _near_codes(width)
+        found += [(begin + k, length, near.get(far, far + 120)) for k, length, far in _parse(px[begin : begin + size])]
+    place, length, far = np.array(found, np.int64).reshape(-1, 3).T
+    (kind, extra, more), (kind2, extra2, more2) = _prefixes(length), _prefixes(far)
+    literal[place] = False
+    green[place] = 256 + kind
+    head[np.repeat(place + length - length.cumsum() + np.arange(len(place)), length - 1) + np.arange(1, int((length - 1).sum()) + 1)] = False
+    at = np.flatnonzero(head)
+    own, lit, green = image[at], literal[at], green[at]
+    channels = [(px[at] >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
+    counts = np.stack([np.bincount((own << 8 | x)[lit], minlength=m << 8).reshape(m, 256) for x in channels], axis=1)
+    # Codes, as ``_put_pixels`` shares them: red, blue and alpha, red and blue, or none.
+    tried = np.concatenate([counts, counts.cumsum(axis=1)[:, 1:]], axis=1)
+    total = tried.sum(axis=2)
+    bits = total * np.log2(np.maximum(total, 1)) - (tried * np.log2(np.maximum(tried, 1))).sum(axis=2)
+    two = bits[:, 0] + bits[:, 1]
+    share = np.where(10 * bits[:, 4] <= 11 * (two + bits[:, 2]), 3, np.where(10 * bits[:, 3] <= 11 * two, 2, 1))
+    which = np.array([[0, 0, 0], [0, 1, 2], [3, 3, 2], [4, 4, 4]])[share]
+    new = np.ones((m, 3), bool)
+    new[:, 1:] = which[:, 1:] != which[:, :-1]
+    whose, c = np.nonzero(new)
+    wide = 280 + (1 << cache_bits)
+    rows = np.zeros((2 * m + len(whose), wide), np.int64)
+    rows[:m] = np.bincount(own * wide + green, minlength=m * wide).reshape(m, wide)
+    rows[m:-m, :256] = tried[whose, which[whose, c]]
+    rows[-m:, :40] = np.bincount(image[place] * 40 + kind2, minlength=m * 40).reshape(m, 40)
+    row = np.column_stack([np.arange(m), m - 1 + new.ravel().cumsum().reshape(m, 3), len(rows) - m + np.arange(m)])
+    fits = _fitted_rows(rows)
+    bits, lens = _written_rows(fits)
+    value, size = bits[own, green], lens[own, green]
+    for k, x in enumerate(channels, 1):
+        r = row[own, k]
+        value |= np.where(lit, bits[r, x], np.uint64(0)) << size.astype(np.uint64)
+        size += np.where(lit, lens[r, x], 0)
+    k, r = np.searchsorted(at, place), row[image[place], 4]
+    for word, width in ((extra, more), (bits[r, kind2], lens[r, kind2]), (extra2, more2)):
+        value[k] |= word.astype(np.uint64) << size[k].astype(np.uint64)
+        size[k] += width
+    # The streams of all images in one array, each from a word of its own: heads, codes, pixels.
+    heads = [(0x2F | (w - 1) << 8 | (h - 1) << 22 | 1 << 36, 40), (1 | 7 << 3, 6), (_sole_words(mode.astype(np.uint64) << np.uint64(8) | np.uint64(0xFF000000)), 56),
+             (1 | 1 << 1 | 7 << 3, 6), (_sole_words(element.astype(np.uint64) | np.uint64(0xFF000000)), 56), (1 << 1 | cache_bits << 2, 7)]
+    codes, code_bits, runs = _code_rows(fits, np.repeat([wide, 256, 40], [m, len(whose), m]))
+    turn = row.ravel()
+    begin = np.repeat(runs.cumsum()[turn] - runs[turn].cumsum(), runs[turn])
+    token = begin + np.arange(len(begin))
+    ends = lambda sizes, whose: np.bincount(whose, sizes, minlength=m).astype(np.int64)
+    token_of = np.repeat(np.repeat(np.arange(m), 5), runs[turn])
+    head_bits, token_bits, pixel_bits = sum(n for _, n in heads), ends(code_bits[token], token_of), ends(size, own)
+    total = head_bits + token_bits + pixel_bits
+    each = (total >> 6) + 2
+    start = 64 * (each.cumsum() - each)
+    words = np.zeros(int(each.sum()), np.uint64)
+    shift = np.cumsum([0, *(n for _, n in heads)][:-1])
+    _place(words, (start[:, None] + shift).ravel(), np.column_stack([np.broadcast_to(np.asarray(v).astype(np.uint64), m) for v, _ in heads]).ravel())
+    along = lambda sizes, whose, bits, begin: sizes.cumsum() - sizes + (begin - (bits.cumsum() - bits))[whose]
+    _place(words, along(code_bits[token], token_of, token_bits, start + head_bits), codes[token])
+    _place(words, along(size, own, pixel_bits, start + head_bits + token_bits), value)
+    raw = words.tobytes()
+    return [_file(raw[s >> 3 : (s >> 3) + (t + 7 >> 3)]) for s, t in zip(start.tolist(), total.tolist())]
+
+
+#: Bytes of payload up to which images are stored together, and pixels of those that go at once.
+_SHORT, _AT_ONCE = 1 << 18, 1 << 16
+
+
+def store_many(payloads: list[bytes], part: int = PART) -> list[bytes]:
+    """``store_parts`` of each payload: the same files, with the codes of short payloads built together."""
+    out: list[bytes] = [b""] * len(payloads)
+    waiting: list[tuple[int, np.ndarray]] = []
+
+    def flush() -> None:
+        for (i, _), file in zip(waiting, _store_together([px for _, px in waiting])):
+            out[i] = file
+        waiting.clear()
+
+    held = 0
+    for i, payload in enumerate(payloads):
+        if not 0 < len(payload) <= min(part, _SHORT):
+            out[i] = store_parts(payload, part)
+            continue
+        px = _shaped(payload)
+        if _few_colours(px):
+            out[i] = encode(px, palette=True)
+            continue
+        waiting.append((i, px))
+        held += px.size
+        if held >= _AT_ONCE:
+            flush()
+            held = 0
+    if waiting:
+        flush()
+    return out
+
+
 def store_parts(payload: bytes, part: int = PART) -> bytes:
     """Files of at most ``part`` bytes of payload, one after another; most payloads are one file.
     ``part`` is four times the square of a power of two from 16, so that no file but the last is padded."""
@@ -1035,9 +1307,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     """
     small_batches(docs.sparkSession, 500)
 
-    def one(text: bytes) -> tuple:
-        size = max(unit, -(-len(text) // unit) * unit)
-        file = store_parts(text.ljust(size, b"\0"), part)
+    def read(text: bytes, size: int, file: bytes) -> tuple:
         images = decode_parts(file)
         px = images[0].ravel() if len(images) == 1 else np.concatenate([x.ravel() for x in images])
         back = px.astype(">u4").tobytes()[:size]
@@ -1048,16 +1318,15 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     def run(batches):
         done: dict = {}  # short copies of one text are stored alike, so once a task
         for b in batches:
-            rows = []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                t = t or b""
-                if (row := done.get(t)) is None:
-                    row = one(t)
-                    if len(t) < 1 << 14:
-                        if len(done) >= 1000:
-                            done.clear()
-                        done[t] = row
-                rows.append(row)
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            new = [t for t in dict.fromkeys(texts) if t not in done]
+            sizes = [max(unit, -(-len(t) // unit) * unit) for t in new]
+            files = store_many([t.ljust(n, b"\0") for t, n in zip(new, sizes)], part)
+            own = {t: read(t, n, f) for t, n, f in zip(new, sizes, files)}
+            rows = [own[t] if t in own else done[t] for t in texts]
+            if len(done) + len(own) > 1000:
+                done.clear()
+            done.update((t, row) for t, row in own.items() if len(t) < 1 << 14)
             n, files, arrays, payloads, features = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(files, pa.binary()), pa.array(arrays, pa.list_(pa.int32())), pa.array(payloads, pa.binary()), pa.array(features, pa.string())],

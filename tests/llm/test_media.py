@@ -172,3 +172,68 @@ def test_an_image_of_one_colour_is_read_at_once(monkeypatch):
     monkeypatch.setattr(webp, "_read_group", lambda *a: read.append(a))
     bits = webp._Bits(out.bytes())
     assert webp._image(bits, 3, 2, False).tolist() == [0x12345678] * 6 and not read and bits.read(3) == 0b101
+
+
+def _counts(rng, rows, size):
+    """Rows of counts of many shapes: none, one, two, few, all, and some far apart."""
+    out = np.zeros((rows, size), np.int64)
+    for k in range(rows):
+        used = rng.choice(size, int(rng.integers(0, size + 1)) if k % 2 else k % 5, replace=False)
+        out[k, used] = 1 + rng.integers(0, 1 << int(rng.integers(1, 17)), len(used)) ** (1 + k % 2) // 7
+    return out
+
+
+def test_codes_of_many_images_as_one_by_one():
+    rng = np.random.default_rng(11)
+    for size, most in ((344, 12), (256, 12), (40, 12), (19, 7)):
+        counts = _counts(rng, 60, size)
+        fits = webp._fitted_rows(counts, most)
+        assert np.array_equal(fits, [webp._fitted(c, most) for c in counts])
+        bits, lens = webp._written_rows(fits)
+        for k, fit in enumerate(fits):
+            assert all(np.array_equal(a, b) for a, b in zip((bits[k], lens[k]), webp._written(fit)))
+        padded = np.zeros((60, 344), np.int64)
+        padded[:, :size] = fits
+        value, width, runs = webp._code_rows(padded, np.full(60, size))
+        ends = runs.cumsum()
+        for fit, begin, end in zip(fits, ends - runs, ends):
+            want, got = webp._Out(), webp._Out()
+            webp._put_code(want, fit)
+            for v, n in zip(value[begin:end].tolist(), width[begin:end].tolist()):
+                got.put(v, n)
+            assert (got.value, got.n) == (want.value, want.n)
+
+
+def test_many_payloads_as_one_by_one(monkeypatch):
+    """The same files, whatever lies beside a payload, and no code of a short one is built alone."""
+    rng = np.random.default_rng(12)
+    words = [bytes(rng.integers(97, 123, int(rng.integers(1, 9)), dtype=np.uint8)) for _ in range(300)]
+    text = lambda n: b" ".join(words[int(k)] for k in rng.zipf(1.3, n) % 300)
+    raw = [text(int(n)) for n in rng.integers(1, 1500, 60)]
+    raw += [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (64, 700, 5000, 70_000)]
+    raw += [b"", b"a", b"\0" * 3000, b"abcd" * 900, raw[3] * 3, raw[5][:64], b"\xff" * 100 + raw[7], text(60_000)]
+    payloads = [r.ljust(max(64, -(-len(r) // 64) * 64), b"\0") for r in raw]
+    for part in (webp.PART, 4 * 16 * 16):
+        files = webp.store_many(payloads, part)
+        assert files == [webp.store_parts(p, part) for p in payloads] == webp.store_many(payloads[::-1], part)[::-1]
+        for p, file in zip(payloads, files):
+            assert b"".join(x.astype(">u4").tobytes() for x in webp.decode_parts(file))[: len(p)] == p
+    alone = []
+    monkeypatch.setattr(webp, "_put_code", lambda *a: alone.append(a))
+    assert webp.store_many(payloads[:60]) and not alone
+    assert webp.store_many([]) == []
+
+
+def test_channels_of_one_code_are_looked_up_once():
+    """Shared and own codes, with and without references and cache, at every split of channels."""
+    rng = np.random.default_rng(13)
+    for reds, blues, alphas in ((40, 40, 40), (40, 40, 3), (40, 200, 1), (1, 1, 1)):
+        for copies in (0, 5):
+            lanes = np.stack([rng.integers(0, n, 800, dtype=np.uint32) for n in (blues, 50, reds, alphas)], axis=1).astype(np.uint8)
+            px = np.ascontiguousarray(lanes).view(np.uint32).ravel()
+            for k in range(copies):
+                px[100 * k + 200 : 100 * k + 260] = px[30 * k : 30 * k + 60]
+            for cache_bits in (0, 6):
+                out = webp._Out()
+                webp._put_pixels(out, px, 16, cache_bits)
+                assert np.array_equal(webp._image(webp._Bits(out.bytes() + b"\0" * 8), 16, 50, True), px)
