@@ -9,7 +9,7 @@ left; other modes go pixel by pixel.
 
 ``store`` writes every payload with fitted prefix codes, predictor and cross-colour transforms of
 least estimated entropy, a colour cache and back-references; an image of few colours becomes a
-palette.
+palette.  ``store_many`` writes the same files, with the codes of many short payloads built together.
 """
 
 from __future__ import annotations
