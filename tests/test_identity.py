@@ -113,3 +113,27 @@ def test_of_names_with_the_same_trigrams_the_very_name_counts(spark, tmp_path):
         sure, doubt = identity.by_similarity(keys, register, index)
         assert {r["key"]: (r["siren"], r["score"]) for r in sure.collect()} == {"a": ("1", 1.0), "b": ("2", 1.0)}
         assert sorted((r["key"], r["siren"]) for r in doubt.collect()) == [("c", "1"), ("c", "2"), ("d", "3"), ("d", "4")]
+
+
+def test_a_bucket_of_the_index_is_one_file(spark, tmp_path):
+    register = spark.range(0, 200, 1, 8).selectExpr("CAST(id AS STRING) AS siren", "concat('NOM ', id) AS denomination")
+    name_index.build(register, f"file://{tmp_path}/i", 3)
+    assert all(len(list((tmp_path / "i" / part).glob("part-*"))) <= 3 for part in ("names", "often", "postings", "equals"))
+
+
+def test_keys_in_doubt_are_not_repeated_for_every_company(spark, monkeypatch):
+    """Thirty companies of one name and forty keys that ask for it: nothing that is stored has a row for each pair."""
+    register = spark.createDataFrame([(f"{i:09}", "GAMMA", "A", None, None, f"{i:09}00001") for i in range(30)], REGISTER)
+    keys = spark.createDataFrame([(k, "", "Gamma", f"b{k % 4}") for k in range(40)], "key long, identifiant string, nom string, acheteur string")
+    awards = spark.createDataFrame([("b0", "00000000500001"), ("b1", "00000000600001"), ("b1", "00000000700001"), ("b2", "99999999900001")], "acheteur string, siret string")
+    real, seen = identity.stored, []
+
+    def counted(df):
+        seen.append((kept := real(df)).count())
+        return kept
+
+    monkeypatch.setattr(identity, "stored", counted)
+    got = {r["key"]: (r["siret"], r["methode"], r["score"]) for r in identity.resolve(keys, register, awards).collect()}
+    assert got == {k: ("00000000500001", "continuite_acheteur", 0.75) for k in range(0, 40, 4)} and max(seen) == 40
+    _, doubt = identity.by_similarity(keys, register)  # the same from the pairs themselves
+    assert {r["key"]: (r["siret"], r["methode"], r["score"]) for r in identity.by_continuity(doubt, awards).collect()} == got
