@@ -270,3 +270,26 @@ def test_versions_are_put_in_order_once_not_once_a_winner(spark):
     assert {(r["uid"], r["modification_id"], tuple(r["rejets"])) for r in got.collect()} == {("m", 1, ()), ("TED-t", None, ("montant",))} and got.count() == 2
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "titulaire" not in plan and "winner" not in plan
+
+
+def test_buyers_of_silver_need_no_winners(spark):
+    from tenderlake.plans import procurement
+
+    decp, ted, _ = procurement._bronze(spark, DATA)
+    raw = silver._buyers(decp, ted)
+    assert "l_orderkey" not in raw._jdf.queryExecution().optimizedPlan().toString()
+    pairs = decp.selectExpr("uid", "acheteur_id AS i", "acheteur_nom", "date_chargement").unionByName(ted.selectExpr("'TED-' || publication_number AS uid", "buyer_identifier AS i", "buyer_name AS acheteur_nom", "date_chargement"))
+    assert sorted(map(tuple, raw.collect())) == sorted(set(map(tuple, pairs.where("NOT i RLIKE '^[0-9]{14}$'").collect())))
+
+
+def test_both_builds_of_gold_read_awards_that_are_stored(spark, monkeypatch):
+    from tenderlake.plans import procurement
+
+    columns = "uid string, source string, siret_acheteur string, nom_acheteur string, objet string, montant double, code_cpv string, date_notification date, date_publication date, duree_mois double, duree_restante_mois double, modification_id int, doublon_probable_de string"
+    markets = spark.createDataFrame([(str(i), "DECP", "b", "n", None, 1.0, "72", None, None, None, None, None, None) for i in range(6)], columns)
+    awards = markets.selectExpr("uid", "'12345678900001' AS siret_titulaire", "'t' AS nom_titulaire", "source", "CAST(NULL AS STRING) AS methode_resolution", "0.5D AS score_confiance").distinct()
+    real, seen = gold.build, []
+    monkeypatch.setattr(procurement, "_silver", lambda *a: (markets, awards))
+    monkeypatch.setattr(gold, "build", lambda m, a, *rest: seen.append(a) or real(m, a, *rest))
+    assert procurement._gold(spark, DATA)[0].attributions.count() == 6
+    assert len(seen) == 2 and all("Aggregate" not in a._jdf.queryExecution().optimizedPlan().toString() for a in seen)
