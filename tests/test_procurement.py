@@ -205,3 +205,14 @@ def test_encoder_holds_bounded_batches(spark):
     got = vectors.embed(rows, encoder=encoder).select("id", "objet_embedding").collect()
     assert len(got) == 3000 and all((r["objet_embedding"] is None) if r["id"] % 7 == 0 else r["objet_embedding"] == [float(r["id"])] for r in got)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_what_a_sheet_allows_is_computed_once_a_row(spark):
+    """Not again for every word and date of the text: both are columns that the last projection reads."""
+    sheet = spark.sql("""SELECT array(named_struct('cle', 'x', 'texte', 'Alpha NORD 2024-01-02', 'nombre', 7305.0D, 'liste', array('Beta (1/2)'), 'provenance', 'p', 'couverture', 1.0D)) AS faits, 0.5D AS couverture_globale, CAST(NULL AS STRING) AS raison
+      FROM range(3)""").localCheckpoint()  # not a constant
+    checked = verify(sheet, F.lit("Alpha et Beta, 7 305 le 02/01/2024, 50%, NORD. Gamma et Gamma, 12 le 03/01/2024, ALPHA NORD"))
+    read = checked.select("valide")._jdf.queryExecution().optimizedPlan().references().toString()
+    assert "_jours#" in read and "_inconnus#" in read and "_ok#" in read
+    assert [tuple(r) for r in checked.select("noms_non_justifies", "dates_non_justifiees", "valide").distinct().collect()] == [(["ALPHA NORD", "Gamma", "Gamma"], ["2024-01-03"], False)]
+    assert "12" in checked.first()["nombres_non_justifies"] and "7305" not in checked.first()["nombres_non_justifies"]
