@@ -293,3 +293,11 @@ def test_both_builds_of_gold_read_awards_that_are_stored(spark, monkeypatch):
     monkeypatch.setattr(gold, "build", lambda m, a, *rest: seen.append(a) or real(m, a, *rest))
     assert procurement._gold(spark, DATA)[0].attributions.count() == 6
     assert len(seen) == 2 and all("Aggregate" not in a._jdf.queryExecution().optimizedPlan().toString() for a in seen)
+
+
+def test_lists_of_comparable_buyers_go_through_exchanges_as_numbers(spark):
+    star = Star.of_tables(spark, DATA)
+    asked = facts.comparable_buyers(star.acheteurs).select(F.monotonically_increasing_id().alias("fid"), F.col("siret").alias("siret_acheteur"), F.lit(2).alias("niveau"), F.lit("72").alias("famille"), "liste", F.lit("Supplier#000000001").alias("sortant"))
+    plan = facts._rivals(star, asked)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [x for x in plan.split("\n") if "Window [" in x or "Aggregate [" in x]
+    assert any("lid#" in x for x in grouped) and not any("liste#" in x or "famille#" in x for x in grouped)
